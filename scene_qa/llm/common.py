@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark drops an execution's shuffle files when it ends; on only while a table is written, which nothing re-reads them for.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir. Only a local[...] master
     without that setting (a test) gets a folder of its own."""
@@ -26,8 +30,12 @@ def materialise(df: DataFrame) -> DataFrame:
     executor costs no recomputation, and what was not deterministic before is fixed afterwards."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/scene-qa-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
+    schema, before = df.schema, spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     return spark.read.schema(schema).parquet(path)
 
 
