@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scene_qa.llm.common import materialise, utf8
+from scene_qa.llm.common import materialise, small_join, utf8
 
 GRAM = 12
 #: Phrases of one core held by a task; a core with more has its windows counted by a grouped aggregate.
-CORE_PHRASES = 2_000
+CORE_PHRASES = 50_000
 _CHUNK = 1 << 20
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -65,49 +65,42 @@ def _runs(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return trigger[first], first, np.r_[first[1:], windows] - 1
 
 
-def phrases(data: bytes, window: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(core hash, two halves of the phrase's hash, start, end, windows) of each phrase of a text; a text shorter than
-    a window has none. The phrase's hash covers its number of windows, so equal hashes mean equal windows."""
+def phrases(data: bytes, window: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Core hash, phrase hash, start, size and trigger (from the start) of each phrase of a text; a text shorter than a window has none. The
+    phrase's hash covers where its trigger is, and together with the core's hash it has 128 bits."""
     if len(data) < window:
-        return []
-    core = window - reach(window) + 1
-    out = []
+        return [], [], *[np.zeros(0, np.int32)] * 3
+    core, digest = window - reach(window) + 1, xxhash.xxh3_64_intdigest
     trigger, first, last = _runs(np.frombuffer(data, np.uint8), window)
-    short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
-    for t, a, b in zip(trigger.tolist(), first.tolist(), last.tolist(), strict=True):
-        whole = long(data[a : b + window], seed=t - a)
-        out.append((short(data[t : t + core]) - (1 << 63), (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63), a, b + window, b - a + 1))
-    return out
-
-
-_PARSE = "core long, f1 long, f2 long, id long, start int, size int"
+    size = last - first + window
+    cores = [digest(data[t : t + core]) - (1 << 63) for t in trigger.tolist()]
+    wholes = [digest(data[a : a + n], t - a) - (1 << 63) for t, a, n in zip(trigger.tolist(), first.tolist(), size.tolist(), strict=True)]
+    return cores, wholes, first.astype(np.int32), size.astype(np.int32), (trigger - first).astype(np.int32)
 
 
 def _parse(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(id, data) -> (core, whole, id, start, size, at), a row for each phrase."""
     for batch in batches:
-        rows: list[tuple] = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows += [(c, f, g, key, a, b - a) for c, f, g, a, b, _ in phrases(text.as_py(), window)]
-            if len(rows) > 50_000:
-                yield _record(rows)
-                rows = []
-        if rows:
-            yield _record(rows)
+            cores, wholes, first, size, at = phrases(text.as_py(), window)
+            if cores:
+                yield pa.RecordBatch.from_arrays([pa.array(cores, pa.int64()), pa.array(wholes, pa.int64()), pa.array(np.full(len(cores), key)), pa.array(first), pa.array(size), pa.array(at)], ["core", "whole", "id", "start", "size", "at"])
 
 
-def _record(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["core", "f1", "f2", "id", "start", "size"])
-
-
-def _repeated(parts: list[bytes], window: int) -> list[list[int]]:
-    """For each distinct phrase of one core: the window starts that recur in another, or in itself."""
-    suffixes = sorted((p[i : i + window], k, i) for k, p in enumerate(parts) for i in range(len(p) - window + 1))
+def _repeated(parts: list[bytes], at: list[int], window: int) -> list[list[int]]:
+    """For each distinct phrase of one core, whose trigger is at `at`: the window starts that recur in another. Equal
+    windows have their trigger at one place, so the phrases' suffixes are sorted for one such place at a time: a suffix
+    array of the phrases, of which only a slice is held."""
     found: list[list[int]] = [[] for _ in parts]
-    for at, (head, k, i) in enumerate(suffixes):
-        if at and suffixes[at - 1][0] == head or at + 1 < len(suffixes) and suffixes[at + 1][0] == head:
-            found[k].append(i)
+    for back in range(max(at) + 1):
+        heads = sorted((parts[k][t - back : t - back + window], k) for k, t in enumerate(at) if back <= t and t - back + window <= len(parts[k]))
+        last = -1
+        for (head, k), (after, j) in zip(heads, heads[1:], strict=False):
+            if head == after:
+                if last != k:
+                    found[k].append(at[k] - back)
+                found[j].append(at[j] - back)
+                last = j
     return found
 
 
@@ -123,25 +116,28 @@ def _spans(starts: list[int], window: int) -> list[tuple[int, int]]:
 
 
 def _sorted_cores(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (core, f1, f2, phrase) in order of core -> (f1, f2, span) of the bytes of a phrase that recur."""
-    core, held = None, {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        rows = []
-        keys = list(held)
-        for key, starts in zip(keys, _repeated([held[k] for k in keys], window) if len(keys) > 1 else [], strict=False):
-            rows += [(*key, a, b) for a, b in _spans(starts, window)]
-        if rows:
-            f1, f2, a, b = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["f1", "f2", "a", "b"])
+    """Rows (core, whole, phrase, at) in order of core -> (core, whole, a, b): the bytes of a phrase that recur."""
+    core, held, out = None, {}, []
+
+    def flush() -> None:
+        if len(held) > 1:
+            for key, starts in zip(held, _repeated(*map(list, zip(*held.values(), strict=True)), window), strict=True):
+                out.extend((core, key, a, b) for a, b in _spans(starts, window))
+
+    def record() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["core", "whole", "a", "b"])
 
     for batch in batches:
-        for c, f1, f2, text in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+        for c, whole, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             if c != core:
-                yield from flush()
+                flush()
                 core, held = c, {}
-            held[f1, f2] = text
-    yield from flush()
+            held[whole] = text.as_py(), at
+        yield record()
+        out = []
+    flush()
+    yield record()
 
 
 def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, bytes]:
@@ -161,29 +157,35 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, byte
 
 
 def repeated_spans(texts: DataFrame, window: int = 200, core_phrases: int = CORE_PHRASES) -> DataFrame:
-    """texts(id long, data binary, n long): distinct texts, a key of each, and how many rows hold it ->
-    (id, spans array<struct<a int, b int>>): bytes that lie in a window which also starts elsewhere. Texts
-    without any are left out."""
-    parse = materialise(texts.select("id", "data").mapInArrow(lambda it: _parse(it, window), _PARSE))
-    dictionary = materialise(parse.groupBy("core", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("id", "start", "size")).alias("at")))
-    cores = dictionary.groupBy("core").agg(F.count("*").alias("phrases")).where("phrases > 1")
-    shared = dictionary.join(cores, "core").select("core", "f1", "f2", "phrases", "at.*")
-    listed = shared.groupBy("id").agg(F.collect_list(F.struct("core", "f1", "f2", "start", "size", "phrases")).alias("p"))  # phrases of one text
-    read = listed.join(texts.select("id", "data"), "id").select("data", F.explode("p").alias("p"))
-    read = read.select("p.core", "p.f1", "p.f2", "p.phrases", F.substring("data", F.col("p.start") + 1, F.col("p.size")).alias("phrase"))
-    read = materialise(read)
-    few = read.where(F.col("phrases") <= core_phrases).select("core", "f1", "f2", "phrase").repartition("core").sortWithinPartitions("core")
-    spans = few.mapInArrow(lambda it: _sorted_cores(it, window), "f1 long, f2 long, a int, b int")
-    if read.where(F.col("phrases") > core_phrases).head(1):
-        each = read.where(F.col("phrases") > core_phrases).select("f1", "f2", "phrase", F.explode(F.sequence(F.lit(0), F.octet_length("phrase") - window)).alias("a"))
-        each = each.select("f1", "f2", "a", F.unhex(F.sha2(F.substring("phrase", F.col("a") + 1, F.lit(window)), 256)).alias("w"))
+    """texts(id long, data binary): distinct texts -> (id, spans array<struct<a int, b int>>): bytes that lie in a
+    window which also starts elsewhere in these texts. Texts without any are left out."""
+    parse = materialise(texts.select("id", "data").mapInArrow(lambda it: _parse(it, window), "core long, whole long, id long, start int, size int, at int"))
+    # a core met once has no repeats; one whose phrases are all equal needs no bytes
+    cores = parse.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
+    cores = materialise(cores.where("n > 1").select("core", (F.col("low") != F.col("high")).alias("mixed")))
+    met = materialise(parse.join(cores, "core"))
+    dictionary = materialise(met.where("mixed").groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "start", "size", "at")).alias("first")))
+    large = materialise(dictionary.groupBy("core").count().where(F.col("count") > core_phrases).select("core", F.lit(True).alias("large")))
+    wanted = dictionary.groupBy("first.id").agg(F.collect_list(F.struct("core", "whole", "first.start", "first.size", "first.at")).alias("p"))  # phrases of one text
+    read = wanted.join(texts.select("id", "data"), "id").select("data", F.explode("p").alias("p"))
+    read = read.select("p.core", "p.whole", F.substring("data", F.col("p.start") + 1, F.col("p.size")).alias("phrase"), "p.at")
+    many = large.head(1)
+    if many:
+        read = materialise(small_join(read, large, ["core"]))
+    few = (read.where("large is null").drop("large") if many else read).repartition("core").sortWithinPartitions("core")
+    part = few.mapInArrow(lambda it: _sorted_cores(it, window), "core long, whole long, a int, b int")
+    if many:
+        each = read.where("large").select("core", "whole", "phrase", F.explode(F.sequence(F.lit(0), F.octet_length("phrase") - window)).alias("a"))
+        each = each.select("core", "whole", "a", F.unhex(F.sha2(F.substring("phrase", F.col("a") + 1, F.lit(window)), 256)).alias("w"))
         again = each.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-        spans = spans.union(each.join(again, "w").select("f1", "f2", "a", (F.col("a") + window).alias("b")))
-    spans = spans.groupBy("f1", "f2").agg(F.collect_list(F.struct("a", "b")).alias("part"))  # inside one phrase
-    whole = dictionary.where("n > 1").select("f1", "f2", F.lit(True).alias("whole"))
-    marked = whole.join(spans, ["f1", "f2"], "full")
-    found = parse.join(marked, ["f1", "f2"]).select("id", F.explode(F.when(F.col("whole"), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b")))).otherwise(F.transform("part", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b"))))).alias("s"))
-    return found.groupBy("id").agg(F.collect_list("s").alias("spans"))  # of one text
+        part = part.union(each.join(again, "w").select("core", "whole", "a", (F.col("a") + window).alias("b")))
+    part = part.groupBy("core", "whole").agg(F.collect_list(F.struct("a", "b")).alias("part"))  # inside one phrase
+    marked = materialise(dictionary.where("n > 1").select("core", "whole", F.lit(True).alias("all")).join(part, ["core", "whole"], "full"))
+    moved = F.transform("part", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))
+    span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
+    found = met.where("mixed").join(marked, ["core", "whole"]).select("id", F.explode(F.when(F.col("all"), F.array(span)).otherwise(moved)).alias("s"))
+    found = found.union(met.where("not mixed").select("id", span.alias("s")))
+    return materialise(found.groupBy("id").agg(F.collect_list("s").alias("spans")))  # of one text
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 200, core_phrases: int = CORE_PHRASES, keep_text: bool = False) -> DataFrame:
