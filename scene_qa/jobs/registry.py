@@ -2,10 +2,444 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scene_qa.functions.ordering import hash_rank
+from scene_qa.functions.hashing import sha
+from scene_qa.jobs import inputs
+from scene_qa.operators import audit, diagnostics, masks, metrics, predictions, prepare, questions, reports, sequences, splits, traces, training_rows
+from scene_qa.schemas import CLASSES, EVENTS, FAMILIES, PAIRS, SPLITS
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def _r(*names: str, digits: int = 8) -> list:
+    return [F.round(n, digits).alias(n) for n in names]
+
+
+_SPLIT = "CASE WHEN {0} % 5 < 3 THEN 'train' WHEN {0} % 5 = 3 THEN 'val' ELSE 'test' END"
+_PRED = """p AS (SELECT doc_id::VARCHAR AS question_id, 'img-' || doc_id AS image_id, lang AS question_type, quality::VARCHAR AS answer, run, seed, doc_id * 37 % 101 / 100.0::DOUBLE AS confidence,
+    (CASE run WHEN 'Zero-shot' THEN k % 2 WHEN 'PC-Ans' THEN (k // 100) % 2 WHEN 'PC-Trace' THEN (toxic + (k % 5 = 0)::INT) % 2 WHEN 'AA-Ans' THEN CASE WHEN k % 10 = 0 THEN 1 - quality ELSE quality END ELSE CASE WHEN k % 7 = 0 THEN 1 - quality ELSE quality END END)::INT::VARCHAR AS prediction
+    FROM (SELECT d.*, quality, toxic, run, seed, n_chars + seed AS k FROM documents d JOIN labels USING (doc_id), (SELECT 'Zero-shot' AS run, 1 AS seed UNION ALL SELECT run, seed FROM (VALUES ('PC-Ans'), ('PC-Trace'), ('AA-Ans'), ('AA-Trace')) a(run), (VALUES (1), (2), (3)) b(seed)) r))"""
+_METRICS = f"""WITH {_PRED}, f AS (SELECT *, unnest(['overall', question_type]) AS family FROM p),
+    a AS (SELECT run, seed, family, count(*) AS count, avg((answer = prediction)::INT) AS accuracy FROM f GROUP BY ALL),
+    l AS (SELECT run, seed, family, answer AS label, count(*) AS gold, 0 AS said, count(*) FILTER (answer = prediction) AS tp FROM f GROUP BY ALL UNION ALL SELECT run, seed, family, prediction, 0, count(*), 0 FROM f GROUP BY ALL),
+    s AS (SELECT run, seed, family, label, sum(gold) AS gold, sum(said) AS said, sum(tp) AS tp FROM l GROUP BY ALL),
+    m AS (SELECT run, seed, family, avg(2 * tp / (gold + said)) AS macro_f1, max(said) / sum(said) AS top_share, CASE WHEN count(*) > 1 THEN -sum(CASE WHEN said > 0 THEN q * ln(q) ELSE 0 END) / ln(count(*)) ELSE 0 END AS entropy FROM (SELECT *, said / sum(said) OVER (PARTITION BY run, seed, family) AS q FROM s) GROUP BY ALL),
+    b AS (SELECT run, seed, family, least(9, floor(confidence * 10)) AS bin, abs(sum(confidence) - sum((answer = prediction)::INT)) AS gap, count(*) AS n FROM f GROUP BY ALL),
+    e AS (SELECT run, seed, family, sum(gap) / sum(n) AS ece FROM b GROUP BY ALL),
+    metrics AS (SELECT * FROM a JOIN m USING (run, seed, family) JOIN e USING (run, seed, family))"""
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.run_metrics(inputs.predictions(spark, sf_dir), ["run", "seed"])
+
+
+@_query(_METRICS + " SELECT run, seed, family, count, round(accuracy, 8) AS accuracy, round(macro_f1, 8) AS macro_f1, round(ece, 8) AS ece, round(top_share, 8) AS top_share, round(entropy, 8) + 0.0 AS entropy FROM metrics")
+def run_metrics(spark, sf_dir):
+    return _metrics(spark, sf_dir).select("run", "seed", "family", "count", *_r(*metrics.METRICS))
+
+
+@_query(_METRICS + ", u AS (UNPIVOT (SELECT run, seed, family, accuracy, macro_f1, ece, top_share, entropy FROM metrics) ON accuracy, macro_f1, ece, top_share, entropy INTO NAME metric VALUE value) SELECT run AS cell, family, metric, count(value) AS seeds, round(avg(value), 8) AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) ELSE 0 END, 8) AS std FROM u GROUP BY ALL")
+def seed_summary(spark, sf_dir):
+    return metrics.over_seeds(_metrics(spark, sf_dir).withColumnRenamed("run", "cell"), ["cell"]).select("cell", "family", "metric", "seeds", *_r("mean", "std"))
+
+
+@_query(_METRICS + ", g AS (SELECT seed, sum(CASE WHEN run LIKE 'AA%' THEN accuracy ELSE -accuracy END) / 2 AS gap FROM metrics WHERE family = 'overall' AND run <> 'Zero-shot' GROUP BY seed HAVING count(*) = 4) SELECT 'rules' AS backbone, count(*) AS seeds, round(avg(gap), 8) AS mean, round(stddev_samp(gap), 8) AS std FROM g")
+def alignment_gap(spark, sf_dir):
+    cells = _metrics(spark, sf_dir).withColumnRenamed("run", "cell").withColumn("backbone", F.lit("rules"))
+    return metrics.alignment_gap(cells, ["backbone"]).select("backbone", "seeds", *_r("mean", "std"))
+
+
+@_query(f"WITH {_PRED} SELECT run, seed, question_type, answer, prediction, count(*) AS n FROM p GROUP BY ALL")
+def confusion_matrices(spark, sf_dir):
+    return metrics.confusion(inputs.predictions(spark, sf_dir), ["run", "seed"])
+
+
+@_query(_METRICS + " SELECT run, seed, round(min(top_share) FILTER (family <> 'overall'), 8) AS least_share, round(max(top_share) FILTER (family <> 'overall'), 8) AS greatest_share, round(max(entropy) FILTER (family = 'overall'), 8) AS entropy FROM metrics GROUP BY ALL")
+def prediction_behavior(spark, sf_dir):
+    return reports.prediction_behavior(_metrics(spark, sf_dir), ["run", "seed"]).select("run", "seed", *_r("least_share", "greatest_share", "entropy"))
+
+
+@_query(_METRICS + " SELECT run, round(accuracy * 100, 2) AS accuracy, round(macro_f1 * 100, 2) AS macro_f1, round(ece * 100, 2) AS ece FROM metrics WHERE family = 'overall' AND seed = 1")
+def method_by_metric(spark, sf_dir):
+    return reports.method_by_metric(_metrics(spark, sf_dir).where("seed = 1"))
+
+
+@_query(_METRICS + " SELECT run, " + ", ".join(f"round(max(accuracy) FILTER (family = '{x}') * 100, 2) AS {x}" for x in ("de", "en", "es", "fr")) + " FROM metrics WHERE seed = 1 GROUP BY run")
+def method_by_family(spark, sf_dir):
+    return reports.method_by_family(_metrics(spark, sf_dir).where("seed = 1"), ["de", "en", "es", "fr"])
+
+
+_CASES = f"""WITH {_PRED}, w AS (SELECT question_id, question_type, answer, max(prediction) FILTER (run = 'Zero-shot') AS z, max(prediction) FILTER (run = 'AA-Ans' AND seed = 1) AS a, max(prediction) FILTER (run = 'AA-Trace' AND seed = 1) AS t, max(prediction) FILTER (run = 'AA-Ans' AND seed = 2) AS s FROM p GROUP BY ALL),
+    c AS (SELECT *, z <> answer AND a = answer AS fixes_zero_shot, a <> answer AND t = answer AS trace_helps, a = answer AND t <> answer AS trace_hurts, a <> answer AND t <> answer AS remaining_hard, a <> s AS seed_disagreements FROM w)"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = inputs.predictions(spark, sf_dir).where("seed = 1 or (seed = 2 and run = 'AA-Ans')").withColumn("run", F.when(F.col("seed") == 2, "AA-Ans-second-seed").otherwise(F.col("run")))
+    return diagnostics.case_events(predictions.paired(runs, ("Zero-shot", "AA-Ans", "AA-Trace", "AA-Ans-second-seed")), "AA-Ans-second-seed")
+
+
+@_query(_CASES + " SELECT question_id, question_type, answer, " + ", ".join(EVENTS) + " FROM c")
+def case_events(spark, sf_dir):
+    return _cases(spark, sf_dir).select("question_id", "question_type", "answer", *EVENTS)
+
+
+@_query(_CASES + ", f AS (SELECT unnest(['overall', question_type]) AS family, * FROM c) SELECT family, " + ", ".join(f"sum({e}::INT) AS {e}" for e in EVENTS) + " FROM f GROUP BY family")
+def event_totals(spark, sf_dir):
+    return diagnostics.event_totals(_cases(spark, sf_dir))
+
+
+@_query(_CASES + ", u AS (UNPIVOT c ON " + ", ".join(EVENTS) + " INTO NAME category VALUE hit) SELECT category, question_type, question_id, row_number() OVER (PARTITION BY category, question_type ORDER BY question_id) AS rank FROM u WHERE hit QUALIFY rank <= 2")
+def representative_cases(spark, sf_dir):
+    return diagnostics.representative_cases(_cases(spark, sf_dir))
+
+
+@_query(f"WITH {_PRED}, x AS (SELECT * REPLACE (CASE WHEN run = 'AA-Trace' AND question_id::INT % 11 = 0 THEN '?' ELSE question_type END AS question_type) FROM p WHERE seed = 1 AND NOT (run = 'PC-Ans' AND question_id::INT % 13 = 0)), g AS (SELECT question_id, count(*) AS n, count(DISTINCT run) AS r, count(DISTINCT (image_id, answer, question_type)) AS k FROM x GROUP BY 1) SELECT question_id, CASE WHEN n > r THEN 'repeated' WHEN r < 5 THEN 'missing in a run' ELSE 'differs between runs' END AS problem FROM g WHERE n > r OR r < 5 OR k > 1")
+def membership_violations(spark, sf_dir):
+    """Runs with planted faults: families changed in one run, rows missing in another."""
+    rows = inputs.predictions(spark, sf_dir).where("seed = 1 and not (run = 'PC-Ans' and cast(question_id as int) % 13 = 0)")
+    rows = rows.withColumn("question_type", F.expr("if(run = 'AA-Trace' and cast(question_id as int) % 11 = 0, '?', question_type)"))
+    return predictions.membership_violations(rows)
+
+
+_MASK = f"m AS (SELECT vec_id AS image_id, p, {list(inputs.CLASS_OF_TENTH)}[1 + least(9, greatest(0, floor((x::DOUBLE + 0.5) * 10)))::INT] AS c FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, 64)) AS p FROM embeddings))"
+_NAMES = f"names AS (SELECT unnest({list(CLASSES)}) AS name, unnest(range(0, 10)) AS c)"
+_AREAS = f"{_MASK}, {_NAMES}, v AS (SELECT vec_id AS image_id, name, names.c, count(m.p) AS area FROM embeddings CROSS JOIN names LEFT JOIN m ON m.image_id = vec_id AND m.c = names.c GROUP BY ALL)"
+
+
+@_query(f"WITH {_AREAS} SELECT image_id, c AS class_id, area FROM v WHERE area > 0")
+def mask_histogram(spark, sf_dir):
+    return masks.histogram_relational(inputs.mask_table(spark, sf_dir))
+
+
+@_query(f"WITH {_AREAS} SELECT image_id, name AS class_name, area > 0 AS present, area AS area_pixels, area / 64.0::DOUBLE AS area_ratio, CASE WHEN area = 0 THEN 'none' WHEN area / 64.0::DOUBLE <= 0.05 THEN 'low' WHEN area / 64.0::DOUBLE <= 0.2 THEN 'medium' ELSE 'high' END AS ratio_category FROM v")
+def mask_evidence(spark, sf_dir):
+    e = inputs.evidence(spark, sf_dir)
+    return e.select("image_id", F.explode("area_pixels").alias("class_name", "area_pixels"), "presence", "area_ratio", "ratio_categories").select("image_id", "class_name", F.col("presence")[F.col("class_name")].alias("present"), "area_pixels", F.col("area_ratio")[F.col("class_name")].alias("area_ratio"), F.col("ratio_categories")[F.col("class_name")].alias("ratio_category"))
+
+
+@_query(f"WITH {_AREAS} SELECT image_id, arg_max(name, (area, -c)) AS dominant_class FROM v GROUP BY image_id")
+def dominant_class(spark, sf_dir):
+    return inputs.evidence(spark, sf_dir).select("image_id", "dominant_class")
+
+
+def _touch(radius: int) -> str:
+    return f"SELECT DISTINCT x.image_id, x.c AS a, y.c AS b FROM m x JOIN m y ON x.image_id = y.image_id AND x.c < y.c AND abs(x.p // 8 - y.p // 8) <= {radius} AND abs(x.p % 8 - y.p % 8) <= {radius}"
+
+
+def _adjacent(spark: SparkSession, sf_dir: str, radius: int) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in PAIRS])
+    return masks.measure(inputs.mask_table(spark, sf_dir), radius).select("image_id", F.inline(F.arrays_zip("adjacent", pairs.alias("pair")))).where("adjacent").select("image_id", "pair.a", "pair.b")
+
+
+@_query(f"WITH {_MASK} {_touch(1)}")
+def mask_adjacency(spark, sf_dir):
+    return _adjacent(spark, sf_dir, 1)
+
+
+@_query(f"WITH {_MASK} {_touch(2)}")
+def mask_adjacency_radius_2(spark, sf_dir):
+    return _adjacent(spark, sf_dir, 2)
+
+
+@_query(f"WITH {_MASK} {_touch(1)}")
+def mask_adjacency_join(spark, sf_dir):
+    return masks.adjacency_relational(inputs.mask_table(spark, sf_dir), 1)
+
+
+def _pick(purpose: str, family: str, n: int) -> str:
+    return f"(('0x' || substr(sha256('20260615' || chr(0) || image_id || chr(0) || {family} || chr(0) || '{purpose}'), 1, 16))::UBIGINT % {n})::INT"
+
+
+_QUESTIONS = f"""WITH {_AREAS}, touch AS (SELECT DISTINCT image_id FROM ({_touch(1)}) WHERE a = 3 AND b = 5),
+    e AS (SELECT v.image_id, map_from_entries(list((name, area))) AS area, arg_max(name, (area, -c)) AS dominant, bool_or(t.image_id IS NOT NULL) AS touch FROM v LEFT JOIN touch t ON t.image_id = v.image_id GROUP BY ALL),
+    f AS (SELECT *, {_SPLIT.format('image_id')} AS split, unnest({list(FAMILIES)}) AS question_type FROM e),
+    n AS (SELECT *, {_pick('template', 'question_type', 3)} + 1 AS t, {list(CLASSES[1:])}[1 + {_pick('class', "'presence'", 9)}] AS cls FROM f),
+    q AS (SELECT *, question_type || '-' || t AS template_id, CASE question_type WHEN 'presence' THEN CASE WHEN area[cls] > 0 THEN 'yes' ELSE 'no' END WHEN 'damage_state' THEN CASE WHEN area['building_flooded'] > 0 OR area['road_flooded'] > 0 THEN 'damage_present' ELSE 'no_damage' END
+        WHEN 'area_comparison' THEN CASE WHEN area['road_flooded'] > area['road_non_flooded'] THEN 'road_flooded' WHEN area['road_flooded'] < area['road_non_flooded'] THEN 'road_non_flooded' ELSE 'equal' END
+        WHEN 'spatial_adjacency' THEN CASE WHEN touch THEN 'yes' ELSE 'no' END WHEN 'dominant_class' THEN dominant ELSE CASE WHEN touch AND area['road_flooded'] > 0 THEN 'yes' ELSE 'no' END END AS answer FROM n),
+    questions AS (SELECT *, question_type || '-' || substr(sha256(image_id || chr(0) || split || chr(0) || question_type || chr(0) || template_id), 1, 20) AS question_id FROM q)"""
+
+
+@_query(_QUESTIONS + " SELECT question_id, image_id, split, question_type, template_id, answer FROM questions")
+def generated_questions(spark, sf_dir):
+    return inputs.question_table(spark, sf_dir).select("question_id", "image_id", "split", "question_type", "template_id", "answer")
+
+
+@_query(_QUESTIONS + " SELECT question_id, CASE WHEN image_id % 7 = 1 THEN 'empty' ELSE 'answer differs' END AS problem FROM questions WHERE image_id % 7 <= 1")
+def evidence_violations(spark, sf_dir):
+    """Questions with planted faults: wrong answers, and evidence that is gone."""
+    rows = inputs.question_table(spark, sf_dir).withColumn("answer", F.when(F.col("image_id") % 7 == 0, "wrong").otherwise(F.col("answer"))).withColumn("evidence", F.when(F.col("image_id") % 7 == 1, "{}").otherwise(F.col("evidence")))
+    return audit.evidence_violations(rows)
+
+
+@_query(_QUESTIONS + " SELECT question_id, 'answer' AS field, answer AS old, 'wrong' AS new FROM questions WHERE image_id % 7 = 0 UNION ALL SELECT question_id, 'question_id', question_id, NULL FROM questions WHERE image_id % 7 = 1")
+def regenerated_differences(spark, sf_dir):
+    rows = inputs.question_table(spark, sf_dir)
+    changed = rows.where("image_id % 7 <> 1").withColumn("answer", F.when(F.col("image_id") % 7 == 0, "wrong").otherwise(F.col("answer")))
+    return audit.differences(rows, changed)
+
+
+_ROWS = "a AS (SELECT l_orderkey || '-' || l_suppkey AS question_id, CASE l_returnflag WHEN 'A' THEN 'train' WHEN 'N' THEN 'val' ELSE 'test' END AS split, CASE l_linestatus WHEN 'O' THEN 'presence' ELSE 'damage_state' END AS question_type, CASE WHEN l_quantity < 10 THEN 'few' WHEN l_quantity < 30 THEN 'some' ELSE 'many' END AS answer, l_linestatus || '-' || l_linenumber AS template_id FROM lineitem)"
+
+
+@_query(f"WITH {_ROWS} SELECT CASE grouping(split, question_type, answer, template_id) WHEN 15 THEN 'total' WHEN 7 THEN 'split' WHEN 11 THEN 'type' WHEN 13 THEN 'answer' WHEN 3 THEN 'split_type' WHEN 1 THEN 'split_type_answer' ELSE 'split_type_template' END AS level, split, question_type, answer, template_id, count(*) AS n FROM a GROUP BY GROUPING SETS ((), (split), (question_type), (answer), (split, question_type), (split, question_type, answer), (split, question_type, template_id))")
+def question_distribution(spark, sf_dir):
+    return audit.distribution(inputs.audit_rows(spark, sf_dir))
+
+
+@_query(f"WITH {_ROWS}, g AS (SELECT split, question_type, answer, count(*) AS c FROM a GROUP BY ALL) SELECT split, question_type, sum(c) AS n, round(max(c) / sum(c), 8) AS share, max(c) / sum(c) > 0.4 AS above FROM g GROUP BY ALL")
+def majority_share(spark, sf_dir):
+    return audit.majority_share(inputs.audit_rows(spark, sf_dir), 0.4).select("split", "question_type", "n", *_r("share"), "above")
+
+
+@_query(f"WITH {_ROWS}, s AS (SELECT * FROM (SELECT unnest(['val', 'test']) AS split), (SELECT unnest({list(FAMILIES)}) AS question_type)), g AS (SELECT s.split, s.question_type, count(a.answer) AS n FROM s LEFT JOIN a USING (split, question_type) GROUP BY ALL) SELECT * FROM g WHERE n < 5000")
+def minimum_examples(spark, sf_dir):
+    return audit.minimum_examples(inputs.audit_rows(spark, sf_dir), 5000)
+
+
+@_query("SELECT o_orderkey::VARCHAR AS template_id, count(*) AS n, count(DISTINCT l_linestatus) AS answers FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT l_linestatus) = 1")
+def degenerate_templates(spark, sf_dir):
+    """Orders as templates, line status as the answer."""
+    rows = inputs.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("template_id"), F.col("l_linestatus").alias("answer"))
+    return audit.degenerate_templates(rows)
+
+
+@_query(f"WITH {_ROWS} SELECT question_id, count(DISTINCT split) AS splits FROM a GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def ids_across_splits(spark, sf_dir):
+    return audit.ids_across_splits(inputs.audit_rows(spark, sf_dir))
+
+
+@_query(f"WITH d AS (SELECT doc_id::VARCHAR AS question_id, {_SPLIT.format('doc_id')} AS split FROM documents) SELECT question_id, split, row_number() OVER (PARTITION BY split ORDER BY sha256('7' || chr(0) || split || chr(0) || question_id)) AS rank FROM d QUALIFY rank <= 50")
+def review_sample(spark, sf_dir):
+    return audit.review_sample(inputs.export_rows(spark, sf_dir), 50, 7).select("question_id", "split", "rank")
+
+
+_SEQ = "r AS (SELECT event_id AS image_id, ts, CASE event_type WHEN 'purchase' THEN 'cam-b' ELSE 'cam-a' END AS cam FROM events), g AS (SELECT *, sum(CASE WHEN lag IS NULL THEN 0 WHEN epoch_us(ts) - epoch_us(lag) > {0} * 1000000 OR cam <> was THEN 1 ELSE 0 END) OVER (ORDER BY ts, image_id) AS group_no FROM (SELECT *, lag(ts) OVER o AS lag, lag(cam) OVER o AS was FROM r WINDOW o AS (ORDER BY ts, image_id)))"
+
+
+@_query(f"WITH {_SEQ.format(300)} SELECT image_id, group_no, 'seq-' || lpad(group_no::VARCHAR, greatest(5, length(group_no::VARCHAR))::INT, '0') AS group_id FROM g")
+def capture_sequences(spark, sf_dir):
+    return sequences.group_sequences(inputs.image_records(spark, sf_dir), 300).select("image_id", "group_no", "group_id")
+
+
+@_query(f"WITH {_SEQ.format(300)} SELECT 'seq-' || lpad(group_no::VARCHAR, greatest(5, length(group_no::VARCHAR))::INT, '0') AS group_id, min(cam) AS camera_model, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS image_count, string_agg(image_id::VARCHAR, ',' ORDER BY ts, image_id) AS members FROM g GROUP BY group_no")
+def sequence_table(spark, sf_dir):
+    t = sequences.sequence_table(sequences.group_sequences(inputs.image_records(spark, sf_dir), 300))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return t.select("group_id", "camera_model", us("start_time").alias("start_us"), us("end_time").alias("end_us"), "image_count", F.array_join(F.transform("image_ids", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@_query("SELECT * FROM (" + " UNION ALL ".join(f"(WITH {_SEQ.format(g)}, s AS (SELECT group_no, count(*) AS n FROM g GROUP BY 1) SELECT {g}.0::DOUBLE AS gap_seconds, count(*) AS groups, count(*) FILTER (n = 1) AS singletons, max(n) AS largest, round(avg(n), 8) AS mean_size FROM s)" for g in (60, 300, 900)) + ")")
+def gap_sensitivity(spark, sf_dir):
+    return sequences.gap_summary(inputs.image_records(spark, sf_dir), [60, 300, 900]).select("gap_seconds", "groups", "singletons", "largest", *_r("mean_size"))
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = sequences.group_sequences(inputs.image_records(spark, sf_dir), 900)
+    counts = masks.measure(inputs.mask_table(spark, sf_dir)).select("image_id", "counts")
+    images = grouped.join(counts, "image_id", "left")
+    return images.join(splits.assign_groups(images, counts="counts"), "group_id")
+
+
+@_query()
+def split_assignment(spark, sf_dir):
+    return _assigned(spark, sf_dir).select("image_id", "group_id", "split")
+
+
+@_query()
+def split_counts(spark, sf_dir):
+    return splits.split_counts(_assigned(spark, sf_dir))
+
+
+@_query(f"WITH d AS (SELECT source, {_SPLIT.format('doc_id')} AS split, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT source, sum(n) AS s, sum(n * n) AS q FROM d GROUP BY 1) SELECT sum((s * s - q) // 2) AS pairs FROM s")
+def cross_split_pairs(spark, sf_dir):
+    return splits.cross_split_pairs(inputs.export_rows(spark, sf_dir))
+
+
+@_query(f"WITH d AS (SELECT doc_id::VARCHAR AS id, source, sha256(text) AS h, {_SPLIT.format('doc_id')} AS split FROM documents), k AS (SELECT split, unnest(['question_id', 'image_id', 'mask_sha256', 'group_id']) AS key, unnest([id, id, h, source]) AS value FROM d) SELECT 'shared' AS \"check\", key, value FROM k WHERE value IS NOT NULL AND trim(value) <> '' GROUP BY ALL HAVING count(DISTINCT split) > 1")
+def leak_audit(spark, sf_dir):
+    return splits.leaks(inputs.export_rows(spark, sf_dir))
+
+
+def _traces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = inputs.evidence(spark, sf_dir)
+    q = inputs.question_table(spark, sf_dir).withColumn("class_name", questions.decoded(F.col("evidence"))["class_name"])
+    return q, traces.run_programs(q, traces.mask_tools(e)), e
+
+
+_VARIANTS = ", ".join(f"('{f}', '{v}', {sum(10 if c.endswith('*') else 1 for c in calls)})" for f, vs in traces.PROGRAMS.items() for v, calls in vs.items())
+_TRACES = _QUESTIONS + f", variants(question_type, program_variant, calls) AS (VALUES {_VARIANTS}), t AS (SELECT question_id, question_type, program_variant, answer, 'trace-' || substr(sha256(question_id || program_variant), 1, 20) AS trace_id, CASE WHEN question_type = 'damage_state' AND program_variant = 'direct' AND area['building_flooded'] > 0 THEN 1 ELSE calls END AS k FROM questions JOIN variants USING (question_type))"
+
+
+@_query(_TRACES + " SELECT trace_id, question_id, program_variant, answer AS final_answer, k + 1 AS n_steps, round(1 / (1 + 0.05::DOUBLE * (k - 1)), 8) AS generator_score FROM t")
+def evidence_programs(spark, sf_dir):
+    _, t, _ = _traces(spark, sf_dir)
+    return t.select("trace_id", "question_id", "program_variant", "final_answer", F.size("steps").alias("n_steps"), *_r("generator_score"))
+
+
+@_query(_TRACES + " SELECT trace_id, 'latency does not add up' AS rule FROM t WHERE program_variant = 'direct'")
+def trace_violations(spark, sf_dir):
+    """Traces with a planted fault: the direct ones state another latency."""
+    _, t, _ = _traces(spark, sf_dir)
+    return traces.violations(t.withColumn("total_latency_ms", F.when(F.col("program_variant") == "direct", 5.0).otherwise(F.col("total_latency_ms"))))
+
+
+@_query(_TRACES + " SELECT question_id, arg_max(trace_id, (1 / (1 + 0.05::DOUBLE * (k - 1)), trace_id)) AS trace_id, answer AS final_answer FROM t GROUP BY question_id, answer")
+def best_traces(spark, sf_dir):
+    return traces.best_trace(_traces(spark, sf_dir)[1]).select("question_id", "trace_id", "final_answer")
+
+
+@_query(_TRACES + " SELECT DISTINCT question_id, answer AS trace_answer, 1.0::DOUBLE AS support FROM t")
+def soft_answers(spark, sf_dir):
+    t = traces.soft_answers(_traces(spark, sf_dir)[1])
+    return t.select("question_id", "trace_answer", F.round(F.element_at("soft_answer", F.col("trace_answer")), 8).alias("support"))
+
+
+@_query(_QUESTIONS + " SELECT question_id, 'multi_trace_soft_answer' AS variant, answer FROM questions")
+def training_targets(spark, sf_dir):
+    q, t, _ = _traces(spark, sf_dir)
+    return traces.targets(q, t, "multi_trace_soft_answer").select("question_id", "variant", "answer")
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    q, t, e = _traces(spark, sf_dir)
+    images = e.select("image_id", F.concat(F.lit("img/"), F.col("image_id").cast("string")).alias("image_path"), F.sha2(F.to_json("area_pixels"), 256).alias("mask_sha256"), F.concat(F.lit("seq-"), (F.col("image_id") % 5).cast("string")).alias("group_id"), inputs.split_of(F.col("image_id")).alias("split"))
+    return prepare.assemble(q, images, prepare.verified_traces(q, t, e))
+
+
+@_query(_QUESTIONS + " SELECT question_id, image_id, split, answer AS gold_answer, answer AS trace_answer, 'img/' || image_id AS image_path FROM questions")
+def export_records(spark, sf_dir):
+    return _exported(spark, sf_dir)[0].select("question_id", "image_id", "split", "gold_answer", "trace_answer", "image_path")
+
+
+@_query(f"WITH {_ROWS} SELECT s.split, f.question_type, 'missing' AS problem FROM (SELECT unnest(['train', 'test']) AS split) s, (SELECT unnest({list(FAMILIES)}) AS question_type) f WHERE NOT EXISTS (FROM a WHERE a.split = s.split AND a.question_type = f.question_type)")
+def family_gaps(spark, sf_dir):
+    return prepare.family_gaps(inputs.audit_rows(spark, sf_dir))
+
+
+@_query("WITH d AS (SELECT doc_id::VARCHAR AS question_id, lang AS question_type FROM documents) SELECT question_id, question_type, row_number() OVER (PARTITION BY question_type ORDER BY sha256('11' || chr(0) || question_id)) - 1 AS position FROM d QUALIFY position < 20")
+def balanced_sample(spark, sf_dir):
+    return prepare.balanced_sample(inputs.export_rows(spark, sf_dir), 20, 11).select("question_id", "question_type", "position")
+
+
+@_query()
+def balanced_sample_exact(spark, sf_dir):
+    return prepare.balanced_sample(inputs.export_rows(spark, sf_dir), 20, 11, exact=True).select("question_id", "question_type", "position")
+
+
+_CELLS = _QUESTIONS + ", o AS (SELECT question_id, answer, row_number() OVER (ORDER BY sha256('5' || chr(0) || question_id)) - 1 AS position FROM questions)"
+
+
+@_query(_CELLS + " SELECT question_id, position, cell, cell[1:2] AS loss_support, cell[4:] AS target_source, answer AS target_answer FROM o, (SELECT unnest(['PC-Ans', 'PC-Trace', 'AA-Ans', 'AA-Trace']) AS cell)")
+def training_cells(spark, sf_dir):
+    return prepare.make_cells(_exported(spark, sf_dir)[0], 5).select("question_id", "position", "cell", "loss_support", "target_source", "target_answer")
+
+
+@_query("WITH o AS (SELECT doc_id::VARCHAR AS question_id, row_number() OVER (ORDER BY sha256('5' || chr(0) || doc_id)) - 1 AS position FROM documents), s AS (SELECT unnest(range(0, 3 * (SELECT count(*) FROM documents))) AS step) SELECT step, (step + 1) // 4 AS update, question_id FROM s JOIN o ON o.position = step % (SELECT count(*) FROM documents)")
+def micro_steps(spark, sf_dir):
+    """Three passes over the documents in a seeded order, four steps to an update."""
+    rows = inputs.export_rows(spark, sf_dir)
+    ordered = hash_rank(rows, sha("5", F.col("question_id")), "question_id")
+    n = rows.count()
+    steps = prepare.micro_steps(ordered, 3 * n // 4 + 1, 4).where(F.col("step") < 3 * n)
+    return steps.select("step", "update", "question_id")
+
+
+@_query("SELECT conv_id, turn, text || chr(10) || 'Choose one answer: yes, no' AS prompt, role AS answer FROM conversations")
+def chat_messages(spark, sf_dir):
+    rows = inputs.table(spark, sf_dir, "conversations").withColumn("m", training_rows.messages(F.col("text"), F.array(F.lit("yes"), F.lit("no")), F.col("role")))
+    return rows.select("conv_id", "turn", F.col("m")[0]["content"].alias("prompt"), F.col("m")[1]["content"].alias("answer"))
+
+
+@_query("SELECT p_partkey AS image_id, CASE WHEN w * h > 4096 THEN greatest(1, floor(w * sqrt(4096.0::DOUBLE / (w * h)))::INT) ELSE w END AS width, CASE WHEN w * h > 4096 THEN greatest(1, floor(h * sqrt(4096.0::DOUBLE / (w * h)))::INT) ELSE h END AS height FROM (SELECT p_partkey, (1 + p_partkey % 1000)::INT AS w, (1 + p_partkey % 37)::INT AS h FROM part)")
+def bounded_sizes(spark, sf_dir):
+    rows = inputs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), (1 + F.col("p_partkey") % 1000).cast("int").alias("w"), (1 + F.col("p_partkey") % 37).cast("int").alias("h"))
+    return rows.select("image_id", training_rows.bounded_size(F.col("w"), F.col("h"), 4096).alias("s")).select("image_id", "s.*")
+
+
+@_query("WITH t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) AS ids FROM documents), l AS (SELECT doc_id, len(ids) AS n, ids[1:3] AS p, ids FROM t) SELECT doc_id, CASE WHEN n <= 3 THEN 'answer span' WHEN len(list_filter(ids[4:], lambda x: x <> 0)) = 0 THEN 'nothing to learn' END AS error, len(list_filter(ids[4:], lambda x: x <> 0)) AS learned FROM l")
+def loss_masks(spark, sf_dir):
+    """Word lengths as tokens, the first three as the prompt, 0 as padding, answer-only support."""
+    rows = inputs.table(spark, sf_dir, "documents").withColumn("ids", F.transform(F.split("text", " "), lambda w: F.length(w)))
+    labels, error = training_rows.loss_labels(F.col("ids"), F.slice("ids", 1, 3), 0, F.lit("AA"), F.lit(None).cast("int"))
+    return rows.select("doc_id", error.alias("error"), F.size(F.filter(labels, lambda x: x != training_rows.IGNORED)).alias("learned"))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN event_type ELSE '__unmatched__' END AS prediction FROM events")
+def normalized_predictions(spark, sf_dir):
+    events = inputs.table(spark, sf_dir, "events")
+    space = F.array(*[F.lit(x) for x in ("click", "view", "purchase", "signup", "logout", "login", "scroll", "error", "add_to_cart", "search")])
+    types = F.array_union(space, F.array("event_type"))
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Some thought.\nAnswer: "), F.upper("event_type"), F.lit("."))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("It must be ("), F.col("event_type"), F.lit("), I think"))).otherwise("none of these fits")
+    return events.select("event_id", predictions.normalize_prediction(text, types).alias("prediction"))
+
+
+@_query("WITH s AS (SELECT l_orderkey, l_linenumber::VARCHAR AS k, max(l_quantity) AS v FROM lineitem GROUP BY ALL), m AS (SELECT l_orderkey, max(v) AS top FROM s GROUP BY 1) SELECT l_orderkey, min(k) FILTER (v = top) AS prediction, round(1 / sum(exp(v - top)), 8) AS confidence FROM s JOIN m USING (l_orderkey) GROUP BY 1")
+def candidate_scores(spark, sf_dir):
+    """Line numbers of an order as candidates, quantities as their scores."""
+    rows = inputs.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("k")).agg(F.max("l_quantity").alias("v"))
+    rows = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", F.col("v").cast("double").alias("v")))).alias("e"))
+    s = predictions.from_scores(F.map_from_entries("e"), F.transform("e", lambda x: x["k"]))
+    return rows.select("l_orderkey", s.alias("s")).select("l_orderkey", "s.prediction", F.round("s.confidence", 8).alias("confidence"))
+
+
+_STATS = f"WITH {_AREAS}, d AS (SELECT image_id, sum(area) AS total, list_sort(list(area), 'DESC') AS a, -sum(CASE WHEN area > 0 THEN area / 64.0::DOUBLE * ln(area / 64.0::DOUBLE) ELSE 0 END) / ln(10) AS entropy, CASE WHEN image_id % 3 = 0 THEN 'no' ELSE 'yes' END AS said, image_id % 4 AS h FROM v GROUP BY image_id), s AS (SELECT *, (a[1] - a[2]) / total AS margin, CASE WHEN h = 0 THEN 0.6 ELSE 0.9 END AS top FROM d)"
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks as records of family dominant_class, with a support that image numbers decide."""
+    top = F.when(F.col("image_id") % 4 == 0, 0.6).otherwise(0.9)
+    rows = inputs.evidence(spark, sf_dir).select("image_id", F.lit("dominant_class").alias("question_type"), F.col("area_pixels").alias("areas"), F.create_map(F.lit("yes"), top, F.lit("no"), F.lit(1.0) - top).alias("support"), F.lit("yes").alias("answer"), F.when(F.col("image_id") % 3 == 0, "no").otherwise("yes").alias("AA-Ans"))
+    rows = rows.withColumns(diagnostics.evidence_statistics(F.col("question_type"), F.col("areas"), F.col("support"), F.col("answer")))
+    return rows.withColumn("trace_hurts", F.col("image_id") % 5 == 0).withColumn("trace_answer", F.lit("yes"))
+
+
+@_query(_STATS + " SELECT image_id, round(margin, 8) AS area_margin, round(entropy, 8) AS area_entropy, round(top, 8)::DOUBLE AS gold_support, round(2 * top - 1, 8)::DOUBLE AS support_margin FROM s")
+def evidence_statistics(spark, sf_dir):
+    return _statistics(spark, sf_dir).select("image_id", *_r("area_margin", "area_entropy", "gold_support", "support_margin"))
+
+
+@_query(_STATS + " SELECT said = 'yes' AS correct, count(*) AS cases, round(median(margin), 8) AS median_margin, round(avg(entropy), 8) AS mean_entropy, count(*) FILTER (margin < 0.1) AS narrow FROM s GROUP BY 1")
+def dominant_analysis(spark, sf_dir):
+    return diagnostics.dominant_analysis(_statistics(spark, sf_dir)).select("correct", "cases", *_r("median_margin", "mean_entropy"), "narrow")
+
+
+@_query(_STATS + " SELECT count(*) AS regressions, count(*) AS area_related, count(*) FILTER (margin < 0.1) AS narrow_area, count(*) FILTER (h = 0) AS narrow_support, 0 AS mismatches FROM s WHERE image_id % 5 = 0")
+def regression_analysis(spark, sf_dir):
+    return diagnostics.regression_analysis(_statistics(spark, sf_dir))
+
+
+@_query(_STATS + " SELECT count(*) AS examples, count(*) AS top1_is_gold, round(median(top), 8)::DOUBLE AS median_gold_support, count(*) FILTER (h = 0) AS narrow, 0 AS mismatches FROM s")
+def trace_support(spark, sf_dir):
+    return reports.trace_support(_statistics(spark, sf_dir)).select("examples", "top1_is_gold", *_r("median_gold_support"), "narrow", "mismatches")
+
+
+@_query(f"WITH d AS (SELECT doc_id::VARCHAR AS id, lang, sha256(text) AS h, {_SPLIT.format('doc_id')} AS split FROM documents), t AS (FROM d WHERE split = 'test') SELECT unnest(['images', 'test_questions', 'test_families', 'least_per_family', 'shared_images', 'shared_masks']) AS metric, unnest([(SELECT count(*) FROM d), (SELECT count(*) FROM t), (SELECT count(DISTINCT lang) FROM t), (SELECT min(n) FROM (SELECT count(*) AS n FROM t GROUP BY lang)), 0, (SELECT count(DISTINCT h) FROM t WHERE h IN (SELECT h FROM d WHERE split = 'train'))]) AS value")
+def dataset_statistics(spark, sf_dir):
+    rows = inputs.export_rows(spark, sf_dir)
+    return reports.dataset_statistics(rows, rows)

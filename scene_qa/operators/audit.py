@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scene_qa.functions.binding import let
 from scene_qa.functions.hashing import sha
 from scene_qa.operators.questions import decoded, recompute_answer
 from scene_qa.schemas import FAMILIES, SPLITS
@@ -52,7 +53,7 @@ def ids_across_splits(questions: DataFrame, first: int | None = None) -> DataFra
 
 def evidence_violations(questions: DataFrame) -> DataFrame:
     """(question_id, problem): evidence that is empty, no JSON object, or leads to another answer."""
-    e = decoded(F.col("evidence"))
+    questions, e = let(questions.select("question_id", "question_type", "answer", "evidence"), _e=decoded(F.col("evidence"))), F.col("_e")
     bare = F.trim(F.coalesce("evidence", F.lit("")))
     problem = F.when(bare.isin("", "{}"), "empty").when(~bare.startswith("{") | F.get_json_object("evidence", "$").isNull(), "not an object").when(~recompute_answer(F.col("question_type"), e).eqNullSafe(F.col("answer")), "answer differs")
     return questions.select("question_id", problem.alias("problem")).where("problem is not null")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scene_qa.functions.binding import let
 from scene_qa.functions.hashing import question_id, stable_pick
 from scene_qa.schemas import CLASSES, FAMILIES, SPACES, SPLITS, TEMPLATES_PER_FAMILY, WORDING
 
@@ -38,7 +39,7 @@ def generate(evidence: DataFrame, seed: int = 20260615, split: str = "split") ->
     rows = evidence.withColumn("_split", known).withColumn("question_type", F.explode(F.array(*map(F.lit, FAMILIES))))
     family = F.col("question_type")
     picked = F.element_at(F.array(*map(F.lit, CLASSES[1:])), stable_pick(seed, image, "presence", "class", len(CLASSES) - 1) + 1)
-    rows = rows.withColumn("_class", F.when(family == "presence", picked)).withColumn("_n", stable_pick(seed, image, family, "template", TEMPLATES_PER_FAMILY) + 1)
+    rows = let(rows, _class=F.when(family == "presence", picked), _n=stable_pick(seed, image, family, "template", TEMPLATES_PER_FAMILY) + 1)
     at = lambda m, key: F.element_at(F.col(m), key)
     road, dry, touch = F.lit("road_flooded"), F.lit("road_non_flooded"), at("adjacency", F.lit("road_flooded__water"))
     fields = {
@@ -50,7 +51,8 @@ def generate(evidence: DataFrame, seed: int = 20260615, split: str = "split") ->
         "logical_conjunction": [at("presence", road).alias("road_flooded_present"), touch.alias("road_flooded_water_adjacent"), F.col("adjacency_radius")],
     }
     plain = {k: F.from_json(F.to_json(F.struct(*v)), EVIDENCE) for k, v in fields.items()}
-    rows = rows.withColumn("_e", _by_family(family, plain)).withColumn("answer", recompute_answer(family, F.col("_e")))
+    rows = let(rows, _e=_by_family(family, plain))
+    rows = let(rows, answer=recompute_answer(family, F.col("_e")))
     keys = {k: sorted([*_names(k), "expected_answer"]) for k in fields}
     as_json = {k: F.to_json(F.struct(*[F.col("answer").alias("expected_answer") if n == "expected_answer" else F.col("_e")[n].alias(n) for n in names])) for k, names in keys.items()}
     wording = {k: F.element_at(F.array(*map(F.lit, WORDING[k])), F.col("_n")) for k in FAMILIES}

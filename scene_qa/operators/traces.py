@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scene_qa.functions.binding import let
 from scene_qa.functions.hashing import full_modulo, trace_id
 from scene_qa.schemas import CLASSES, PAIRS, SPACES
 
@@ -57,12 +58,11 @@ def _has(steps: Column, tool: str, arg: Column | str) -> Column:
     return F.exists(steps, lambda s: (s["tool"] == tool) & s["arg1"].eqNullSafe(arg) & s["failure"].isNull())
 
 
-def _mark(steps: Column, bad: Column, tool: str, arg: Column | str | None, text: str) -> Column:
-    """The steps, and where `bad` holds the last step of a tool (and class) with a failure."""
+def _last(steps: Column, tool: str, arg: Column | str | None) -> Column:
+    """The place of the last step of a tool (and class)."""
     arg = F.lit(arg) if isinstance(arg, str) else arg
     fits = lambda s: (s["tool"] == tool) & (F.lit(True) if arg is None else s["arg1"].eqNullSafe(arg))
-    last = F.array_max(F.filter(F.transform(steps, lambda s, i: F.when(fits(s), i)), lambda i: i.isNotNull()))
-    return F.when(bad, F.transform(steps, lambda s, i: F.when(i == last, s.withField("failure", F.lit(text))).otherwise(s))).otherwise(steps)
+    return F.array_max(F.transform(steps, lambda s, i: F.when(fits(s), i)))
 
 
 def run_programs(questions: DataFrame, tool_results: DataFrame) -> DataFrame:
@@ -78,16 +78,15 @@ def run_programs(questions: DataFrame, tool_results: DataFrame) -> DataFrame:
     kind = F.when(F.col("tool").isin("presence", "adjacency"), "bool").when(F.col("tool") == "area_pixels", "int").otherwise("class_name")
     step = F.struct("step_no", "tool", "arg1", "arg2", kind.alias("output_type"), "output", "confidence", "evidence_ids", "latency_ms", "failure")
     runs = met.groupBy("question_id", "question_type", "variant").agg(F.first("answer_space").alias("answer_space"), F.first("class_name").alias("c"), F.array_sort(F.collect_list(step)).alias("s"))
-    runs = runs.withColumn("steps", F.transform("s", lambda s: s.dropFields("step_no")).cast(f"array<{STEP}>")).drop("s")
-    family, variant, steps, c = F.col("question_type"), F.col("variant"), F.col("steps"), F.col("c")
+    runs = let(runs, steps=F.transform("s", lambda s: s.dropFields("step_no")).cast(f"array<{STEP}>")).drop("s")
+    family, variant, c = F.col("question_type"), F.col("variant"), F.col("c")
     rf, rn, bf, water = "road_flooded", "road_non_flooded", "building_flooded", "water"
     # the direct damage program stops once it has seen a flooded building
-    stop = (family == "damage_state") & (variant == "direct") & _value(steps, "presence", bf, True)
-    runs = runs.withColumn("steps", F.when(stop, F.slice("steps", 1, 1)).otherwise(F.col("steps")))
+    stop = (family == "damage_state") & (variant == "direct") & _value(F.col("steps"), "presence", bf, True)
+    runs = let(runs, raw=F.when(stop, F.slice("steps", 1, 1)).otherwise(F.col("steps"))).drop("steps")
     present, area = lambda k: _value(F.col("raw"), "presence", k, True), lambda k: _value(F.col("raw"), "area_pixels", k, False)
     touch = _value(F.col("raw"), "adjacency", None, True)
     yes = lambda x: F.when(x, "yes").otherwise("no")
-    runs = runs.withColumn("raw", F.col("steps"))
     sound = _has(F.col("raw"), "area_pixels", rf) & _has(F.col("raw"), "area_pixels", rn)
     areas = F.array(*[area(k) for k in CLASSES])
     scanned = F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position(areas, F.array_max(areas)).cast("int"))
@@ -100,17 +99,23 @@ def run_programs(questions: DataFrame, tool_results: DataFrame) -> DataFrame:
         .when(family == "dominant_class", F.when(variant == "direct", first_output).otherwise(scanned))
         .otherwise(F.when(variant == "direct", yes((area(rf) > 0) & touch)).otherwise(yes(present(rf) & touch)))
     )
-    runs = runs.withColumn("answer0", answer)
-    marks = [("presence", "verified", c, "presence/area contradiction")] + [("area_comparison", "ratio_route", k, "inconsistent evidence") for k in (rf, rn)]
-    for name, which, k, text in marks:
-        odd = (family == name) & (variant == which) & _has(F.col("raw"), "presence", k) & _has(F.col("raw"), "area_pixels", k) & (present(k) != (area(k) > 0))
-        runs = runs.withColumn("steps", _mark(F.col("steps"), odd, "area_pixels", k, text))
+    last = lambda tool, arg: _last(F.col("raw"), tool, arg)
+    clashes = lambda k: _has(F.col("raw"), "presence", k) & _has(F.col("raw"), "area_pixels", k) & (present(k) != (area(k) > 0))
     seen = _has(F.col("raw"), "presence", rf) & _has(F.col("raw"), "presence", water) & F.exists("raw", lambda s: (s["tool"] == "adjacency") & s["failure"].isNull())
-    odd = (family == "spatial_adjacency") & (variant != "direct") & seen & touch & ~(present(rf) & present(water))
-    runs = runs.withColumn("steps", _mark(F.col("steps"), odd, "adjacency", None, "adjacency/presence contradiction"))
-    clash = [F.when(_has(F.col("raw"), "presence", k) & _has(F.col("raw"), "area_pixels", k) & (present(k) != (area(k) > 0)), F.lit(k)) for k in CLASSES]
-    first = F.coalesce(*clash)  # only the first class that contradicts itself
-    runs = runs.withColumn("steps", _mark(F.col("steps"), (family == "dominant_class") & (variant == "presence_area_scan") & first.isNotNull(), "area_pixels", first, "presence/area contradiction"))
+    first = F.coalesce(*[F.when(clashes(k), F.lit(k)) for k in CLASSES])  # only the first class that contradicts itself
+    marks = F.array(
+        F.struct(F.when((family == "presence") & (variant == "verified") & clashes(c), last("area_pixels", c)).alias("at"), F.lit("presence/area contradiction").alias("text")),
+        *[F.struct(F.when((family == "area_comparison") & (variant == "ratio_route") & clashes(k), last("area_pixels", k)).alias("at"), F.lit("inconsistent evidence").alias("text")) for k in (rf, rn)],
+        F.struct(F.when((family == "spatial_adjacency") & (variant != "direct") & seen & touch & ~(present(rf) & present(water)), last("adjacency", None)).alias("at"), F.lit("adjacency/presence contradiction").alias("text")),
+        F.struct(F.when((family == "dominant_class") & (variant == "presence_area_scan"), last("area_pixels", first)).alias("at"), F.lit("presence/area contradiction").alias("text")),
+    )
+    runs = let(runs, answer0=answer, marks=F.filter(marks, lambda m: m["at"].isNotNull()))
+
+    def marked(s: Column, i: Column) -> Column:
+        text = F.get(F.filter("marks", lambda m: m["at"] == i), F.lit(0))["text"]
+        return s.withField("failure", F.coalesce(text, s["failure"]))
+
+    runs = let(runs, steps=F.transform("raw", marked)).drop("raw", "marks")
     return finish(runs)
 
 
@@ -127,9 +132,9 @@ def finish(runs: DataFrame) -> DataFrame:
     failure = F.element_at(F.concat(F.transform(F.filter("steps", lambda s: s["failure"].isNotNull()), lambda s: s["failure"]), F.array(F.lit(None).cast("string"))), 1)
     mean = F.when(n > 0, F.aggregate("steps", F.lit(0.0), lambda a, s: a + s["confidence"]) / n).otherwise(1.0)
     hashed = F.sha2(F.concat("question_id", "variant", F.lit("failure")).cast("binary"), 256)
-    runs = runs.withColumn("failure", failure).withColumn("mean", mean)
-    runs = runs.withColumn("final_answer", F.when(F.col("failure").isNull(), F.col("answer0")).otherwise(F.element_at("answer_space", full_modulo(hashed, F.size("answer_space")) + 1)))
-    runs = runs.withColumn("answer_distribution", answer_distribution(F.col("answer_space"), F.col("final_answer"), F.col("mean"), F.col("failure").isNotNull()))
+    runs = let(runs, failure=failure, mean=mean)
+    runs = let(runs, final_answer=F.when(F.col("failure").isNull(), F.col("answer0")).otherwise(F.element_at("answer_space", full_modulo(hashed, F.size("answer_space")) + 1)))
+    runs = let(runs, answer_distribution=answer_distribution(F.col("answer_space"), F.col("final_answer"), F.col("mean"), F.col("failure").isNotNull()))
     good = F.size(F.filter("steps", lambda s: s["failure"].isNull()))
     score = F.when(n > 0, good / n * F.col("mean") * (1.0 / (1.0 + 0.05 * (n - 1)))).otherwise(0.0)
     last = F.struct(F.lit("answer").alias("tool"), F.lit(None).cast("string").alias("arg1"), F.lit(None).cast("string").alias("arg2"), F.lit("answer").alias("output_type"), F.col("final_answer").alias("output"), F.element_at("answer_distribution", F.col("final_answer")).alias("confidence"), F.array_distinct(F.flatten(F.transform("steps", lambda s: s["evidence_ids"]))).alias("evidence_ids"), F.lit(0.0).alias("latency_ms"), F.col("failure"))
