@@ -15,7 +15,8 @@ from scene_qa.llm.common import utf8
 #: Subtracted from the least score of the vocabulary for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
-_CACHED = 150_000
+#: Words kept, twice at most: those met of late and those before them.
+_CACHED = 250_000
 
 
 def zipf_vocabulary(model_path: str) -> list[tuple[str, float]]:
@@ -27,6 +28,26 @@ def zipf_vocabulary(model_path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), -math.log((i + 1) * math.log(n))) for i in range(n) if not (model.is_control(i) or model.is_unknown(i))]
 
 
+class _Known(dict):
+    """Words counted before. When it is full it becomes the older half, in which words are still looked up, so that
+    common words stay."""
+
+    def __init__(self, count) -> None:
+        super().__init__()
+        self.count, self.older = count, {}
+
+    def __missing__(self, word: bytes) -> tuple[float, int]:
+        found = self.older.get(word)
+        if found is None:
+            found = self.count(SPACE + word.decode("utf-8", "replace").replace(" ", SPACE))
+        if len(word) <= 48:
+            if len(self) >= _CACHED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Counter:
     """Best score and piece count of a word. An Aho-Corasick automaton lists the pieces that end at each character,
     longest first; a candidate replaces the best so far only if its score is greater, so of equal ways to a
@@ -37,45 +58,44 @@ class Counter:
         scores = dict(vocabulary)
         self.bytes = all(f"<0x{b:02X}>" in scores for b in range(256))
         self.unknown = min(scores.values()) - UNKNOWN_PENALTY
+        self.single = {piece for piece in scores if len(piece) == 1}
         self.automaton = ahocorasick.Automaton()
         for piece, score in scores.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.known: dict[bytes, tuple[float, int]] = {}
+        self.known = _Known(self.word)
 
     def word(self, text: str) -> tuple[float, int]:
+        # score and pieces up to each character; the start stands last, at -1
         n = len(text)
-        best, count, open_ = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        best, count = [-math.inf] * n + [0.0], [0] * (n + 1)
+        if self.single.issuperset(text):
+            for end, (size, s) in self.automaton.iter(text):
+                score = best[end - size] + s
+                if score > best[end]:
+                    best[end], count[end] = score, count[end - size] + 1
+            return best[n - 1], count[n - 1]
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         for end, piece in self.automaton.iter(text):
             ends[end].append(piece)
+        unknown = -2  # the last unknown character
         for end in range(n):
-            score, pieces, unknown, single = -math.inf, 0, False, False
             for size, s in ends[end]:
-                start = end + 1 - size
-                single = single or size == 1
-                if best[start] + s > score:
-                    score, pieces = best[start] + s, count[start] + 1
-            if not single and best[end] + self.unknown > score:
-                score = best[end] + self.unknown
-                unknown = True
-                pieces = count[end] + (len(text[end].encode("utf-8", "replace")) if self.bytes else not open_[end])
-            best[end + 1], count[end + 1], open_[end + 1] = score, int(pieces), unknown
-        return best[n], count[n]
+                score = best[end - size] + s
+                if score > best[end]:
+                    best[end], count[end] = score, count[end - size] + 1
+            if text[end] not in self.single and best[end - 1] + self.unknown > best[end]:
+                best[end] = best[end - 1] + self.unknown
+                count[end] = count[end - 1] + (len(text[end].encode("utf-8", "replace")) if self.bytes else unknown != end - 1)
+                unknown = end
+        return best[n - 1], count[n - 1]
 
     def text(self, data: bytes) -> tuple[int, float]:
         """Pieces and score of a whole text: ASCII white space parts words, each led by the space mark."""
-        known, pieces, score = self.known, 0, 0.0
-        for word in data.split():
-            found = known.get(word)
-            if found is None:
-                found = self.word(SPACE + word.decode("utf-8", "replace").replace(" ", SPACE))
-                if len(word) <= 48:
-                    if len(known) >= _CACHED:
-                        known.clear()
-                    known[word] = found
-            score += found[0]
-            pieces += found[1]
+        pieces, score = 0, 0.0
+        for s, n in map(self.known.__getitem__, data.split()):
+            score += s
+            pieces += n
         return pieces, score
 
 
