@@ -10,7 +10,7 @@ spanning forest, not all its pairs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scene_qa.llm.common import materialise, pack, utf8
+from scene_qa.llm.common import materialise, utf8
 from scene_qa.llm.components import connected_components
 
 FANOUT = 8
@@ -27,24 +27,34 @@ BLOCK_ROWS = 100_000
 HOT_ROWS = 200_000
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Majority of the XXH64 bits (seed 42) of the word shingles, A-Z lower-cased; no words: 0."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, A-Z lower-cased, repeats included; fewer words are one shingle."""
     tokens = text.lower().split()  # of bytes: only A-Z change, only \x20 and \x09-\x0d part words
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(tokens), len(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, n) + 1
     ends = np.cumsum(sizes) - 1
     starts = ends - sizes + 1
     m = max(1, n - words + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[s:e], 42) for s, e in zip(starts[:m].tolist(), ends[n - m :].tolist(), strict=True)], np.uint64, m)
+    return np.fromiter([digest(joined[s:e], 42) for s, e in zip(starts[:m].tolist(), ends[n - m :].tolist(), strict=True)], np.uint64, m)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; of none: 0."""
+    m = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, m, 8192):
         ones += np.unpackbits(hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > m).tobytes(), "big")
 
 
+def fingerprint(text: bytes, words: int) -> int:
+    """Majority of the XXH64 bits of the word shingles of a text."""
+    return majority(shingle_hashes(text, words))
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -99,11 +109,14 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def near_classes(bucket: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
+def near_classes(bucket: np.ndarray, fp: np.ndarray, radius: int, labels: np.ndarray | None = None, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, work_held: int = 2_000_000) -> np.ndarray:
     """For rows in order of (bucket, Gray rank): the least row of the class that each row is linked to by steps
-    of at most radius differing bits inside its bucket."""
+    of at most radius differing bits inside its bucket.
+
+    labels: the same for classes known before. same(a, b): which of the pairs of rows a link within the radius
+    really joins; asked only of rows of different classes, for about work_held pairs at a time at most."""
     n = len(fp)
-    labels = np.arange(n)
+    labels = np.arange(n) if labels is None else labels.copy()
     if n < 2:
         return labels
     levels, root = _levels(bucket, fp)
@@ -112,7 +125,7 @@ def near_classes(bucket: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     queries = np.flatnonzero(sizes > 1)
     at = 0
     while at < len(queries):
-        stop = max(at + 1, int(np.searchsorted(work[queries], work[queries[at]] + 2_000_000)))
+        stop = max(at + 1, int(np.searchsorted(work[queries], work[queries[at]] + work_held)))
         now, at = queries[at:stop], stop
         q = node = acc = np.empty(0, np.int64)
         fixed = np.empty(0, np.uint64)
@@ -135,8 +148,12 @@ def near_classes(bucket: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
                 first, width = level["child"][node], (level["child_end"] - level["child"])[node]
                 q, acc, fixed = np.repeat(q, width), np.repeat(acc, width), np.repeat(fixed, width)
                 node = np.repeat(first - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
-        apart = q != node
-        labels = _join(labels, q[apart], node[apart])
+        apart = labels[q] != labels[node]
+        q, node = q[apart], node[apart]
+        if same is not None and len(q):
+            joined = same(q, node)
+            q, node = q[joined], node[joined]
+        labels = _join(labels, q, node)
     return labels
 
 
@@ -164,6 +181,27 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def with_cells(keyed: DataFrame, hot: DataFrame, by: str) -> DataFrame:
+    """keyed and a column cell. A key of the few in hot(key, k) has its rows dealt into k parts by the column `by`, and
+    a cell for each pair of parts, so that every pair of its rows meets in a cell; another key is one cell."""
+    zero = F.lit(0).cast("long")
+    if not hot.head(1):
+        return keyed.withColumn("cell", zero)
+    dealt = keyed.join(F.broadcast(hot), "key", "left").withColumn("part", F.pmod(F.xxhash64(by), F.col("k")))
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("k").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.col("k") - 1))))
+    cell = F.when(F.col("k").isNull(), zero).otherwise(F.least("part", "other") * F.col("k") + F.greatest("part", "other"))
+    return dealt.withColumn("cell", cell).drop("k", "part", "other")
+
+
+def in_gray_order(keyed: DataFrame) -> DataFrame:
+    """Rows of one key and cell in one task, in order of the Gray rank of fp."""
+    gray = F.col("fp")
+    for shift in (1, 2, 4, 8, 16, 32):
+        keyed = keyed.withColumn("gray", gray)
+        gray = F.col("gray").bitwiseXOR(F.shiftrightunsigned("gray", shift))
+    return keyed.withColumn("gray", gray).repartition("key", "cell").sortWithinPartitions("key", "cell", F.shiftrightunsigned("gray", 32), F.col("gray").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
     """fps(fp long, distinct) -> (a, b): a spanning forest of the links at radius or fewer differing bits, found
     bucket by bucket. A bucket over hot_rows rows is cut into k parts and searched as the k (k + 1) / 2 pairs
@@ -174,19 +212,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, hot_rows: int = HOT_ROWS)
     # at most hot_rows-th part of the rows, and never more than the block values there are
     hot = keyed.groupBy("key").count().where(F.col("count") > hot_rows).select("key", F.ceil(F.col("count") / hot_rows).cast("long").alias("k"))
     hot = materialise(hot)
-    if hot.head(1):
-        part = F.pmod(F.xxhash64("fp"), F.col("k"))
-        other = F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).alias("other")
-        keyed = keyed.join(F.broadcast(hot), "key", "left").select("fp", "key", "k", part.alias("part"), other)
-        cell = F.when(F.col("k").isNull(), F.lit(0).cast("long")).otherwise(F.least("part", "other") * F.col("k") + F.greatest("part", "other"))
-        keyed = keyed.select("fp", "key", cell.alias("cell"))
-    else:
-        keyed = keyed.select("fp", "key", F.lit(0).cast("long").alias("cell"))
-    gray = F.col("fp")
-    for shift in (1, 2, 4, 8, 16, 32):
-        keyed = keyed.withColumn("gray", gray)
-        gray = F.col("gray").bitwiseXOR(F.shiftrightunsigned("gray", shift))
-    keyed = keyed.withColumn("gray", gray).repartition("key", "cell").sortWithinPartitions("key", "cell", F.shiftrightunsigned("gray", 32), F.col("gray").bitwiseAND(F.lit(0xFFFFFFFF)))
+    keyed = with_cells(keyed, hot, "fp")
+    keyed = in_gray_order(keyed)
     return keyed.select(F.xxhash64("key", "cell").alias("bucket"), "fp").mapInArrow(lambda it: _links(it, radius), "a long, b long")
 
 
@@ -204,18 +231,3 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     lowest = placed.where(F.col("least").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(lowest, "root", "left").select("fp", "component_id")
     return narrow.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, radius: int = 3) -> DataFrame:
-    """One row of docs, with all its columns, of each component of linked fingerprints: the row with the least doc_id
-    that is not null, then the least hash of its text. Nulls, short texts and repeated rows as in simhash_components."""
-    order = lambda key, data: F.struct(key.isNull().alias("none"), key.alias("key"), F.xxhash64(data).alias("h"))
-    narrow = docs.select(F.col(doc_id).alias("_key"), F.col(text).alias("_text"))
-    narrow = materialise(with_fingerprint(narrow, "_text", words).select(F.col("_fp").alias("fp"), order(F.col("_key"), F.col("_text")).alias("first")).groupBy("fp").agg(F.min("first").alias("first")))
-    roots = materialise(connected_components(fingerprint_links(narrow.select("fp"), radius)))
-    linked = narrow.join(roots, narrow["fp"] == roots["node"]).select("fp", "root", "first")
-    best = linked.groupBy("root").agg(F.min(F.struct("first", "fp"))["fp"].alias("best"))
-    gone = linked.join(best, "root").where("fp <> best").select("fp")
-    rows = with_fingerprint(pack(docs), f"_row.`{text}`", words)
-    winners = rows.groupBy("_fp").agg(F.min_by("_row", order(F.col(f"_row.`{doc_id}`"), F.col(f"_row.`{text}`"))).alias("_row"))
-    return winners.join(gone, winners["_fp"] == gone["fp"], "left_anti").select("_row.*")

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from scene_qa.llm import decontaminate, exact_dedup, hilbert, language, mixture, quotation, simhash, substring_dedup, token_count, url_filter
+from scene_qa.llm import decontaminate, exact_dedup, hilbert, language, mixture, near_copies, quotation, simhash, substring_dedup, token_count, url_filter
 
 WORDS = ["the", "flood", "road", "water", "près", "gross", "a", "b", "rain", "tree"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, _row string"
@@ -75,6 +75,50 @@ def test_links_of_hot_buckets_equal_the_plain_search(spark):
     assert plain == hot and plain
 
 
+def brute_near_classes(texts, words, similarity):
+    """Class (least index) of each text, by all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("hot_bytes", [32 << 20, 3000])
+def test_near_copies_against_brute_force(spark, hot_bytes, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for n in (0, 3, 12, 60, 60, 200, 900):
+        base = [word() for _ in range(n)]
+        for edits in (0, 0, 1, 1, 2, 3, 5, 9):
+            w = list(base)
+            for _ in range(min(edits, n)):
+                w[rng.randrange(n)] = word()
+            texts.append(" ".join(w))
+    base = [word() for _ in range(120)]
+    texts += [" ".join(base[:k] + [word()] + base[k:]) for k in range(0, 120, 3)]  # a dense group
+    texts += [None, "", " \n", texts[30].upper()]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(5, texts[5], "clash"), (5, texts[5], "clash"), (None, texts[50], "clash"), (None, word(), "clash")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, first string")
+    links = near_copies.near_copy_links
+    monkeypatch.setattr(near_copies, "near_copy_links", lambda nodes, similarity: links(nodes, similarity, hot_bytes=hot_bytes))
+    got = near_copies.one_of_each(df)
+    label = brute_near_classes([r[1] for r in rows], 5, 0.8)
+    want = set()
+    for c in set(label):
+        ids = [rows[i][0] for i in range(len(rows)) if label[i] == c]
+        want.add(min((i for i in ids if i is not None), default=None))
+    assert Counter(r.doc_id for r in got.collect()) == Counter(want) and got.columns == df.columns
+    assert near_copies.one_of_each(df.limit(0)).count() == 0
+
+
 def test_substrings_against_brute_force(docs):
     rows, w = fixture_rows(), 24
     texts = [(r[0], (r[1] or "").encode()) for r in rows]
