@@ -30,7 +30,7 @@ def test_mask_rows_against_brute_force():
 
 
 @pytest.mark.parametrize("bad", [(-0.01, 0.2), (0.3, 0.2), (0.05, 1.01)])
-def test_ratio_bounds(bad):
+def test_ratio_bounds(spark, bad):
     with pytest.raises(ValueError):
         masks.ratio_category(F.lit(0.1), *bad)
 
