@@ -23,7 +23,7 @@ def normalize_prediction(text: Column, space: Column) -> Column:
         bare = F.lower(F.trim(F.regexp_replace(region, r"^(?U)\s+|(?U)\s+$", ""), F.lit(STRIPPED)))
         exact = F.get(F.filter(ordered, lambda s: F.lower(s) == bare), F.lit(0))
         word = lambda s: F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), F.replace(F.lower(s), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![A-Za-z0-9_])"))
-        held = F.get(F.filter(ordered, lambda s: F.lower(region).rlike(word(s))), F.lit(0))
+        held = F.get(F.filter(ordered, lambda s: F.rlike(F.lower(region), word(s))), F.lit(0))
         return F.coalesce(exact, held)
 
     return F.coalesce(match(line), match(text), F.lit(UNMATCHED))
