@@ -76,10 +76,10 @@ def test_links_of_hot_buckets_equal_the_plain_search(spark):
 
 
 def brute_near_classes(texts, words, similarity):
-    """Class (least index) of each text, by all pairs."""
+    """Class (least index) of each text, by all pairs; A-Z lower-cased, as the operator states."""
     sets = []
     for t in texts:
-        w = (t or "").lower().split()
+        w = (t or "").encode().lower().split()  # of bytes: only A-Z change
         sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
     label = list(range(len(texts)))
     for i in range(len(texts)):
