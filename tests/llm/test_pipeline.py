@@ -7,6 +7,7 @@ import pytest
 from test_llm import brute_near_classes
 
 import corpus_pipeline
+from scene_qa.llm import near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, first string"
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -74,6 +75,19 @@ def test_near_dedup_stage_against_all_pairs(stages):
     assert Counter(r[0] for r in stages[2]) == want and not Counter(stages[2]) - Counter(rows)
 
 
+def test_near_copies_with_a_line_repeated(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for pair in range(6):
+        body, line = [rng.choice(words) for _ in range(90)], [rng.choice(words) for _ in range(12)]
+        rows += [(2 * pair, " ".join(body + line)), (2 * pair + 1, " ".join(body[:-1] + ["other"] + line * 200))]
+    label = brute_near_classes([r[1] for r in rows], 5, 0.8)
+    assert all(label[2 * k] == label[2 * k + 1] for k in range(6)) and len(set(label)) == 6
+    got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2, 4, 6, 8, 10]
+
+
 def test_decontamination_stage(stages):
     assert {10, 20} <= {r[0] for r in stages[2]}
     assert Counter(stages[3]) == Counter(r for r in stages[2] if r[0] not in (10, 20))
