@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scene_qa.llm.common import materialise
+from scene_qa.llm.common import materialise, small_join
 
 _MARK = re.compile(r"^(?:[ \t]{0,3}>)+ ?")
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: Of the polynomial that names a run of lines.
+_PRIME, _BASE = (1 << 127) - 1, int.from_bytes(hashlib.sha256(b"run of lines").digest()[:15], "big")
 
 
 def passages(text: str) -> list[tuple[int, str]]:
@@ -35,25 +37,54 @@ def digest(passage: str) -> bytes | None:
     return hashlib.sha256(normal).digest()[:16] if normal else None
 
 
-def parse(text: str) -> tuple[str, list[bytes], list[tuple[int, bytes]]]:
-    """The text without quoted lines, the digests of its own passages (of each line and of each run of lines),
-    and (level, digest) of the quoted ones, in order."""
+def line_digests(passage: str) -> list[bytes]:
+    """Of each line that isn't blank, in order."""
+    return [d for line in passage.split("\n") if (d := digest(line))]
+
+
+def runs(lines: list[bytes], length: int) -> list[bytes]:
+    """A digest of each run of so many lines, by prefixes of one polynomial: the cost doesn't grow with the length."""
+    prefix = [0]
+    for d in lines:
+        prefix.append((prefix[-1] * _BASE + int.from_bytes(d, "big")) % _PRIME)
+    shift = pow(_BASE, length, _PRIME)
+    return [((prefix[k + length] - prefix[k] * shift) % _PRIME).to_bytes(16, "big") for k in range(len(lines) - length + 1)]
+
+
+def parse(text: str) -> tuple[str, list[bytes], list[bytes], list[tuple[int, bytes, int, bytes]]]:
+    """The text without quoted lines, the digests of its own passages (of each line, of each run of lines between quotes or
+    empty lines, and of all), those of its own lines in order, and (level, digest, number of lines, digest as a run of lines,
+    empty for one line) of the quoted passages, in order."""
     parts = passages(text)
     own = [body for level, body in parts if not level]
     units = [*own, *(line for body in own for line in body.split("\n")), "\n".join(own)]
     mine = dict.fromkeys(d for u in units if (d := digest(u)))
-    quoted = [(level, d) for level, body in parts if level and (d := digest(body))]
-    return "\n".join(own).strip("\n") if any(level for level, _ in parts) else text, list(mine), quoted
+    quoted = []
+    for level, body in parts:
+        if level and (d := digest(body)):
+            lines = line_digests(body)
+            quoted.append((level, d, len(lines), runs(lines, len(lines))[0] if len(lines) > 1 else b""))
+    return "\n".join(own).strip("\n") if any(level for level, _ in parts) else text, list(mine), line_digests("\n".join(own)), quoted
 
 
-_PARSED = pa.struct([("body", pa.string()), ("own", pa.list_(pa.binary())), ("quoted", pa.list_(pa.struct([("level", pa.int32()), ("digest", pa.binary())])))])
+_QUOTED = pa.list_(pa.struct([("level", pa.int32()), ("digest", pa.binary()), ("n", pa.int32()), ("run", pa.binary())]))
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [parse(t) for t in batch.column(3).to_pylist()]
-        cols = [pa.array([f[i] for f in found], _PARSED.field(i).type) if i < 2 else pa.array([[{"level": a, "digest": b} for a, b in f[2]] for f in found], _PARSED.field(2).type) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], ["conv", "turn", "role", "body", "own", "quoted"])
+        cols = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary())))]
+        quoted = pa.array([[{"level": a, "digest": b, "n": n, "run": c} for a, b, n, c in f[3]] for f in found], _QUOTED)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols, quoted], ["conv", "turn", "role", "body", "own", "lines", "quoted"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ck, tk, lines, lengths) -> (ck, tk, digest) of the different runs of lines of these lengths."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            for length in row["lengths"]:
+                if mine := list(dict.fromkeys(runs(row["lines"], length))):
+                    yield pa.RecordBatch.from_arrays([pa.array([row["ck"]] * len(mine)), pa.array([row["tk"]] * len(mine), pa.int64()), pa.array(mine, pa.binary())], ["ck", "tk", "digest"])
 
 
 def _position(rows: DataFrame) -> DataFrame:
@@ -78,22 +109,28 @@ def reply_order(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     """One row per row of messages: conv_id, position, turn, role, text, reply_to, root, depth, n_quotes, n_linked.
 
     text is without quoted lines. A quoted passage links to its original: the first turn of the conversation with an
-    equal passage, a line or a run of lines, of its own. reply_to is the original, earlier than the message, of the
+    equal passage of its own, or in which the passage's lines stand in sequence; blank lines and quotes between them don't
+    part them. reply_to is the original, earlier than the message, of the
     quote with the lowest level, the first of those; null without one. Position counts from 0 by (root, turn): a thread
     stays together and a reply follows what it answers. Depth counts the replies up to the root.
 
     A null text is empty, a null turn comes first and links to nothing, null conv_ids are one conversation of their
     own; repeated rows each keep a row, and rows of one turn have one parent. An empty table gives no rows."""
     named = messages.select(F.col(conv_id).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = f"conv {dict(named.dtypes)['conv']}, turn long, role string, body string, own array<binary>, quoted array<struct<level:int,digest:binary>>"
+    schema = f"conv {dict(named.dtypes)['conv']}, turn long, role string, body string, own array<binary>, lines array<binary>, quoted array<struct<level:int,digest:binary,n:int,run:binary>>"
     parsed = materialise(named.mapInArrow(_parsed, schema))
     parsed = parsed.withColumn("ck", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit("-"))).withColumn("tk", F.coalesce("turn", F.lit(-(1 << 63)).cast("long"))).withColumn("h", F.xxhash64("role", "body"))
-    quotes = parsed.where("turn is not null").select("ck", "tk", F.posexplode("quoted").alias("at", "q")).select("ck", "tk", "at", "q.level", "q.digest").distinct()
-    wanted = quotes.select("ck", "digest").distinct()
-    own = parsed.where("turn is not null").select("ck", "tk", F.explode("own").alias("digest"))
-    originals = own.join(wanted, ["ck", "digest"], "left_semi").groupBy("ck", "digest").agg(F.min("tk").alias("original"))
-    linked = materialise(quotes.join(originals, ["ck", "digest"]).where("original < tk"))
-    links = linked.groupBy("ck", "tk").agg(F.min(F.struct("level", "at", "original"))["original"].alias("reply_to"), F.collect_set("digest").alias("hit"))  # of the quotes of one turn
+    quotes = parsed.where("turn is not null").select("ck", "tk", F.posexplode("quoted").alias("at", "q")).select("ck", "tk", "at", "q.*").distinct()
+    lengths = materialise(quotes.where("n > 1").groupBy("ck").agg(F.collect_set("n").alias("lengths")))
+    # a quote is looked up as a passage and as a run of lines
+    quotes = quotes.withColumn("key", F.explode(F.array("digest", "run"))).where(F.octet_length("key") > 0)
+    wanted = quotes.select("ck", "key").distinct()
+    own = parsed.where("turn is not null").select("ck", "tk", F.explode("own").alias("key"))
+    inside = small_join(parsed.where("turn is not null and size(lines) > 1").select("ck", "tk", "lines"), lengths, ["ck"], "inner")
+    own = own.union(inside.mapInArrow(_runs, "ck string, tk long, digest binary"))
+    originals = own.join(wanted, ["ck", "key"], "left_semi").groupBy("ck", "key").agg(F.min("tk").alias("original"))
+    linked = materialise(quotes.join(originals, ["ck", "key"]).where("original < tk"))
+    links = linked.groupBy("ck", "tk").agg(F.min(F.struct("level", "at", "original"))["original"].alias("reply_to"), F.collect_set(F.struct("digest", "run")).alias("hit"))  # of the quotes of one turn
     state = materialise(links.select("ck", "tk", F.col("reply_to").alias("rk"), F.lit(1).cast("long").alias("depth")))
     while True:  # pointer jumping: every round doubles the way to the root
         up = state.select("ck", F.col("tk").alias("rk"), F.col("rk").alias("_rk"), F.col("depth").alias("_depth"))
@@ -103,7 +140,7 @@ def reply_order(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
         state = state.drop("moved")
     rows = parsed.join(links.join(state.drop("moved"), ["ck", "tk"]), ["ck", "tk"], "left")
     rows = rows.withColumn("rk", F.coalesce("rk", "tk")).withColumn("depth", F.coalesce("depth", F.lit(0).cast("long")))
-    rows = rows.withColumn("n_linked", F.when(F.col("hit").isNull(), 0).otherwise(F.size(F.filter("quoted", lambda q: F.array_contains(F.col("hit"), q["digest"]))))).withColumn("n_quotes", F.size("quoted"))
+    rows = rows.withColumn("n_linked", F.when(F.col("hit").isNull(), 0).otherwise(F.size(F.filter("quoted", lambda q: F.array_contains(F.col("hit"), F.struct(q["digest"].alias("digest"), q["run"].alias("run"))))))).withColumn("n_quotes", F.size("quoted"))
     rows = rows.select("ck", "tk", "rk", "h", "conv", "turn", "role", "body", "reply_to", "depth", "n_quotes", "n_linked")
     root = F.when(F.col("turn").isNull(), F.lit(None).cast("long")).otherwise(F.col("rk"))
     return _position(rows).select(F.col("conv").alias("conv_id"), "position", "turn", "role", F.col("body").alias("text"), "reply_to", root.alias("root"), "depth", "n_quotes", "n_linked")

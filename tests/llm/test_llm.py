@@ -198,6 +198,27 @@ def test_quotation_linking(spark):
     assert got[3].depth == 2 and got[3].root == 0 and got[3].text == "Good." and got[3].n_linked == 2 and got[5].n_linked == 0
 
 
+def test_quotation_of_a_part_of_a_message(spark):
+    five = "line one\nline two\nline three\nline four\nline five"
+    rows = [
+        (0, "Intro\n" + five + "\nEnd"),
+        (1, "First paragraph\n\nSecond paragraph\n\nThird paragraph"),
+        (2, "> line  two\n> LINE three\nYes."),  # two lines of a paragraph
+        (3, "> Second paragraph\n>\n> Third paragraph\nNo."),  # two of three paragraphs
+        (4, "> line two\n> line four\nnot in sequence"),
+        (5, "> line three\n> line two\nnot in order"),
+        (6, "line two\nline three"),
+        (7, "> line two\n> line three\nthe earliest, though a later turn is equal"),
+        (8, "> > line four\n> > line five\n> never said\nof a lower level nothing links"),
+        (9, "> line five\n> End\n\n> First paragraph\n> more\none of two"),
+        (10, "> line one line two\none line over two\n> line two line\npart of a line"),
+    ]
+    got = {r.turn: r for r in quotation.reply_order(spark.createDataFrame([(1, t, "a", x) for t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[t].reply_to for t in range(11)] == [None, None, 0, 1, None, None, None, 0, 0, 0, None]
+    assert [(got[t].n_quotes, got[t].n_linked) for t in (2, 3, 4, 8, 9)] == [(1, 1), (1, 1), (1, 0), (2, 1), (2, 1)]
+    assert [got[t].depth for t in (2, 3, 4)] == [1, 1, 0] and got[3].root == 1 and got[3].position > got[1].position
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(d.where("doc_id % 2 = 0"))
