@@ -52,7 +52,8 @@ def balanced_sample(rows: DataFrame, k: int, seed: int, exact: bool = False) ->
     short = rows.groupBy("question_type").agg(F.count("*").alias("n")).agg(few.alias("few")).first()["few"]
     if short:
         raise ValueError(f"too few rows: {short}")
-    return rows.withColumn("position", (F.row_number().over(order) - 1).cast("long")).where(F.col("position") < k)
+    # the bare rank, so that each task keeps k rows of a family before the shuffle
+    return rows.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k).withColumn("position", (F.col("_nth") - 1).cast("long")).drop("_nth")
 
 
 def hash_family_rank(rows: DataFrame) -> DataFrame:

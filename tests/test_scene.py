@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scene_qa.functions.ordering import permuted_heads
-from scene_qa.operators import masks, metrics, predictions, sequences, splits, training_rows
+from scene_qa.operators import masks, metrics, predictions, prepare, sequences, splits, training_rows
 from scene_qa.schemas import PAIRS
 
 
@@ -99,3 +99,16 @@ def test_entry_imports_without_the_llm_folder():
     from pathlib import Path
 
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
+
+
+def test_balanced_sample_is_trimmed_before_the_shuffle(spark):
+    import hashlib
+
+    ids = [f"q{i}" for i in range(300)]
+    rows = spark.createDataFrame([(q, "ab"[i % 3 == 0]) for i, q in enumerate(ids)], "question_id string, question_type string").repartition(6)
+    got = prepare.balanced_sample(rows, 20, 11)
+    assert got.columns == ["question_id", "question_type", "position"] and dict(got.dtypes)["position"] == "bigint"
+    for family in "ab":
+        mine = sorted((q for i, q in enumerate(ids) if "ab"[i % 3 == 0] == family), key=lambda q: hashlib.sha256(f"11\0{q}".encode()).hexdigest())
+        assert [r.question_id for r in got.where(F.col("question_type") == family).orderBy("position").collect()] == mine[:20]
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
