@@ -11,6 +11,7 @@ from scene_qa.schemas import CELLS
 #: The class of each tenth of an embedding's range.
 CLASS_OF_TENTH = (6, 3, 4, 0, 9, 2, 7, 8, 5, 1)
 SEEDS = (1, 2, 3)
+RUN_SEEDS = (("Zero-shot", 1), *((c, s) for c in CELLS for s in SEEDS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,12 @@ def question_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.generate(evidence(spark, sf_dir).withColumn("split", split_of(F.col("image_id"))))
 
 
+def asked(found: DataFrame) -> DataFrame:
+    """The questions of an evidence table, with the class that a presence question asks for."""
+    rows = questions.generate(found.withColumn("split", split_of(F.col("image_id"))))
+    return rows.withColumn("class_name", questions.decoded(F.col("evidence"))["class_name"])
+
+
 def image_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("image_id"), F.col("ts").alias("timestamp"), F.when(F.col("event_type") == "purchase", "cam-b").otherwise("cam-a").alias("camera_model"))
 
@@ -54,7 +61,7 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five rules as runs over the labelled documents; the four cells with three seeds."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    runs = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(s).alias("seed")) for r, s in [("Zero-shot", 1), *((c, s) for c in CELLS for s in SEEDS)]])
+    runs = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(s).alias("seed")) for r, s in RUN_SEEDS])
     rows = docs.select("doc_id", "lang", "n_chars", "quality", "toxic", F.inline(runs)).withColumn("k", F.col("n_chars") + F.col("seed"))
     flip = lambda bad: F.when(bad, 1 - F.col("quality")).otherwise(F.col("quality"))
     rule = F.when(F.col("run") == "Zero-shot", F.col("k") % 2).when(F.col("run") == "PC-Ans", F.expr("k div 100") % 2).when(F.col("run") == "PC-Trace", (F.col("toxic") + (F.col("k") % 5 == 0).cast("int")) % 2).when(F.col("run") == "AA-Ans", flip(F.col("k") % 10 == 0)).otherwise(flip(F.col("k") % 7 == 0))

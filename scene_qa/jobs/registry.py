@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scene_qa.functions.ordering import hash_rank
+from scene_qa.functions.binding import let
 from scene_qa.functions.hashing import sha
+from scene_qa.functions.ordering import hash_rank
+from scene_qa.functions.tables import materialise, scratch_path
 from scene_qa.jobs import inputs
-from scene_qa.operators import audit, diagnostics, masks, metrics, predictions, prepare, questions, reports, sequences, splits, traces, training_rows
+from scene_qa.operators import audit, dataset, diagnostics, masks, metrics, predictions, prepare, questions, reports, sequences, splits, traces, training_rows
 from scene_qa.schemas import CLASSES, EVENTS, FAMILIES, PAIRS, SPLITS
+from scene_qa.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -126,6 +129,67 @@ def membership_violations(spark, sf_dir):
     return predictions.membership_violations(rows)
 
 
+_RECORDS = _CASES + """, d AS (SELECT doc_id::VARCHAR AS question_id, doc_id AS i, n_chars % 7 AS tree, n_chars % 5 AS water FROM documents),
+    j AS (SELECT c.*, i, tree, water FROM c JOIN d USING (question_id))"""
+
+
+def _with_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cases and records of the same documents; every 17th has no record, every 19th one of another image."""
+    cases = _cases(spark, sf_dir)
+    docs = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("question_id"), "doc_id", "n_chars")
+    gold = F.col("answer")
+    other = F.when(gold == "0", "1").otherwise("0")
+    areas = F.create_map(F.lit("tree"), F.col("n_chars") % 7, F.lit("water"), F.col("n_chars") % 5).cast("map<string,bigint>")
+    image = F.when(F.col("doc_id") % 19 == 0, "else").otherwise(F.col("image_id"))
+    records = cases.join(docs, "question_id").where("doc_id % 17 <> 0").select("question_id", image.alias("image_id"), "question_type", gold.alias("gold_answer"), gold.alias("trace_answer"), F.create_map(gold, F.lit(0.75), other, F.lit(0.25)).alias("trace_support"), F.struct(areas.alias("area_pixels")).alias("mask_evidence"))
+    return diagnostics.with_records(cases, records)
+
+
+@_query(_RECORDS + " SELECT question_id, answer AS trace_answer, trace_hurts, CASE WHEN tree + water > 0 THEN round(abs(tree - water) / (tree + water)::DOUBLE, 8) END AS area_margin, 0.75::DOUBLE AS gold_support, 0.5::DOUBLE AS support_margin FROM j WHERE i % 17 <> 0 AND i % 19 <> 0")
+def case_records(spark, sf_dir):
+    return _with_records(spark, sf_dir)[0].select("question_id", "trace_answer", "trace_hurts", *_r("area_margin", "gold_support", "support_margin"))
+
+
+@_query(_RECORDS + " SELECT question_id, CASE WHEN i % 17 = 0 THEN 'no record' ELSE 'identity differs' END AS problem FROM j WHERE i % 17 = 0 OR i % 19 = 0")
+def case_record_violations(spark, sf_dir):
+    return _with_records(spark, sf_dir)[1]
+
+
+@_query("SELECT doc_id, lang, source, n_chars, text FROM documents")
+def jsonl_round_trip(spark, sf_dir):
+    path = scratch_path(spark)
+    tables.write_jsonl(inputs.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text"), path)
+    return tables.read_jsonl(spark, path, "doc_id long, lang string, source string, n_chars long, text string")
+
+
+@_query("SELECT conv_id, turn, role, text FROM conversations")
+def csv_round_trip(spark, sf_dir):
+    path, rows = scratch_path(spark), inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tables.write_csv(rows, path)
+    return tables.read_csv(spark, path, ", ".join(f"{n} {t}" for n, t in rows.dtypes))
+
+
+def _run_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The predictions as a run tree: a folder for each of the thirteen runs."""
+    root, rows = scratch_path(spark), materialise(inputs.predictions(spark, sf_dir))
+    for cell, seed in inputs.RUN_SEEDS:
+        folder = f"{root}/rules/seed{seed}/{cell}/eval_candidate"
+        tables.write_jsonl(rows.where((F.col("run") == cell) & (F.col("seed") == seed)).drop("run", "seed"), f"{folder}/predictions.jsonl")
+        tables.write_manifest(spark, {"protocol": "v1", "test_sha256": "same", "count": seed}, f"{folder}/meta.json")
+    return root
+
+
+@_query(f"WITH {_PRED} SELECT question_id, image_id, question_type, answer, prediction, confidence, 'rules' AS backbone, run AS cell, seed, 'candidate' AS mode FROM p")
+def run_tree_round_trip(spark, sf_dir):
+    return tables.read_runs(spark, _run_tree(spark, sf_dir)).drop("candidate_scores", "generated_text")
+
+
+@_query(f"WITH {_PRED} SELECT 'rules' AS backbone, 'candidate' AS mode, 1 AS hashes, 'same' AS test_sha256, count(DISTINCT (run, seed)) AS runs FROM p")
+def run_metadata(spark, sf_dir):
+    meta = tables.read_run_meta(spark, _run_tree(spark, sf_dir))
+    return predictions.run_hashes(meta).crossJoin(meta.agg(F.count("*").alias("runs")))
+
+
 _MASK = f"m AS (SELECT vec_id AS image_id, p, {list(inputs.CLASS_OF_TENTH)}[1 + least(9, greatest(0, floor((x::DOUBLE + 0.5) * 10)))::INT] AS c FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, 64)) AS p FROM embeddings))"
 _NAMES = f"names AS (SELECT unnest({list(CLASSES)}) AS name, unnest(range(0, 10)) AS c)"
 _AREAS = f"{_MASK}, {_NAMES}, v AS (SELECT vec_id AS image_id, name, names.c, count(m.p) AS area FROM embeddings CROSS JOIN names LEFT JOIN m ON m.image_id = vec_id AND m.c = names.c GROUP BY ALL)"
@@ -204,6 +268,30 @@ def regenerated_differences(spark, sf_dir):
     return audit.differences(rows, changed)
 
 
+_KEYS = {f: ",".join(sorted([*questions.field_names(f), "expected_answer"])) for f in FAMILIES}
+
+
+def _of(families: str, value: str) -> str:
+    return "CASE WHEN question_type IN (" + ", ".join(f"'{f}'" for f in families.split()) + f") THEN {value} END"
+
+
+@_query(_QUESTIONS + " SELECT question_id, CASE question_type " + " ".join(f"WHEN '{f}' THEN '{k}'" for f, k in _KEYS.items()) + " END AS keys, answer AS expected_answer, " + ", ".join(f"{_of(f, v)} AS {n}" for n, f, v in (
+    ("class_name", "presence", "cls"), ("present", "presence", "area[cls] > 0"), ("area_ratio", "presence", "area[cls] / 64.0::DOUBLE"),
+    ("building_flooded_present", "damage_state", "area['building_flooded'] > 0"), ("road_flooded_present", "damage_state logical_conjunction", "area['road_flooded'] > 0"),
+    ("first_class", "area_comparison spatial_adjacency", "'road_flooded'"), ("second_area_pixels", "area_comparison", "area['road_non_flooded']"),
+    ("adjacent", "spatial_adjacency", "touch"), ("adjacency_radius", "spatial_adjacency logical_conjunction", "1"), ("dominant_area_pixels", "dominant_class", "area[dominant]"), ("road_flooded_water_adjacent", "logical_conjunction", "touch"))) + " FROM questions")
+def evidence_json(spark, sf_dir):
+    """The evidence of each question, decoded, and the keys that its JSON holds, in their order."""
+    e = questions.decoded(F.col("evidence"))
+    names = ("expected_answer", "class_name", "present", "area_ratio", "building_flooded_present", "road_flooded_present", "first_class", "second_area_pixels", "adjacent", "adjacency_radius", "dominant_area_pixels", "road_flooded_water_adjacent")
+    return inputs.question_table(spark, sf_dir).select("question_id", F.array_join(F.json_object_keys("evidence"), ",").alias("keys"), e.alias("e")).select("question_id", "keys", *[F.col(f"e.{n}") for n in names])
+
+
+@_query(_QUESTIONS + " SELECT question_id, CASE WHEN question_type IN ('area_comparison', 'logical_conjunction') THEN 'compositional' WHEN question_type = 'dominant_class' THEN 'multiclass' ELSE 'binary' END AS difficulty FROM questions")
+def question_difficulty(spark, sf_dir):
+    return inputs.question_table(spark, sf_dir).select("question_id", questions.difficulty(F.col("question_type")).alias("difficulty"))
+
+
 _ROWS = "a AS (SELECT l_orderkey || '-' || l_suppkey AS question_id, CASE l_returnflag WHEN 'A' THEN 'train' WHEN 'N' THEN 'val' ELSE 'test' END AS split, CASE l_linestatus WHEN 'O' THEN 'presence' ELSE 'damage_state' END AS question_type, CASE WHEN l_quantity < 10 THEN 'few' WHEN l_quantity < 30 THEN 'some' ELSE 'many' END AS answer, l_linestatus || '-' || l_linenumber AS template_id FROM lineitem)"
 
 
@@ -212,6 +300,24 @@ def question_distribution(spark, sf_dir):
     return audit.distribution(inputs.audit_rows(spark, sf_dir))
 
 
+@_query(f"WITH {_ROWS}, s AS (SELECT * FROM (SELECT unnest(['train', 'val', 'test']) AS split), (SELECT unnest({list(FAMILIES)}) AS question_type)) SELECT s.split, s.question_type, count(a.answer) AS n, CASE WHEN s.question_type IN ('area_comparison', 'logical_conjunction') THEN 'compositional' WHEN s.question_type = 'dominant_class' THEN 'multiclass' ELSE 'binary' END AS difficulty FROM s LEFT JOIN a USING (split, question_type) GROUP BY ALL")
+def question_grid(spark, sf_dir):
+    """The split and family level of the audit report, with its zeros."""
+    return audit.report(inputs.audit_rows(spark, sf_dir)).where("level = 'split_type'").select("split", "question_type", "n", "difficulty")
+
+
+@_query(f"WITH {_ROWS} SELECT 'unknown split' AS problem, 'x' AS split, count(*) AS n FROM a WHERE template_id LIKE '%-3' UNION ALL SELECT 'split differs from its collection', split, count(*) FROM a WHERE template_id NOT LIKE '%-3' AND split <> 'train' GROUP BY split")
+def input_violations(spark, sf_dir):
+    """All rows offered as the train collection, those of every template 3 with a split that is none."""
+    rows = inputs.audit_rows(spark, sf_dir).withColumn("split", F.when(F.col("template_id").endswith("-3"), "x").otherwise(F.col("split"))).withColumn("collection", F.lit("train"))
+    return audit.input_violations(rows, ("question_id", "split"), collection="collection")
+
+
+@_query(f"WITH {_ROWS} SELECT question_id, count(DISTINCT split) AS splits FROM a GROUP BY 1 HAVING count(DISTINCT split) > 1 ORDER BY question_id LIMIT 5")
+def first_ids_across_splits(spark, sf_dir):
+    return audit.ids_across_splits(inputs.audit_rows(spark, sf_dir), first=5)
+
+
 @_query(f"WITH {_ROWS}, g AS (SELECT split, question_type, answer, count(*) AS c FROM a GROUP BY ALL) SELECT split, question_type, sum(c) AS n, round(max(c) / sum(c), 8) AS share, max(c) / sum(c) > 0.4 AS above FROM g GROUP BY ALL")
 def majority_share(spark, sf_dir):
     return audit.majority_share(inputs.audit_rows(spark, sf_dir), 0.4).select("split", "question_type", "n", *_r("share"), "above")
@@ -259,6 +365,30 @@ def gap_sensitivity(spark, sf_dir):
     return sequences.gap_summary(inputs.image_records(spark, sf_dir), [60, 300, 900]).select("gap_seconds", "groups", "singletons", "largest", *_r("mean_size"))
 
 
+_GROUP = "'seq-' || lpad(group_no::VARCHAR, greatest(5, length(group_no::VARCHAR))::INT, '0')"
+_FIFTH = "CASE WHEN group_no % 5 < 3 THEN 'train' WHEN group_no % 5 = 3 THEN 'val' ELSE 'test' END"
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Capture sequences, and a split for each by its number."""
+    records = inputs.image_records(spark, sf_dir).withColumns({"original_split": F.lit("train"), "image_path": F.concat(F.lit("img/"), F.col("image_id").cast("string")), "mask_path": F.concat(F.lit("mask/"), F.col("image_id").cast("string"))})
+    grouped = sequences.group_sequences(records, 900)
+    return grouped, grouped.select("group_id", inputs.split_of(F.col("group_no")).alias("split")).distinct()
+
+
+@_query(f"WITH {_SEQ.format(900)}, {_AREAS}, w AS (SELECT image_id, " + ", ".join(f"max(area) FILTER (c = {k}) AS class_{k}_pixels" for k in range(10)) + f" FROM v GROUP BY image_id) SELECT g.image_id, {_GROUP} AS group_id, {_FIFTH} AS split, 'train' AS original_split, 'img/' || g.image_id AS image_path, 'mask/' || g.image_id AS mask_path, cam AS camera_model, " + ", ".join(f"class_{k}_pixels" for k in range(10)) + " FROM g LEFT JOIN w ON w.image_id = g.image_id")
+def images_table(spark, sf_dir):
+    grouped, assigned = _grouped(spark, sf_dir)
+    return dataset.images_table(grouped, assigned, masks.measure(inputs.mask_table(spark, sf_dir))).drop("timestamp")
+
+
+@_query(f"WITH {_SEQ.format(900)} SELECT {_GROUP} AS group_id, {_FIFTH} AS split, min(cam) AS camera_model, epoch_us(min(ts)) AS start_us, count(*) AS image_count, string_agg(image_id::VARCHAR, ',' ORDER BY ts, image_id) AS members FROM g GROUP BY group_no")
+def sequences_table(spark, sf_dir):
+    grouped, assigned = _grouped(spark, sf_dir)
+    t = dataset.sequences_table(sequences.sequence_table(grouped), assigned)
+    return t.select("group_id", "split", "camera_model", F.unix_micros(F.col("start_time").cast("timestamp")).alias("start_us"), "image_count", F.array_join(F.transform("image_ids", lambda x: x.cast("string")), ",").alias("members"))
+
+
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = sequences.group_sequences(inputs.image_records(spark, sf_dir), 900)
     counts = masks.measure(inputs.mask_table(spark, sf_dir)).select("image_id", "counts")
@@ -286,9 +416,15 @@ def leak_audit(spark, sf_dir):
     return splits.leaks(inputs.export_rows(spark, sf_dir))
 
 
+@_query(f"SELECT {_SPLIT.format('doc_id')} AS split, count(*) AS questions, count(DISTINCT doc_id) AS images, count(DISTINCT sha256(text)) AS masks FROM documents GROUP BY 1")
+def audit_counts(spark, sf_dir):
+    return splits.audit_counts(inputs.export_rows(spark, sf_dir))
+
+
 def _traces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    e = inputs.evidence(spark, sf_dir)
-    q = inputs.question_table(spark, sf_dir).withColumn("class_name", questions.decoded(F.col("evidence"))["class_name"])
+    """Questions, their traces and the evidence, of which one pass over the masks is made."""
+    e = materialise(inputs.evidence(spark, sf_dir))
+    q = inputs.asked(e)
     return q, traces.run_programs(q, traces.mask_tools(e)), e
 
 
@@ -328,6 +464,7 @@ def training_targets(spark, sf_dir):
 
 def _exported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q, t, e = _traces(spark, sf_dir)
+    q = materialise(q)
     images = e.select("image_id", F.concat(F.lit("img/"), F.col("image_id").cast("string")).alias("image_path"), F.sha2(F.to_json("area_pixels"), 256).alias("mask_sha256"), F.concat(F.lit("seq-"), (F.col("image_id") % 5).cast("string")).alias("group_id"), inputs.split_of(F.col("image_id")).alias("split"))
     return prepare.assemble(q, images, prepare.verified_traces(q, t, e))
 
@@ -337,6 +474,89 @@ def export_records(spark, sf_dir):
     return _exported(spark, sf_dir)[0].select("question_id", "image_id", "split", "gold_answer", "trace_answer", "image_path")
 
 
+_SHA_ODD = "right(sha256(question_id || program_variant || 'failure'), 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f')"
+
+
+def _faulty(spark: SparkSession, sf_dir: str, family: str, results) -> DataFrame:
+    """Traces of one family's questions by tools whose results were changed: results(map, image_id) -> map."""
+    e = materialise(inputs.evidence(spark, sf_dir))
+    tools = traces.mask_tools(e).withColumn("results", results(F.col("results"), F.col("image_id")))
+    return traces.run_programs(inputs.asked(e).where(F.col("question_type") == family), tools)
+
+
+def _shown(t: DataFrame) -> DataFrame:
+    last = F.element_at("steps", -1)
+    return t.select("question_id", "program_variant", "final_answer", F.size("steps").alias("n_steps"), last["failure"].alias("failure"), F.element_at("answer_distribution", F.col("final_answer")).alias("p"), *_r("generator_score"), "total_latency_ms")
+
+
+#: Presence questions; tools that fail on every fourth image, are unsure on the next, and count no pixels on the next.
+_PRESENCE = _QUESTIONS + """, x AS (SELECT question_id, image_id % 4 AS f, area[cls] > 0 AS p, v.program_variant, v.pres, v.pixels FROM questions, (VALUES ('direct', true, false), ('area_check', false, true), ('verified', true, true)) v(program_variant, pres, pixels) WHERE question_type = 'presence'),
+    y AS (SELECT *, CASE WHEN pres AND f = 0 THEN 'presence unavailable' WHEN pres AND pixels AND f = 2 AND p THEN 'presence/area contradiction' END AS failure, pres::INT + pixels::INT AS n, (CASE WHEN pres THEN CASE f WHEN 0 THEN 0 WHEN 1 THEN 0.2 ELSE 1 END ELSE 0 END + pixels::INT)::DOUBLE / (pres::INT + pixels::INT) AS mean FROM x),
+    z AS (SELECT *, CASE WHEN failure IS NOT NULL THEN CASE WHEN """ + _SHA_ODD + """ THEN 'no' ELSE 'yes' END WHEN pres THEN CASE WHEN p THEN 'yes' ELSE 'no' END WHEN p AND f <> 2 THEN 'yes' ELSE 'no' END AS final_answer FROM y)
+    SELECT question_id, program_variant, final_answer, n + 1 AS n_steps, failure, (CASE WHEN failure IS NOT NULL OR mean <= 0.5 THEN 0.5 ELSE mean END)::DOUBLE AS p, round((n - (failure IS NOT NULL)::INT) / n::DOUBLE * mean / (1 + 0.05::DOUBLE * (n - 1)), 8) AS generator_score, (CASE WHEN pres AND f = 0 THEN 1 ELSE 0 END)::DOUBLE AS total_latency_ms FROM z"""
+
+
+@_query(_PRESENCE)
+def trace_faults_presence(spark, sf_dir):
+    """Failures, low confidence and contradictions of the presence programs."""
+
+    def results(m, image):
+        def change(k, r):
+            broken = F.struct(F.lit(None).cast("string").alias("output"), F.lit(0.0).alias("confidence"), r["evidence_ids"].alias("evidence_ids"), F.lit(1.0).alias("latency_ms"), F.lit("presence unavailable").alias("failure"))
+            seen = k.startswith("presence:")
+            return F.when(seen & (image % 4 == 0), broken).when(seen & (image % 4 == 1), r.withField("confidence", F.lit(0.2))).when(k.startswith("area_pixels:") & (image % 4 == 2), r.withField("output", F.lit("0"))).otherwise(r)
+
+        return F.transform_values(m, change)
+
+    return _shown(_faulty(spark, sf_dir, "presence", results))
+
+
+#: Adjacency questions; water is reported absent on every other image, and every third image's adjacency result is missing.
+_ADJACENT = _QUESTIONS + """, x AS (SELECT question_id, image_id, touch, area['road_flooded'] > 0 AS road, area['water'] > 0 AND image_id % 2 = 1 AS water, v.* FROM questions, (VALUES ('direct', 1), ('presence_then_relation', 3), ('relation_then_presence', 3)) v(program_variant, n) WHERE question_type = 'spatial_adjacency'),
+    y AS (SELECT *, CASE WHEN image_id % 3 = 0 THEN 'no result for adjacency:road_flooded__water' WHEN n = 3 AND touch AND NOT (road AND water) THEN 'adjacency/presence contradiction' END AS failure, CASE WHEN image_id % 3 = 0 THEN (n - 1) / n::DOUBLE ELSE 1 END AS mean FROM x)
+    SELECT question_id, program_variant, CASE WHEN failure IS NOT NULL THEN CASE WHEN """ + _SHA_ODD + """ THEN 'no' ELSE 'yes' END WHEN touch THEN 'yes' ELSE 'no' END AS final_answer, n + 1 AS n_steps, failure, (CASE WHEN failure IS NOT NULL THEN 0.5 ELSE 1 END)::DOUBLE AS p, round((n - (failure IS NOT NULL)::INT) / n::DOUBLE * mean / (1 + 0.05::DOUBLE * (n - 1)), 8) AS generator_score, 0.0::DOUBLE AS total_latency_ms FROM y"""
+
+
+@_query(_ADJACENT)
+def trace_faults_adjacency(spark, sf_dir):
+    """Contradictions and missing results of the adjacency programs."""
+    absent = lambda m, image: F.transform_values(m, lambda k, r: F.when((k == "presence:water") & (image % 2 == 0), r.withField("output", F.lit("false"))).otherwise(r))
+    return _shown(_faulty(spark, sf_dir, "spatial_adjacency", lambda m, image: F.map_filter(absent(m, image), lambda k, r: ~((k == "adjacency:road_flooded__water") & (image % 3 == 0)))))
+
+
+@_query(_TRACES + """, d AS (SELECT trace_id, image_id % 13 AS k FROM t JOIN (SELECT question_id, image_id FROM questions) USING (question_id) WHERE question_type = 'presence' AND program_variant = 'direct'),
+    r(k, rule) AS (VALUES (1, 'no steps'), (2, 'last step is no answer'), (3, 'last output is not the final answer'), (4, 'empty distribution'), (4, 'distribution does not sum to 1'), (4, 'final answer not in distribution'), (5, 'probability out of range'), (5, 'last confidence differs'), (6, 'distribution does not sum to 1'), (7, 'final answer not in distribution'), (8, 'last confidence differs'), (9, 'failure is lost'), (10, 'final answer is no maximum'), (11, 'latency does not add up'), (12, 'field out of range'))
+    SELECT trace_id, rule FROM d JOIN r USING (k)""")
+def trace_rules(spark, sf_dir):
+    """Each rule of trace validation, broken by the traces of a thirteenth of the images."""
+    q, t, _ = _traces(spark, sf_dir)
+    t = t.where("question_type = 'presence' and program_variant = 'direct'").join(q.select("question_id", (F.col("image_id") % 13).alias("k")), "question_id")
+    k, final, steps = F.col("k"), F.col("final_answer"), F.col("steps")
+    other = F.when(final == "yes", "no").otherwise("yes")
+    two = lambda a, b: F.create_map(final, F.lit(a), other, F.lit(b))
+    last = lambda name, value: F.transform(steps, lambda s, i: F.when(i == F.size(steps) - 1, s.withField(name, value)).otherwise(s))
+    broken = F.when(k == 1, F.slice(steps, 1, 0)).when(k == 2, last("tool", F.lit("x"))).when(k == 3, last("output", F.lit("else"))).when(k == 8, last("confidence", F.lit(0.4))).when(k == 9, F.transform(steps, lambda s, i: F.when(i == 0, s.withField("failure", F.lit("x"))).otherwise(s))).when(k == 10, last("confidence", F.lit(0.3))).otherwise(steps)
+    spread = F.when(k == 4, F.map_filter("answer_distribution", lambda a, p: F.lit(False))).when(k == 5, two(1.5, -0.5)).when(k == 6, two(1.0, 0.5)).when(k == 7, F.create_map(F.lit("zzz"), F.lit(1.0))).when(k == 10, two(0.3, 0.7)).otherwise(F.col("answer_distribution"))
+    t = t.select("trace_id", "final_answer", broken.alias("steps"), spread.alias("answer_distribution"), F.when(k == 12, -1.0).otherwise(F.col("generator_score")).alias("generator_score"), F.when(k == 11, 5.0).otherwise(F.col("total_latency_ms")).alias("total_latency_ms"))
+    return traces.violations(t)
+
+
+@_query("SELECT question_id, answer, round(p / 2.5, 8)::DOUBLE AS support, CASE WHEN first(answer) OVER w = 'a' THEN 'a' ELSE first(answer) OVER w END AS trace_answer FROM (SELECT doc_id::VARCHAR AS question_id, unnest(['a', 'b', 'c']) AS answer, unnest([0.5 + (doc_id % 3) * 0.25, 0.5 + (doc_id % 2) * 0.5, 1.5 - (doc_id % 3) * 0.25 - (doc_id % 2) * 0.5]) AS p FROM documents) WINDOW w AS (PARTITION BY question_id ORDER BY p DESC, answer ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def soft_answer_sums(spark, sf_dir):
+    """Two distributions of each document that add up to shares which differ, tie, and lack an answer on one side."""
+    d = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("question_id"), ((F.col("doc_id") % 3) * 0.25).cast("double").alias("x"), ((F.col("doc_id") % 2) * 0.5).cast("double").alias("y"))
+    half = F.lit(0.5)
+    one, two = F.create_map(F.lit("a"), half + F.col("x"), F.lit("c"), 1.5 - F.col("x") - F.col("y")), F.create_map(F.lit("b"), half + F.col("y"))
+    soft = traces.soft_answers(d.select("question_id", F.explode(F.array(one, two)).alias("answer_distribution")))
+    return soft.select("question_id", "trace_answer", F.explode("soft_answer").alias("answer", "support")).withColumn("support", F.round("support", 8))
+
+
+@_query(_QUESTIONS + " SELECT question_id, 'task_only' AS variant, answer FROM questions")
+def task_only_targets(spark, sf_dir):
+    q, t, _ = _traces(spark, sf_dir)
+    return traces.targets(q, t, "task_only").select("question_id", "variant", "answer")
+
+
 @_query(f"WITH {_ROWS} SELECT s.split, f.question_type, 'missing' AS problem FROM (SELECT unnest(['train', 'test']) AS split) s, (SELECT unnest({list(FAMILIES)}) AS question_type) f WHERE NOT EXISTS (FROM a WHERE a.split = s.split AND a.question_type = f.question_type)")
 def family_gaps(spark, sf_dir):
     return prepare.family_gaps(inputs.audit_rows(spark, sf_dir))
@@ -390,6 +610,28 @@ def loss_masks(spark, sf_dir):
     return rows.select("doc_id", error.alias("error"), F.size(F.filter(labels, lambda x: x != training_rows.IGNORED)).alias("learned"))
 
 
+@_query("WITH t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) AS ids FROM documents), l AS (SELECT doc_id, len(ids) AS n, ids, doc_id % 4 AS k FROM t) SELECT doc_id, CASE WHEN k = 0 OR n < 2 THEN 'prompt is no prefix' WHEN k = 1 THEN 'support' WHEN k = 2 THEN 'attention length' WHEN n <= 3 THEN 'answer span' END AS error, CASE WHEN k = 3 THEN len(list_filter(ids[2:], lambda x, i: i % 2 = 1)) END AS learned FROM l")
+def loss_masks_whole(spark, sf_dir):
+    """Whole-sequence support without padding, every second place shown, the answer up to one before the end; of each four
+    documents one has an empty prompt, one an unknown support and one a short attention mask."""
+    k = F.col("doc_id") % 4
+    rows = let(inputs.table(spark, sf_dir, "documents").select("doc_id", "text"), ids=F.transform(F.split("text", " "), lambda w: F.length(w)))
+    n = F.size("ids")
+    shown = F.transform("ids", lambda x, i: F.when(i % 2 == 1, 1).otherwise(0))
+    rows = let(rows, prompt=F.slice("ids", 1, F.when((k == 0) | (n < 2), 0).otherwise(2)), shown=F.when(k == 2, F.slice(shown, 1, n - 1)).otherwise(shown))
+    labels, error = training_rows.loss_labels(F.col("ids"), F.col("prompt"), None, F.when(k == 1, "XX").otherwise("PC"), n - 1, F.col("shown"))
+    learned = F.size(F.filter(labels, lambda x: x != training_rows.IGNORED))
+    return rows.select("doc_id", error.alias("error"), F.when(k == 3, learned).alias("learned"))
+
+
+@_query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Evidence: {' || chr(34) || 'turn' || chr(34) || ':' || turn || '}' || chr(10) || 'Answer: ' || role ELSE role END AS answer FROM conversations")
+def chat_trace_messages(spark, sf_dir):
+    """Messages whose even turns state their evidence before the answer."""
+    shown = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("turn")))
+    rows = inputs.table(spark, sf_dir, "conversations").withColumn("m", training_rows.messages(F.col("text"), F.array(F.lit("yes"), F.lit("no")), F.col("role"), shown))
+    return rows.select("conv_id", "turn", F.col("m")[1]["content"].alias("answer"))
+
+
 @_query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN event_type ELSE '__unmatched__' END AS prediction FROM events")
 def normalized_predictions(spark, sf_dir):
     events = inputs.table(spark, sf_dir, "events")
@@ -424,6 +666,16 @@ def evidence_statistics(spark, sf_dir):
     return _statistics(spark, sf_dir).select("image_id", *_r("area_margin", "area_entropy", "gold_support", "support_margin"))
 
 
+@_query("WITH d AS (SELECT doc_id, n_chars % 7 AS a, n_chars % 5 AS b, doc_id % 5 AS k FROM documents) SELECT doc_id, CASE WHEN k = 1 THEN 'negative area' WHEN k = 2 THEN 'support' END AS error, CASE WHEN k NOT IN (1, 2) AND a + b > 0 THEN round(abs(a - b) / (a + b + 9)::DOUBLE, 8) WHEN k NOT IN (1, 2) THEN 0 END AS area_margin FROM d")
+def area_comparison_statistics(spark, sf_dir):
+    """The area_comparison margin is of the two roads, whatever else covers the image; bad areas and supports are named."""
+    k = F.col("doc_id") % 5
+    rows = inputs.table(spark, sf_dir, "documents").withColumn("areas", F.create_map(F.lit("road_flooded"), F.col("n_chars") % 7, F.lit("road_non_flooded"), F.col("n_chars") % 5, F.lit("grass"), F.when(k == 1, -1).otherwise(9)).cast("map<string,bigint>"))
+    support = F.create_map(F.lit("yes"), F.when(k == 2, 0.7).otherwise(0.6), F.lit("no"), F.lit(0.4))
+    found = diagnostics.evidence_statistics(F.lit("area_comparison"), F.col("areas"), support, F.lit("yes"))
+    return rows.select("doc_id", found["error"].alias("error"), F.when(found["error"].isNull(), F.round(found["area_margin"], 8)).alias("area_margin"))
+
+
 @_query(_STATS + " SELECT said = 'yes' AS correct, count(*) AS cases, round(median(margin), 8) AS median_margin, round(avg(entropy), 8) AS mean_entropy, count(*) FILTER (margin < 0.1) AS narrow FROM s GROUP BY 1")
 def dominant_analysis(spark, sf_dir):
     return diagnostics.dominant_analysis(_statistics(spark, sf_dir)).select("correct", "cases", *_r("median_margin", "mean_entropy"), "narrow")

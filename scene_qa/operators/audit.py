@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from scene_qa.functions.binding import let
 from scene_qa.functions.hashing import sha
-from scene_qa.operators.questions import decoded, recompute_answer
+from scene_qa.operators.questions import decoded, difficulty, recompute_answer
 from scene_qa.schemas import FAMILIES, SPLITS
 
+#: The fields of a question that are compared.
 FIELDS = ("image_id", "split", "question_type", "template_id", "question", "answer", "answer_space", "evidence")
 SETS = {"total": [], "split": ["split"], "type": ["question_type"], "answer": ["answer"], "split_type": ["split", "question_type"], "split_type_answer": ["split", "question_type", "answer"], "split_type_template": ["split", "question_type", "template_id"]}
 
@@ -29,6 +30,28 @@ def grid(questions: DataFrame, splits: tuple[str, ...] = SPLITS, families: tuple
     return every.join(questions.groupBy("split", "question_type").agg(F.count("*").alias("n")), ["split", "question_type"], "left").fillna(0, ["n"])
 
 
+def report(questions: DataFrame, splits: tuple[str, ...] = SPLITS, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """distribution() of the known splits, with rows of zero for each split, and each split and family, that has no question;
+    difficulty is that of the family. The total, and the levels without a split, count all rows."""
+    found = distribution(questions).where(F.col("split").isNull() | F.col("split").isin(*splits))
+    every = grid(questions, splits, families).where("n = 0")
+    lacking = every.select(F.lit("split_type").alias("level"), "split", "question_type", F.lit(None).cast("string").alias("answer"), F.lit(None).cast("string").alias("template_id"), "n")
+    bare = questions.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, splits))).alias("split")).join(questions.select("split").distinct(), "split", "left_anti")
+    bare = bare.select(F.lit("split").alias("level"), "split", *[F.lit(None).cast("string").alias(c) for c in ("question_type", "answer", "template_id")], F.lit(0).cast("long").alias("n"))
+    return found.unionByName(lacking).unionByName(bare).withColumn("difficulty", difficulty(F.col("question_type")))
+
+
+def input_violations(rows: DataFrame, required: tuple[str, ...], splits: tuple[str, ...] = SPLITS, collection: str | None = None) -> DataFrame:
+    """(problem, split, n): unknown splits, and with `collection` (a column that says which split's table a row came from) rows
+    whose own split is another. A missing column raises an error at once."""
+    missing = sorted(set(required) - set(rows.columns))
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    other = F.lit(False) if collection is None else ~F.col("split").eqNullSafe(F.col(collection))
+    problem = F.when(F.col("split").isNull() | ~F.col("split").isin(*splits), "unknown split").when(other, "split differs from its collection")
+    return rows.select(problem.alias("problem"), "split").where("problem is not null").groupBy("problem", "split").agg(F.count("*").alias("n"))
+
+
 def minimum_examples(questions: DataFrame, least: int, splits: tuple[str, ...] = ("val", "test"), families: tuple[str, ...] = FAMILIES) -> DataFrame:
     return grid(questions, splits, families).where(F.col("n") < least)
 

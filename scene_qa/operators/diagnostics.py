@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scene_qa.functions.median import exact_medians
 from scene_qa.schemas import EVENTS
 
 
@@ -50,9 +51,27 @@ def evidence_statistics(family: Column, areas: Column, support: Column, gold: Co
 def dominant_analysis(cases: DataFrame) -> DataFrame:
     """Of dominant_class cases, by whether AA-Ans is right: count, exact median margin, mean entropy, margins under 0.10."""
     right = F.col("`AA-Ans`").eqNullSafe(F.col("answer"))
-    found = cases.where("question_type = 'dominant_class'").groupBy(right.alias("correct")).agg(F.count("*").alias("cases"), F.median("area_margin").alias("median_margin"), F.avg("area_entropy").alias("mean_entropy"), F.count_if(F.col("area_margin") < 0.10).alias("narrow"))
+    rows = cases.where("question_type = 'dominant_class'").withColumn("correct", right)
+    found = rows.groupBy("correct").agg(F.count("*").alias("cases"), F.avg("area_entropy").alias("mean_entropy"), F.count_if(F.col("area_margin") < 0.10).alias("narrow"))
     both = cases.sparkSession.range(2).select((F.col("id") == 1).alias("correct"))
-    return both.join(found, "correct", "left").fillna(0, ["cases", "narrow"])
+    filled = both.join(found, "correct", "left").join(exact_medians(rows, ["correct"], "area_margin", "median_margin"), "correct", "left")
+    return filled.fillna(0, ["cases", "narrow"]).select("correct", "cases", "median_margin", "mean_entropy", "narrow")
+
+
+def with_records(cases: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cases met with their export records, and the violations (question_id, problem).
+
+    cases(question_id, image_id, question_type, answer, ...) gain trace_answer and the evidence statistics of
+    records(question_id, image_id, question_type, gold_answer, trace_answer, trace_support, mask_evidence). An id on one side
+    only, one that repeats among the records, and another image, answer or family are violations; so is a bad record."""
+    named = records.select("question_id", F.col("image_id").alias("_image"), F.col("question_type").alias("_type"), F.col("gold_answer").alias("_gold"), "trace_answer", "trace_support", F.col("mask_evidence.area_pixels").alias("_areas"))
+    met = cases.join(named, "question_id", "full")
+    met = met.withColumns(evidence_statistics(F.col("_type"), F.col("_areas"), F.col("trace_support"), F.col("_gold")))
+    same = F.col("image_id").cast("string").eqNullSafe(F.col("_image").cast("string")) & F.col("answer").eqNullSafe(F.col("_gold")) & F.col("question_type").eqNullSafe(F.col("_type"))
+    problem = F.when(F.col("_image").isNull(), "no record").when(F.col("image_id").isNull(), "no case").when(~same, "identity differs").otherwise(F.col("error"))
+    twice = records.groupBy("question_id").agg(F.count("*").alias("n")).where("n > 1").select("question_id", F.lit("repeated record").alias("problem"))
+    bad = met.select("question_id", problem.alias("problem")).where("problem is not null").distinct()
+    return met.where(problem.isNull()).drop("_image", "_type", "_gold", "_areas", "trace_support", "error"), bad.union(twice)
 
 
 def regression_analysis(cases: DataFrame) -> DataFrame:

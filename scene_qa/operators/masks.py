@@ -15,11 +15,12 @@ N = len(CLASSES)
 
 
 def mask_row(labels: np.ndarray, radius: int) -> tuple[list[int], list[bool], int]:
-    """Pixels of each class, whether each pair lies within the radius (a square, diagonals count), labels out of range. One
-    pass for each offset of a half plane counts all pairs at once."""
-    bad = int(((labels < 0) | (labels >= N)).sum())
+    """Pixels of each class, whether each pair lies within the radius (a square, diagonals count), labels out of range, with
+    which no pair does. One pass for each offset of a half plane counts all pairs at once."""
+    known = (labels >= 0) & (labels < N)
+    bad = int(labels.size - known.sum())
     if bad or not labels.size:
-        return [0] * N, [False] * len(PAIRS), bad
+        return np.bincount(labels[known].astype(np.int64), minlength=N).tolist(), [False] * len(PAIRS), bad
     a = labels.astype(np.int64)
     met = np.zeros((N, N), bool)
     for dy in range(radius + 1):
@@ -33,7 +34,7 @@ def mask_row(labels: np.ndarray, radius: int) -> tuple[list[int], list[bool], in
 
 
 def measure(masks: DataFrame, radius: int = 1) -> DataFrame:
-    """masks(image_id, height, width, labels array<int> in row order) -> (image_id, height, width, counts array of 10,
+    """masks(image_id, height, width, labels in row order: binary, a byte for each pixel, or array<int>) -> (image_id, height, width, counts array of 10,
     adjacent array of 45 pairs, bad_labels). Masks are decoded once, in Arrow batches; pixels never become rows."""
     if not isinstance(radius, int) or isinstance(radius, bool) or radius < 0:
         raise ValueError("radius must be a whole number from 0")
@@ -41,12 +42,13 @@ def measure(masks: DataFrame, radius: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heights, widths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            found = [mask_row(np.asarray(labels.values).reshape(h, w), radius) for h, w, labels in zip(heights, widths, batch.column(3), strict=True)]
+            found = [mask_row((np.frombuffer(labels.as_py(), np.uint8) if plain else np.asarray(labels.values)).reshape(h, w), radius) for h, w, labels in zip(heights, widths, batch.column(3), strict=True)]
             cols = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cols[0], pa.list_(pa.int64())), pa.array(cols[1], pa.list_(pa.bool_())), pa.array(cols[2], pa.int32())], ["image_id", "height", "width", "counts", "adjacent", "bad_labels"])
 
     kind = dict(masks.dtypes)["image_id"]
-    return masks.select("image_id", F.col("height").cast("int"), F.col("width").cast("int"), F.col("labels").cast("array<int>")).mapInArrow(run, f"image_id {kind}, height int, width int, counts array<long>, adjacent array<boolean>, bad_labels int")
+    plain = dict(masks.dtypes)["labels"] == "binary"
+    return masks.select("image_id", F.col("height").cast("int"), F.col("width").cast("int"), F.col("labels") if plain else F.col("labels").cast("array<int>")).mapInArrow(run, f"image_id {kind}, height int, width int, counts array<long>, adjacent array<boolean>, bad_labels int")
 
 
 def histogram_relational(masks: DataFrame) -> DataFrame:

@@ -11,27 +11,36 @@ def confusion(predictions: DataFrame, keys: list[str], family: str = "question_t
     return predictions.groupBy(*keys, family, "answer", "prediction").agg(F.count("*").alias("n"))
 
 
+def tallies(predictions: DataFrame, keys: list[str], family: str = "question_type") -> DataFrame:
+    """(keys, family, answer, prediction, bin, n, c, nulls): rows, summed confidence and confidences that are null, by confusion
+    cell and bin of confidence, for each family and for `overall`. One pass over the predictions, combined before the
+    shuffle; metrics and calibration both add it up. A confidence outside 0..1 raises an error."""
+    c = F.col("confidence").cast("double")
+    sound = F.when(c.isNull() | ((c >= 0) & (c <= 1)), c).otherwise(F.raise_error(F.lit("confidence outside 0..1")).cast("double"))
+    each = predictions.withColumn("_c", sound).groupBy(*keys, F.col(family).alias("_f"), "answer", "prediction", F.least(F.lit(9), F.floor(F.col("_c") * 10)).alias("bin"))
+    each = each.agg(F.count("*").alias("n"), F.sum("_c").alias("c"), F.sum(F.col("_c").isNull().cast("long")).alias("nulls"))
+    return each.select(*keys, F.explode(F.array(F.lit("overall"), F.col("_f"))).alias("family"), "answer", "prediction", "bin", "n", "c", "nulls")
+
+
 def run_metrics(predictions: DataFrame, keys: list[str], family: str = "question_type") -> DataFrame:
     """Accuracy, macro-F1, calibration error, top prediction share and normalised prediction entropy of each run: overall
     (family `overall`) and by family. Calibration is null where any confidence is null; one outside 0..1 raises an error."""
-    every = F.explode(F.array(F.lit("overall"), F.col(family))).alias("_f")
-    counts = confusion(predictions, keys, family).select(*keys, every, "answer", "prediction", "n").groupBy(*keys, F.col("_f").alias("family"), "answer", "prediction").agg(F.sum("n").alias("n"))
+    cells = tallies(predictions, keys, family)
     group = [*keys, "family"]
+    counts = cells.groupBy(*group, "answer", "prediction").agg(F.sum("n").alias("n"))
     parts = F.explode(F.array(F.struct(F.col("answer").alias("label"), F.when(F.col("answer") == F.col("prediction"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("gold"), F.lit(0).cast("long").alias("said")), F.struct(F.col("prediction").alias("label"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("gold"), F.col("n").alias("said")))).alias("e")
     labels = counts.select(*group, parts).select(*group, "e.*").groupBy(*group, "label").agg(F.sum("tp").alias("tp"), F.sum("gold").alias("gold"), F.sum("said").alias("said"))
     p = F.col("said") / F.sum("said").over(_over(group))
     labels = labels.withColumn("_h", F.when(F.col("said") > 0, -p * F.log(p)).otherwise(0.0))
     f1 = F.when(F.col("gold") + F.col("said") > 0, 2 * F.col("tp") / (F.col("gold") + F.col("said"))).otherwise(0.0)
     scores = labels.groupBy(*group).agg(F.sum("gold").alias("count"), (F.sum("tp") / F.sum("gold")).alias("accuracy"), F.avg(f1).alias("macro_f1"), (F.max("said") / F.sum("said")).alias("top_share"), F.when(F.count("*") > 1, F.sum("_h") / F.log(F.count("*"))).otherwise(0.0).alias("entropy"))
-    return scores.join(calibration(predictions, keys, family), group)
+    return scores.join(calibration(cells, keys), group)
 
 
-def calibration(predictions: DataFrame, keys: list[str], family: str = "question_type") -> DataFrame:
-    """Expected calibration error over ten bins of confidence."""
-    c = F.col("confidence").cast("double")
-    sound = F.when(c.isNull() | ((c >= 0) & (c <= 1)), c).otherwise(F.raise_error(F.lit("confidence outside 0..1")).cast("double"))
-    bins = predictions.withColumn("_c", sound).groupBy(*keys, F.col(family).alias("_f0"), F.least(F.lit(9), F.floor(F.col("_c") * 10)).alias("_bin")).agg(F.count("*").alias("n"), F.sum("_c").alias("c"), F.sum((F.col("answer") == F.col("prediction")).cast("long")).alias("r"), F.sum(F.col("_c").isNull().cast("long")).alias("nulls"))
-    bins = bins.select(*keys, F.explode(F.array(F.lit("overall"), F.col("_f0"))).alias("family"), "_bin", "n", "c", "r", "nulls").groupBy(*keys, "family", "_bin").agg(*[F.sum(x).alias(x) for x in ("n", "c", "r", "nulls")])
+def calibration(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Expected calibration error over ten bins of confidence, from tallies()."""
+    right = F.sum(F.when(F.col("answer") == F.col("prediction"), F.col("n")).otherwise(0))
+    bins = cells.groupBy(*keys, "family", "bin").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), right.alias("r"), F.sum("nulls").alias("nulls"))
     gap = F.sum(F.abs(F.col("c") - F.col("r"))) / F.sum("n")
     return bins.groupBy(*keys, "family").agg(F.when(F.sum("nulls") == 0, gap).alias("ece"))
 

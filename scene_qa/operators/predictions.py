@@ -16,6 +16,7 @@ def normalize_prediction(text: Column, space: Column) -> Column:
     among equals. `__unmatched__` if none fits."""
     entries = F.transform(space, lambda s, i: F.struct((-F.length(s)).alias("n"), i.alias("i"), s.alias("s")))
     ordered = F.transform(F.array_sort(entries), lambda e: e["s"])
+    # fixed values: the pattern of an answer line here, that of a whole word below
     lines = F.regexp_extract_all(text, F.lit(r"(?iU)answer\s*[:：]\s*([^\n\r]+)"), F.lit(1))
     line = F.get(lines, F.size(lines) - 1)
 
@@ -42,11 +43,17 @@ def membership_violations(predictions: DataFrame, run: str = "run", with_type: b
     same = F.struct("image_id", "answer", *(["question_type"] if with_type else []))
     runs = predictions.select(run).distinct().agg(F.count("*").alias("_runs"))
     each = predictions.groupBy("question_id").agg(F.count("*").alias("n"), F.countDistinct(run).alias("in_runs"), F.countDistinct(same).alias("kinds"))
-    each = each.join(F.broadcast(runs))
+    each = each.join(F.broadcast(runs))  # one row
     problem = F.when(F.col("n") > F.col("in_runs"), "repeated").when(F.col("in_runs") < F.col("_runs"), "missing in a run").when(F.col("kinds") > 1, "differs between runs")
     return each.select("question_id", problem.alias("problem")).where("problem is not null")
 
 
+def run_hashes(meta: DataFrame) -> DataFrame:
+    """meta(backbone, seed, cell, mode, test_sha256) -> (backbone, mode, hashes, test_sha256): how many test sets the runs of a
+    backbone and mode were scored on (one, if they can be compared), and the least hash."""
+    return meta.groupBy("backbone", "mode").agg(F.countDistinct(F.coalesce("test_sha256", F.lit(""))).alias("hashes"), F.min("test_sha256").alias("test_sha256"))
+
+
 def paired(predictions: DataFrame, runs: tuple[str, ...], run: str = "run") -> DataFrame:
     """One row for each question with every run's prediction as a column: one shuffle for any number of runs."""
     return predictions.groupBy("question_id", "image_id", "question_type", "answer").pivot(run, list(runs)).agg(F.first("prediction"))

@@ -53,7 +53,7 @@ def generate(evidence: DataFrame, seed: int = 20260615, split: str = "split") ->
     plain = {k: F.from_json(F.to_json(F.struct(*v)), EVIDENCE) for k, v in fields.items()}
     rows = let(rows, _e=_by_family(family, plain))
     rows = let(rows, answer=recompute_answer(family, F.col("_e")))
-    keys = {k: sorted([*_names(k), "expected_answer"]) for k in fields}
+    keys = {k: sorted([*field_names(k), "expected_answer"]) for k in fields}
     as_json = {k: F.to_json(F.struct(*[F.col("answer").alias("expected_answer") if n == "expected_answer" else F.col("_e")[n].alias(n) for n in names])) for k, names in keys.items()}
     wording = {k: F.element_at(F.array(*map(F.lit, WORDING[k])), F.col("_n")) for k in FAMILIES}
     template = F.concat(family, F.lit("-"), F.col("_n").cast("string"))
@@ -64,7 +64,7 @@ def generate(evidence: DataFrame, seed: int = 20260615, split: str = "split") ->
     )
 
 
-def _names(family: str) -> list[str]:
+def field_names(family: str) -> list[str]:
     return {
         "presence": ["class_name", "present", "area_ratio", "ratio_category"],
         "damage_state": ["building_flooded_present", "road_flooded_present"],

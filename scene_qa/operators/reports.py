@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scene_qa.functions.median import exact_medians
+
 
 def trace_support(cases: DataFrame) -> DataFrame:
-    return cases.agg(F.count("*").alias("examples"), F.count_if(F.col("trace_answer") == F.col("answer")).alias("top1_is_gold"), F.median("gold_support").alias("median_gold_support"), F.count_if(F.col("support_margin") < 0.25).alias("narrow"), F.count_if(F.col("trace_answer") != F.col("answer")).alias("mismatches"))
+    """Records, those whose greatest support is gold, median gold support, margins under 0.25, answers that differ."""
+    found = cases.agg(F.count("*").alias("examples"), F.count_if(F.col("trace_answer") == F.col("answer")).alias("top1_is_gold"), F.count_if(F.col("support_margin") < 0.25).alias("narrow"), F.count_if(F.col("trace_answer") != F.col("answer")).alias("mismatches"))
+    middle = exact_medians(cases, [], "gold_support", "median_gold_support").withColumn("_one", F.lit(1))
+    return found.withColumn("_one", F.lit(1)).join(middle, "_one", "left").select("examples", "top1_is_gold", "median_gold_support", "narrow", "mismatches")
 
 
 def prediction_behavior(metrics: DataFrame, keys: list[str]) -> DataFrame:

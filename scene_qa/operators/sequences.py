@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = 86_400
+#: Rows of a bucket of the order, about; buckets at most, in groups of GROUP; rows that the edges are taken from.
+BUCKET_ROWS, MOST_BUCKETS, GROUP, SAMPLED = 200_000, 4096, 64, 100_000
 
 
 def _gaps(gaps: list[float]) -> None:
@@ -15,21 +16,43 @@ def _gaps(gaps: list[float]) -> None:
         raise ValueError("a gap must be finite and not negative")
 
 
-def group_sequences(records: DataFrame, max_gap: float = 30.0, bucket_seconds: int = DAY) -> DataFrame:
+def group_sequences(records: DataFrame, max_gap: float = 30.0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """records(image_id, timestamp, camera_model, ...) with group_no and group_id: in order of (timestamp, whole image_id) a
     group ends where the camera changes or more than max_gap seconds pass.
 
-    The order is global but no task sees it whole: rows are compared inside buckets of time, each bucket's first row with the
-    last row of the bucket before, and the buckets' counts, one row for each, are added up."""
+    The order is global but no task sees it whole: rows are compared inside buckets of the order, each bucket's first row
+    with the last row of the bucket before, and the buckets' counts, one row for each, are added up."""
     _gaps([max_gap])
-    return flagged(records, {"group_no": max_gap}, bucket_seconds).withColumn("group_id", F.format_string("seq-%05d", F.col("group_no")))
+    return flagged(records, {"group_no": max_gap}, bucket_rows).withColumn("group_id", F.format_string("seq-%05d", F.col("group_no")))
 
 
-def flagged(records: DataFrame, gaps: dict[str, float], bucket_seconds: int = DAY) -> DataFrame:
+def bucket_of(rows: DataFrame, bucket_rows: int) -> Column:
+    """The bucket of a row of rows(_us, _id) in their order: about bucket_rows rows each, however times and ids lie.
+
+    The edges are (time, id) pairs, so even rows of one time part by their ids. They are taken from a sample, chosen by a hash, of
+    about SAMPLED rows; any edges give the same result."""
+    n = rows.count()
+    buckets = min(MOST_BUCKETS, -(-n // bucket_rows))
+    if buckets < 2:
+        return F.lit(0)
+    some = rows.where(F.pmod(F.xxhash64("_us", "_id"), F.lit(1 << 30)) < min(1.0, SAMPLED / n) * (1 << 30))
+    found = sorted({(r["_us"], r["_id"]) for r in some.select("_us", "_id").collect() if None not in r})
+    edges = sorted({found[k * len(found) // buckets] for k in range(1, buckets)}) if found else []
+    if not edges:
+        return F.lit(0)
+    pair = lambda e: F.struct(F.lit(e[0]).cast("long").alias("_us"), F.lit(e[1]).cast("long").alias("_id"))
+    groups = [edges[k : k + GROUP] for k in range(0, len(edges), GROUP)]
+    here = F.struct("_us", "_id")
+    below = lambda es: F.size(F.filter(es, lambda e: e <= here))
+    group = F.greatest(below(F.array(*[pair(g[0]) for g in groups])) - 1, F.lit(0))
+    return group * GROUP + below(F.get(F.array(*[F.array(*map(pair, g)) for g in groups]), group))
+
+
+def flagged(records: DataFrame, gaps: dict[str, float], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The group number for each named gap, all in one pass over the order."""
     _gaps(list(gaps.values()))
     rows = records.withColumn("_us", F.unix_micros(F.col("timestamp").cast("timestamp"))).withColumn("_id", F.col("image_id").cast("bigint"))
-    rows = rows.withColumn("_b", F.floor(F.col("_us") / (bucket_seconds * 1_000_000)))
+    rows = rows.withColumn("_b", bucket_of(rows, bucket_rows))
     order = Window.partitionBy("_b").orderBy("_us", "_id")
     rows = rows.withColumn("_prev", F.lag(F.struct("_us", "camera_model")).over(order))
     cut = lambda now_us, now_cam, prev, gap: F.when(prev.isNull(), 0).otherwise(((now_us - prev["_us"] > gap * 1_000_000) | ~now_cam.eqNullSafe(prev["camera_model"])).cast("int"))
@@ -57,11 +80,11 @@ def sequence_table(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("group_id").agg(F.min("camera_model").alias("camera_model"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("image_count"), F.transform(F.array_sort(F.collect_list(member)), lambda m: m["image_id"]).alias("image_ids"))
 
 
-def gap_summary(records: DataFrame, gaps: list[float], bucket_seconds: int = DAY) -> DataFrame:
+def gap_summary(records: DataFrame, gaps: list[float], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """For each gap: groups, single-image groups, the largest and the mean size."""
     names = {f"g{i}": g for i, g in enumerate(gaps)}
     each = F.explode(F.array(*[F.struct(F.lit(float(g)).alias("gap_seconds"), F.col(n).alias("group_no")) for n, g in names.items()])).alias("e")
-    sizes = flagged(records, names, bucket_seconds).select(each).select("e.*").groupBy("gap_seconds", "group_no").agg(F.count("*").alias("n"))
+    sizes = flagged(records, names, bucket_rows).select(each).select("e.*").groupBy("gap_seconds", "group_no").agg(F.count("*").alias("n"))
     found = sizes.groupBy("gap_seconds").agg(F.count("*").alias("groups"), F.sum((F.col("n") == 1).cast("long")).alias("singletons"), F.max("n").alias("largest"), F.avg("n").alias("mean_size"))
     every = records.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(g)) for g in gaps])).alias("gap_seconds"))
     return every.join(found, "gap_seconds", "left").fillna(0, ["groups", "singletons", "largest", "mean_size"])

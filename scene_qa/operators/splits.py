@@ -3,82 +3,109 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scene_qa.functions.tables import materialise
 from scene_qa.schemas import SPLITS
 
 
-def greedy(groups: pd.DataFrame, ratios: tuple[float, ...], seed: int) -> list[str]:
-    """A split for each row of groups(group_id, camera_model, size, counts), rows by size down, then id. Each goes where the
-    deviations of images, and a quarter each of cameras and of classes, come out least; a seeded choice among equals."""
+@dataclass
+class Totals:
+    """What the ordered pass must know of all groups before it starts: their number, images, images by camera, pixels by class."""
+
+    groups: int = 0
+    images: int = 0
+    cameras: dict[str | None, int] = field(default_factory=dict)
+    classes: dict[int, int] = field(default_factory=dict)
+
+
+def greedy(groups: Iterable[tuple[str | None, int, dict[int, int]]], totals: Totals, ratios: tuple[float, ...], seed: int) -> Iterator[str]:
+    """A split for each of the groups (camera, size, pixels by class), which come by size down, then id. Each goes where the
+    deviations of images, and a quarter each of cameras and of classes, come out least; a seeded choice among equals. Only
+    running counts are held."""
     share = [r / sum(ratios) for r in ratios]
     active = [s for s in range(len(SPLITS)) if share[s] > 0]
-    sizes = groups["size"].tolist()
-    total = sum(sizes)
-    cameras = sorted(set(groups["camera_model"]))
+    cameras = sorted(totals.cameras, key=lambda c: (c is not None, c))
     of_camera = {c: [0] * len(SPLITS) for c in cameras}
-    camera_total = groups.groupby("camera_model")["size"].sum().to_dict()
-    rows = [dict(c or {}) for c in groups["counts"]]
-    class_total: dict[int, int] = {}
-    for row in rows:
-        for k, v in row.items():
-            class_total[k] = class_total.get(k, 0) + v
-    of_class = {k: [0] * len(SPLITS) for k in class_total}
+    of_class = {k: [0] * len(SPLITS) for k in totals.classes}
     images = [0] * len(SPLITS)
 
     def deviation(counts: list[int], of: int) -> float:
         return sum(abs(counts[s] - of * share[s]) for s in range(len(SPLITS))) / of if of else 0.0
 
-    camera_now = {c: deviation(of_camera[c], camera_total[c]) for c in cameras}
-    class_now = {k: deviation(of_class[k], class_total[k]) for k in class_total}
-    generator, used, out = random.Random(seed), set(), []
+    camera_now = {c: deviation(of_camera[c], totals.cameras[c]) for c in cameras}
+    class_now = {k: deviation(of_class[k], n) for k, n in totals.classes.items()}
+    generator, used = random.Random(seed), set()
     plus = lambda counts, s, n: [c + n * (i == s) for i, c in enumerate(counts)]
-    for i, (size, camera, row) in enumerate(zip(sizes, groups["camera_model"], rows, strict=True)):
-        left = len(sizes) - i - 1
-        allowed = [s for s in active if len(sizes) < len(active) or left >= len(set(active) - used - {s})]
+    for i, (camera, size, row) in enumerate(groups):
+        left = totals.groups - i - 1
+        allowed = [s for s in active if totals.groups < len(active) or left >= len(set(active) - used - {s})]
         scores = []
         for s in allowed:
-            value = deviation(plus(images, s, size), total)
-            value += 0.25 * sum(deviation(plus(of_camera[c], s, size), camera_total[c]) if c == camera else camera_now[c] for c in cameras) / max(1, len(cameras))
-            if class_total:
-                value += 0.25 * sum(deviation(plus(of_class[k], s, row[k]), class_total[k]) if row.get(k) else class_now[k] for k in class_total) / len(class_total)
+            value = deviation(plus(images, s, size), totals.images)
+            value += 0.25 * sum(deviation(plus(of_camera[c], s, size), totals.cameras[c]) if c == camera else camera_now[c] for c in cameras) / max(1, len(cameras))
+            if totals.classes:
+                value += 0.25 * sum(deviation(plus(of_class[k], s, row[k]), totals.classes[k]) if row.get(k) else class_now[k] for k in totals.classes) / len(totals.classes)
             scores.append(value)
         best = min(scores)
         chosen = generator.choice([s for s, v in zip(allowed, scores, strict=True) if abs(v - best) <= max(1e-12 * max(abs(v), abs(best)), 1e-12)])
         used.add(chosen)
         images[chosen] += size
         of_camera[camera][chosen] += size
-        camera_now[camera] = deviation(of_camera[camera], camera_total[camera])
+        camera_now[camera] = deviation(of_camera[camera], totals.cameras[camera])
         for k, v in row.items():
             of_class[k][chosen] += v
-            class_now[k] = deviation(of_class[k], class_total[k])
-        out.append(SPLITS[chosen])
-    return out
+            class_now[k] = deviation(of_class[k], totals.classes[k])
+        yield SPLITS[chosen]
 
 
-def assign_groups(images: DataFrame, ratios: tuple[float, ...] = (0.6, 0.2, 0.2), seed: int = 20260615, counts: str | None = None, part_groups: int = 100_000) -> DataFrame:
+def assign_groups(images: DataFrame, ratios: tuple[float, ...] = (0.6, 0.2, 0.2), seed: int = 20260615, counts: str | None = None, parts: int = 1) -> DataFrame:
     """images(image_id, group_id, camera_model, and maybe counts: array<long> by class) -> (group_id, split).
 
-    Spark reduces images to a row for each group. Up to part_groups groups go through the ordered pass as one part; more are
-    dealt into parts by a hash, each held to the ratios on its own: no task holds more than a few times part_groups rows."""
+    Spark reduces images to a row for each group and adds up the totals. The rule is one pass in order of size, which looks
+    at all that went before; so with one part, at any number of groups, one task streams the ordered rows, in Arrow batches,
+    and holds running counts by camera and class only. parts, which the caller sets and no size changes, deals the groups by a
+    hash into so many passes, each held to the ratios on its own: other splits, in parts tasks."""
     if len(ratios) != 3 or any(r < 0 for r in ratios) or sum(ratios) <= 0:
         raise ValueError("three ratios, none negative, with a positive sum")
+    if parts < 1:
+        raise ValueError("parts must be positive")
     rows = images.groupBy("group_id").agg(F.min("camera_model").alias("camera_model"), F.count("*").alias("size"))
     if counts:
         long = images.select("group_id", F.posexplode(counts).alias("class_id", "n")).groupBy("group_id", "class_id").agg(F.sum("n").alias("n"))  # a class without pixels still counts in the mean
         rows = rows.join(long.groupBy("group_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_id", "n")))).alias("counts")), "group_id", "left")
     else:
         rows = rows.withColumn("counts", F.lit(None).cast("map<int,long>"))
-    parts = max(1, -(-rows.count() // part_groups))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_s=-pdf["size"]).sort_values(["_s", "group_id"]).reset_index(drop=True)
-        return pd.DataFrame({"group_id": pdf["group_id"], "split": greedy(pdf, ratios, seed)})
-
-    return rows.withColumn("_p", F.pmod(F.xxhash64("group_id"), F.lit(parts))).groupBy("_p").applyInPandas(run, "group_id string, split string")
+    rows = materialise(rows.withColumn("part", F.pmod(F.xxhash64("group_id"), F.lit(parts)).cast("int")))
+    totals: dict[int, Totals] = {}  # a row for each part and camera, and for each part and class
+    for r in rows.groupBy("part", "camera_model").agg(F.count("*").alias("groups"), F.sum("size").alias("images")).collect():
+        t = totals.setdefault(r.part, Totals())
+        t.groups, t.images = t.groups + r.groups, t.images + r.images
+        t.cameras[r.camera_model] = r.images
+    for r in rows.select("part", F.explode("counts").alias("class_id", "n")).groupBy("part", "class_id").agg(F.sum("n").alias("n")).orderBy("part", "class_id").collect():
+        totals[r.part].classes[r.class_id] = r.n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes: dict[int, tuple[list, Iterator[str]]] = {}  # a part's rows come one after the other
+        for batch in batches:
+            found = []
+            for part, camera, size, row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if part not in passes:
+                    passes.clear()
+                    queue: list = []
+                    passes[part] = queue, greedy(iter(queue.pop, None), totals[part], ratios, seed)
+                queue, choose = passes[part]
+                queue.append((camera, size, dict(row or [])))
+                found.append(next(choose))
+            yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(found, pa.string())], ["group_id", "split"])
+
+    ordered = rows.select("part", "camera_model", "size", "counts", "group_id").repartition(parts, "part").sortWithinPartitions("part", F.desc("size"), "group_id")
+    return ordered.mapInArrow(run, f"group_id {dict(images.dtypes)['group_id']}, split string")
 
 
 def split_counts(images: DataFrame) -> DataFrame:
@@ -105,6 +132,11 @@ def leaks(rows: DataFrame, keys: tuple[str, ...] = ("question_id", "image_id", "
     return shared.union(empty).union(twice)
 
 
+def audit_counts(rows: DataFrame) -> DataFrame:
+    """(split, questions, images, masks): rows, different images and different masks of each split."""
+    return rows.groupBy("split").agg(F.count("*").alias("questions"), F.countDistinct("image_id").alias("images"), F.countDistinct("mask_sha256").alias("masks"))
+
+
 def raise_on_violation(found: DataFrame) -> None:
     first = found.head(1)
     if first:

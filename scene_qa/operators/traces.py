@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scene_qa.functions.binding import let
 from scene_qa.functions.hashing import full_modulo, trace_id
-from scene_qa.schemas import CLASSES, PAIRS, SPACES
+from scene_qa.schemas import CLASSES
 
 #: The tools each variant calls, in order. $c is the class the question asks for, * every class in order.
 PROGRAMS = {
@@ -21,95 +21,122 @@ PROGRAMS = {
 STEP = "struct<tool:string,arg1:string,arg2:string,output_type:string,output:string,confidence:double,evidence_ids:array<string>,latency_ms:double,failure:string>"
 
 
-def program_steps(spark: SparkSession) -> DataFrame:
-    """(question_type, variant, step_no, tool, arg1, arg2): a fixed table; arg1 `$c` stands for the question's class."""
-    rows = []
+RESULT = "struct<output:string,confidence:double,evidence_ids:array<string>,latency_ms:double,failure:string>"
+
+
+def program_table() -> Column:
+    """family -> array of (variant, calls: array of (tool, arg1, arg2)): a fixed map; arg1 `$c` stands for the question's class."""
+    out = []
     for family, variants in PROGRAMS.items():
+        each = []
         for variant, calls in variants.items():
             flat = [(c.split(), k) for c in calls for k in (CLASSES if c.endswith("*") else [None])]
-            for no, (parts, cls) in enumerate(flat):
+            steps = []
+            for parts, cls in flat:
                 args = [cls if p == "*" else p for p in parts[1:]] + [None, None]
-                rows.append(F.struct(*[F.lit(x).cast(t).alias(n) for x, t, n in zip((family, variant, no, parts[0], args[0], args[1]), ("string", "string", "int", "string", "string", "string"), ("question_type", "variant", "step_no", "tool", "arg1", "arg2"), strict=True)]))
-    return spark.range(1).select(F.inline(F.array(*rows)))
+                steps.append(F.struct(*[F.lit(x).cast("string").alias(n) for x, n in zip((parts[0], args[0], args[1]), ("tool", "arg1", "arg2"), strict=True)]))
+            each.append(F.struct(F.lit(variant).alias("variant"), F.array(*steps).alias("calls")))
+        out += [F.lit(family), F.array(*each)]
+    return F.create_map(*out)
+
+
+def _key(tool: Column, arg1: Column, arg2: Column) -> Column:
+    return F.concat_ws(":", tool, F.concat_ws("__", arg1, arg2))
 
 
 def mask_tools(evidence: DataFrame) -> DataFrame:
-    """What the tools answer from mask evidence: (image_id, tool, arg1, arg2, output, confidence, evidence_ids, latency_ms,
-    failure). Any DataFrame of that shape can stand in for it."""
+    """What the tools answer from mask evidence: (image_id, results), a map from `tool:arg1__arg2` to the result. No
+    row leaves its place: the maps of an image's evidence become one map."""
     none = F.lit(None).cast("string")
-    calls = [F.struct(F.lit("presence").alias("tool"), F.lit(c).alias("arg1"), none.alias("arg2"), F.element_at("presence", F.lit(c)).cast("string").alias("output")) for c in CLASSES]
-    calls += [F.struct(F.lit("area_pixels").alias("tool"), F.lit(c).alias("arg1"), none.alias("arg2"), F.element_at("area_pixels", F.lit(c)).cast("string").alias("output")) for c in CLASSES]
-    calls += [F.struct(F.lit("adjacency").alias("tool"), F.lit(CLASSES[a]).alias("arg1"), F.lit(CLASSES[b]).alias("arg2"), F.element_at("adjacency", F.lit(f"{CLASSES[a]}__{CLASSES[b]}")).cast("string").alias("output")) for a, b in PAIRS]
-    calls.append(F.struct(F.lit("dominant_class").alias("tool"), none.alias("arg1"), none.alias("arg2"), F.col("dominant_class").alias("output")))
-    rows = evidence.select("image_id", F.inline(F.array(*calls)))
-    return rows.select("*", F.lit(1.0).alias("confidence"), F.array(F.concat_ws(":", "tool", F.array_join(F.array_compact(F.array("arg1", "arg2")), "__"))).alias("evidence_ids"), F.lit(0.0).alias("latency_ms"), none.alias("failure"))
+    result = lambda key, output: F.struct(key.alias("key"), F.struct(output.cast("string").alias("output"), F.lit(1.0).alias("confidence"), F.array(key).alias("evidence_ids"), F.lit(0.0).alias("latency_ms"), none.alias("failure")).alias("value"))
+    of = lambda column, tool: F.transform(F.map_entries(column), lambda e: result(F.concat(F.lit(tool + ":"), e["key"]), e["value"]))
+    one = F.array(result(F.lit("dominant_class"), F.col("dominant_class")))
+    entries = F.concat(of("presence", "presence"), of("area_pixels", "area_pixels"), of("adjacency", "adjacency"), one)
+    return evidence.select("image_id", F.map_from_entries(entries).cast(f"map<string,{RESULT}>").alias("results"))
 
 
-def _value(steps: Column, tool: str, arg: Column | str | None, flag: bool) -> Column:
-    """Of the last step of a tool (and class): its output as a truth value or a number; false and 0 after a failure."""
-    arg = F.lit(arg) if isinstance(arg, str) else arg
-    hit = F.element_at(F.filter(steps, lambda s: (s["tool"] == tool) & (F.lit(True) if arg is None else s["arg1"].eqNullSafe(arg))), -1)
-    ok = hit["failure"].isNull()
-    return F.coalesce(ok & (hit["output"] == "true"), F.lit(False)) if flag else F.coalesce(F.when(ok, hit["output"].cast("long")), F.lit(0).cast("long"))
+def tool_map(tool_results: DataFrame) -> DataFrame:
+    """tool_results(image_id, tool, arg1, arg2, output, confidence, evidence_ids, latency_ms, failure), of any tool set ->
+    (image_id, results) as mask_tools gives it. An image has a few dozen results; one that repeats raises an error."""
+    key = F.when(F.col("arg1").isNull(), F.col("tool")).otherwise(_key(F.col("tool"), F.col("arg1"), F.col("arg2")))
+    entry = F.struct(key.alias("key"), F.struct("output", "confidence", "evidence_ids", "latency_ms", "failure").alias("value"))
+    return tool_results.groupBy("image_id").agg(F.map_from_entries(F.collect_list(entry)).cast(f"map<string,{RESULT}>").alias("results"))
 
 
-def _has(steps: Column, tool: str, arg: Column | str) -> Column:
-    arg = F.lit(arg) if isinstance(arg, str) else arg
-    return F.exists(steps, lambda s: (s["tool"] == tool) & s["arg1"].eqNullSafe(arg) & s["failure"].isNull())
+def _seen(steps: Column) -> Column:
+    """For each class, in order: what its last presence and area steps say (false and 0 after a failure), and whether they
+    are there and sound."""
+    def last(tool: str, k: Column) -> Column:
+        return F.try_element_at(F.filter(steps, lambda s: (s["tool"] == tool) & s["arg1"].eqNullSafe(k)), F.lit(-1))
 
+    met = F.transform(F.array(*map(F.lit, CLASSES)), lambda k: F.struct(k.alias("k"), last("presence", k).alias("p"), last("area_pixels", k).alias("a")))
+    sound = lambda s: s.isNotNull() & s["failure"].isNull()
+    return F.transform(met, lambda x: F.struct(x["k"].alias("k"), sound(x["p"]).alias("has_p"), sound(x["a"]).alias("has_a"), F.coalesce(sound(x["p"]) & (x["p"]["output"] == "true"), F.lit(False)).alias("present"), F.coalesce(F.when(sound(x["a"]), x["a"]["output"].cast("long")), F.lit(0).cast("long")).alias("area")))
 
-def _last(steps: Column, tool: str, arg: Column | str | None) -> Column:
+
+def _last(steps: Column, tool: str, arg: Column | None) -> Column:
     """The place of the last step of a tool (and class)."""
-    arg = F.lit(arg) if isinstance(arg, str) else arg
     fits = lambda s: (s["tool"] == tool) & (F.lit(True) if arg is None else s["arg1"].eqNullSafe(arg))
     return F.array_max(F.transform(steps, lambda s, i: F.when(fits(s), i)))
 
 
-def run_programs(questions: DataFrame, tool_results: DataFrame) -> DataFrame:
+def run_programs(questions: DataFrame, tools: DataFrame) -> DataFrame:
     """questions(question_id, image_id, question_type, answer_space, class_name) x their variants -> traces: trace_id,
     question_id, question_type, source_family, program_variant, steps, final_answer, answer_distribution, generator_score,
-    total_latency_ms.
-
-    The fixed program table is broadcast; questions meet tool results by image, and each trace's few steps are put in order."""
-    spark = questions.sparkSession
-    calls = questions.join(F.broadcast(program_steps(spark)), "question_type").withColumn("arg1", F.when(F.col("arg1") == "$c", F.col("class_name")).otherwise(F.col("arg1")))
-    t = tool_results.select("image_id", F.col("tool").alias("_tool"), F.col("arg1").alias("_a"), F.col("arg2").alias("_b"), "output", "confidence", "evidence_ids", "latency_ms", "failure")
-    met = calls.join(t, (calls["image_id"] == t["image_id"]) & (F.col("tool") == F.col("_tool")) & F.col("arg1").eqNullSafe(F.col("_a")) & F.col("arg2").eqNullSafe(F.col("_b"))).drop(t["image_id"])
-    kind = F.when(F.col("tool").isin("presence", "adjacency"), "bool").when(F.col("tool") == "area_pixels", "int").otherwise("class_name")
-    step = F.struct("step_no", "tool", "arg1", "arg2", kind.alias("output_type"), "output", "confidence", "evidence_ids", "latency_ms", "failure")
-    runs = met.groupBy("question_id", "question_type", "variant").agg(F.first("answer_space").alias("answer_space"), F.first("class_name").alias("c"), F.array_sort(F.collect_list(step)).alias("s"))
-    runs = let(runs, steps=F.transform("s", lambda s: s.dropFields("step_no")).cast(f"array<{STEP}>")).drop("s")
+    total_latency_ms. tools: (image_id, results), or the rows that tool_map takes.
+
+    An image's results meet its questions as one map, in one join; steps are looked up in it, so nothing is regrouped. A
+    result that is missing is a failed step of confidence 0. An unknown family raises an error."""
+    tools = tools if "results" in tools.columns else tool_map(tools)
+    family = F.col("question_type")
+    programs = F.coalesce(F.element_at(program_table(), family), F.raise_error(F.concat(F.lit("unknown family "), family)))
+    rows = questions.select("question_id", "image_id", "question_type", "answer_space", F.col("class_name").alias("c"), F.inline(programs)).join(tools.select("image_id", "results"), "image_id", "left")
+    asked = F.transform("calls", lambda k: F.struct(k["tool"].alias("tool"), F.when(k["arg1"] == "$c", F.col("c")).otherwise(k["arg1"]).alias("arg1"), k["arg2"].alias("arg2")))
+    looked = F.transform(asked, lambda k: F.struct(k.alias("k"), F.when(k["arg1"].isNull(), k["tool"]).otherwise(_key(k["tool"], k["arg1"], k["arg2"])).alias("key")))
+    met = F.transform(looked, lambda x: F.struct(x["k"].alias("k"), x["key"].alias("key"), F.try_element_at("results", x["key"]).alias("r")))
+
+    def step(x: Column) -> Column:
+        tool, r, none = x["k"]["tool"], x["r"], F.lit(None).cast("string")
+        kind = F.when(tool.isin("presence", "adjacency"), "bool").when(tool == "area_pixels", "int").otherwise("class_name")
+        lost = F.when(r.isNull(), F.concat(F.lit("no result for "), x["key"])).otherwise(r["failure"])
+        return F.struct(tool.alias("tool"), x["k"]["arg1"].alias("arg1"), x["k"]["arg2"].alias("arg2"), kind.alias("output_type"), F.when(lost.isNull(), r["output"]).otherwise(none).alias("output"), F.coalesce(r["confidence"], F.lit(0.0)).alias("confidence"), F.coalesce(r["evidence_ids"], F.array().cast("array<string>")).alias("evidence_ids"), F.coalesce(r["latency_ms"], F.lit(0.0)).alias("latency_ms"), lost.alias("failure"))
+
+    runs = let(rows, steps=F.transform(met, step).cast(f"array<{STEP}>")).select("question_id", "question_type", "answer_space", "c", "variant", "steps")
     family, variant, c = F.col("question_type"), F.col("variant"), F.col("c")
-    rf, rn, bf, water = "road_flooded", "road_non_flooded", "building_flooded", "water"
     # the direct damage program stops once it has seen a flooded building
-    stop = (family == "damage_state") & (variant == "direct") & _value(F.col("steps"), "presence", bf, True)
+    first = F.get("steps", F.lit(0))
+    stop = (family == "damage_state") & (variant == "direct") & first["failure"].isNull() & (first["output"] == "true")
     runs = let(runs, raw=F.when(stop, F.slice("steps", 1, 1)).otherwise(F.col("steps"))).drop("steps")
-    present, area = lambda k: _value(F.col("raw"), "presence", k, True), lambda k: _value(F.col("raw"), "area_pixels", k, False)
-    touch = _value(F.col("raw"), "adjacency", None, True)
+    relation = F.try_element_at(F.filter("raw", lambda s: s["tool"] == "adjacency"), F.lit(-1))
+    runs = let(runs, look=_seen(F.col("raw")), relation=relation, first_output=F.get("raw", F.lit(0))["output"])
+    at = lambda k: F.get("look", F.lit(CLASSES.index(k)))
+    clash = lambda x: x["has_p"] & x["has_a"] & (x["present"] != (x["area"] > 0))
+    runs = let(runs, rf=at("road_flooded"), rn=at("road_non_flooded"), bf=at("building_flooded"), water=at("water"), mine=F.get(F.filter("look", lambda x: x["k"] == c), F.lit(0)), clashing=F.get(F.filter("look", clash), F.lit(0))["k"], related=F.col("relation").isNotNull() & F.col("relation.failure").isNull(), touch=F.coalesce(F.col("relation.failure").isNull() & (F.col("relation.output") == "true"), F.lit(False)))
     yes = lambda x: F.when(x, "yes").otherwise("no")
-    sound = _has(F.col("raw"), "area_pixels", rf) & _has(F.col("raw"), "area_pixels", rn)
-    areas = F.array(*[area(k) for k in CLASSES])
-    scanned = F.element_at(F.array(*map(F.lit, CLASSES)), F.array_position(areas, F.array_max(areas)).cast("int"))
-    first_output = F.col("raw")[0]["output"]
+    areas = F.transform("look", lambda x: x["area"])
+    scanned = F.get("look", (F.array_position(areas, F.array_max(areas)) - 1).cast("int"))["k"]
+    rf, rn, touch = F.col("rf"), F.col("rn"), F.col("touch")
+    sound = rf["has_a"] & rn["has_a"]
     answer = (
-        F.when(family == "presence", F.when(variant == "area_check", yes(area(c) > 0)).otherwise(yes(present(c))))
-        .when(family == "damage_state", F.when(present(bf) | present(rf), "damage_present").otherwise("no_damage"))
-        .when(family == "area_comparison", F.when(sound & (area(rf) > area(rn)), rf).when(sound & (area(rn) > area(rf)), rn).otherwise("equal"))
+        F.when(family == "presence", F.when(variant == "area_check", yes(F.col("mine.area") > 0)).otherwise(yes(F.col("mine.present"))))
+        .when(family == "damage_state", F.when(F.col("bf.present") | rf["present"], "damage_present").otherwise("no_damage"))
+        .when(family == "area_comparison", F.when(sound & (rf["area"] > rn["area"]), "road_flooded").when(sound & (rn["area"] > rf["area"]), "road_non_flooded").otherwise("equal"))
         .when(family == "spatial_adjacency", yes(touch))
-        .when(family == "dominant_class", F.when(variant == "direct", first_output).otherwise(scanned))
-        .otherwise(F.when(variant == "direct", yes((area(rf) > 0) & touch)).otherwise(yes(present(rf) & touch)))
+        .when(family == "dominant_class", F.when(variant == "direct", F.col("first_output")).otherwise(scanned))
+        .otherwise(F.when(variant == "direct", yes((rf["area"] > 0) & touch)).otherwise(yes(rf["present"] & touch)))
     )
     last = lambda tool, arg: _last(F.col("raw"), tool, arg)
-    clashes = lambda k: _has(F.col("raw"), "presence", k) & _has(F.col("raw"), "area_pixels", k) & (present(k) != (area(k) > 0))
-    seen = _has(F.col("raw"), "presence", rf) & _has(F.col("raw"), "presence", water) & F.exists("raw", lambda s: (s["tool"] == "adjacency") & s["failure"].isNull())
-    first = F.coalesce(*[F.when(clashes(k), F.lit(k)) for k in CLASSES])  # only the first class that contradicts itself
+    apart = rf["has_p"] & F.col("water.has_p") & F.col("related") & touch & ~(rf["present"] & F.col("water.present"))
+    # fixed values: the texts of the marks
     marks = F.array(
-        F.struct(F.when((family == "presence") & (variant == "verified") & clashes(c), last("area_pixels", c)).alias("at"), F.lit("presence/area contradiction").alias("text")),
-        *[F.struct(F.when((family == "area_comparison") & (variant == "ratio_route") & clashes(k), last("area_pixels", k)).alias("at"), F.lit("inconsistent evidence").alias("text")) for k in (rf, rn)],
-        F.struct(F.when((family == "spatial_adjacency") & (variant != "direct") & seen & touch & ~(present(rf) & present(water)), last("adjacency", None)).alias("at"), F.lit("adjacency/presence contradiction").alias("text")),
-        F.struct(F.when((family == "dominant_class") & (variant == "presence_area_scan"), last("area_pixels", first)).alias("at"), F.lit("presence/area contradiction").alias("text")),
+        F.struct(F.when((family == "presence") & (variant == "verified") & clash(F.col("mine")), last("area_pixels", c)).alias("at"), F.lit("presence/area contradiction").alias("text")),
+        *[F.struct(F.when((family == "area_comparison") & (variant == "ratio_route") & clash(x), last("area_pixels", x["k"])).alias("at"), F.lit("inconsistent evidence").alias("text")) for x in (rf, rn)],
+        F.struct(F.when((family == "spatial_adjacency") & (variant != "direct") & apart, last("adjacency", None)).alias("at"), F.lit("adjacency/presence contradiction").alias("text")),
+        # only the first class that contradicts itself
+        F.struct(F.when((family == "dominant_class") & (variant == "presence_area_scan"), last("area_pixels", F.col("clashing"))).alias("at"), F.lit("presence/area contradiction").alias("text")),
     )
     runs = let(runs, answer0=answer, marks=F.filter(marks, lambda m: m["at"].isNotNull()))
+    runs = runs.drop("look", "relation", "first_output", "rf", "rn", "bf", "water", "mine", "clashing", "related", "touch")
 
     def marked(s: Column, i: Column) -> Column:
         text = F.get(F.filter("marks", lambda m: m["at"] == i), F.lit(0))["text"]
@@ -144,7 +171,7 @@ def finish(runs: DataFrame) -> DataFrame:
 
 def violations(traces: DataFrame, eps: float = 1e-6) -> DataFrame:
     """(trace_id, rule) for each rule that a trace breaks."""
-    last = F.element_at("steps", -1)
+    last = F.try_element_at("steps", F.lit(-1))
     d = F.col("answer_distribution")
     p = F.map_values(d)
     before = F.slice("steps", 1, F.greatest(F.size("steps") - 1, F.lit(0)))
@@ -152,7 +179,7 @@ def violations(traces: DataFrame, eps: float = 1e-6) -> DataFrame:
     rules = {
         "no steps": F.size("steps") < 1,
         "last step is no answer": (last["tool"] != "answer") | (last["output_type"] != "answer"),
-        "last output is not the final answer": ~last["output"].eqNullSafe(F.col("final_answer")),
+        "last output is not the final answer": (F.size("steps") > 0) & ~last["output"].eqNullSafe(F.col("final_answer")),
         "empty distribution": F.size(d) < 1,
         "probability out of range": F.exists(p, lambda x: (x < 0) | (x > 1)),
         "distribution does not sum to 1": F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) > eps,
@@ -173,14 +200,23 @@ def best_trace(traces: DataFrame) -> DataFrame:
     return traces.groupBy("question_id").agg(F.max_by(F.struct("trace_id", "final_answer", "generator_score"), order).alias("b")).select("question_id", "b.*")
 
 
+def soft_answer(distributions: Column) -> tuple[Column, Column]:
+    """(soft answer, trace answer) of an array of distributions: their summed shares by answer, in order of answer, and the
+    greatest, alphabetical among equals."""
+    entries = F.flatten(F.transform(distributions, lambda d: F.map_entries(d)))
+    names = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
+    total = lambda es: F.aggregate(es, F.lit(0.0), lambda a, e: a + e["value"])
+    shares = F.transform(names, lambda k: F.struct(k.alias("answer"), (total(F.filter(entries, lambda e: e["key"] == k)) / total(entries)).alias("p")))
+    top = F.get(F.array_sort(F.transform(shares, lambda x: F.struct((-x["p"]).alias("p"), x["answer"].alias("answer")))), F.lit(0))["answer"]
+    return F.map_from_entries(shares), top
+
+
 def soft_answers(traces: DataFrame) -> DataFrame:
     """(question_id, soft_answer map sorted by answer, trace_answer): the mean distribution of a question's traces, and its
-    greatest answer, alphabetical among equals."""
-    each = traces.select("question_id", F.explode("answer_distribution").alias("answer", "p")).groupBy("question_id", "answer").agg(F.sum("p").alias("p"))
-    total = each.groupBy("question_id").agg(F.sum("p").alias("t"), F.array_sort(F.collect_list(F.struct("answer", "p"))).alias("a"))
-    scaled = F.transform("a", lambda x: F.struct(x["answer"], (x["p"] / F.col("t")).alias("p")))
-    top = F.element_at(F.array_sort(F.transform(scaled, lambda x: F.struct((-x["p"]).alias("p"), x["answer"].alias("answer")))), 1)["answer"]
-    return total.select("question_id", F.map_from_entries(scaled).alias("soft_answer"), top.alias("trace_answer"))
+    greatest answer, alphabetical among equals. A question has a few traces, which meet in one grouping."""
+    each = traces.groupBy("question_id").agg(F.collect_list("answer_distribution").alias("d"))
+    soft, top = soft_answer(F.col("d"))
+    return each.select("question_id", soft.alias("soft_answer"), top.alias("trace_answer"))
 
 
 def targets(questions: DataFrame, traces: DataFrame, variant: str) -> DataFrame:

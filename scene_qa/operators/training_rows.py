@@ -25,15 +25,16 @@ def bounded_size(width: Column, height: Column, max_pixels: int) -> Column:
     return F.struct(fit(width).alias("width"), fit(height).alias("height"))
 
 
-def loss_labels(ids: Column, prompt: Column, pad: int, support: Column, answer_end: Column, attention: Column | None = None) -> tuple[Column, Column]:
-    """(labels, error) of a token array. Padding is ignored; AA ignores all but the answer, from the prompt's end to
-    answer_end; PC keeps the prompt. The error is null for a sound row: an unknown support, a prompt that is no prefix, a span
-    out of bounds, an attention mask of another length, or nothing left to learn after the first place."""
-    shown = lambda x, i: (x != pad) if attention is None else (F.get(attention, i) == 1)
+def loss_labels(ids: Column, prompt: Column, pad: int | None, support: Column, answer_end: Column, attention: Column | None = None) -> tuple[Column, Column]:
+    """(labels, error) of a token array. Padding is ignored, with pad None there is none; AA ignores all but the answer, from
+    the prompt's end to answer_end (null: the end of the array); PC keeps the prompt. The error is null for a sound row: a
+    prompt that is empty or no prefix, an unknown support, an attention mask of another length, a span out of bounds, or
+    nothing left to learn after the first place."""
+    shown = lambda x, i: (F.get(attention, i) != 0) if attention is not None else F.lit(True) if pad is None else (x != pad)
     end = F.coalesce(answer_end, F.size(ids))
     inside = lambda i: (support == "PC") | ((i >= F.size(prompt)) & (i < end))
     labels = F.transform(ids, lambda x, i: F.when(shown(x, i) & inside(i), x).otherwise(IGNORED))
-    error = F.when(~support.isin("PC", "AA"), "support").when(~F.slice(ids, 1, F.size(prompt)).eqNullSafe(prompt), "prompt is no prefix")
+    error = F.when(prompt.isNull() | (F.size(prompt) == 0) | ~F.slice(ids, 1, F.greatest(F.size(prompt), F.lit(1))).eqNullSafe(prompt), "prompt is no prefix").when(support.isNull() | ~support.isin("PC", "AA"), "support")
     if attention is not None:
         error = error.when(F.size(attention) != F.size(ids), "attention length")
     error = error.when((end <= F.size(prompt)) | (end > F.size(ids)), "answer span").when(~F.exists(F.slice(labels, 2, F.greatest(F.size(ids), F.lit(1))), lambda x: x != IGNORED), "nothing to learn")

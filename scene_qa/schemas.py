@@ -2,6 +2,7 @@
 
 #: Semantic classes, a class's id is its place.
 CLASSES = ("background", "building_flooded", "building_non_flooded", "road_flooded", "road_non_flooded", "water", "tree", "vehicle", "pool", "grass")
+#: Splits, question families.
 SPLITS = ("train", "val", "test")
 FAMILIES = ("presence", "damage_state", "area_comparison", "spatial_adjacency", "dominant_class", "logical_conjunction")
 #: Ordered class pairs, the lower id first.
@@ -19,6 +20,7 @@ WORDING = {
     "dominant_class": ("What covers most of the picture?", "Which class has the most pixels?", "What is the largest class here?"),
     "logical_conjunction": ("Is there flooded road that touches water?", "Does the image show flooded road, and water beside it?", "Are flooded road and water both there and touching?"),
 }
+#: Prediction runs, training cells, case events.
 RUNS = ("Zero-shot", "PC-Ans", "PC-Trace", "AA-Ans", "AA-Trace")
 CELLS = ("PC-Ans", "PC-Trace", "AA-Ans", "AA-Trace")
 EVENTS = ("fixes_zero_shot", "trace_helps", "trace_hurts", "remaining_hard", "seed_disagreements")

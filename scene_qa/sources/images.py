@@ -6,28 +6,55 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def uri(path: Column) -> Column:
+    """A path with one slash after its scheme: Spark's readers differ in that."""
+    return F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
 def discover_pairs(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
     """(split, image_id, image_path, mask_path) of <split>/<split>-org-img/<id>.jpg and <split>-label-img/<id>_lab.png, by
-    number; an image without its mask raises an error when the rows are read. Files are listed, not read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    split = F.regexp_extract("path", r"/([^/]+)/[^/]+/[^/]+$", 1)
-    image = listed.where(F.col("path").rlike(r"-org-img/\d+\.jpg$")).select(split.alias("split"), F.regexp_extract("path", r"(\d+)\.jpg$", 1).alias("image_id"), F.col("path").alias("image_path"))
-    mask = listed.where(F.col("path").rlike(r"-label-img/\d+_lab\.png$")).select(split.alias("split"), F.regexp_extract("path", r"(\d+)_lab\.png$", 1).alias("image_id"), F.col("path").alias("mask_path"))
-    found = image.where(F.col("split").isin(*splits)).join(mask, ["split", "image_id"], "left")
-    checked = F.when(F.col("mask_path").isNotNull(), F.col("mask_path")).otherwise(F.raise_error(F.concat(F.lit("no mask for "), F.col("image_path"))))
-    return found.withColumn("mask_path", checked).orderBy(F.col("image_id").cast("bigint"))
+    number. An image without its mask, and one whose name is no number, raise an error when the rows are read. Files are
+    listed, not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(uri(F.col("path")).alias("path"))
+    part = lambda pattern, i: F.regexp_extract("path", pattern, i)
+    image, mask = r"/([^/]+)/\1-org-img/([^/]+)\.jpg$", r"/([^/]+)/\1-label-img/([^/]+)_lab\.png$"
+    images = listed.where(F.col("path").rlike(image)).select(part(image, 1).alias("split"), part(image, 2).alias("image_id"), F.col("path").alias("image_path"))
+    masks = listed.where(F.col("path").rlike(mask)).select(part(mask, 1).alias("split"), part(mask, 2).alias("image_id"), F.col("path").alias("mask_path"))
+    found = images.where(F.col("split").isin(*splits)).join(masks, ["split", "image_id"], "left")
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.col("image_path")))
+    number = F.when(F.col("image_id").rlike(r"^\d+$"), F.col("image_id")).otherwise(fail("no number: "))
+    checked = F.coalesce("mask_path", fail("no mask for "))
+    return found.select("split", number.alias("image_id"), "image_path", checked.alias("mask_path")).orderBy(F.col("image_id").cast("bigint"))
+
+
+def exif_block(content: Column, most_segments: int = 4096) -> Column:
+    """The Exif block of a JPEG, null if it has none: its segments are walked by their lengths, wherever the block stands."""
+    byte = lambda at: F.conv(F.hex(F.substring(content, at, F.lit(1))), 16, 10).cast("int")
+
+    def step(now, _):
+        at = now["at"]
+        size = byte(at + 2) * 256 + byte(at + 3)
+        kind = F.hex(F.substring(content, at, F.lit(2)))
+        exif = (kind == "FFE1") & (F.substring(content, at + 4, F.lit(6)) == F.lit(b"Exif\0\0"))
+        moved = F.when(kind == "FFFF", F.struct((at + 1).alias("at"), F.lit(0).alias("size")))  # a fill byte
+        moved = moved.when(exif, F.struct((at + 4).alias("at"), (size - 2).alias("size")))
+        moved = moved.when(kind.startswith("FF") & (kind != "FFDA") & (size >= 2), F.struct((at + 2 + size).alias("at"), F.lit(0).alias("size")))
+        done = (at < 1) | (now["size"] > 0)
+        return F.when(done, now).otherwise(F.coalesce(moved, F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"))))
+
+    start = F.struct(F.lit(3).alias("at"), F.lit(0).alias("size"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most_segments)), start, step, lambda now: F.when(now["size"] > 0, F.substring(content, now["at"], now["size"])))
 
 
 def header_tags(data: bytes) -> tuple[str | None, str | None, str | None]:
-    """Tags 36867, 306 and 272 of a JPEG's first APP1 block, either byte order; 36867 stands in the Exif directory."""
-    at = data.find(b"Exif\0\0")
-    if at < 0:
+    """Tags 36867, 306 and 272 of an Exif block, either byte order; 36867 stands in the Exif directory."""
+    if not data.startswith(b"Exif\0\0"):
         return None, None, None
-    tiff = data[at + 6 :]
+    tiff = data[6:]
     order = "<" if tiff[:2] == b"II" else ">"
     found: dict[int, str] = {}
 
@@ -48,29 +75,38 @@ def header_tags(data: bytes) -> tuple[str | None, str | None, str | None]:
     return found.get(36867), found.get(306), found.get(272)
 
 
-def capture_metadata(spark: SparkSession, paths: str, head: int = 65_536) -> DataFrame:
+def capture_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(image_path, timestamp, camera_model): capture time, else change time, from image headers; neither raises an error. An
-    image without a camera has camera `unknown`."""
-    raw = spark.read.format("binaryFile").load(paths).select("path", F.substring("content", 1, head).alias("head"))
+    image without a camera has camera `unknown`. Only the Exif block, of 64 KiB at most, goes to Python."""
+    raw = spark.read.format("binaryFile").load(paths).select(uri(F.col("path")).alias("path"), exif_block(F.col("content")).alias("block"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            tags = [header_tags(bytes(x)) for x in f["head"]]
+            tags = [header_tags(bytes(x or b"")) for x in f["block"]]
             yield pd.DataFrame({"image_path": f["path"], "taken": [t[0] for t in tags], "changed": [t[1] for t in tags], "camera": [t[2] for t in tags]})
 
     found = raw.mapInPandas(run, "image_path string, taken string, changed string, camera string")
-    time = F.try_to_timestamp(F.coalesce("taken", "changed"), F.lit("yyyy:MM:dd HH:mm:ss"))
+    stated = F.coalesce(F.nullif(F.col("taken"), F.lit("")), F.nullif(F.col("changed"), F.lit("")))
+    time = F.try_to_timestamp(stated, F.lit("yyyy:MM:dd HH:mm:ss"))
     return found.select("image_path", F.when(time.isNotNull(), time).otherwise(F.raise_error(F.concat(F.lit("no capture time in "), F.col("image_path"))).cast("timestamp")).alias("timestamp"), F.coalesce(F.nullif(F.col("camera"), F.lit("")), F.lit("unknown")).alias("camera_model"))
 
 
-def read_masks(spark: SparkSession, paths: str) -> DataFrame:
-    """(path, height, width, labels array<int>) of 8-bit gray PNG files. Colour and palette files raise an error."""
+def read_masks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, height, width, labels binary, a byte for each pixel in row order) of 8-bit gray PNG files. Colour and palette
+    files raise an error."""
     image = spark.read.format("image").load(paths).select("image.*")
     one = F.when(F.col("nChannels") == 1, F.col("data")).otherwise(F.raise_error(F.concat(F.lit("not a gray mask: "), F.col("origin"))).cast("binary"))
-    digits = F.regexp_extract_all(F.hex(one), F.lit("(..)"), F.lit(1))
-    return image.select(F.col("origin").alias("path"), "height", "width", F.transform(digits, lambda d: F.conv(d, 16, 10).cast("int")).alias("labels"))
+    return image.select(uri(F.col("origin")).alias("path"), "height", "width", one.alias("labels"))
 
 
 def content_hashes(spark: SparkSession, paths: str) -> DataFrame:
     """(path, sha256) of each file, once."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").load(paths).select(uri(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
+def table_hash(spark: SparkSession, path: str) -> str:
+    """The SHA-256 of a file; of a folder of part files that of their hashes, in order of their names, a line each."""
+    import hashlib
+
+    hashes = [r.sha256 for r in content_hashes(spark, path).orderBy("path").collect()]  # a row for each part file
+    return hashes[0] if len(hashes) == 1 else hashlib.sha256("\n".join(hashes).encode()).hexdigest()

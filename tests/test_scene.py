@@ -44,7 +44,7 @@ def test_sequences_against_a_loop(spark):
     rng = random.Random(5)
     rows = [(i, rng.randrange(0, 4000) * 0.5, rng.choice("AB")) for i in range(200)]
     df = spark.createDataFrame(rows, "image_id long, s double, camera_model string").withColumn("timestamp", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")))
-    for gap, bucket in ((0, 60), (5, 300), (10, 10_000)):
+    for gap, bucket in ((0, 60), (5, 2), (10, 10_000)):
         got = {r.image_id: r.group_no for r in sequences.group_sequences(df, gap, bucket).collect()}
         last, no, want = None, -1, {}
         for i, s, c in sorted(rows, key=lambda r: (r[1], r[0])):
@@ -52,6 +52,8 @@ def test_sequences_against_a_loop(spark):
                 no += 1
             last, want[i] = (s, c), no
         assert got == want
+    same = df.withColumn("timestamp", F.timestamp_micros(F.lit(0)))  # one time: the ids alone part the buckets
+    assert {r.group_no for r in sequences.group_sequences(same.withColumn("camera_model", F.lit("A")), 0, 3).collect()} == {0}
     with pytest.raises(ValueError):
         sequences.group_sequences(df, float("nan"))
     assert sequences.group_sequences(df.limit(0), 1).count() == 0
@@ -112,3 +114,121 @@ def test_balanced_sample_is_trimmed_before_the_shuffle(spark):
         mine = sorted((q for i, q in enumerate(ids) if "ab"[i % 3 == 0] == family), key=lambda q: hashlib.sha256(f"11\0{q}".encode()).hexdigest())
         assert [r.question_id for r in got.where(F.col("question_type") == family).orderBy("position").collect()] == mine[:20]
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_assignment(images, ratios, seed):
+    """The assignment rule over plain dictionaries: every score is taken from all the counts anew."""
+    share = [r / sum(ratios) for r in ratios]
+    groups = {}
+    for image, group, camera, counts in images:
+        g = groups.setdefault(group, {"id": group, "camera": camera, "n": 0, "px": {}})
+        g["camera"], g["n"] = min(g["camera"], camera), g["n"] + 1
+        for k, v in enumerate(counts):
+            g["px"][k] = g["px"].get(k, 0) + v
+    order = sorted(groups.values(), key=lambda g: (-g["n"], g["id"]))
+    active, generator, out = [s for s in range(3) if share[s] > 0], random.Random(seed), {}
+
+    def off(weight):
+        total = sum(weight(g) for g in order)
+        return sum(abs(sum(weight(g) for g in order if out.get(g["id"]) == s) - total * share[s]) for s in range(3)) / total if total else 0.0
+
+    cameras, classes = sorted({g["camera"] for g in order}), sorted({k for g in order for k in g["px"]})
+    for i, g in enumerate(order):
+        unused = lambda s: set(active) - set(out.values()) - {s}
+        allowed = [s for s in active if len(order) < len(active) or len(order) - i - 1 >= len(unused(s))]
+        scores = []
+        for s in allowed:
+            out[g["id"]] = s
+            by_camera = sum(off(lambda x, c=c: x["n"] if x["camera"] == c else 0) for c in cameras) / len(cameras)
+            by_class = sum(off(lambda x, k=k: x["px"].get(k, 0)) for k in classes) / len(classes) if classes else 0.0
+            scores.append(off(lambda x: x["n"]) + 0.25 * by_camera + 0.25 * by_class)
+            del out[g["id"]]
+        out[g["id"]] = generator.choice([s for s, v in zip(allowed, scores, strict=True) if abs(v - min(scores)) <= 1e-12])
+    return {k: ("train", "val", "test")[s] for k, s in out.items()}
+
+
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_assignment_against_a_plain_pass(spark, batch):
+    rng = random.Random(4)
+    rows = [(i, f"g{rng.randrange(30)}", rng.choice("ABC"), [rng.randrange(4) * 7, rng.randrange(3), 0]) for i in range(150)]
+    df = spark.createDataFrame(rows, "image_id long, group_id string, camera_model string, counts array<long>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r.group_id: r.split for r in splits.assign_groups(df, (0.5, 0.3, 0.2), 9, counts="counts").collect()}
+        parts = splits.assign_groups(df, (0.5, 0.3, 0.2), 9, counts="counts", parts=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == plain_assignment(rows, (0.5, 0.3, 0.2), 9)
+    assert sorted(r.group_id for r in parts) == sorted(got)
+
+
+@pytest.mark.parametrize("chunk", [3, 1 << 20])
+def test_permuted_heads_against_the_plain_generator(chunk):
+    for sizes in ({"a": 1, "b": 10}, {"z": 200, "x": 50, "y": 23}):
+        generator, want = random.Random(5), {}
+        for family in sorted(sizes):
+            ranks = list(range(sizes[family]))
+            generator.shuffle(ranks)
+            want[family] = ranks[: min(sizes.values())]
+        assert permuted_heads(sizes, min(sizes.values()), 5, chunk) == want
+
+
+@pytest.mark.parametrize("bucket_rows", [1_000_000, 7])
+def test_exact_balanced_sample_against_the_plain_generator(spark, bucket_rows, monkeypatch):
+    rank = prepare.family_rank
+    monkeypatch.setattr(prepare, "family_rank", lambda rows, sizes: rank(rows, sizes, bucket_rows))
+    ids = [f"question-{i}" for i in range(90)]
+    rows = spark.createDataFrame([(q, "ab"[i % 3 == 0]) for i, q in enumerate(ids)], "question_id string, question_type string").repartition(3)
+    got = {(r.question_type, r.position): r.question_id for r in prepare.balanced_sample(rows, 5, 11, exact=True).collect()}
+    generator, want = random.Random(11), {}
+    for family in "ab":
+        mine = sorted(q for i, q in enumerate(ids) if "ab"[i % 3 == 0] == family)
+        generator.shuffle(mine)
+        want |= {(family, k): q for k, q in enumerate(mine[:5])}
+    assert got == want
+
+
+def test_medians_against_the_statistics_module(spark):
+    import statistics
+
+    from scene_qa.functions.median import exact_medians
+
+    rng = random.Random(2)
+    rows = [(k, rng.choice([None, 1.0, rng.random(), -rng.random() * 100])) for k in ("a", "b", None) for _ in range({"a": 101, "b": 60, None: 7}[k])] + [("c", 2.5), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for stretches in (4096, 3, 1):
+        got = {r.k: r["median"] for r in exact_medians(df, ["k"], "v", stretches=stretches).collect()}
+        assert got == pytest.approx({k: statistics.median(v for q, v in rows if q == k and v is not None) for k in ("a", "b", None, "c")})
+    assert exact_medians(df, [], "v").first()["median"] == pytest.approx(statistics.median(v for _, v in rows if v is not None))
+
+
+def test_loss_label_errors(spark):
+    from pyspark.sql import Row
+
+    def error(ids, prompt, pad=0, support="AA", end=None, attention=None):
+        row = spark.createDataFrame([Row(ids=ids)], "ids array<int>").withColumn("p", F.array(*map(F.lit, prompt)).cast("array<int>")).withColumn("m", F.array(*map(F.lit, attention or [])).cast("array<int>"))
+        return row.select(*[c.alias(n) for c, n in zip(training_rows.loss_labels(F.col("ids"), F.col("p"), pad, F.lit(support), F.lit(end).cast("int"), F.col("m") if attention is not None else None), ("labels", "error"), strict=True)]).first()
+
+    assert error([5, 6, 7], []).error == "prompt is no prefix" and error([5, 6, 7], [5, 9]).error == "prompt is no prefix"
+    assert error([5, 6, 7], [5], support="XX").error == "support" and error([5, 6], [5], attention=[1]).error == "attention length"
+    assert [error([1, 2, 3, 4], [1, 2], end=e).error for e in (2, 5, 3)] == ["answer span", "answer span", None]
+    assert error([5, 0], [5]).error == "nothing to learn"
+    kept = error([5, 0], [5], pad=None)
+    assert kept.error is None and kept.labels == [-100, 0]
+    masked = error([5, 6, 7, 8, 9, 10, 11, 0], [5, 6, 7, 8], end=6, support="AA")
+    assert masked.labels == [-100] * 4 + [9, 10, -100, -100]
+
+
+def test_a_missing_or_repeated_tool_result(spark):
+    from scene_qa.operators import traces
+
+    result = lambda tool, arg, out: ("i", tool, arg, None, out, 1.0, [f"{tool}:{arg}"], 0.0, None)
+    rows = [result("presence", "water", "true"), result("presence", "tree", "true"), result("area_pixels", "tree", "0")]
+    schema = "image_id string, tool string, arg1 string, arg2 string, output string, confidence double, evidence_ids array<string>, latency_ms double, failure string"
+    asked = spark.createDataFrame([("q1", "i", "presence", ["yes", "no"], "water"), ("q2", "i", "presence", ["yes", "no"], "tree"), ("q3", "j", "presence", ["yes", "no"], "tree")], "question_id string, image_id string, question_type string, answer_space array<string>, class_name string")
+    got = {(r.question_id, r.program_variant): r for r in traces.run_programs(asked, spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == 9 and [s.failure for s in got["q1", "verified"].steps] == [None, "no result for area_pixels:water", "no result for area_pixels:water"]
+    assert got["q1", "direct"].final_answer == "yes" and got["q2", "verified"].steps[1].failure == "presence/area contradiction"
+    assert got["q3", "direct"].answer_distribution == {"yes": 0.5, "no": 0.5} and got["q3", "direct"].generator_score == 0
+    with pytest.raises(Exception, match="(?i)duplicate"):
+        traces.run_programs(asked, spark.createDataFrame([*rows, rows[0]], schema)).collect()
