@@ -1,48 +1,28 @@
-"""Shared-folder tables and size-checked joins used by the operators of this subpackage."""
+"""Joins and columns used by the operators of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scene_qa.functions.tables import materialise, scratch_path, shared_folder
 
-#: Spark drops an execution's shuffle files when it ends; on only while a table is written, which nothing re-reads them for.
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+__all__ = ["column", "materialise", "pack", "scratch_path", "shared_folder", "small_join", "table", "utf8"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir. Only a local[...] master
-    without that setting (a test) gets a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+#: Bytes of a side that is broadcast, as JSON text: several times what it takes in memory for numbers, about that for strings.
+BROADCAST_BYTES = 32 << 20
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again. It cuts the lineage, so a lost
-    executor costs no recomputation, and what was not deterministic before is fixed afterwards."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/scene-qa-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    schema, before = df.schema, spark.conf.get(_FREE, None)
-    spark.conf.set(_FREE, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
-    return spark.read.schema(schema).parquet(path)
+def column(*names: str) -> Column:
+    """A column, or a field of a struct column, by its name: dots and backticks are part of it."""
+    return F.col(".".join("`" + n.replace("`", "``") + "`" for n in names))
 
 
-def small_join(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", max_rows: int = 200_000) -> DataFrame:
-    """Join df with a materialised side: broadcast if its counted rows are at most max_rows, else a
+def small_join(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", max_rows: int = 200_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join df with a materialised side: broadcast if its counted rows and bytes are at most max_rows and max_bytes, else a
     shuffle join whose skewed keys adaptive execution splits. Both give the same rows."""
-    if side.count() <= max_rows:
+    size = side.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*[column(c) for c in side.columns])))).alias("bytes")).first()
+    if size["n"] <= max_rows and (size["bytes"] or 0) <= max_bytes:
         return df.join(F.broadcast(side), on, how)
     return df.join(side.hint("merge"), on, how)
 
@@ -53,9 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pack(df: DataFrame, name: str = "_row") -> DataFrame:
     """All columns of df as one struct column, so that no added column can clash with them."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+    return df.select(F.struct(*[column(c) for c in df.columns]).alias(name))
 
 
-def utf8(col) -> "F.Column":
+def utf8(col: Column) -> Column:
     """Text as UTF-8 bytes, null as empty."""
     return F.coalesce(col, F.lit("")).cast("binary")
