@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scene_qa.llm.common import materialise, small_join, utf8
+from scene_qa.llm.common import column, materialise, small_join, utf8
 
 GRAM = 12
-#: Phrases of one core held by a task; a core with more has its windows counted by a grouped aggregate.
-CORE_PHRASES = 50_000
+#: Bytes of the phrases of one core held by a task; a core with more has its windows counted by a grouped aggregate.
+CORE_BYTES = 1 << 20
 _CHUNK = 1 << 20
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -156,7 +156,7 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, byte
     return len(data), sum(b - a for a, b in merged), len(merged), digest.digest()
 
 
-def repeated_spans(texts: DataFrame, window: int = 200, core_phrases: int = CORE_PHRASES) -> DataFrame:
+def repeated_spans(texts: DataFrame, window: int = 200, core_bytes: int = CORE_BYTES) -> DataFrame:
     """texts(id long, data binary): distinct texts -> (id, spans array<struct<a int, b int>>): bytes that lie in a
     window which also starts elsewhere in these texts. Texts without any are left out."""
     parse = materialise(texts.select("id", "data").mapInArrow(lambda it: _parse(it, window), "core long, whole long, id long, start int, size int, at int"))
@@ -165,7 +165,7 @@ def repeated_spans(texts: DataFrame, window: int = 200, core_phrases: int = CORE
     cores = materialise(cores.where("n > 1").select("core", (F.col("low") != F.col("high")).alias("mixed")))
     met = materialise(parse.join(cores, "core"))
     dictionary = materialise(met.where("mixed").groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "start", "size", "at")).alias("first")))
-    large = materialise(dictionary.groupBy("core").count().where(F.col("count") > core_phrases).select("core", F.lit(True).alias("large")))
+    large = materialise(dictionary.groupBy("core").agg(F.sum("first.size").alias("bytes")).where(F.col("bytes") > core_bytes).select("core", F.lit(True).alias("large")))
     wanted = dictionary.groupBy("first.id").agg(F.collect_list(F.struct("core", "whole", "first.start", "first.size", "first.at")).alias("p"))  # phrases of one text
     read = wanted.join(texts.select("id", "data"), "id").select("data", F.explode("p").alias("p"))
     read = read.select("p.core", "p.whole", F.substring("data", F.col("p.start") + 1, F.col("p.size")).alias("phrase"), "p.at")
@@ -188,16 +188,17 @@ def repeated_spans(texts: DataFrame, window: int = 200, core_phrases: int = CORE
     return materialise(found.groupBy("id").agg(F.collect_list("s").alias("spans")))  # of one text
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 200, core_phrases: int = CORE_PHRASES, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 200, core_bytes: int = CORE_BYTES, keep_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the kept bytes.
 
     Every byte covered by a `window`-byte string that also starts anywhere else, in the same document or another, goes;
     strings are judged on the input. Null counts as empty; texts shorter than a window keep all. Rows with
     equal texts are one text that recurs, so all of it goes if it is as long as a window; ids may repeat or be
-    null. An empty table gives no rows."""
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("data")).withColumn("digest", F.unhex(F.sha2("data", 256)))
+    null. A very long text is parsed in pieces that overlap. Only the two named columns are read, whatever others are called. An
+    empty table gives no rows."""
+    keyed = docs.select(column(doc_id).alias("doc_id"), utf8(column(text)).alias("data")).withColumn("digest", F.unhex(F.sha2("data", 256)))
     texts = materialise(keyed.groupBy("digest").agg(F.first("data").alias("data"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    spans = repeated_spans(texts, window, core_phrases)
+    spans = repeated_spans(texts, window, core_bytes)
     schema = "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
