@@ -2,9 +2,9 @@
 
 At that similarity 64-bit fingerprints differ in up to 18 bits, where blocks of a fingerprint no longer bring two
 texts together at any size of input. So the upper masks of the index are replaced by bands of least hashes of the
-shingles: two texts at 0.8 share one of BANDS bands of ROWS with 0.9993. Below a band stands the Gray-order tree of
-the fingerprints, which drops what differs in more than RADIUS bits, and each pair that is left and not yet of one
-class is verified on its whole sets of shingles. Bands are searched in rounds: a bucket whose texts are of one class
+shingles: two texts at 0.8 share one of BANDS bands of ROWS but for three in a million. Below a band stands the Gray-order
+tree of the fingerprints, which drops groups that differ in more than RADIUS bits, and each pair that is left and not yet of
+one class is verified on its whole sets of shingles. Bands are searched in rounds: a bucket whose texts are of one class
 by then is not searched again, so a large group of near copies costs about one round."""
 
 from __future__ import annotations
@@ -17,17 +17,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scene_qa.llm.common import materialise, pack, small_join, utf8
+from scene_qa.llm.common import column, materialise, pack, small_join, utf8
 from scene_qa.llm.components import connected_components
-from scene_qa.llm.simhash import _signed, in_gray_order, majority, near_classes, shingle_hashes, with_cells
+from scene_qa.llm.simhash import _signed, in_gray_order, majority, near_classes, with_cells
+from scene_qa.llm.words import NOT_SPACE, shingles, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 6
+BANDS, ROWS = 32, 5
 #: Bands of each round.
 ROUNDS = (range(0, 4), range(4, BANDS))
-#: Fingerprints of the sets of texts at SIMILARITY differ in about 10 bits, and in over 24 with less than one in 100,000;
-#: of sets of 4 and 5 shingles with 1.2 in 10,000.
-RADIUS = 24
+#: Fingerprints of the sets of two texts at SIMILARITY differ in 64 x 0.15 bits on average; by the binomial tail, in over RADIUS
+#: with about one in 10^10. Sets under LOOSE shingles are too small for that: none of their pairs is dropped.
+RADIUS, LOOSE = 32, 40
 #: Bytes of shingle sets that a search holds, unless one cell has more (at most twice HOT_BYTES).
 BLOCK_BYTES = 32 << 20
 HOT_BYTES = 32 << 20
@@ -37,8 +38,7 @@ _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np
 def sketch(text: bytes, words: int) -> tuple[int, int, list[int], bytes]:
     """Digest of the set of shingles, fingerprint of the set, bands, and the set as sorted 32-bit hashes. Repeats don't weigh:
     they'd part fingerprints of texts whose sets agree."""
-    hashes = shingle_hashes(text, words)
-    distinct = np.unique(hashes)
+    distinct = np.unique(shingles(word_hashes(text, NOT_SPACE), words))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(distinct), 1024):
         h = distinct[at : at + 1024, None]
@@ -88,7 +88,8 @@ def _joined(batches: Iterator[pa.RecordBatch], similarity: float, radius: int) -
         known = np.empty(len(rows), np.int64)
         known[order] = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         sets = [np.frombuffer(r[4], "<u4") for r in rows]
-        labels = near_classes(bucket, fp.view(np.uint64), radius, known, lambda a, b: agree(sets, a, b, similarity), 2000)
+        loose = np.fromiter(map(len, sets), np.int64, len(sets)) < LOOSE
+        labels = near_classes(bucket, fp.view(np.uint64), radius, known, lambda a, b: agree(sets, a, b, similarity), 2000, loose)
         new = np.flatnonzero(labels != known)
         return pa.RecordBatch.from_arrays([pa.array(digest[new]), pa.array(digest[labels[new]])], ["a", "b"])
 
@@ -120,7 +121,6 @@ def near_copy_links(nodes: DataFrame, similarity: float = SIMILARITY, radius: in
         keyed = materialise(keyed.join(mixed.select("key"), "key").drop("size"))
         wanted = materialise(keyed.select("digest").distinct())
         sets = small_join(nodes.select("digest", "shingles"), wanted, ["digest"], "inner")
-        # a key with k > 1 holds over hot_bytes of the sets, so such keys are few
         dealt = with_cells(keyed, mixed.where("k > 1"), "digest").join(sets, "digest")
         ordered = in_gray_order(dealt).select(F.xxhash64("key", "cell").alias("bucket"), "fp", "digest", "root", "shingles")
         links = ordered.mapInArrow(lambda it: _joined(it, similarity, radius), "a long, b long")
@@ -134,11 +134,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     null, then the least hash of its id and text.
 
     Classes are those of the links between whole texts whose sets of `words`-word shingles, A-Z lower-cased, have a Jaccard
-    similarity of `similarity` or more; equal sets always link, others by the bands with 0.9993 at 0.8. A text of fewer words is
+    similarity of `similarity` or more; equal sets always link, others by the bands but for 3 in a million at 0.8, fewer above. A text of fewer words is
     one shingle; null and blank texts are one class. Repeated rows are one row. An empty table gives no rows."""
     # two hashes name a row of docs without its text
     names = lambda key, data: (F.xxhash64(key.isNull(), key, data).alias("_a"), F.xxhash64(data, F.lit(7), key).alias("_b"))
-    key, data = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    key, data = column(doc_id), column(text)
     first = F.struct(key.isNull().alias("none"), key.alias("key"), *names(key, data)).alias("first")
     rows = docs.select(first, utf8(data).alias("data"))
     schema = f"first {rows.schema['first'].dataType.simpleString()}, digest long, fp long, bands array<long>, shingles binary"
@@ -148,6 +148,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     placed = nodes.select("digest", "first").join(roots, nodes["digest"] == roots["node"], "left")
     winners = placed.groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("first").alias("first")).select("first._a", "first._b")
     packed = pack(docs)
-    key, data = F.col(f"_row.`{doc_id}`"), F.col(f"_row.`{text}`")
+    key, data = column("_row", doc_id), column("_row", text)
     each = packed.select("_row", *names(key, data)).groupBy("_a", "_b").agg(F.first("_row").alias("_row"))
     return each.join(materialise(winners), ["_a", "_b"], "left_semi").select("_row.*")

@@ -1,7 +1,8 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-Fingerprints are cut into radius + 1 blocks; two of them within the radius agree on one block, so the block's
-value is the shared masked pattern at the top of the index and the key that spreads the work. Below it the
+Fingerprints are cut into blocks, more than the radius; two of them within the radius agree on all blocks but at most
+radius, so the value of the blocks that agree is the shared masked pattern at the top of the index and the key that
+spreads the work. Below it the
 fingerprints stand in Gray rank, in nodes of FANOUT that hold the bits their members share; a child keeps only
 the bits its parent does not yet fix, so a search adds up differences on the way down and drops a node, with
 all that stands below it, as soon as the sum passes the radius. Links found join classes at once, and a node
@@ -11,14 +12,15 @@ spanning forest, not all its pairs."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scene_qa.llm.common import materialise, utf8
+from scene_qa.llm.common import column, materialise, small_join, utf8
 from scene_qa.llm.components import connected_components
 
 FANOUT = 8
@@ -109,13 +111,15 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def near_classes(bucket: np.ndarray, fp: np.ndarray, radius: int, labels: np.ndarray | None = None, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, work_held: int = 2_000_000) -> np.ndarray:
+def near_classes(bucket: np.ndarray, fp: np.ndarray, radius: int, labels: np.ndarray | None = None, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, work_held: int = 2_000_000, loose: np.ndarray | None = None) -> np.ndarray:
     """For rows in order of (bucket, Gray rank): the least row of the class that each row is linked to by steps
     of at most radius differing bits inside its bucket.
 
     labels: the same for classes known before. same(a, b): which of the pairs of rows a link within the radius
-    really joins; asked only of rows of different classes, for about work_held pairs at a time at most."""
+    really joins; asked only of rows of different classes, for about work_held pairs at a time at most. loose: rows
+    for which no difference is too large."""
     n = len(fp)
+    loose = np.zeros(n, bool) if loose is None else loose
     labels = np.arange(n) if labels is None else labels.copy()
     if n < 2:
         return labels
@@ -138,7 +142,7 @@ def near_classes(bucket: np.ndarray, fp: np.ndarray, radius: int, labels: np.nda
             if not len(q):
                 continue
             acc = acc + np.bitwise_count((fp[q] ^ level["pattern"][node]) & level["mask"][node] & ~fixed)
-            keep = (acc <= radius) & (level["end"][node] > q + 1)
+            keep = ((acc <= radius) | loose[q]) & (level["end"][node] > q + 1)
             if depth:
                 low, high = np.minimum.reduceat(labels, level["row"])[node], np.maximum.reduceat(labels, level["row"])[node]
                 keep &= ~((low == high) & (low == labels[q]))
@@ -182,12 +186,12 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 
 
 def with_cells(keyed: DataFrame, hot: DataFrame, by: str) -> DataFrame:
-    """keyed and a column cell. A key of the few in hot(key, k) has its rows dealt into k parts by the column `by`, and
+    """keyed and a column cell. A key of hot(key, k), materialised, has its rows dealt into k parts by the column `by`, and
     a cell for each pair of parts, so that every pair of its rows meets in a cell; another key is one cell."""
     zero = F.lit(0).cast("long")
     if not hot.head(1):
         return keyed.withColumn("cell", zero)
-    dealt = keyed.join(F.broadcast(hot), "key", "left").withColumn("part", F.pmod(F.xxhash64(by), F.col("k")))
+    dealt = small_join(keyed, hot, ["key"]).withColumn("part", F.pmod(F.xxhash64(by), F.col("k")))
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("k").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.col("k") - 1))))
     cell = F.when(F.col("k").isNull(), zero).otherwise(F.least("part", "other") * F.col("k") + F.greatest("part", "other"))
     return dealt.withColumn("cell", cell).drop("k", "part", "other")
@@ -202,18 +206,35 @@ def in_gray_order(keyed: DataFrame) -> DataFrame:
     return keyed.withColumn("gray", gray).repartition("key", "cell").sortWithinPartitions("key", "cell", F.shiftrightunsigned("gray", 32), F.col("gray").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """fps(fp long, distinct) -> (a, b): a spanning forest of the links at radius or fewer differing bits, found
+def block_keys(radius: int, blocks: int) -> Column:
+    """An array of keys of fp: the bits are cut into `blocks` blocks, and each choice of blocks - radius of them is a key. Two
+    fingerprints within the radius differ in at most that many blocks, so they share a key."""
+    cuts = np.linspace(0, 64, blocks + 1).round().astype(int).tolist()
+    keys = []
+    for k, kept in enumerate(combinations(range(blocks), blocks - radius)):
+        mask = sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in kept)
+        bits = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        keys.append(F.struct(F.xxhash64(F.lit(k), bits).alias("key")))
+    return F.array(*keys)
+
+
+def blocks_for(n: int, radius: int, rows: int = 2000) -> int:
+    """The fewest blocks that leave about `rows` of n evenly spread fingerprints to a key: more fingerprints, longer keys."""
+    blocks = radius + 1
+    while blocks < 2 * radius and n / 2.0 ** (64 * (blocks - radius) / blocks) > rows:
+        blocks += 1
+    return blocks
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 3, hot_rows: int = HOT_ROWS, blocks: int | None = None) -> DataFrame:
+    """fps(fp long, distinct, materialised) -> (a, b): a spanning forest of the links at radius or fewer differing bits, found
     bucket by bucket. A bucket over hot_rows rows is cut into k parts and searched as the k (k + 1) / 2 pairs
-    of parts, so no task holds more than two parts and no link is lost."""
-    cuts = np.linspace(0, 64, radius + 2).round().astype(int)
-    blocks = [F.struct((F.shiftrightunsigned("fp", int(a)).bitwiseAND(F.lit((1 << int(b - a)) - 1)) + F.lit(k << 32)).alias("key")) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-    keyed = fps.select("fp", F.inline(F.array(*blocks)))
-    # at most hot_rows-th part of the rows, and never more than the block values there are
+    of parts, so no task holds more than two parts and no link is lost. blocks: see block_keys; any number over the radius
+    gives the same classes, and by default it grows with the input so that buckets don't."""
+    blocks = blocks_for(fps.count(), radius) if blocks is None else blocks
+    keyed = fps.select("fp", F.inline(block_keys(radius, blocks)))
     hot = keyed.groupBy("key").count().where(F.col("count") > hot_rows).select("key", F.ceil(F.col("count") / hot_rows).cast("long").alias("k"))
-    hot = materialise(hot)
-    keyed = with_cells(keyed, hot, "fp")
-    keyed = in_gray_order(keyed)
+    keyed = in_gray_order(with_cells(keyed, materialise(hot), "fp"))
     return keyed.select(F.xxhash64("key", "cell").alias("bucket"), "fp").mapInArrow(lambda it: _links(it, radius), "a long, b long")
 
 
@@ -224,9 +245,9 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     one shingle. Rows of one fingerprint are one node of the link graph, so copies, repeated rows and null ids
     cost nothing; component_id is the least id that is not null in the component, null if there is none.
     An empty table gives no rows; other columns are not read."""
-    narrow = materialise(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text", words).select("doc_id", F.col("_fp").alias("fp")))
+    narrow = materialise(with_fingerprint(docs.select(column(doc_id).alias("doc_id"), column(text).alias("_text")), "_text", words).select("doc_id", F.col("_fp").alias("fp")))
     nodes = narrow.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = materialise(connected_components(fingerprint_links(narrow.select("fp").distinct(), radius)))
+    roots = materialise(connected_components(fingerprint_links(materialise(narrow.select("fp").distinct()), radius)))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = placed.where(F.col("least").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(lowest, "root", "left").select("fp", "component_id")
