@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scene_qa.llm.common import materialise, pack, small_join
+from scene_qa.llm.common import column, materialise, pack, small_join
 
 #: Exponent on a source's share of the bytes when no weights are given: below 1 it lifts small sources.
 ALPHA = 0.7
@@ -14,15 +14,17 @@ ALPHA = 0.7
 def repetition_rates(docs: DataFrame, source: str = "source", text: str = "text", weights: DataFrame | None = None, alpha: float = ALPHA, epochs: float = 1.0) -> DataFrame:
     """(source, rate): how often a document of a source should appear on average, so that sources' bytes come to
     the target weights and the total to `epochs` times the input's. weights(source, weight) need not sum to 1; a source
-    that it lacks has weight 0. Without it, the weight is the share of the bytes to the power alpha.
+    that it lacks has weight 0, one that it names more than once the sum of its weights; null and negative weights are 0.
+    Without it, the weight is the share of the bytes to the power alpha.
 
     The size of a row is its bytes plus 1, so empty texts count. Null is a source of its own."""
-    sizes = docs.select(F.col(source).alias("source"), (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long").alias("n")).groupBy("source").agg(F.sum("n").alias("size"))
+    sizes = docs.select(column(source).alias("source"), (F.octet_length(F.coalesce(column(text), F.lit(""))) + 1).cast("long").alias("n")).groupBy("source").agg(F.sum("n").alias("size"))
     if weights is None:
         weighed = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(alpha)))
     else:
-        w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("_w"))
-        weighed = sizes.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "size", F.greatest(F.coalesce("_w", F.lit(0.0)), F.lit(0.0)).alias("weight"))
+        positive = F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))
+        w = weights.groupBy(F.col("source").alias("_s")).agg(F.sum(positive).alias("_w"))
+        weighed = sizes.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "size", F.coalesce("_w", F.lit(0.0)).alias("weight"))
     weighed = materialise(weighed)
     total = weighed.agg(F.sum("size").alias("sizes"), F.sum("weight").alias("weights")).first()
     if not total["weights"]:
@@ -55,15 +57,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
     The number inverts the distribution at a hash of seed and doc_id: the same for any layout and any retry. A null id
     is hashed as such, repeated ids share their number, and the order is by a hash of seed, id and copy, ties by id. All
-    columns stay; with counts there are only doc_id, source, rate, copies and copy. A source of weight 0 goes;
-    an empty table gives no rows."""
+    columns stay, whatever they are called; with counts there are only doc_id, source, rate, copies and copy. A source of weight 0
+    goes; very long texts are counted whole; an empty table gives no rows."""
     rates = materialise(repetition_rates(docs, source, text, weights, alpha, epochs).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), poisson_cdf(F.col("rate")).alias("_cdf")))
-    packed = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source")) if counts else docs
+    packed = docs.select(column(doc_id).alias("doc_id"), column(source).alias("source")) if counts else docs
+    doc_id, source = ("doc_id", "source") if counts else (doc_id, source)
     rows = pack(packed)
-    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col(f"_row.`{source}`").cast("string")), F.lit("-")))
+    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), column("_row", source).cast("string")), F.lit("-")))
     rates = rates.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("_source").cast("string")), F.lit("-"))).drop("_source")
     rows = small_join(rows, rates, ["_key"], "inner", 20_000)
-    key = F.col(f"_row.`{doc_id}`")
+    key = column("_row", doc_id)
     u = uniform(seed, key)
     rows = rows.withColumn("_copies", F.size(F.filter("_cdf", lambda c: c <= u)).cast("long")).drop("_cdf", "_key")
     rows = rows.withColumn("_copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))))
