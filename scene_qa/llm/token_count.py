@@ -8,9 +8,8 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from scene_qa.llm.common import utf8
+from scene_qa.llm.common import column, utf8
 
 #: Subtracted from the least score of the vocabulary for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
@@ -19,13 +18,24 @@ SPACE = "▁"
 _CACHED = 250_000
 
 
+def unigram_vocabulary(model_path: str) -> list[tuple[str, float]]:
+    """The pieces of a sentencepiece unigram model with its own scores."""
+    return [(piece, score) for piece, score, _ in _pieces(model_path)]
+
+
 def zipf_vocabulary(model_path: str) -> list[tuple[str, float]]:
-    """The pieces of a sentencepiece model with log-probabilities by Zipf's law over their rank: 1 / (rank ln n)."""
+    """The pieces of a sentencepiece model of another kind, such as BPE, whose scores are no log-probabilities: those of Zipf's
+    law over the rank, 1 / (rank ln n)."""
+    found = _pieces(model_path)
+    n = max((rank for *_, rank in found), default=0) + 1
+    return [(piece, -math.log((rank + 1) * math.log(max(n, 3)))) for piece, _, rank in found]
+
+
+def _pieces(model_path: str) -> list[tuple[str, float, int]]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    n = model.get_piece_size()
-    return [(model.id_to_piece(i), -math.log((i + 1) * math.log(n))) for i in range(n) if not (model.is_control(i) or model.is_unknown(i))]
+    return [(model.id_to_piece(i), model.get_score(i), i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
 
 
 class _Known(dict):
@@ -102,10 +112,12 @@ class Counter:
 def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, score, n_bytes, over its whole text.
 
-    Null and blank texts have no tokens and score 0. Ids may repeat or be null; other columns are not read. The
-    vocabulary is a tokenizer's file, of fixed size, and goes to every task; words once counted are kept, up to a bound."""
+    Null and blank texts have no tokens and score 0; a very long text is counted word by word. Ids may repeat or be null; rows
+    that repeat are counted each; other columns are not read, whatever they are called; an empty table gives no rows. Of equally
+    good ways to cut a word, the tokenizer's rule decides (see Counter). The vocabulary is a tokenizer's file, of fixed size,
+    and goes to every task; words once counted are kept, up to a bound."""
     pieces = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    kind = dict(docs.dtypes)[doc_id]
+    rows = docs.select(column(doc_id).alias("doc_id"), utf8(column(text)).alias("data"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(pieces.value)
@@ -113,4 +125,4 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], doc_id: s
             n, score, size = zip(*[(*counter.text(data), len(data)) for x in batch.column(1) if (data := x.as_py()) is not None], strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(size, pa.int64())], ["doc_id", "n_tokens", "score", "n_bytes"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("data")).mapInArrow(count, f"doc_id {kind}, n_tokens long, score double, n_bytes long")
+    return rows.mapInArrow(count, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double, n_bytes long")
