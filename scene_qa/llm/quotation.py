@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scene_qa.llm.common import materialise, small_join
+from scene_qa.llm.common import column, materialise, small_join
 
 _MARK = re.compile(r"^(?:[ \t]{0,3}>)+ ?")
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -115,9 +115,11 @@ def reply_order(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     stays together and a reply follows what it answers. Depth counts the replies up to the root.
 
     A null text is empty, a null turn comes first and links to nothing, null conv_ids are one conversation of their
-    own; repeated rows each keep a row, and rows of one turn have one parent. An empty table gives no rows."""
-    named = messages.select(F.col(conv_id).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = f"conv {dict(named.dtypes)['conv']}, turn long, role string, body string, own array<binary>, lines array<binary>, quoted array<struct<level:int,digest:binary,n:int,run:binary>>"
+    own; repeated rows each keep a row, and rows of one turn have one parent. Equal originals: the earliest turn. A quote of what
+    comes later links to nothing. A very long message is parsed whole. Only the four named columns are read, whatever others are
+    called. An empty table gives no rows."""
+    named = messages.select(column(conv_id).alias("conv"), column(turn).cast("long").alias("turn"), column(role).cast("string").alias("role"), F.coalesce(column(text), F.lit("")).alias("text"))
+    schema = f"conv {named.schema['conv'].dataType.simpleString()}, turn long, role string, body string, own array<binary>, lines array<binary>, quoted array<struct<level:int,digest:binary,n:int,run:binary>>"
     parsed = materialise(named.mapInArrow(_parsed, schema))
     parsed = parsed.withColumn("ck", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit("-"))).withColumn("tk", F.coalesce("turn", F.lit(-(1 << 63)).cast("long"))).withColumn("h", F.xxhash64("role", "body"))
     quotes = parsed.where("turn is not null").select("ck", "tk", F.posexplode("quoted").alias("at", "q")).select("ck", "tk", "at", "q.*").distinct()

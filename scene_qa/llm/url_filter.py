@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scene_qa.llm.common import materialise, small_join
+from scene_qa.llm.common import column, materialise, small_join
 
 
 @dataclass(frozen=True)
@@ -87,9 +87,10 @@ def judge_urls(pages: DataFrame, url: str = "url", host_rules: tuple[Rule, ...]
 
     The host rule with the longest host and path decides; where none fits, a URL that a pattern matches is blocked
     and any other allowed. Each URL is judged once however many rows hold it. A null URL, and one without ://, has an
-    empty host and path and is allowed; an empty table gives no rows. Many rules may be filed under one token."""
+    empty host and path and is allowed; a very long URL is matched whole; an empty table gives no rows. Ties: the longer rule, then
+    the first. Many rules may be filed under one token."""
     spark = pages.sparkSession
-    urls = pages.select(F.col(f"`{url}`").alias("url")).distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    urls = pages.select(column(url).alias("url")).distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("subject", F.concat("host", "path"))
     # a host rule outranks every pattern
     top = max([r.rank for r in patterns], default=0) + 1
@@ -101,7 +102,8 @@ def judge_urls(pages: DataFrame, url: str = "url", host_rules: tuple[Rule, ...]
 
 
 def filter_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", **rules) -> DataFrame:
-    """(page_id, host, path, rule, verdict, pattern) of every row of pages; other columns are not read."""
+    """(page_id, host, path, rule, verdict, pattern) of every row of pages, repeated rows included; other columns are not read,
+    whatever they are called. See judge_urls."""
     judged = judge_urls(pages, url, **rules)
-    rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("_url"))
+    rows = pages.select(column(page_id).alias("page_id"), column(url).alias("_url"))
     return rows.join(judged, F.col("_url").eqNullSafe(F.col("url")), "left").select("page_id", "host", "path", "rule", "verdict", "pattern")
