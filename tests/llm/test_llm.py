@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -38,6 +40,7 @@ def test_exact_groups(docs):
         keep = max((i for i in ids if i is not None), default=None)
         assert Counter(g[0] for g in mine) == Counter(ids) and {(g[1], g[2]) for g in mine} == {(keep, len(ids))}
         assert [g[0] for g in mine if g[3]] == [keep]
+    assert Counter(tuple(r) for r in exact_dedup.exact_groups(docs, hot_rows=2).collect()) == Counter(got)  # hot texts are dealt
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
@@ -71,8 +74,24 @@ def test_links_of_hot_buckets_equal_the_plain_search(spark):
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     from scene_qa.llm.components import connected_components
 
-    plain, hot = ({(r.node, r.root) for r in connected_components(simhash.fingerprint_links(df, 3, rows)).collect()} for rows in (10_000, 8))
-    assert plain == hot and plain
+    plain, hot, *longer = ({(r.node, r.root) for r in connected_components(simhash.fingerprint_links(df, 3, rows, blocks)).collect()} for rows, blocks in ((10_000, None), (8, None), (10_000, 5), (8, 6)))
+    assert plain == hot and plain and all(x == plain for x in longer)
+    assert [simhash.blocks_for(n, 3) for n in (10**6, 10**9, 10**12)] == [4, 5, 6]
+
+
+def test_components_against_a_plain_search(spark):
+    from scene_qa.llm.components import connected_components
+
+    rng = random.Random(7)
+    pairs = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(55)] + [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 230)] + [(5, 5)]
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    rows = spark.createDataFrame(pairs + pairs[:9], "a long, b long")
+    assert sorted(map(tuple, connected_components(rows).collect())) == sorted((x, label[x]) for x in linked)
+    assert connected_components(rows.limit(0)).count() == 0
 
 
 def brute_near_classes(texts, words, similarity):
@@ -131,8 +150,17 @@ def test_substrings_against_brute_force(docs):
                 gone[i : i + w] = b"\1" * w
         runs = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
         want[key, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()] += 1
-    for limit in (50_000, 1):
-        assert Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, window=w, core_phrases=limit).collect()) == want
+    for limit in (1 << 20, 1):
+        assert Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, window=w, core_bytes=limit).collect()) == want
+    assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_substrings_of_a_very_long_text(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=2_500_000))
+    other = long[1_048_400:1_048_900] + "end"
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame([(1, long), (2, other), (3, "x" * 400)], "doc_id long, text string")).collect()}
+    assert [(got[k].n_removed, got[k].n_spans) for k in (1, 2, 3)] == [(500, 1), (500, 1), (400, 1)]
 
 
 def test_hilbert_law(docs):
@@ -148,6 +176,36 @@ def test_hilbert_law(docs):
     curve = [r.curve for r in sorted(got, key=lambda r: (r.shard, r.slot))]
     assert curve == sorted(curve)
     assert hilbert.hilbert_shards(docs.limit(0), 16).count() == 0
+    hot = hilbert.hilbert_shards(docs, 16, hot_rows=1).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in hot) == Counter((r.doc_id, r.text_crc32) for r in got)
+    for found in (got, hot):  # equal texts stand together: a group is cut only where a shard ends
+        order = sorted(found, key=lambda r: (r.shard, r.slot))
+        runs = Counter(a.text_crc32 for a, b in zip(order, [None, *order], strict=False) if b is None or a.text_crc32 != b.text_crc32)
+        assert set(runs.values()) == {1}
+
+
+def test_hilbert_tells_strings_apart_that_share_a_beginning(spark):
+    rows = [(i, f"text {i}", f"https://www.site{i % 8}.org/" + "p" * 300 + str(i % 8), "en", 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    cuts = hilbert.cut_points(df, ["source", "n_chars"])
+    assert len(cuts[0]) == 8 and all(len(c) > 300 for c in cuts[0])
+    got = hilbert.hilbert_shards(df, 8, dims=("source", "n_chars")).collect()
+    source = {r[0]: r[2] for r in rows}
+    assert all(len({source[r.doc_id] for r in got if r.shard == s}) == 1 for s in range(8))
+
+
+def test_shard_rows_returns_whole_rows(spark, docs):
+    rows = fixture_rows()
+    got = hilbert.shard_rows(docs, 8)
+    assert got.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
+    found = [tuple(r) for r in got.collect()]
+    at = docs.columns.index("shard")
+    assert Counter(r[:-2] for r in found) == Counter(r[:at] + r[at + 1 :] for r in rows)
+    sizes = Counter(r[-2] for r in found)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and all(sorted(r[-1] for r in found if r[-2] == s) == list(range(sizes[s])) for s in range(8))
+    plain = Counter((r.doc_id, r.shard, r.slot) for r in hilbert.hilbert_shards(docs, 8).collect())
+    assert Counter((r[0], r[-2], r[-1]) for r in found) == plain
+    assert hilbert.shard_rows(docs.limit(0)).count() == 0
 
 
 def test_hilbert_curve_steps_by_one(spark):
@@ -175,19 +233,127 @@ def test_token_counts_equal_the_tokenizer():
     assert counter.text(b"  ") == (0, 0.0)
 
 
-def test_decontamination(spark):
+def plain_counts(vocabulary, text):
+    """Pieces and score by trying all pieces at all places, character by character; of equal scores the longest last piece."""
+    scores = dict(vocabulary)
+    unknown, pieces, total = min(scores.values()) - 10, 0, 0.0
+    for w in (text or "").encode().split():
+        w = "▁" + w.decode().replace(" ", "▁")
+        best = [(0.0, 0, False)] + [(-math.inf, 0, False)] * len(w)
+        for end in range(1, len(w) + 1):
+            for size in range(end, 0, -1):
+                piece, before = w[end - size : end], best[end - size]
+                if piece in scores and before[0] + scores[piece] > best[end][0]:
+                    best[end] = before[0] + scores[piece], before[1] + 1, False
+            if w[end - 1] not in scores and best[end - 1][0] + unknown > best[end][0]:
+                best[end] = best[end - 1][0] + unknown, best[end - 1][1] + (not best[end - 1][2]), True
+        pieces, total = pieces + best[-1][1], total + best[-1][0]
+    return pieces, total
+
+
+def test_token_count_query_against_all_pieces(spark):
+    rng = random.Random(4)
+    vocab = list({"".join(rng.choices("▁abcdé", k=rng.randint(1, 4))): -float(rng.randint(1, 6)) for _ in range(80)}.items())
+    texts = ["".join(rng.choices("aabbccddé xX", k=rng.randint(1, 60))) for _ in range(80)] + [None, "", " \n\t", "abc " * 30_000, "a" * 3000, "▁a ▁▁"]
+    rows = [(i, t, "clash", 1) for i, t in enumerate(texts)] + [(3, texts[3], "clash", 1), (None, texts[4], "clash", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, data string, score long")
+    got = Counter((r.doc_id, r.n_tokens, round(r.score, 6), r.n_bytes) for r in token_count.token_counts(df, vocab).collect())
+    assert got == Counter((r[0], *(lambda p: (p[0], round(p[1], 6)))(plain_counts(vocab, r[1])), len((r[1] or "").encode())) for r in rows)
+    assert token_count.token_counts(df.limit(0), vocab).count() == 0
+
+
+def test_scores_of_a_vocabulary_file():
+    path = "/opt/tokenizers/piece_bpe_32k.model"
+    own, zipf = token_count.unigram_vocabulary(path), token_count.zipf_vocabulary(path)
+    assert [p for p, _ in own] == [p for p, _ in zipf] and len({s for _, s in own}) > 1000
+    assert all(a[1] > b[1] for a, b in zip(zipf, zipf[1:], strict=False))
+
+
+def plain_words(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_passages(item, words):
+    """(matches, start, end) of each diagonal's best passage, by the stated rule, over all stretches."""
+    need = 13 if len(item) > 16 else max(1, math.ceil(0.8 * len(item) - 1e-9))
+    for shift in range(-len(item) + 1, len(words)):
+        same = {k + shift: item[k] == words[k + shift] for k in range(len(item)) if 0 <= k + shift < len(words)}
+        hits = [p for p, x in same.items() if x]
+        if len(item) <= 16:
+            best = (len(hits), hits[0], hits[-1] + 1) if hits else (0, 0, 0)
+        else:
+            score = lambda a, b: sum(1 if same[p] else -2 for p in range(a, b))
+            stretches = [(a, b) for a in hits for b in [h + 1 for h in hits] if a < b]
+            best = max(((score(a, b), sum(same[p] for p in range(a, b)), -a, -b) for a, b in stretches), default=(0, 0, 0, 0))
+            best = (best[1], -best[2], -best[3])
+        if best[0] >= need:
+            yield best
+
+
+def decontamination_fixture():
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
-    item = [word() for _ in range(30)]
-    short = [word() for _ in range(5)]
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short)), (3, None), (4, "")], "item_id long, text string")
-    swapped = [w if i % 7 else word() for i, w in enumerate(item)]
-    texts = {10: [*[word() for _ in range(20)], *item], 11: swapped, 12: [word() for _ in range(200)], 13: [word(), *short, word()], 14: item[:10]}
-    docs = spark.createDataFrame([*[(k, " ".join(v)) for k, v in texts.items()], (15, None), (None, "")], "doc_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
-    assert got == {(10, 1), (11, 1), (13, 2)}
-    assert got == {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, block_bytes=100).collect()}
-    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {12, 14, 15, None}
+    common = [word() for _ in range(12)]
+    sizes = [1, 3, 5, 8, 9, 12, 13, 15, 16, 17, 20, 30, 45]
+    items = [[rng.choice(common) if rng.random() < 0.2 else word() for _ in range(n)] for n in sizes]
+    rows = []
+    for k in range(150):
+        w = [rng.choice(common) if rng.random() < 0.3 else word() for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randrange(3)):
+            item = list(rng.choice(items))
+            for p in range(len(item)):
+                if rng.random() < rng.choice([0, 0.05, 0.15]):
+                    item[p] = word()
+            a, b = (0, len(item)) if rng.random() < 0.7 else sorted((rng.randint(0, len(item)), rng.randint(0, len(item))))
+            at = rng.randint(0, len(w))
+            w[at:at] = item[a:b]
+        rows.append((k, rng.choice([" ", ", ", "\n"]).join(w).title() if k % 3 else " ".join(w)))
+    rows += [(3, rows[3][1]), (None, rows[4][1]), (900, None), (901, ""), (902, " -- "), (903, "filler " * 30_000 + " ".join(items[-1])), (904, " ".join(items[11] + ["gap"] + items[11]))]
+    bench = [(100 + k, " ".join(w)) for k, w in enumerate(items)] + [(100, " ".join(items[0])), (113, " ".join(items[11])), (None, " ".join(items[10])), (200, None), (201, "?!")]
+    return rows, bench
+
+
+def test_decontamination_against_all_diagonals(spark):
+    rows, bench = decontamination_fixture()
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, item_id string, r long")
+    items = spark.createDataFrame([(*r, 5) for r in bench], "item_id long, text string, k long")
+    got = [tuple(r) for r in decontaminate.contaminated(docs, items).collect()]
+    joined = [tuple(r) for r in decontaminate.contaminated(docs, items, index_bytes=0).collect()]
+    assert Counter(got) == Counter(joined)
+    want = Counter()
+    for key, text in rows:
+        for item, body in bench:
+            w = plain_words(body)
+            found = sorted(plain_passages(w, plain_words(text)), key=lambda o: (-o[0], o[1], o[2])) if w else []
+            if found:
+                want[key, item, found[0][0], len(w), found[0][1], found[0][2]] += 1
+    assert all(n <= want[r] for r, n in Counter(got).items() if r[3] <= 16)
+    pairs, all_pairs = Counter(r[:2] for r in got), Counter(r[:2] for r in want.elements())
+    short = Counter(r[:2] for r in want.elements() if r[3] <= 16)
+    assert not short - pairs  # short items miss nothing
+    assert not pairs - all_pairs and sum((pairs & all_pairs).values()) >= 0.97 * sum(all_pairs.values())
+    bad = {key for key, _ in pairs}
+    for limit in (decontaminate.INDEX_BYTES, 0):
+        kept = decontaminate.clean(docs, items, index_bytes=limit)
+        assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(k for k, _ in rows if k not in bad)
+    for a, b in ((docs.limit(0), items), (docs, items.limit(0))):
+        assert decontaminate.contaminated(a, b).count() == decontaminate.contaminated(a, b, index_bytes=-1).count() == 0
+        assert decontaminate.clean(a, b).count() == a.count()
+
+
+def test_words_of_long_texts_are_cut_between_words(monkeypatch):
+    from scene_qa.llm import words
+
+    rng = random.Random(1)
+    text = "".join(rng.choices("abcXYZ é.\n", k=5000)).encode() + b"q" * 9000 + b" end"
+    for inside, pattern in ((words.LETTERS, rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"), (words.NOT_SPACE, rb"[^\x20\x09-\x0d]+")):
+        found = re.findall(pattern, text.lower())
+        whole = words.word_hashes(text, inside)
+        assert len(found) == len(whole) and len(set(found)) == len(set(whole.tolist()))
+        assert dict(zip(found, whole.tolist(), strict=True)) == {w: int(words.word_hashes(w, inside)[0]) for w in set(found)}
+        monkeypatch.setattr(words, "_CHUNK", 64)
+        assert (words.word_hashes(text, inside) == whole).all()
+        monkeypatch.undo()
 
 
 def test_quotation_linking(spark):
@@ -219,11 +385,180 @@ def test_quotation_of_a_part_of_a_message(spark):
     assert [got[t].depth for t in (2, 3, 4)] == [1, 1, 0] and got[3].root == 1 and got[3].position > got[1].position
 
 
-def test_language_held_out(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = language.fit(d.where("doc_id % 2 = 0"))
-    got = language.identify(d.where("doc_id % 2 = 1 and n_chars > 200"), model, declared=None, host=None).select("_row.lang", "language").collect()
-    assert sum(r.lang == r.language for r in got) / len(got) > 0.97
+def plain_threads(rows):
+    """(turn -> reply_to, root, depth, and the counts of each row's quotes), by looking at all pairs of messages."""
+    normal = lambda s: re.sub(r"[ \t\n\r\x0b\x0c]+", " ", s).strip(" ").translate({c: c + 32 for c in range(65, 91)})
+    parsed = []
+    for turn, text in rows:
+        own, quotes = [[]], []
+        last = 0
+        for line in (text or "").split("\n"):
+            mark = re.match(r"^(?:[ \t]{0,3}>)+ ?", line)
+            level, body = (mark[0].count(">"), line[mark.end() :]) if mark else (0, line)
+            if level:
+                if quotes and last == level:
+                    quotes[-1][1].append(body)
+                else:
+                    quotes.append((level, [body]))
+                    own.append([])
+            elif body.strip():
+                own[-1].append(body)
+            else:
+                own += [[], [body], []]
+            last = level
+        lines = [line for part in own for line in part]
+        units = {normal("\n".join(part)) for part in own} | {normal(x) for x in lines} | {normal("\n".join(lines))}
+        parsed.append((turn, units - {""}, [normal(x) for x in lines if normal(x)], [(level, normal("\n".join(q)), [normal(x) for x in q if normal(x)]) for level, q in quotes if normal("\n".join(q))]))
+
+    def original(whole, lines, before):
+        held = lambda units, own: whole in units or (len(lines) > 1 and any(own[i : i + len(lines)] == lines for i in range(len(own))))
+        turns = [t for t, units, own, _ in parsed if t is not None and held(units, own) and t < before]
+        return min(turns, default=None)
+
+    links, counts = {}, []
+    for turn, _, _, quotes in parsed:
+        found = [original(w, lines, turn) if turn is not None else None for _, w, lines in quotes]
+        counts.append((turn, len(quotes), sum(f is not None for f in found)))
+        for at, ((level, *_), f) in enumerate(zip(quotes, found, strict=True)):
+            if f is not None:
+                links.setdefault(turn, []).append((level, at, f))
+    parent = {t: min(found)[2] for t, found in links.items()}
+
+    def root(t):
+        return (t, 0) if t not in parent else (root(parent[t])[0], root(parent[t])[1] + 1)
+
+    return parent, root, counts
+
+
+def test_threads_against_all_pairs_of_messages(spark):
+    rng = random.Random(20)
+    said = [f"sentence {i} about {rng.choice(WORDS)}" for i in range(14)] + ["ok", "Yes."]
+    rows = []
+    for conv in range(25):
+        turns = []
+        for turn in range(rng.randint(1, 9)):
+            lines = [x for _ in range(rng.randint(1, 3)) for x in [rng.choice(said)] * 1 + ([""] if rng.random() < 0.3 else [])]
+            for _ in range(rng.randrange(3)):
+                if turns:
+                    source = (rng.choice(turns)[1] or "").split("\n")
+                    a = rng.randrange(len(source))
+                    quoted = source[a : a + rng.randint(1, 4)] if rng.random() < 0.8 else [rng.choice(said)]
+                    mark = rng.choice(["> ", ">", "> > ", " > "])
+                    lines[rng.randint(0, len(lines)) : 0] = [mark + x.replace(" ", rng.choice([" ", "  "])).upper() for x in quoted]
+            turns.append((turn, "\n".join(lines)))
+        if conv % 5 == 0:
+            turns += [(turns[0][0], turns[0][1]), (turns[-1][0], "> " + said[0]), (None, "> " + said[1]), (99, None), (98, "> " + said[2] + "\n" * 5 + "word " * 20_000)]
+        rows += [(None if conv == 24 else conv, t, "user", x, "clash", "clash") for t, x in turns]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv string, tk string")
+    got = quotation.reply_order(df).collect()
+    assert len(got) == len(rows) and sum(r.n_linked for r in got) > 30
+    for conv in {r[0] for r in rows}:
+        mine = [r for r in got if r.conv_id == conv]
+        parent, root, counts = plain_threads([(r[1], r[3]) for r in rows if r[0] == conv])
+        assert Counter((r.turn, r.n_quotes, r.n_linked) for r in mine) == Counter(counts)
+        for r in mine:
+            assert r.reply_to == parent.get(r.turn) and (r.turn is None or (r.root, r.depth) == root(r.turn)), r
+            assert not any(re.match(r"^[ \t]{0,3}>", line) for line in r.text.split("\n"))
+        order = sorted(mine, key=lambda r: r.position)
+        assert [r.position for r in order] == list(range(len(mine)))
+        keys = [(-1 if r.turn is None else r.root, -1 if r.turn is None else r.turn) for r in order]
+        assert keys == sorted(keys)
+    assert quotation.reply_order(df.limit(0)).count() == 0
+
+
+FOREIGN = {
+    "it": "La mattina seguente il fiume era salito oltre la strada e gli abitanti del paese guardavano dalle finestre mentre i pompieri portavano via le persone anziane con le barche",
+    "ru": "На следующее утро река поднялась выше дороги и жители деревни смотрели из окон как пожарные увозили пожилых людей на лодках",
+    "ja": "翌朝、川は道路を越えて水位が上がり、村の住民は窓から消防士が夜のうちに到着したボートで高齢者を運び出すのを見守っていた",
+    "pl": "Następnego ranka rzeka podniosła się ponad drogę a mieszkańcy wsi patrzyli z okien jak strażacy wywozili starszych ludzi łodziami",
+    "junk": "xkq zvw qqpl wrtz mnbv lkjh qwrt zxcv pqrs vbnm ghjk dfgh xkcd zqwp jhgf wsxz",
+}
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+
+def test_language_held_out(given):
+    got = language.identify(given, language.cross_fit(given), declared=None, host=None).select("_row.lang", "_row.text", "language", "accepted").collect()
+    lettered = [r for r in got if any(c.isalpha() for c in r.text or "")]
+    assert sum(r.lang == r.language for r in lettered) / len(lettered) > 0.97
+    assert all(r.accepted for r in lettered) and not any(r.accepted for r in got if r not in lettered)
+
+
+def test_other_languages_are_rejected(spark, given):
+    model = language.fit(given)
+    rows = spark.createDataFrame([(k, t, "en") for k, t in FOREIGN.items()], "doc_id string, text string, lang string")
+    for declared in (None, "lang"):
+        assert not any(r.accepted for r in language.identify(rows, model, declared=declared, host=None).collect())
+
+
+def test_fusion_against_the_formula(spark, given):
+    model = language.fit(given, rows=20)
+    rng = random.Random(2)
+    hosts, said = ["a.de", "b.de", "c.fr", "plain", None, "A.de"], ["de", "en-US", "fr", "it", "", None]
+    texts = [r.text for r in given.limit(40).collect()] + [FOREIGN["it"][:12], "", None, "12 34", "e"]
+    rows = [(i, rng.choice(texts), rng.choice(said), rng.choice(hosts), "clash", "clash") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, declared string, host string")
+    got = {r.doc_id: r for r in language.identify(df, model).select("_row.doc_id", "language", "posterior", "accepted").collect()}
+    langs = model.languages
+    word = lambda s: (re.match(r"\s*([A-Za-z]+)", s or "") or [None, ""])[1].lower()
+    suffix = lambda h: h.rsplit(".", 1)[1] if h and "." in h else None
+    low = lambda h: None if h is None else h.lower()
+    for i, text, lang, host, *_ in rows:
+        mine = word(lang)
+        others = [(word(r[2]), low(r[3])) for r in rows if r[0] != i and word(r[2]) in langs]
+        tally = lambda keep: [sum(d == x for d, h in others if keep(h)) for x in langs]
+        share = lambda counts, weight, prior: [(c + weight * p) / (sum(counts) + weight) for c, p in zip(counts, prior, strict=True)]
+        everything = tally(lambda h: True)
+        base = [(c + 1) / (sum(everything) + len(langs)) for c in everything]
+        by_suffix = share(tally(lambda h: suffix(h) == suffix(low(host))) if suffix(low(host)) else [0] * 4, 50.0, base)
+        by_host = share(tally(lambda h: h == low(host)) if host else [0] * 4, 20.0, by_suffix)
+        like = language.text_log_likelihood(model, (text or "").encode())
+        logs = [math.log(p * 0.99) + t + (math.log(0.85 if mine == x else 0.05) if mine in langs else 0) for p, t, x in zip(by_host, like, langs, strict=False)]
+        logs.append(math.log(0.01) + like[-1] + (math.log(0.25) if mine in langs else 0))
+        scale = sum(math.exp(x - max(logs)) for x in logs)
+        best = max(range(4), key=lambda k: (logs[k], -k))
+        posterior = math.exp(logs[best] - max(logs)) / scale
+        assert got[i].language == langs[best] and got[i].posterior == pytest.approx(posterior, abs=1e-6)
+        assert got[i].accepted == (posterior >= 0.5 and any(c.isalpha() for c in text or "")), (i, text)
+    assert language.identify(df.limit(0), model).count() == 0
+
+
+def test_equal_posteriors_and_an_unfitted_model(spark, given):
+    model = language.fit(given.limit(0))
+    got = language.identify(spark.createDataFrame([(1, "abc"), (1, "abc"), (2, None)], "doc_id long, text string"), model, declared=None, host=None).collect()
+    assert Counter((r.language, round(r.posterior, 9), r.accepted) for r in got) == {("de", 0.2475, False): 3} or {r.language for r in got} == {"de"}
+
+
+def test_markup_evidence(spark):
+    pages = [
+        (1, "https://A.Example.de/x?y", '<HTML data-x=1 lang="de-AT"><style>p{}</style><p>Guten&nbsp;Tag<!-- weg --><script>var en="</p>";</script> heute</p>'),
+        (2, "nothing", "<html lang=fr>bonjour"),
+        (3, None, None),
+        (4, "http://b.org#c", "<p lang='en'>no root language"),
+    ]
+    df = spark.createDataFrame([(*p, "clash", "clash") for p in pages], "page_id long, url string, html string, text string, lang string")
+    got = {r.id: r for r in language.markup_evidence(df).select("_row.page_id", "text", "lang", "source").withColumnRenamed("page_id", "id").collect()}
+    assert got[1].text.split() == ["Guten", "Tag", "heute"] and (got[1].lang, got[1].source) == ("de-AT", "A.Example.de")
+    assert (got[2].lang, got[2].text.strip(), got[2].source) == ("fr", "bonjour", "") and (got[3].text, got[3].lang, got[3].source) == ("", "", "")
+    assert (got[4].lang, got[4].source) == ("", "b.org")
+
+
+def test_page_language_query(spark):
+    from scene_qa.llm.queries import page_language
+
+    sf = "/root/testdata/sf0.001"
+    got = page_language(spark, sf).collect()
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    assert {r.page_id for r in got} == set(pages)
+    for r in got:
+        declared = re.search(r'<html lang="([a-z]+)"', pages[r.page_id].html)
+        assert r.declared == (declared[1] if declared else "")
+    # the address's first folder names the language of a page
+    named = [(r, m[1]) for r in got if (m := re.match(r"https?://[^/]*/(de|en|es|fr)/", pages[r.page_id].url or ""))]
+    assert len(named) > 20 and sum(r.language == lang and r.accepted for r, lang in named) / len(named) > 0.95
 
 
 def test_mixture_rates(spark, docs):
@@ -232,6 +567,10 @@ def test_mixture_rates(spark, docs):
     assert all(r.copies > r.copy for r in got) and rates
     weights = spark.createDataFrame([("b", 1.0)], "source string, weight double")
     assert {r.source for r in mixture.mix(docs, weights=weights).collect()} == {"b"}
+    split = spark.createDataFrame([("b", 0.5), ("a.de", 1.0), ("b", 0.5), (None, 0.25), (None, 0.75), ("none", 9.0), ("b", None), ("b", -3.0)], "source string, weight double")
+    whole = spark.createDataFrame([("b", 1.0), ("a.de", 1.0), (None, 1.0)], "source string, weight double")
+    one, two = ({(r.source, round(r.rate, 9)) for r in mixture.repetition_rates(docs, weights=w).collect()} for w in (split, whole))
+    assert one == two and len(one) == 3
     assert mixture.mix(docs.limit(0)).count() == 0
     assert mixture.mix(docs).columns == docs.columns
 
@@ -242,3 +581,31 @@ def test_url_rules(spark):
     assert [got[i].rule for i in range(8)] == ["example.net/en/", "example.com/de/", "org/fr/", None, None, None, None, None]
     assert [got[i].verdict for i in range(8)] == ["allow", "block", "allow", "allow", "allow", "allow", "block", "allow"]
     assert (got[3].host, got[4].path, got[0].host) == ("", "", "example.net")
+
+
+def test_url_rules_of_odd_tables(spark):
+    long = "http://x.com/" + "a/" * 50_000 + "cheap-pills/"
+    urls = [long, long, "http://y.com/Cheap-Pills/", "http://example.net/en", "http://notexample.net/en/", "://", "http://A.NET"]
+    df = spark.createDataFrame([(i, u, "clash", "clash", "clash") for i, u in enumerate(urls)] + [(0, long, "clash", "clash", "clash")], "page_id long, url string, host string, rule string, subject string")
+    got = url_filter.filter_pages(df).collect()
+    assert Counter(r.page_id for r in got) == {0: 2, **{i: 1 for i in range(1, 7)}}
+    by = {r.page_id: (r.verdict, r.rule, r.pattern) for r in got}
+    assert by[0] == by[1] == ("block", None, "^cheap-pills^") and by[2] == ("allow", None, None)
+    assert by[3] == by[4] == ("block", "net/", None) and by[5] == by[6] == ("allow", None, None)
+    assert url_filter.filter_pages(df.limit(0)).count() == 0
+
+
+def test_column_names_with_dots_and_ticks(spark):
+    names = {"doc_id": "my.id", "text": "the `text`", "source": "so.urce", "lang": "la.ng"}
+    rows = spark.createDataFrame([(r[0], r[1], r[2], r[3], 1) for r in fixture_rows()], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = rows.select(*[rows[c].alias(names.get(c, c)) for c in rows.columns])
+    two = {k: names[k] for k in ("doc_id", "text")}
+    same = lambda a, b: Counter(map(str, (tuple(r) for r in a.collect()))) == Counter(map(str, (tuple(r) for r in b.collect())))
+    assert same(exact_dedup.exact_groups(odd, **two), exact_dedup.exact_groups(rows))
+    assert same(simhash.simhash_components(odd, **two), simhash.simhash_components(rows))
+    assert same(substring_dedup.remove_repeats(odd, window=24, **two), substring_dedup.remove_repeats(rows, window=24))
+    assert same(mixture.mix(odd, source="so.urce", counts=True, **two), mixture.mix(rows, counts=True))
+    assert same(hilbert.hilbert_shards(odd, dims=("so.urce", "la.ng", "n_chars"), **two), hilbert.hilbert_shards(rows))
+    assert same(near_copies.one_of_each(odd, **two), near_copies.one_of_each(rows))
+    vocabulary = [("▁", -1.0), ("a", -2.0)]
+    assert same(token_count.token_counts(odd, vocabulary, **two), token_count.token_counts(rows, vocabulary))

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from test_llm import brute_near_classes
+from test_llm import FOREIGN, brute_near_classes
 
 import corpus_pipeline
 from scene_qa.llm import near_copies
@@ -30,6 +30,7 @@ def fixture():
         rows.append((100 + i, rows[i][1].upper(), rows[i][2], "b.de", 1))
         rows.append((200 + i, rows[i][1] + " " + rows[i][1].split()[0], rows[i][2], "c", 1))
     rows += [(300, None, "en", "c", None), (301, "", "en", None, 0), (302, "12 34 -- 5", "de", "c", 9), (None, None, None, None, None)]
+    rows += [(400 + k, FOREIGN[x], "en", "a.org", 9) for k, x in enumerate(("ru", "ja", "it"))]
     rows += [(303, " ".join(rng.choices(GERMAN, k=20_000)), "de", "a.org", 100_000), rows[1], rows[1], (None, " ".join(rng.choices(ENGLISH, k=50)), "en", "c", 50)]
     return [(*r, "clash", "clash") for r in rows], [(1, " ".join(passage)), (2, " ".join(short)), (3, None), (4, "")]
 
@@ -62,8 +63,9 @@ def stages(spark, tmp_path_factory):
     return seen
 
 
-def test_language_stage_drops_only_texts_without_letters(stages):
-    assert Counter(stages[1]) == Counter(r for r in stages[0] if any(c.isalpha() for c in r[1] or ""))
+def test_language_stage_drops_texts_without_letters_and_of_other_languages(stages):
+    assert {400, 401, 402} <= {r[0] for r in stages[0]}
+    assert Counter(stages[1]) == Counter(r for r in stages[0] if any(c.isalpha() for c in r[1] or "") and r[0] not in (400, 401, 402))
 
 
 def test_near_dedup_stage_against_all_pairs(stages):
@@ -88,6 +90,24 @@ def test_near_copies_with_a_line_repeated(spark):
     assert sorted(r.doc_id for r in got.collect()) == [0, 2, 4, 6, 8, 10]
 
 
+def test_near_copies_against_all_pairs_of_random_texts(spark):
+    """Sets of four shingles to some hundreds, lines that repeat, pairs about the threshold."""
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for n in (8, 9, 12, 20, 45, 90, 160, 300) * 6:
+        base = [word() for _ in range(n)]
+        line = [word() for _ in range(8)]
+        for _ in range(5):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, n // 60, n // 45])):
+                w[rng.choice([0, -1, rng.randrange(n)])] = word()
+            rows.append((len(rows), " ".join(w + line * rng.choice([0, 0, 0, 1, 3, 120]))))
+    label = brute_near_classes([r[1] for r in rows], 5, 0.8)
+    got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(label)) and len(set(label)) < len(rows) - 60
+
+
 def test_decontamination_stage(stages):
     assert {10, 20} <= {r[0] for r in stages[2]}
     assert Counter(stages[3]) == Counter(r for r in stages[2] if r[0] not in (10, 20))
@@ -102,9 +122,9 @@ def test_mixture_stage_against_a_plain_inversion(stages):
     assert Counter(stages[4]) == Counter({r: n for r in stages[3] if (n := copies(r[0], rates[r[3]]))})
 
 
-def test_sharding_stage(stages):
+def test_sharding_stage_keeps_whole_rows(stages):
     got = stages[5]
-    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in stages[4])
+    assert Counter(tuple(r)[:-2] for r in got) == Counter(stages[4]) and got[0].__fields__ == [*COLUMNS, "shard", "slot"]
     counts = Counter(r.shard for r in got)
     assert max(counts.values()) - min(counts[s] for s in range(16)) <= 1
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(counts[s])) for s in range(16))
