@@ -26,7 +26,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return hilbert.hilbert_shards(docs)
+    return hilbert.shard_rows(docs)
 
 
 STAGES = [("language ID", keep_known_languages), ("SimHash near-dedup", drop_near_copies), ("decontamination", drop_benchmark_passages), ("mixture", mix_sources), ("sharding", shard)]
