@@ -10,6 +10,7 @@ of the documents that a bitmap of fixed size lets through."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from scene_qa.llm.common import column, materialise, pack, utf8
 from scene_qa.llm.words import LETTERS, mixed, word_hashes
 
 #: Fixed masks over word positions: 1 is hashed, 0 may differ.
-MASKS = ("11111111", "110110101011", "1101100110111", "11101001101011")
+MASKS = ("11111111", "110110101011", "1101100110111", "11101001101011", "11011011", "1101000111")
 #: A passage counts if this many of its words match in one stretch; an item of up to SHORT words, if MIN_SHARE of its words do.
 MIN_WORDS, MIN_SHARE, SHORT = 13, 0.8, 16
 #: An index up to this size is broadcast.
@@ -52,19 +53,27 @@ def masks_of(n: int) -> list[str]:
     return ["1" * (-(-(n - spare) // (spare + 1)))] if n else []
 
 
-def seeds(words: np.ndarray, mask: str) -> np.ndarray:
-    """A hash of the positions that the mask keeps, and of the mask, at each place where all of it fits."""
+def seeds(words: np.ndarray, mask: str, made: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """A hash of the positions that the mask keeps, and of the mask, at each place where all of it fits. made: products that the
+    masks of one text share."""
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    made = {} if made is None else made
     out = np.full(n, hash_of_mask(mask), np.uint64)
     for j, c in enumerate(mask):
         if c == "1":
-            out += words[j : j + n] * _ODD[j]
+            p = made.get(j)
+            if p is None:
+                p = words * _ODD[j]
+                if n < 1 << 17:  # a very long text's are not kept
+                    made[j] = p
+            out += p[j : j + n]
     out ^= out >> np.uint64(32)
     return out * np.uint64(0x9E3779B97F4A7C15)
 
 
+@cache
 def hash_of_mask(mask: str) -> int:
     return int(mixed(np.array([int("1" + mask, 2)], np.uint64))[0])
 
@@ -120,8 +129,9 @@ class Index:
     def find(self, words: np.ndarray) -> list[tuple[object, int, int, int, int]]:
         """(item, matched words, words of the item, start, end) of each item found in a text: its best passage."""
         tried: dict[int, set[int]] = {}
+        made: dict[int, np.ndarray] = {}
         for mask, (h, item, at, bitmap) in self.tables.items():
-            mine = seeds(words, mask)
+            mine = seeds(words, mask, made)
             where = np.flatnonzero(bitmap[mine >> np.uint64(64 - _BITS)])
             low, high = np.searchsorted(h, mine[where], "left"), np.searchsorted(h, mine[where], "right")
             for w, a, b in zip(where[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
@@ -163,9 +173,9 @@ def _candidates(rows: DataFrame, items: DataFrame) -> DataFrame:
         masks, bitmap = shared.value
         for batch in batches:
             for r, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = tokens(data.as_py())
+                words, made = tokens(data.as_py()), {}
                 for mask in masks:
-                    h = seeds(words, mask)
+                    h = seeds(words, mask, made)
                     top = h >> np.uint64(64 - _JOIN_BITS)
                     at = np.flatnonzero((bitmap[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1))
                     if len(at):
