@@ -26,7 +26,7 @@ from scene_qa.llm.common import column, materialise, small_join, utf8
 
 GRAM = 12
 #: Bytes of the phrases of one core held by a task; a core with more has its windows counted by a grouped aggregate.
-CORE_BYTES = 1 << 20
+CORE_BYTES = 1 << 18
 _CHUNK = 1 << 20
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
