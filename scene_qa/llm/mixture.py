@@ -34,7 +34,10 @@ def repetition_rates(docs: DataFrame, source: str = "source", text: str = "text"
 
 
 def poisson_cdf(rate) -> "F.Column":
-    """P(X <= k) for k = 0 .. rate + 12 sqrt(rate) + 30, past which less than a 2^-53rd is left."""
+    """P(X <= k) for k = 0 .. rate + 12 sqrt(rate) + 30, past which less than a 2^-53rd is left.
+
+    Right to 2 in 10^11 at a rate of 2,000, 3 in 10^9 at 20,000. A source's table is built in the square of its length: 4 seconds at
+    20,000."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("long")
     start = F.struct((-rate).alias("log_p"), F.array(F.exp(-rate)).alias("cdf"))
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scene_qa.llm import decontaminate, exact_dedup, hilbert, language, mixture, near_copies, quotation, simhash, substring_dedup, token_count, url_filter
 
@@ -209,7 +210,6 @@ def test_shard_rows_returns_whole_rows(spark, docs):
 
 
 def test_hilbert_curve_steps_by_one(spark):
-    from pyspark.sql import functions as F
 
     rows = spark.range(512).select(*[F.shiftrightunsigned("id", 3 * i).bitwiseAND(F.lit(7)).cast("int").alias(f"x{i}") for i in range(3)])
     path = sorted((r.h, r.x0, r.x1, r.x2) for r in rows.withColumn("h", hilbert.hilbert_index([F.col("x0"), F.col("x1"), F.col("x2")], 3)).collect())
@@ -575,6 +575,14 @@ def test_mixture_rates(spark, docs):
     assert mixture.mix(docs).columns == docs.columns
 
 
+def test_poisson_tables_of_large_rates(spark):
+    """Beyond 745 the first probability is 0 in a double; the rest of the table still holds."""
+    for rate in (0.3, 700.0, 2000.0):
+        got = spark.createDataFrame([(rate,)], "rate double").select(mixture.poisson_cdf(F.col("rate"))).first()[0]
+        plain = np.cumsum([math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) for k in range(len(got))])
+        assert len(got) > rate and np.abs(np.array(got) - plain).max() < 1e-10
+
+
 def test_url_rules(spark):
     urls = ["https://Example.NET/en/1", "http://a.example.com/de/x?y", "ftp://b.org/fr/", "nothing", None, "http://x.net", "http://www.cheap-pills.com/a", "http://cheap-pillsx.com/"]
     got = {r.page_id: r for r in url_filter.filter_pages(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
