@@ -210,7 +210,6 @@ def test_shard_rows_returns_whole_rows(spark, docs):
 
 
 def test_hilbert_curve_steps_by_one(spark):
-
     rows = spark.range(512).select(*[F.shiftrightunsigned("id", 3 * i).bitwiseAND(F.lit(7)).cast("int").alias(f"x{i}") for i in range(3)])
     path = sorted((r.h, r.x0, r.x1, r.x2) for r in rows.withColumn("h", hilbert.hilbert_index([F.col("x0"), F.col("x1"), F.col("x2")], 3)).collect())
     assert [p[0] for p in path] == list(range(512))
