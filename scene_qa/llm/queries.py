@@ -86,6 +86,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, host, path, rule, coalesce(action, CASE WHEN hits.pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
                 CASE WHEN rule IS NULL THEN hits.pattern END AS pattern
             FROM best LEFT JOIN hits ON best.host || best.path = hits.subject WHERE k = 1""",
+        "op6_substring_dedup": """
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+                windows AS (SELECT r, a, md5(b[a + 1 : a + 200]) AS m FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS a FROM d WHERE octet_length(b) >= 200)),
+                starts AS (SELECT r, a FROM windows JOIN (SELECT m FROM windows GROUP BY m HAVING count(*) > 1) USING (m)),
+                steps AS (SELECT r, a, coalesce(a - lag(a) OVER (PARTITION BY r ORDER BY a) > 200, true)::INT AS fresh FROM starts),
+                spans AS (SELECT r, min(a) AS s, max(a) + 200 AS e FROM (SELECT r, a, sum(fresh) OVER (PARTITION BY r ORDER BY a) AS g FROM steps) GROUP BY r, g),
+                gone AS (SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r),
+                ends AS (SELECT r, e AS s, lead(s) OVER (PARTITION BY r ORDER BY s) AS e FROM (SELECT r, s, e FROM spans UNION ALL SELECT r, -1, 0 FROM d)),
+                kept AS (SELECT r, string_agg(hex(b[ends.s + 1 : coalesce(ends.e, octet_length(b))]), '' ORDER BY ends.s) AS h FROM ends JOIN d USING (r) GROUP BY r)
+            SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+            FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)""",
         "op9_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                 doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AND row_number() OVER (PARTITION BY coalesce(text, ''), doc_id) = 1 AS kept,
