@@ -69,6 +69,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _PATTERNS = ", ".join(f"('{r.name}', '{r.pattern}', {i}, {r.rank})" for i, r in enumerate(url_filter.PATTERNS))
 
+_MASKS = [*decontaminate.MASKS, *("1" * n for n in range(1, 5))]  # short items have runs of up to four words
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-/:-`{-\\x7F]+')"
+_AHEAD = ", ".join(f"lead(w0, {k}) OVER o AS w{k}" for k in range(1, max(map(len, _MASKS))))
+
+
+def _seeds(of: str, key: str) -> str:
+    return " UNION ALL ".join(f"SELECT {key}, p, n, '{m}' AS mask, concat_ws(' ', {', '.join(f'w{j}' for j, c in enumerate(m) if c == '1')}) AS seed FROM {of} WHERE w{len(m) - 1} IS NOT NULL" for m in _MASKS)
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -97,6 +105,25 @@ def oracle_sql() -> dict[str, str]:
                 kept AS (SELECT r, string_agg(hex(b[ends.s + 1 : coalesce(ends.e, octet_length(b))]), '' ORDER BY ends.s) AS h FROM ends JOIN d USING (r) GROUP BY r)
             SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
             FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)""",
+        "op7_decontamination": f"""
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+                b AS (SELECT row_number() OVER () AS i, item_id, {_WORDS} AS words FROM benchmark),
+                dw AS (SELECT *, {_AHEAD} FROM (SELECT r, len(words) AS n, unnest(words) AS w0, generate_subscripts(words, 1) - 1 AS p FROM d) WINDOW o AS (PARTITION BY r ORDER BY p)),
+                bw AS (SELECT *, {_AHEAD} FROM (SELECT i, len(words) AS n, unnest(words) AS w0, generate_subscripts(words, 1) - 1 AS p FROM b) WINDOW o AS (PARTITION BY i ORDER BY p)),
+                needs AS (SELECT i, item_id, len(words) AS n, CASE WHEN len(words) > {decontaminate.SHORT} THEN {decontaminate.MIN_WORDS} ELSE greatest(1, (len(words) * {round(decontaminate.MIN_SHARE * 100)} + 99) // 100) END AS need FROM b),
+                bs AS (SELECT s.* FROM ({_seeds('bw', 'i')}) s JOIN needs USING (i)
+                    WHERE CASE WHEN needs.n > {decontaminate.SHORT} THEN length(mask) > 4 ELSE mask = repeat('1', (needs.n // (needs.n - need + 1))::INT) END),
+                tried AS (SELECT DISTINCT r, i, ds.p - bs.p AS shift FROM ({_seeds('dw', 'r')}) ds JOIN bs USING (mask, seed)),
+                cells AS (SELECT tried.*, bw.n, dw.p, (bw.w0 = dw.w0)::INT AS same FROM tried JOIN bw USING (i) JOIN dw ON dw.r = tried.r AND dw.p = bw.p + tried.shift),
+                sums AS (SELECT *, sum(3 * same - 2) OVER o - (3 * same - 2) AS before, sum(same) OVER o - same AS matched FROM cells WINDOW o AS (PARTITION BY r, i, shift ORDER BY p)),
+                gains AS (SELECT *, before + 3 * same - 2 - least.f AS gain FROM
+                    (SELECT *, min(struct_pack(f := before, s := p, m := matched)) OVER (PARTITION BY r, i, shift ORDER BY p) AS least FROM sums)),
+                best AS (SELECT r, i, matched + same - least.m AS m, least.s AS s, p + 1 AS e FROM
+                    (SELECT *, max(gain) OVER (PARTITION BY r, i, shift) AS top FROM gains WHERE n > {decontaminate.SHORT}) WHERE gain = top
+                    QUALIFY row_number() OVER (PARTITION BY r, i, shift ORDER BY m DESC, e) = 1
+                    UNION ALL SELECT r, i, sum(same), min(p), max(p) + 1 FROM cells WHERE n <= {decontaminate.SHORT} AND same = 1 GROUP BY r, i, shift)
+            SELECT doc_id, item_id, m::BIGINT AS matched_words, n AS item_words, s AS start_word, e AS end_word
+            FROM best JOIN needs USING (i) JOIN d USING (r) WHERE m >= need QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY m DESC, s, e) = 1""",
         "op9_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                 doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AND row_number() OVER (PARTITION BY coalesce(text, ''), doc_id) = 1 AS kept,

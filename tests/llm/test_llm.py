@@ -5,11 +5,13 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scene_qa.llm import decontaminate, exact_dedup, hilbert, language, mixture, near_copies, quotation, simhash, substring_dedup, token_count, url_filter
+from scene_qa.llm import decontaminate, exact_dedup, hilbert, language, mixture, near_copies, queries, quotation, simhash, substring_dedup, token_count, url_filter
 
 WORDS = ["the", "flood", "road", "water", "près", "gross", "a", "b", "rain", "tree"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, _row string"
@@ -154,6 +156,9 @@ def test_substrings_against_brute_force(docs):
     for limit in (1 << 20, 1):
         assert Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, window=w, core_bytes=limit).collect()) == want
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
+    assert not in_duckdb("op6_substring_dedup", documents=("doc_id", []))
+    whole = [tuple(r) for r in substring_dedup.remove_repeats(docs).collect()]
+    assert Counter(whole) == Counter(in_duckdb("op6_substring_dedup", documents=("doc_id", [r[:2] for r in rows]))) and any(r[2] for r in whole)
 
 
 def test_substrings_of_a_very_long_text(spark):
@@ -312,6 +317,15 @@ def decontamination_fixture():
     return rows, bench
 
 
+def in_duckdb(query, **tables):
+    """The rows of a query's oracle over tables of (id column, rows of an id and a text)."""
+    con = duckdb.connect()
+    for name, (key, rows) in tables.items():
+        held = pa.table({key: pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
+        con.register(name, held)
+    return con.execute(queries.oracle_sql()[query]).fetchall()
+
+
 def test_decontamination_against_all_diagonals(spark):
     rows, bench = decontamination_fixture()
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, item_id string, r long")
@@ -319,6 +333,7 @@ def test_decontamination_against_all_diagonals(spark):
     got = [tuple(r) for r in decontaminate.contaminated(docs, items).collect()]
     joined = [tuple(r) for r in decontaminate.contaminated(docs, items, index_bytes=0).collect()]
     assert Counter(got) == Counter(joined)
+    assert Counter(got) == Counter(in_duckdb("op7_decontamination", documents=("doc_id", rows), benchmark=("item_id", bench)))
     want = Counter()
     for key, text in rows:
         for item, body in bench:
