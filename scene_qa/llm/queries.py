@@ -78,6 +78,11 @@ def _seeds(of: str, key: str) -> str:
     return " UNION ALL ".join(f"SELECT {key}, p, n, '{m}' AS mask, concat_ws(' ', {', '.join(f'w{j}' for j, c in enumerate(m) if c == '1')}) AS seed FROM {of} WHERE w{len(m) - 1} IS NOT NULL" for m in _MASKS)
 
 
+def _normal(text: str) -> str:
+    return rf"translate(trim(regexp_replace({text}, '[ \t\n\r\x0b\x0c]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filter": f"""
@@ -124,6 +129,34 @@ def oracle_sql() -> dict[str, str]:
                     UNION ALL SELECT r, i, sum(same), min(p), max(p) + 1 FROM cells WHERE n <= {decontaminate.SHORT} AND same = 1 GROUP BY r, i, shift)
             SELECT doc_id, item_id, m::BIGINT AS matched_words, n AS item_words, s AS start_word, e AS end_word
             FROM best JOIN needs USING (i) JOIN d USING (r) WHERE m >= need QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY m DESC, s, e) = 1""",
+        "op8_quotation_linking": rf"""
+            WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, coalesce('c' || conv_id, '-') AS ck, turn, role, coalesce(text, '') AS text FROM conversations),
+                raw AS (SELECT *, regexp_extract(line, '^(?:[ \t]{{0,3}}>)+ ?') AS mark
+                    FROM (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM m)),
+                lines AS (SELECT id, n, length(mark) - length(replace(mark, '>', '')) AS level, substr(line, length(mark) + 1) AS body FROM raw),
+                firsts AS (SELECT *, (level IS DISTINCT FROM lag(level) OVER (PARTITION BY id ORDER BY n) OR level = 0 AND regexp_full_match(body, '\s*'))::INT AS fresh FROM lines),
+                numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY n) AS g, {_normal('body')} AS said FROM firsts),
+                passages AS (SELECT id, level, g, {_normal('string_agg(body, chr(10) ORDER BY n)')} AS said, count(*) FILTER (said <> '') AS many,
+                    string_agg(said, chr(10) ORDER BY n) FILTER (said <> '') AS run FROM numbered GROUP BY id, level, g),
+                own AS (SELECT id, string_agg(body, chr(10) ORDER BY n) AS body, string_agg(said, chr(10) ORDER BY n) FILTER (said <> '') AS run FROM numbered WHERE level = 0 GROUP BY id),
+                units AS (SELECT id, said FROM passages WHERE level = 0 UNION SELECT id, said FROM numbered WHERE level = 0 UNION SELECT id, {_normal('body')} FROM own),
+                quotes AS (SELECT m.id, ck, turn, level, row_number() OVER (PARTITION BY m.id ORDER BY g) AS place, said, CASE WHEN many > 1 THEN run ELSE '' END AS run
+                    FROM passages JOIN m USING (id) WHERE level > 0 AND said <> ''),
+                wanted AS (SELECT DISTINCT ck, turn, level, place, said, run FROM quotes WHERE turn IS NOT NULL),
+                met AS (SELECT w.*, m.turn AS original FROM wanted w JOIN m ON m.ck = w.ck AND m.turn < w.turn JOIN units u ON u.id = m.id AND u.said = w.said
+                    UNION ALL SELECT w.*, m.turn FROM wanted w JOIN m ON m.ck = w.ck AND m.turn < w.turn JOIN own ON own.id = m.id
+                    WHERE w.run <> '' AND contains(chr(10) || own.run || chr(10), chr(10) || w.run || chr(10))),
+                links AS (SELECT ck, turn, arg_min(original, (level, place, original)) AS reply_to FROM met GROUP BY ck, turn),
+                hits AS (SELECT DISTINCT ck, turn, said, run FROM met),
+                threads AS (SELECT ck, turn, turn AS root, 0::BIGINT AS depth FROM (SELECT DISTINCT ck, turn FROM m WHERE turn IS NOT NULL) ANTI JOIN links USING (ck, turn)
+                    UNION ALL SELECT l.ck, l.turn, t.root, t.depth + 1 FROM links l JOIN threads t ON t.ck = l.ck AND t.turn = l.reply_to),
+                counts AS (SELECT id, count(*) AS n_quotes, count(h.said) AS n_linked FROM quotes q LEFT JOIN hits h ON h.ck = q.ck AND h.turn = q.turn AND h.said = q.said AND h.run = q.run GROUP BY id),
+                marked AS (SELECT DISTINCT id FROM lines WHERE level > 0)
+            SELECT m.conv_id, row_number() OVER (PARTITION BY m.ck ORDER BY root NULLS FIRST, m.turn NULLS FIRST) - 1 AS position, m.turn, role,
+                CASE WHEN marked.id IS NULL THEN text ELSE trim(coalesce(own.body, ''), chr(10)) END AS text,
+                reply_to, root, coalesce(depth, 0) AS depth, coalesce(n_quotes, 0)::INT AS n_quotes, coalesce(n_linked, 0)::INT AS n_linked
+            FROM m LEFT JOIN threads t ON t.ck = m.ck AND t.turn = m.turn LEFT JOIN links l ON l.ck = m.ck AND l.turn = m.turn
+                LEFT JOIN counts USING (id) LEFT JOIN marked USING (id) LEFT JOIN own USING (id)""",
         "op9_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                 doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AND row_number() OVER (PARTITION BY coalesce(text, ''), doc_id) = 1 AS kept,

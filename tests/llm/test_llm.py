@@ -156,9 +156,9 @@ def test_substrings_against_brute_force(docs):
     for limit in (1 << 20, 1):
         assert Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, window=w, core_bytes=limit).collect()) == want
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
-    assert not in_duckdb("op6_substring_dedup", documents=("doc_id", []))
+    assert not in_duckdb("op6_substring_dedup", documents=(["doc_id"], ["text"], []))
     whole = [tuple(r) for r in substring_dedup.remove_repeats(docs).collect()]
-    assert Counter(whole) == Counter(in_duckdb("op6_substring_dedup", documents=("doc_id", [r[:2] for r in rows]))) and any(r[2] for r in whole)
+    assert Counter(whole) == Counter(in_duckdb("op6_substring_dedup", documents=(["doc_id"], ["text"], rows))) and any(r[2] for r in whole)
 
 
 def test_substrings_of_a_very_long_text(spark):
@@ -318,11 +318,11 @@ def decontamination_fixture():
 
 
 def in_duckdb(query, **tables):
-    """The rows of a query's oracle over tables of (id column, rows of an id and a text)."""
+    """The rows of a query's oracle over tables of (names of long columns, names of string columns, rows)."""
     con = duckdb.connect()
-    for name, (key, rows) in tables.items():
-        held = pa.table({key: pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
-        con.register(name, held)
+    for name, (longs, strings, rows) in tables.items():
+        kinds = [(c, pa.int64()) for c in longs] + [(c, pa.string()) for c in strings]
+        con.register(name, pa.table({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(kinds)}))
     return con.execute(queries.oracle_sql()[query]).fetchall()
 
 
@@ -333,7 +333,7 @@ def test_decontamination_against_all_diagonals(spark):
     got = [tuple(r) for r in decontaminate.contaminated(docs, items).collect()]
     joined = [tuple(r) for r in decontaminate.contaminated(docs, items, index_bytes=0).collect()]
     assert Counter(got) == Counter(joined)
-    assert Counter(got) == Counter(in_duckdb("op7_decontamination", documents=("doc_id", rows), benchmark=("item_id", bench)))
+    assert Counter(got) == Counter(in_duckdb("op7_decontamination", documents=(["doc_id"], ["text"], rows), benchmark=(["item_id"], ["text"], bench)))
     want = Counter()
     for key, text in rows:
         for item, body in bench:
@@ -466,6 +466,9 @@ def test_threads_against_all_pairs_of_messages(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv string, tk string")
     got = quotation.reply_order(df).collect()
     assert len(got) == len(rows) and sum(r.n_linked for r in got) > 30
+    # rows of one turn may stand in any order
+    but_place = lambda found: Counter((*r[:1], *r[2:]) for r in map(tuple, found))
+    assert but_place(got) == but_place(in_duckdb("op8_quotation_linking", conversations=(["conv_id", "turn"], ["role", "text"], rows)))
     for conv in {r[0] for r in rows}:
         mine = [r for r in got if r.conv_id == conv]
         parent, root, counts = plain_threads([(r[1], r[3]) for r in rows if r[0] == conv])
