@@ -67,6 +67,7 @@ def test_simhash_components_and_hot_buckets(docs):
             least[find(i)] = min(least.get(find(i), r[0]), r[0])
     want = Counter((r[0], f"{fps[i]:016x}", least.get(find(i))) for i, r in enumerate(rows))
     assert Counter(tuple(r) for r in simhash.simhash_components(docs).collect()) == want
+    assert Counter(in_duckdb("op5_simhash", documents=(["doc_id"], ["text"], rows))) == want
     assert simhash.simhash_components(docs.limit(0)).count() == 0
 
 
