@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scene_qa.functions.tables import materialise, scratch_path, shared_folder
 
-__all__ = ["column", "materialise", "pack", "scratch_path", "shared_folder", "small_join", "table", "utf8"]
+__all__ = ["column", "dealt_join", "materialise", "pack", "scratch_path", "shared_folder", "small_join", "table", "utf8"]
 
 #: Bytes of a side that is broadcast, as JSON text: several times what it takes in memory for numbers, about that for strings.
 BROADCAST_BYTES = 32 << 20
@@ -18,6 +18,25 @@ def column(*names: str) -> Column:
     return F.col(".".join("`" + n.replace("`", "``") + "`" for n in names))
 
 
+#: Rows of a key beyond which a join deals them out; more if over HOT_PART keys could have as many.
+HOT_ROWS, HOT_PART = 1000, 100_000
+
+
+def dealt_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, by: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of rows with side, materialised, which has one row for each key and in column n the number of its rows. A key of
+    over hot_rows rows, or of a HOT_PART-th of all if that is more, is dealt by column `by` over parts of so many rows, and
+    its row of side is sent to each part: no key grows with the input. n is dropped."""
+    total = side.agg(F.sum(column(n))).first()[0] or 0
+    most = max(hot_rows, total // HOT_PART)
+    zero = F.lit(0).cast("long")
+    side = side.withColumn("_parts", F.when(column(n) > most, F.ceil(column(n) / most)).otherwise(1).cast("long")).drop(n)
+    few = side.where("_parts > 1").select(*map(column, on), "_parts")  # at most HOT_PART rows
+    salt = F.when(F.col("_parts").isNull(), zero).otherwise(F.pmod(F.xxhash64(column(by), F.spark_partition_id()), F.col("_parts")))
+    rows = rows.join(F.broadcast(few), on, "left").withColumn("_salt", salt).drop("_parts")
+    sent = side.withColumn("_salt", F.explode(F.sequence(zero, F.col("_parts") - 1))).drop("_parts")
+    return rows.join(sent, [*on, "_salt"]).drop("_salt")
+
+
 def small_join(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", max_rows: int = 200_000, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Join df with a materialised side: broadcast if its counted rows and bytes are at most max_rows and max_bytes, else a
     shuffle join whose skewed keys adaptive execution splits. Both give the same rows."""

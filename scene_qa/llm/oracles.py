@@ -36,6 +36,21 @@ def _turn(x: str, by: int) -> str:
     return _mod(f"({x})::UHUGEINT * {1 << by}::UHUGEINT", (1 << 64) - 1)
 
 
+_FINITE = "list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))"
+
+
+def _codebooks(rounds: int) -> str:
+    """Tables of Lloyd's rounds over x(id, p, v), v a list of integers: b0 to b<rounds> of entries, a0 to a<rounds> of assignments."""
+    out = ["b0 AS (SELECT p, id AS e, v FROM x WHERE id < 64)"]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT id, p, v, min(d * 64 + e) % 64 AS e, min(d) AS d FROM (
+            SELECT x.id, x.p, any_value(x.v) AS v, b.e, sum((x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))::BIGINT AS d FROM x JOIN b{r} b ON b.p = x.p, range(1, (SELECT max(len(v)) FROM x) + 1) AS g(i) GROUP BY x.id, x.p, b.e) GROUP BY id, p, v)""")
+        if r < rounds:
+            out.append(f"""b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN (
+                SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (SELECT p, e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, (SELECT max(len(v)) FROM x) + 1) AS g(i) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))""")
+    return ", ".join(out)
+
+
 def _lane(at: str, size: int) -> str:
     """A little-endian number of so many bytes of the hex string x, from byte `at`."""
     return f"('0x' || {' || '.join(f'substr(x, (2 * ({at}) + {2 * k + 1})::BIGINT, 2)' for k in reversed(range(size)))})::UBIGINT"
@@ -166,4 +181,31 @@ def oracle_sql() -> dict[str, str]:
                 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
                 n AS (SELECT u.doc_id, u.source, u.rate, count(*) AS copies FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source AND cdf.c <= u.u GROUP BY ALL)
             SELECT doc_id, source, round(rate, 6) AS rate, copies, unnest(range(0, copies)) AS copy FROM n""",
+        "op11_lexical_search": """
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+                s AS (SELECT count(*) FILTER (len(t) > 0) AS docs, coalesce(sum(len(t)), 0)::BIGINT AS terms FROM d),
+                i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM benchmark),
+                q AS MATERIALIZED (SELECT q, item_id, term, count(*) AS k FROM (SELECT q, item_id, unnest(t) AS term FROM i) GROUP BY ALL),
+                f AS MATERIALIZED (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+                w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY term, docs),
+                p AS (SELECT q, item_id, r, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+                    FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY q, item_id, r, doc_id),
+                o AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM p WHERE score > 0)
+            SELECT * FROM o WHERE rank <= 20""",
+        "op12_vector_copies": f"""
+            WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN {_FINITE} AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) THEN embedding::DOUBLE[] END AS e FROM embeddings),
+                links AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+                reached AS (SELECT a, b FROM links UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b),
+                least AS (SELECT a AS r, min(v.vec_id) AS least FROM reached JOIN v ON v.r = reached.b GROUP BY a),
+                many AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+            SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, least) AS component_id, vec_id IS NOT DISTINCT FROM least(vec_id, least) AS kept
+            FROM v LEFT JOIN many USING (r) LEFT JOIN least USING (r)""",
+        "op13_vector_codes": f"""
+            WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS id, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE coalesce({_FINITE}, false)),
+                x AS (SELECT id, p, v[(p * len(v) // 16 + 1)::BIGINT:((p + 1) * len(v) // 16)::BIGINT] AS v FROM k, range(0, 16) AS g(p)),
+                {_codebooks(2)},
+                c AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY id)
+            SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+                (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256
+            FROM k JOIN c USING (id)""",
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scene_qa.llm import decontaminate, exact_dedup, hilbert, language, mixture, quotation, simhash, substring_dedup, token_count, url_filter
+from scene_qa.llm import decontaminate, exact_dedup, hilbert, language, lexical_search, mixture, quotation, simhash, substring_dedup, token_count, url_filter, vector_codes, vector_copies
 from scene_qa.llm.common import table
 from scene_qa.llm.oracles import oracle_sql
 
@@ -66,5 +66,17 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"), counts=True)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_copies.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_token_counts, op3_language_fusion, op4_url_filter, op5_simhash, op6_substring_dedup, op7_decontamination, op8_quotation_linking, op9_exact_dedup, op10_mixture, page_language)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_token_counts, op3_language_fusion, op4_url_filter, op5_simhash, op6_substring_dedup, op7_decontamination, op8_quotation_linking, op9_exact_dedup, op10_mixture, op11_lexical_search, op12_vector_copies, op13_vector_codes, page_language)}
