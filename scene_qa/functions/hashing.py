@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def row_hash(*columns: Column, types: list[str] | None = None, seed: int = 0) -> Column:
+    """A 64-bit hash in which nulls count: Spark's own skips them, so that a value beside a null hashes as in its place.
+    types: those of the columns; arrays, maps and structs are hashed as JSON, with the nulls inside them."""
+    nested = [t.startswith(("array", "map", "struct")) for t in types or [""] * len(columns)]
+    values = [F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) if n else c for c, n in zip(columns, nested, strict=True)]
+    return F.xxhash64(F.lit(seed), *[x for c, v in zip(columns, values, strict=True) for x in (c.isNull(), v)])
+
+
 def sha(*parts: Column | str) -> Column:
     """Hex SHA-256 of the parts with a zero byte between them."""
     return F.sha2(F.concat_ws("\0", *[p if isinstance(p, Column) else F.lit(p) for p in parts]).cast("binary"), 256)

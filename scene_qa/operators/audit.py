@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scene_qa.functions.binding import let
-from scene_qa.functions.hashing import sha
+from scene_qa.functions.hashing import row_hash, sha
 from scene_qa.operators.questions import decoded, difficulty, recompute_answer
 from scene_qa.schemas import FAMILIES, SPLITS
 
@@ -84,10 +84,10 @@ def evidence_violations(questions: DataFrame) -> DataFrame:
 
 def differences(old: DataFrame, new: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(question_id, field, old, new) wherever a stored table and a regenerated one differ. A row's fields are compared by
-    one hash first and told apart only where that differs; evidence is compared decoded, so JSON spacing and key order do not
+    one hash first, in which nulls count, and told apart only where that differs; evidence is compared decoded, so JSON spacing and key order do not
     count. A missing or extra id is field `question_id`; an id that is blank or repeated on either side is field `id`."""
     value = lambda f: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json("evidence", "map<string,string>"))))) if f == "evidence" else F.to_json(F.array(F.col(f))) if f == "answer_space" else F.col(f).cast("string")
-    side = lambda df, name: df.select("question_id", F.struct(*[value(f).alias(f) for f in fields]).alias(name), F.xxhash64(*[value(f) for f in fields]).alias(f"_{name}"))
+    side = lambda df, name: df.select("question_id", F.struct(*[value(f).alias(f) for f in fields]).alias(name), row_hash(*[value(f) for f in fields]).alias(f"_{name}"))
     both = side(old, "old").join(side(new, "new"), "question_id", "full")
     one = both.where("old is null or new is null").select("question_id", F.lit("question_id").alias("field"), F.when(F.col("old").isNotNull(), F.col("question_id")).alias("old"), F.when(F.col("new").isNotNull(), F.col("question_id")).alias("new"))
     each = F.explode(F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"old.{f}").alias("old"), F.col(f"new.{f}").alias("new")) for f in fields]), lambda s: ~s["old"].eqNullSafe(s["new"]))).alias("d")

@@ -34,7 +34,8 @@ def run_metrics(predictions: DataFrame, keys: list[str], family: str = "question
     labels = labels.withColumn("_h", F.when(F.col("said") > 0, -p * F.log(p)).otherwise(0.0))
     f1 = F.when(F.col("gold") + F.col("said") > 0, 2 * F.col("tp") / (F.col("gold") + F.col("said"))).otherwise(0.0)
     scores = labels.groupBy(*group).agg(F.sum("gold").alias("count"), (F.sum("tp") / F.sum("gold")).alias("accuracy"), F.avg(f1).alias("macro_f1"), (F.max("said") / F.sum("said")).alias("top_share"), F.when(F.count("*") > 1, F.sum("_h") / F.log(F.count("*"))).otherwise(0.0).alias("entropy"))
-    return scores.join(calibration(cells, keys), group)
+    same = [F.col(f"s.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in group]  # a null key or family is one of its own
+    return scores.alias("s").join(calibration(cells, keys).alias("c"), same).select("s.*", "c.ece")
 
 
 def calibration(cells: DataFrame, keys: list[str]) -> DataFrame:
