@@ -22,12 +22,12 @@ def column(*names: str) -> Column:
 HOT_ROWS, HOT_PART = 1000, 100_000
 
 
-def dealt_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, by: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dealt_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, by: str, hot_rows: int | None = None) -> DataFrame:
     """Inner join of rows with side, materialised, which has one row for each key and in column n the number of its rows. A key of
-    over hot_rows rows, or of a HOT_PART-th of all if that is more, is dealt by column `by` over parts of so many rows, and
+    over hot_rows (HOT_ROWS) rows, or of a HOT_PART-th of all if that is more, is dealt by column `by` over parts of so many rows, and
     its row of side is sent to each part: no key grows with the input. n is dropped."""
     total = side.agg(F.sum(column(n))).first()[0] or 0
-    most = max(hot_rows, total // HOT_PART)
+    most = max(hot_rows or HOT_ROWS, total // HOT_PART)
     zero = F.lit(0).cast("long")
     side = side.withColumn("_parts", F.when(column(n) > most, F.ceil(column(n) / most)).otherwise(1).cast("long")).drop(n)
     few = side.where("_parts > 1").select(*map(column, on), "_parts")  # at most HOT_PART rows

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scene_qa.functions.hashing import row_hash
 from scene_qa.llm.common import column, materialise, pack, small_join, utf8
 from scene_qa.llm.components import connected_components
 from scene_qa.llm.simhash import _signed, in_gray_order, majority, near_classes, with_cells
@@ -35,8 +36,8 @@ HOT_BYTES = 32 << 20
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch(text: bytes, words: int) -> tuple[int, int, list[int], bytes]:
-    """Digest of the set of shingles, fingerprint of the set, bands, and the set as sorted 32-bit hashes. Repeats don't weigh:
+def sketch(text: bytes, words: int) -> tuple[bytes, int, list[int], bytes]:
+    """Digest of 128 bits of the set of shingles, fingerprint of the set, bands, and the set as sorted 32-bit hashes. Repeats don't weigh:
     they'd part fingerprints of texts whose sets agree."""
     distinct = np.unique(shingles(word_hashes(text, NOT_SPACE), words))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
@@ -44,7 +45,7 @@ def sketch(text: bytes, words: int) -> tuple[int, int, list[int], bytes]:
         h = distinct[at : at + 1024, None]
         np.minimum(least, ((h ^ (h >> np.uint64(32))) * _FACTORS).min(axis=0), out=least)
     bands = [_signed(xxhash.xxh64_intdigest(x.tobytes(), k)) for k, x in enumerate(least.reshape(BANDS, ROWS))] if len(distinct) else []
-    return _signed(xxhash.xxh64_intdigest(distinct.tobytes(), 42)), _signed(majority(distinct)), bands, np.unique((distinct >> np.uint64(32)).astype("<u4")).tobytes()
+    return xxhash.xxh3_128_digest(distinct.tobytes(), 42), _signed(majority(distinct)), bands, np.unique((distinct >> np.uint64(32)).astype("<u4")).tobytes()
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -52,11 +53,11 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             digest, fp, bands, shingles = zip(*[sketch(x.as_py(), words) for x in part.column(1)], strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(shingles, pa.binary())], ["first", "digest", "fp", "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(shingles, pa.binary())], ["first", "digest", "fp", "bands", "shingles"])
 
 
 def agree(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the Jaccard similarity of the sets a[i] and b[i] is at least `similarity`, exactly, for all i."""
+    """Whether the Jaccard similarity of the sets a[i] and b[i], of 32-bit hashes, is at least `similarity`, for all i."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     out = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
     todo = np.flatnonzero(out)
@@ -131,23 +132,29 @@ def near_copy_links(nodes: DataFrame, similarity: float = SIMILARITY, radius: in
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row of docs, with all its columns, of each class of near copies: the row with the least doc_id that is not
-    null, then the least hash of its id and text.
+    null, then the least hash of its id and text, then of the whole row, in which nulls count.
 
     Classes are those of the links between whole texts whose sets of `words`-word shingles, A-Z lower-cased, have a Jaccard
-    similarity of `similarity` or more; equal sets always link, others by the bands but for 3 in a million at 0.8, fewer above. A text of fewer words is
+    similarity of `similarity` or more, taken on 32-bit hashes of the shingles; equal sets always link (they have one digest of 128 bits;
+    sets of one digest that differ raise an error), others by the bands but for 3 in a million at 0.8, fewer above. A text of fewer words is
     one shingle; null and blank texts are one class. Repeated rows are one row. An empty table gives no rows."""
     # two hashes name a row of docs without its text
     names = lambda key, data: (F.xxhash64(key.isNull(), key, data).alias("_a"), F.xxhash64(data, F.lit(7), key).alias("_b"))
     key, data = column(doc_id), column(text)
     first = F.struct(key.isNull().alias("none"), key.alias("key"), *names(key, data)).alias("first")
     rows = docs.select(first, utf8(data).alias("data"))
-    schema = f"first {rows.schema['first'].dataType.simpleString()}, digest long, fp long, bands array<long>, shingles binary"
+    schema = f"first {rows.schema['first'].dataType.simpleString()}, digest binary, fp long, bands array<long>, shingles binary"
     rows = materialise(rows.mapInArrow(lambda it: _sketches(it, words), schema))
-    nodes = materialise(rows.groupBy("digest").agg(F.min("first").alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles")))
+    same = F.struct("fp", F.octet_length("shingles"), F.xxhash64("shingles"))
+    nodes = rows.groupBy("digest").agg(F.min("first").alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"), (F.min(same) == F.max(same)).alias("one"))
+    sound = F.when(F.col("one"), F.col("fp")).otherwise(F.raise_error(F.lit("two sets of shingles have one digest")).cast("long"))
+    # numbered once, when written: the number stands for the digest
+    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("digest"), "first", sound.alias("fp"), "bands", "shingles"))
     roots = near_copy_links(nodes, similarity)
     placed = nodes.select("digest", "first").join(roots, nodes["digest"] == roots["node"], "left")
     winners = placed.groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("first").alias("first")).select("first._a", "first._b")
     packed = pack(docs)
     key, data = column("_row", doc_id), column("_row", text)
-    each = packed.select("_row", *names(key, data)).groupBy("_a", "_b").agg(F.first("_row").alias("_row"))
+    whole = F.struct(*[row_hash(*[column("_row", c) for c in docs.columns], types=[t for _, t in docs.dtypes], seed=k) for k in (0, 1)])
+    each = packed.select("_row", *names(key, data), whole.alias("_whole")).groupBy("_a", "_b").agg(F.min_by("_row", "_whole").alias("_row"))
     return each.join(materialise(winners), ["_a", "_b"], "left_semi").select("_row.*")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scene_qa.llm.common import column, materialise, small_join, utf8
+from scene_qa.llm.common import column, dealt_join, materialise, small_join, utf8
 from scene_qa.llm.components import connected_components
 
 FANOUT = 8
@@ -246,9 +246,9 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     cost nothing; component_id is the least id that is not null in the component, null if there is none.
     An empty table gives no rows; other columns are not read."""
     narrow = materialise(with_fingerprint(docs.select(column(doc_id).alias("doc_id"), column(text).alias("_text")), "_text", words).select("doc_id", F.col("_fp").alias("fp")))
-    nodes = narrow.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = narrow.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = materialise(connected_components(fingerprint_links(materialise(narrow.select("fp").distinct()), radius)))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     lowest = placed.where(F.col("least").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(lowest, "root", "left").select("fp", "component_id")
-    return narrow.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialise(placed.join(lowest, "root", "left").select("fp", "component_id", "n"))
+    return dealt_join(narrow, named, ["fp"], "n", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

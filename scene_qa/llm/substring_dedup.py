@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scene_qa.llm.common import column, materialise, small_join, utf8
+from scene_qa.llm.common import column, dealt_join, materialise, small_join, utf8
 
 GRAM = 12
 #: Bytes of the phrases of one core held by a task; a core with more has its windows counted by a grouped aggregate.
@@ -162,8 +162,8 @@ def repeated_spans(texts: DataFrame, window: int = 200, core_bytes: int = CORE_B
     parse = materialise(texts.select("id", "data").mapInArrow(lambda it: _parse(it, window), "core long, whole long, id long, start int, size int, at int"))
     # a core met once has no repeats; one whose phrases are all equal needs no bytes
     cores = parse.groupBy("core").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
-    cores = materialise(cores.where("n > 1").select("core", (F.col("low") != F.col("high")).alias("mixed")))
-    met = materialise(parse.join(cores, "core"))
+    cores = materialise(cores.where("n > 1").select("core", (F.col("low") != F.col("high")).alias("mixed"), "n"))
+    met = materialise(dealt_join(parse, cores, ["core"], "n", "id"))
     dictionary = materialise(met.where("mixed").groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "start", "size", "at")).alias("first")))
     large = materialise(dictionary.groupBy("core").agg(F.sum("first.size").alias("bytes")).where(F.col("bytes") > core_bytes).select("core", F.lit(True).alias("large")))
     wanted = dictionary.groupBy("first.id").agg(F.collect_list(F.struct("core", "whole", "first.start", "first.size", "first.at")).alias("p"))  # phrases of one text
@@ -180,10 +180,11 @@ def repeated_spans(texts: DataFrame, window: int = 200, core_bytes: int = CORE_B
         again = each.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
         part = part.union(each.join(again, "w").select("core", "whole", "a", (F.col("a") + window).alias("b")))
     part = part.groupBy("core", "whole").agg(F.collect_list(F.struct("a", "b")).alias("part"))  # inside one phrase
-    marked = materialise(dictionary.where("n > 1").select("core", "whole", F.lit(True).alias("all")).join(part, ["core", "whole"], "full"))
+    marked = dictionary.select("core", "whole", "n", (F.col("n") > 1).alias("all")).join(part, ["core", "whole"], "left")
+    marked = materialise(marked.where("all or part is not null"))
     moved = F.transform("part", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))
     span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    found = met.where("mixed").join(marked, ["core", "whole"]).select("id", F.explode(F.when(F.col("all"), F.array(span)).otherwise(moved)).alias("s"))
+    found = dealt_join(met.where("mixed"), marked, ["core", "whole"], "n", "id").select("id", F.explode(F.when(F.col("all"), F.array(span)).otherwise(moved)).alias("s"))
     found = found.union(met.where("not mixed").select("id", span.alias("s")))
     return materialise(found.groupBy("id").agg(F.collect_list("s").alias("spans")))  # of one text
 
@@ -199,7 +200,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = docs.select(column(doc_id).alias("doc_id"), utf8(column(text)).alias("data")).withColumn("digest", F.unhex(F.sha2("data", 256)))
     texts = materialise(keyed.groupBy("digest").agg(F.first("data").alias("data"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     spans = repeated_spans(texts, window, core_bytes)
-    schema = "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    schema = "digest binary, n long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,14 +209,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 data = data.as_py()
                 ranges = [(0, len(data))] if n > 1 and len(data) >= window else [(s["a"], s["b"]) for s in spans.as_py() or []]
                 size, gone, runs, kept = _cut(data, ranges)
-                row = (digest, size, gone, runs, kept.hex())
+                row = (digest, n, size, gone, runs, kept.hex())
                 rows.append((*row, _kept(data, ranges)) if keep_text else row)
             if rows:
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(rows[0])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(rows[0])])
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(rows[0])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["digest", "n", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(rows[0])])
 
-    judged = texts.join(spans, "id", "left").select("digest", "data", "n", "spans").mapInArrow(cut, schema)
-    return keyed.select("doc_id", "digest").join(judged, "digest").drop("digest")
+    judged = materialise(texts.join(spans, "id", "left").select("digest", "data", "n", "spans").mapInArrow(cut, schema))
+    return dealt_join(keyed.select("doc_id", "digest"), judged, ["digest"], "n", "doc_id").drop("digest")
 
 
 def _kept(data: bytes, ranges: list[tuple[int, int]]) -> bytes:

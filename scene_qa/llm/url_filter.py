@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scene_qa.llm.common import column, materialise, small_join
+from scene_qa.llm.common import column, dealt_join, materialise, small_join
 
 
 @dataclass(frozen=True)
@@ -83,14 +83,14 @@ def matches(urls: DataFrame, rules: DataFrame, max_rules: int = 100_000) -> Data
 
 
 def judge_urls(pages: DataFrame, url: str = "url", host_rules: tuple[Rule, ...] = HOST_RULES, patterns: tuple[Rule, ...] = PATTERNS) -> DataFrame:
-    """Distinct urls of pages -> (url, host, path, rule, verdict, pattern).
+    """Distinct urls of pages -> (url, n, host, path, rule, verdict, pattern), n its rows.
 
     The host rule with the longest host and path decides; where none fits, a URL that a pattern matches is blocked
     and any other allowed. Each URL is judged once however many rows hold it. A null URL, and one without ://, has an
     empty host and path and is allowed; a very long URL is matched whole; an empty table gives no rows. Ties: the longer rule, then
     the first. Many rules may be filed under one token."""
     spark = pages.sparkSession
-    urls = pages.select(column(url).alias("url")).distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    urls = pages.select(column(url).alias("url")).groupBy("url").agg(F.count("*").alias("n")).select("url", "n", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("subject", F.concat("host", "path"))
     # a host rule outranks every pattern
     top = max([r.rank for r in patterns], default=0) + 1
@@ -98,12 +98,13 @@ def judge_urls(pages: DataFrame, url: str = "url", host_rules: tuple[Rule, ...]
     found = matches(urls.select("subject").distinct(), rule_table(spark, ranked))
     judged = urls.join(found, "subject", "left")
     by_host = F.col("best.rank") >= top
-    return judged.select("url", "host", "path", F.when(by_host, F.col("best.name")).alias("rule"), F.coalesce("best.action", F.lit("allow")).alias("verdict"), F.when(~by_host, F.col("best.name")).alias("pattern"))
+    return judged.select("url", "n", "host", "path", F.when(by_host, F.col("best.name")).alias("rule"), F.coalesce("best.action", F.lit("allow")).alias("verdict"), F.when(~by_host, F.col("best.name")).alias("pattern"))
 
 
 def filter_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", **rules) -> DataFrame:
     """(page_id, host, path, rule, verdict, pattern) of every row of pages, repeated rows included; other columns are not read,
     whatever they are called. See judge_urls."""
-    judged = judge_urls(pages, url, **rules)
-    rows = pages.select(column(page_id).alias("page_id"), column(url).alias("_url"))
-    return rows.join(judged, F.col("_url").eqNullSafe(F.col("url")), "left").select("page_id", "host", "path", "rule", "verdict", "pattern")
+    named = lambda c: [c.isNull().alias("_none"), F.coalesce(c, F.lit("")).alias("_url")]
+    judged = materialise(judge_urls(pages, url, **rules).select(*named(F.col("url")), "n", "host", "path", "rule", "verdict", "pattern"))
+    rows = pages.select(column(page_id).alias("page_id"), *named(column(url)))
+    return dealt_join(rows, judged, ["_none", "_url"], "n", "page_id").select("page_id", "host", "path", "rule", "verdict", "pattern")

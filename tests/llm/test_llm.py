@@ -191,6 +191,60 @@ def test_hilbert_law(docs):
         assert set(runs.values()) == {1}
 
 
+def test_shard_rows_keeps_rows_that_differ_beside_a_null(spark):
+    rows = [(1, "text", "a", None, 3), (1, "text", None, "a", 3), (1, "text", None, None, 3), (1, "text", None, None, None), (2, None, None, "a", None), (2, None, "a", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    assert Counter(tuple(r)[:5] for r in hilbert.shard_rows(df, 4).collect()) == Counter(rows)
+
+
+def test_near_copies_keep_one_stated_row_of_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a", None), (1, text, None, "a"), (1, text, None, None), (2, text, None, None)]
+    kept = {tuple(near_copies.one_of_each(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, source string, lang string").repartition(k + 1)).collect()[0]) for k in range(3)}
+    assert len(kept) == 1 and kept <= set(rows[:3])
+
+
+def test_hilbert_spreads_few_steps_over_the_curve(spark):
+    """Of three languages and many sizes, a shard holds few: the steps of lang reach the curve's upper bits."""
+    rng = random.Random(5)
+    rows = [(i, f"t{i}", rng.choice("abcdefghijklmnop"), rng.choice(["de", "en", "fr"]), rng.randrange(10_000)) for i in range(2000)]
+    got = hilbert.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long"), 16).collect()
+    lang = {r[0]: r[3] for r in rows}
+    assert sum(len({lang[r.doc_id] for r in got if r.shard == s}) for s in range(16)) / 16 <= 2
+
+
+def test_hilbert_recomputed_plainly(spark, docs):
+    """Cells from the cut points, the curve by a plain walk, shards by rank."""
+    dims, bits, rows = ["source", "lang", "n_chars"], 3, fixture_rows()
+    cuts = hilbert.cut_points(docs, dims, bits)
+    step = lambda v, c: 0 if v is None or not c else sum(v >= x for x in c) * (2**bits - 1) // len(c)
+    cell = lambda r: tuple(step(v, c) for v, c in zip((r[3], r[2], r[4]), cuts, strict=True))
+    grid = spark.createDataFrame([(a, b, c) for a in range(8) for b in range(8) for c in range(8)], "a int, b int, c int")
+    index = {(r.a, r.b, r.c): r.h for r in grid.withColumn("h", hilbert.hilbert_index([F.col("a"), F.col("b"), F.col("c")], bits)).collect()}
+    assert sorted(index.values()) == list(range(512))
+    packed = lambda c: (c[0] * 8 + c[1]) * 8 + c[2]
+    least = {}
+    for r in rows:
+        key = r[1] or ""
+        least[key] = min(least.get(key, (1 << 30, None)), (packed(cell(r)), cell(r)))
+    want = Counter((r[0], zlib.crc32((r[1] or "").encode()), index[least[r[1] or ""][1]]) for r in rows)
+    got = hilbert.hilbert_shards(docs, 5, bits=bits, cuts=cuts).collect()
+    assert Counter((r.doc_id, r.text_crc32, r.curve) for r in got) == want
+    ranked = sorted(want.elements(), key=lambda x: x[2])
+    assert [Counter(r.curve for r in got if r.shard == s) for s in range(5)] == [Counter(x[2] for k, x in enumerate(ranked) if k * 5 // len(ranked) == s) for s in range(5)]
+
+
+@pytest.mark.parametrize("hot_rows", [1, 3])
+def test_joins_that_deal_hot_keys_give_the_same_rows(spark, docs, monkeypatch, hot_rows):
+    from scene_qa.llm import common
+
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([None, "", "http://a.net/x", "https://en.example.net/en/", "no address"] * 4 + ["http://a.net/x"] * 9)], "page_id long, url string")
+    runs = {"fingerprints": lambda: simhash.simhash_components(docs), "repeats": lambda: substring_dedup.remove_repeats(docs, window=24), "pages": lambda: url_filter.filter_pages(pages)}
+    plain = {k: Counter(tuple(r) for r in f().collect()) for k, f in runs.items()}
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    assert {k: Counter(tuple(r) for r in f().collect()) for k, f in runs.items()} == plain
+
+
 def test_hilbert_tells_strings_apart_that_share_a_beginning(spark):
     rows = [(i, f"text {i}", f"https://www.site{i % 8}.org/" + "p" * 300 + str(i % 8), "en", 5) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
