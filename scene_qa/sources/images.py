@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import struct
+import json
 from collections.abc import Iterator
+from io import BytesIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scene_qa.sources import headers
+
 
 def uri(path: Column) -> Column:
     """A path with one slash after its scheme: Spark's readers differ in that."""
@@ -31,64 +34,33 @@ def discover_pairs(spark: SparkSession, root: str, splits: tuple[str, ...] = ("t
     return found.select("split", number.alias("image_id"), "image_path", checked.alias("mask_path")).orderBy(F.col("image_id").cast("bigint"))
 
 
-def exif_block(content: Column, most_segments: int = 4096) -> Column:
-    """The Exif block of a JPEG, null if it has none: its segments are walked by their lengths, wherever the block stands."""
-    byte = lambda at: F.conv(F.hex(F.substring(content, at, F.lit(1))), 16, 10).cast("int")
-
-    def step(now, _):
-        at = now["at"]
-        size = byte(at + 2) * 256 + byte(at + 3)
-        kind = F.hex(F.substring(content, at, F.lit(2)))
-        exif = (kind == "FFE1") & (F.substring(content, at + 4, F.lit(6)) == F.lit(b"Exif\0\0"))
-        moved = F.when(kind == "FFFF", F.struct((at + 1).alias("at"), F.lit(0).alias("size")))  # a fill byte
-        moved = moved.when(exif, F.struct((at + 4).alias("at"), (size - 2).alias("size")))
-        moved = moved.when(kind.startswith("FF") & (kind != "FFDA") & (size >= 2), F.struct((at + 2 + size).alias("at"), F.lit(0).alias("size")))
-        done = (at < 1) | (now["size"] > 0)
-        return F.when(done, now).otherwise(F.coalesce(moved, F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"))))
-
-    start = F.struct(F.lit(3).alias("at"), F.lit(0).alias("size"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most_segments)), start, step, lambda now: F.when(now["size"] > 0, F.substring(content, now["at"], now["size"])))
-
-
-def header_tags(data: bytes) -> tuple[str | None, str | None, str | None]:
-    """Tags 36867, 306 and 272 of an Exif block, either byte order; 36867 stands in the Exif directory."""
-    if not data.startswith(b"Exif\0\0"):
-        return None, None, None
-    tiff = data[6:]
-    order = "<" if tiff[:2] == b"II" else ">"
-    found: dict[int, str] = {}
-
-    def directory(offset: int) -> None:
-        (n,) = struct.unpack_from(order + "H", tiff, offset)
-        for i in range(n):
-            tag, kind, count, value = struct.unpack_from(order + "HHII", tiff, offset + 2 + 12 * i)
-            if tag == 34665:
-                directory(value)
-            elif tag in (36867, 306, 272) and kind == 2:
-                start = value if count > 4 else offset + 2 + 12 * i + 8
-                found.setdefault(tag, tiff[start : start + count].rstrip(b"\0").decode("latin-1"))
-
+def raw_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, taken, changed, camera, bytes_read) of image headers. Files of a store that Arrow opens are read by ranges; those of one
+    that only Spark's readers open are loaded."""
+    globs = [paths] if isinstance(paths, str) else list(paths)
     try:
-        directory(struct.unpack_from(order + "I", tiff, 4)[0])
-    except struct.error:
-        pass
-    return found.get(36867), found.get(306), found.get(272)
+        for glob in globs:
+            headers.opened(glob)
+    except (pa.ArrowInvalid, OSError, ImportError):
+        return spark.read.format("binaryFile").load(globs).select(uri(F.col("path")).alias("path"), "content").mapInArrow(_loaded_headers, headers.SCHEMA)
+    spark.dataSource.register(headers.ImageHeaders)
+    return spark.read.format("image_headers").option("globs", json.dumps(globs)).load()
 
 
-def capture_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(image_path, timestamp, camera_model): capture time, else change time, from image headers; neither raises an error. An
-    image without a camera has camera `unknown`. Only the Exif block, of 64 KiB at most, goes to Python."""
-    raw = spark.read.format("binaryFile").load(paths).select(uri(F.col("path")).alias("path"), exif_block(F.col("content")).alias("block"))
+def _loaded_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [headers.tags_of(BytesIO(content.as_py() or b"")) for content in batch.column(1)]
+        kinds = [pa.string()] * 3 + [pa.int64()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], ["path", "taken", "changed", "camera", "bytes_read"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            tags = [header_tags(bytes(x or b"")) for x in f["block"]]
-            yield pd.DataFrame({"image_path": f["path"], "taken": [t[0] for t in tags], "changed": [t[1] for t in tags], "camera": [t[2] for t in tags]})
 
-    found = raw.mapInPandas(run, "image_path string, taken string, changed string, camera string")
+def capture_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(image_path, timestamp, camera_model): capture time, else change time, from image headers; neither raises an error. An
+    image without a camera has camera `unknown`."""
+    found = raw_headers(spark, paths)
     stated = F.coalesce(F.nullif(F.col("taken"), F.lit("")), F.nullif(F.col("changed"), F.lit("")))
     time = F.try_to_timestamp(stated, F.lit("yyyy:MM:dd HH:mm:ss"))
-    return found.select("image_path", F.when(time.isNotNull(), time).otherwise(F.raise_error(F.concat(F.lit("no capture time in "), F.col("image_path"))).cast("timestamp")).alias("timestamp"), F.coalesce(F.nullif(F.col("camera"), F.lit("")), F.lit("unknown")).alias("camera_model"))
+    return found.select(F.col("path").alias("image_path"), F.when(time.isNotNull(), time).otherwise(F.raise_error(F.concat(F.lit("no capture time in "), F.col("path"))).cast("timestamp")).alias("timestamp"), F.coalesce(F.nullif(F.col("camera"), F.lit("")), F.lit("unknown")).alias("camera_model"))
 
 
 def read_masks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
