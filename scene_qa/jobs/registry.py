@@ -12,7 +12,7 @@ from scene_qa.functions.hashing import sha
 from scene_qa.functions.ordering import hash_rank
 from scene_qa.functions.tables import materialise, scratch_path
 from scene_qa.jobs import inputs
-from scene_qa.operators import audit, dataset, diagnostics, masks, metrics, predictions, prepare, questions, reports, sequences, splits, traces, training_rows
+from scene_qa.operators import audit, dataset, diagnostics, masks, metrics, predictions, prepare, questions, reports, sequences, splits, tiles, traces, training_rows
 from scene_qa.schemas import CLASSES, EVENTS, FAMILIES, PAIRS, SPLITS
 from scene_qa.sources import tables
 
@@ -223,8 +223,18 @@ def _touch(radius: int) -> str:
 
 
 def _adjacent(spark: SparkSession, sf_dir: str, radius: int) -> DataFrame:
+    return _pairs_of(masks.measure(inputs.mask_table(spark, sf_dir), radius))
+
+
+def _pairs_of(measured: DataFrame) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in PAIRS])
-    return masks.measure(inputs.mask_table(spark, sf_dir), radius).select("image_id", F.inline(F.arrays_zip("adjacent", pairs.alias("pair")))).where("adjacent").select("image_id", "pair.a", "pair.b")
+    return measured.select("image_id", F.inline(F.arrays_zip("adjacent", pairs.alias("pair")))).where("adjacent").select("image_id", "pair.a", "pair.b")
+
+
+def _tiled(spark: SparkSession, sf_dir: str, height: int, width: int, radius: int) -> DataFrame:
+    """Evidence of the masks from a table of their tiles."""
+    cut = materialise(tiles.tile_masks(inputs.mask_table(spark, sf_dir), height, width))
+    return tiles.measure_tiles(cut, height, width, radius)
 
 
 @_query(f"WITH {_MASK} {_touch(1)}")
@@ -242,6 +252,22 @@ def mask_adjacency_join(spark, sf_dir):
     return masks.adjacency_relational(inputs.mask_table(spark, sf_dir), 1)
 
 
+@_query(f"WITH {_MASK} {_touch(1)}")
+def tile_adjacency(spark, sf_dir):
+    return _pairs_of(_tiled(spark, sf_dir, 3, 3, 1))
+
+
+@_query(f"WITH {_MASK} {_touch(2)}")
+def tile_adjacency_radius_2(spark, sf_dir):
+    return _pairs_of(_tiled(spark, sf_dir, 1, 5, 2))
+
+
+@_query(f"WITH {_AREAS} SELECT image_id, 8 AS height, 8 AS width, c AS class_id, area, 0 AS bad_labels FROM v")
+def tile_histogram(spark, sf_dir):
+    found = _tiled(spark, sf_dir, 5, 2, 0)
+    return found.select("image_id", "height", "width", F.posexplode("counts").alias("class_id", "area"), "bad_labels")
+
+
 def _pick(purpose: str, family: str, n: int) -> str:
     return f"(('0x' || substr(sha256('20260615' || chr(0) || image_id || chr(0) || {family} || chr(0) || '{purpose}'), 1, 16))::UBIGINT % {n})::INT"
 

@@ -33,11 +33,15 @@ def mask_row(labels: np.ndarray, radius: int) -> tuple[list[int], list[bool], in
     return np.bincount(a.ravel(), minlength=N).tolist(), [bool(met[i, j]) for i, j in PAIRS], 0
 
 
+def whole_radius(radius: int) -> None:
+    if not isinstance(radius, int) or isinstance(radius, bool) or radius < 0:
+        raise ValueError("radius must be a whole number from 0")
+
+
 def measure(masks: DataFrame, radius: int = 1) -> DataFrame:
     """masks(image_id, height, width, labels in row order: binary, a byte for each pixel, or array<int>) -> (image_id, height, width, counts array of 10,
     adjacent array of 45 pairs, bad_labels). Masks are decoded once, in Arrow batches; pixels never become rows."""
-    if not isinstance(radius, int) or isinstance(radius, bool) or radius < 0:
-        raise ValueError("radius must be a whole number from 0")
+    whole_radius(radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,30 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNMATCHED = "__unmatched__"
-#: Characters stripped from both ends of a region.
-STRIPPED = "`'\".。,:：;； \t\r\n"
-
-
-def normalize_prediction(text: Column, space: Column) -> Column:
-    """The answer of the space that a generated text gives. The last `answer:` line is tried before the whole text; in each, a
-    region equal to a candidate, then one that holds a candidate as a whole word; candidates by length down, in their order
-    among equals. `__unmatched__` if none fits."""
-    entries = F.transform(space, lambda s, i: F.struct((-F.length(s)).alias("n"), i.alias("i"), s.alias("s")))
-    ordered = F.transform(F.array_sort(entries), lambda e: e["s"])
-    # fixed values: the pattern of an answer line here, that of a whole word below
-    lines = F.regexp_extract_all(text, F.lit(r"(?iU)answer\s*[:：]\s*([^\n\r]+)"), F.lit(1))
-    line = F.get(lines, F.size(lines) - 1)
-
-    def match(region: Column) -> Column:
-        bare = F.lower(F.trim(F.regexp_replace(region, r"^(?U)\s+|(?U)\s+$", ""), F.lit(STRIPPED)))
-        exact = F.get(F.filter(ordered, lambda s: F.lower(s) == bare), F.lit(0))
-        word = lambda s: F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), F.replace(F.lower(s), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![A-Za-z0-9_])"))
-        held = F.get(F.filter(ordered, lambda s: F.rlike(F.lower(region), word(s))), F.lit(0))
-        return F.coalesce(exact, held)
-
-    return F.coalesce(match(line), match(text), F.lit(UNMATCHED))
+from scene_qa.operators.matching import UNMATCHED, normalize_prediction
 
+__all__ = ["UNMATCHED", "from_scores", "membership_violations", "normalize_prediction", "paired", "run_hashes"]
 
 def from_scores(scores: Column, space: Column) -> Column:
     """The candidate with the greatest score, the first of equals, and its softmax probability."""

@@ -1,11 +1,12 @@
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scene_qa.functions.ordering import permuted_heads
-from scene_qa.operators import masks, metrics, predictions, prepare, sequences, splits, training_rows
+from scene_qa.operators import masks, matching, metrics, predictions, prepare, sequences, splits, training_rows
 from scene_qa.schemas import PAIRS
 
 
@@ -81,6 +82,39 @@ def test_normalized_predictions(spark):
         assert r.got == r.want, r
 
 
+def plain_normalized(text, space):
+    ordered = sorted(space, key=len, reverse=True)
+    lines = re.findall(r"answer\s*[:：]\s*([^\n\r]+)", text, flags=re.I)
+    for region in [*lines[-1:], text]:
+        bare = region.strip().strip("`'\".。,:：;； \t\r\n").lower()
+        for fits in (lambda s, bare=bare: s.lower() == bare, lambda s, region=region: re.search(r"(?<![A-Za-z0-9_])" + re.escape(s.lower()) + r"(?![A-Za-z0-9_])", region.lower())):
+            for s in ordered:
+                if fits(s):
+                    return s
+    return "__unmatched__"
+
+
+def test_matchers_against_a_search_for_each_candidate():
+    rng = random.Random(12)
+    words = ["yes", "no", "No", "not", "road", "road_flooded", "a.b", "a", "b", "(x)", "x", "", "ünder", "İ", "no road", "road no", "yes no"]
+    for _ in range(3000):
+        space = rng.choices(words, k=rng.randint(1, 6))
+        text = "".join(rng.choice([*words, " ", "\n", ". ", "Answer: ", "answer：", "_", "1", "`"]) for _ in range(rng.randint(0, 9)))
+        assert matching.matcher(tuple(space))(text) == plain_normalized(text, space), (text, space)
+
+
+def test_matchers_are_compiled_once_for_a_space(spark):
+    rows = spark.createDataFrame([(None, ["a"]), ("a", None), ("a", []), ("A!", ["b", None, "a"])], "t string, s array<string>")
+    found = rows.select(predictions.normalize_prediction(F.col("t"), F.col("s")).alias("got"))
+    assert [r.got for r in found.collect()] == ["__unmatched__"] * 3 + ["a"]
+    plan = found._jdf.queryExecution().toString()
+    assert "rlike" not in plan.lower() and "regexp" not in plan.lower()
+    matching.matcher.cache_clear()
+    for k in range(100):
+        matching.matcher(("yes", "no"))(f"yes {k}")
+    assert matching.matcher.cache_info().misses == 1
+
+
 def test_loss_labels(spark):
     row = spark.range(1).select(F.array(*map(F.lit, [5, 6, 7, 8, 0])).alias("ids"), F.array(*map(F.lit, [5, 6, 7])).alias("p"))
     pc, aa = (row.select(training_rows.loss_labels(F.col("ids"), F.col("p"), 0, F.lit(s), F.lit(None).cast("int"))[0].alias("l")).first().l for s in ("PC", "AA"))
