@@ -1,6 +1,7 @@
 """Whole jobs on datasets: split building, questions, their audit, the verified export and its audit.
 
-A job reads its inputs and writes its outputs below one folder, all through Spark: paths may lie in any store that it reads."""
+A job reads its inputs and writes its outputs below one folder, all through Spark: paths may lie in any store that it reads.
+Outputs are staged, checked and published together (see publishing)."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scene_qa.functions.tables import materialise
+from scene_qa.jobs.publishing import Staged, settle
 from scene_qa.operators import audit, dataset, masks, prepare, questions, sequences, splits, traces
 from scene_qa.schemas import CLASSES, FAMILIES, SPLITS
 from scene_qa.sources import images, tables
@@ -28,20 +30,28 @@ def build_split(spark: SparkSession, data_root: str, output_root: str, gap_secon
     grouped = materialise(sequences.group_sequences(records, gap_seconds))
     chosen = grouped.join(measured.select("image_id", F.array(*[F.get("counts", F.lit(k)) for k in class_ids]).alias("counts")), "image_id")
     assigned = materialise(splits.assign_groups(chosen, ratios, seed, counts="counts"))
-    dataset.images_table(grouped, assigned, measured, class_ids).write.mode("overwrite").parquet(f"{output_root}/splits/images.parquet")
-    dataset.sequences_table(sequences.sequence_table(grouped), assigned).write.mode("overwrite").parquet(f"{output_root}/splits/sequences.parquet")
-    written = spark.read.parquet(f"{output_root}/splits/images.parquet")
-    counts = {r.split: r for r in splits.split_counts(written).collect()}
-    summaries = {f"{r.gap_seconds:g}": {"groups": r.groups, "singletons": r.singletons, "largest": r.largest, "mean_size": r.mean_size} for r in sequences.gap_summary(written, list(gaps)).collect()}
-    found = {
-        "cross_split_sequence_pairs": splits.cross_split_pairs(written).first().pairs,
+    with Staged(spark, output_root) as out:
+        written = out.path("splits/images.parquet")
+        dataset.images_table(grouped, assigned, measured, class_ids).write.parquet(written)
+        dataset.sequences_table(sequences.sequence_table(grouped), assigned).write.parquet(out.path("splits/sequences.parquet"))
+        found = split_audit(spark.read.parquet(written), gap_seconds, gaps)
+        if sum(found["split_image_counts"].values()) != records.count():
+            raise ValueError("the images table lacks images")
+        tables.write_manifest(spark, found, out.path("audits/split_audit.json"))
+    return found
+
+
+def split_audit(images_table: DataFrame, gap_seconds: float, gaps: tuple[float, ...]) -> dict:
+    """The audit of an images table. Key names are fixed values."""
+    counts = {r.split: r for r in splits.split_counts(images_table).collect()}
+    summaries = {f"{r.gap_seconds:g}": {"groups": r.groups, "singletons": r.singletons, "largest": r.largest, "mean_size": r.mean_size} for r in sequences.gap_summary(images_table, list(gaps)).collect()}
+    return {
+        "cross_split_sequence_pairs": splits.cross_split_pairs(images_table).first().pairs,
         "split_image_counts": {s: counts[s].images for s in SPLITS},
         "split_group_counts": {s: counts[s].groups for s in SPLITS},
         "sequence_gap_seconds": gap_seconds,
         "sensitivity_summaries": summaries,
     }
-    tables.write_manifest(spark, found, f"{output_root}/audits/split_audit.json")
-    return found
 
 
 def mask_evidence(spark: SparkSession, listed: DataFrame, radius: int = 1, low_max: float = 0.05, medium_max: float = 0.20) -> DataFrame:
@@ -57,6 +67,7 @@ def mask_evidence(spark: SparkSession, listed: DataFrame, radius: int = 1, low_m
 
 
 def _questions(spark: SparkSession, output_root: str, seed: int, radius: int, low_max: float, medium_max: float) -> DataFrame:
+    settle(spark, output_root)
     listed = spark.read.parquet(f"{output_root}/splits/images.parquet")
     splits.raise_on_violation(audit.input_violations(listed, ("image_id", "mask_path", "split")))
     evidence = materialise(mask_evidence(spark, listed, radius, low_max, medium_max))
@@ -65,8 +76,13 @@ def _questions(spark: SparkSession, output_root: str, seed: int, radius: int, lo
 
 def build_questions(spark: SparkSession, output_root: str, seed: int = 20260615, radius: int = 1, low_max: float = 0.05, medium_max: float = 0.20) -> None:
     """From splits/images.parquet and its masks to questions/split=<split> and manifest.json."""
-    tables.write_questions(_questions(spark, output_root, seed, radius, low_max, medium_max), f"{output_root}/questions")
-    tables.write_manifest(spark, {"images": "splits/images.parquet", "questions": {s: f"questions/split={s}" for s in SPLITS}}, f"{output_root}/manifest.json")
+    made = _questions(spark, output_root, seed, radius, low_max, medium_max)
+    with Staged(spark, output_root) as out:
+        tables.write_questions(made, written := out.path("questions"))
+        held = spark.read.parquet(written).agg(F.count("*").alias("n"), F.countDistinct("image_id").alias("images")).first()
+        if held.n != len(FAMILIES) * spark.read.parquet(f"{output_root}/splits/images.parquet").count() or held.n != len(FAMILIES) * held.images:
+            raise ValueError("an image lacks a question")
+        tables.write_manifest(spark, {"images": "splits/images.parquet", "questions": {s: f"questions/split={s}" for s in SPLITS}}, out.path("manifest.json"))
 
 
 def _read_questions(spark: SparkSession, base: str, paths: dict[str, str]) -> DataFrame:
@@ -84,6 +100,7 @@ def audit_questions(spark: SparkSession, output_root: str, seed: int = 20260615,
     and audits/manual_review_sample.csv. A difference or a violation raises an error and nothing is written."""
     if least < 0:
         raise ValueError("least must not be negative")
+    settle(spark, output_root)
     stored = materialise(_read_questions(spark, output_root, tables.read_manifest(spark, f"{output_root}/manifest.json")["questions"]))
     splits.raise_on_violation(audit.input_violations(stored, QUESTION, collection="collection"))
     stored = stored.drop("collection")
@@ -91,13 +108,14 @@ def audit_questions(spark: SparkSession, output_root: str, seed: int = 20260615,
     for found in (audit.ids_across_splits(stored, first=5), audit.minimum_examples(stored, least), audit.evidence_violations(stored), audit.degenerate_templates(stored)):
         splits.raise_on_violation(found)
     report = distribution_report(stored, most)
-    tables.write_manifest(spark, report, f"{output_root}/audits/question_distribution.json")
-    tables.write_csv(audit.review_sample(stored, per_split, seed).select(*QUESTION).coalesce(1), f"{output_root}/audits/manual_review_sample.csv")
+    with Staged(spark, output_root) as out:
+        tables.write_manifest(spark, report, out.path("audits/question_distribution.json"))
+        tables.write_csv(audit.review_sample(stored, per_split, seed).select(*QUESTION).coalesce(1), out.path("audits/manual_review_sample.csv"))
     return report
 
 
 def distribution_report(rows: DataFrame, most: float) -> dict:
-    """The question distribution as one document: a row for each split, family, answer and template comes to the driver."""
+    """The question distribution as one document, whose key names are fixed values: a row for each split, family, answer and template comes to the driver."""
     out: dict = {"total_questions": 0, "by_split": {}, "by_type": {}, "by_answer": {}, "by_split_and_type": {}, "by_split_and_type_and_answer": {}, "by_split_and_type_and_template": {}, "difficulty_summary": {}}
     for s in SPLITS:
         for name in ("by_split_and_type_and_answer", "by_split_and_type_and_template", "difficulty_summary"):
@@ -132,6 +150,7 @@ def prepare_export(spark: SparkSession, manifest_path: str, output_dir: str, tra
     and test are sampled by family, other splits go out whole. Missing images, other splits, traces that are not gold,
     families that lack and leaks between splits raise an error. exact: see prepare.balanced_sample."""
     base = manifest_path.rsplit("/", 1)[0]
+    settle(spark, base)
     manifest = tables.read_manifest(spark, manifest_path)
     if not {"train", "test"} <= set(manifest["questions"]):
         raise ValueError("the manifest must name train and test questions")
@@ -163,11 +182,15 @@ def prepare_export(spark: SparkSession, manifest_path: str, output_dir: str, tra
     chosen = materialise(chosen)
     splits.raise_on_violation(splits.leaks(chosen))
     files = {}
-    for split in manifest["questions"]:
-        tables.write_jsonl(chosen.where(F.col("split") == split), f"{output_dir}/{split}.jsonl")
-        files[split] = {"path": f"{split}.jsonl", "sha256": images.table_hash(spark, f"{output_dir}/{split}.jsonl")}
-    summary = {"source_manifest": manifest_path, "seed": seed, "train_per_family": train_per_family, "test_per_family": test_per_family, "split_audit": counts_report(chosen), "files": files}
-    tables.write_manifest(spark, summary, f"{output_dir}/manifest.json")
+    with Staged(spark, output_dir) as out:
+        for split in manifest["questions"]:
+            tables.write_jsonl(chosen.where(F.col("split") == split), written := out.path(f"{split}.jsonl"))
+            files[split] = {"path": f"{split}.jsonl", "sha256": images.table_hash(spark, written)}
+        # key names are fixed values
+        summary = {"source_manifest": manifest_path, "seed": seed, "train_per_family": train_per_family, "test_per_family": test_per_family, "split_audit": counts_report(chosen), "files": files}
+        tables.write_manifest(spark, summary, out.path("manifest.json"))
+        if audit_export(spark, out.folder) != summary["split_audit"]:
+            raise ValueError("the written export differs from its rows")
     return summary
 
 
@@ -191,6 +214,7 @@ def read_export(spark: SparkSession, data_dir: str, manifest: dict) -> DataFrame
 def audit_export(spark: SparkSession, data_dir: str) -> dict:
     """Checks an export: train and test are there and not empty, files have the manifest's hashes, rows stand in their split's
     file, and no id, image, mask or group lies in two splits. Returns the counts; a violation raises an error."""
+    settle(spark, data_dir)
     manifest = tables.read_manifest(spark, f"{data_dir}/manifest.json")
     if not {"train", "test"} <= set(manifest["files"]):
         raise ValueError("the manifest must name train and test files")
