@@ -18,9 +18,10 @@ from scene_qa.sources import images, tables
 QUESTION = ("question_id", "image_id", "split", "question_type", "template_id", "question", "answer", "answer_space", "evidence")
 
 
-def build_split(spark: SparkSession, data_root: str, output_root: str, gap_seconds: float = 30.0, ratios: tuple[float, ...] = (0.6, 0.2, 0.2), seed: int = 20260615, class_ids: tuple[int, ...] = tuple(range(len(CLASSES))), gaps: tuple[float, ...] = (10.0, 30.0, 60.0)) -> dict:
+def build_split(spark: SparkSession, data_root: str, output_root: str, gap_seconds: float = 30.0, ratios: tuple[float, ...] = (0.6, 0.2, 0.2), seed: int = 20260615, class_ids: tuple[int, ...] = tuple(range(len(CLASSES))), gaps: tuple[float, ...] = (10.0, 30.0, 60.0), page_rows: int | None = None) -> dict:
     """From an image tree to splits/images.parquet, splits/sequences.parquet and audits/split_audit.json, which it returns.
-    The audit is taken from the written tables."""
+    The audit is taken from the written tables. With page_rows, the members of sequences stand in splits/sequence_members.parquet,
+    in pages of so many: for sequences too long for one row."""
     pairs = images.discover_pairs(spark, data_root)
     taken = images.capture_metadata(spark, f"{data_root}/*/*-org-img/*.jpg")
     records = materialise(pairs.withColumnRenamed("split", "original_split").join(taken, "image_path"))
@@ -33,7 +34,9 @@ def build_split(spark: SparkSession, data_root: str, output_root: str, gap_secon
     with Staged(spark, output_root) as out:
         written = out.path("splits/images.parquet")
         dataset.images_table(grouped, assigned, measured, class_ids).write.parquet(written)
-        dataset.sequences_table(sequences.sequence_table(grouped), assigned).write.parquet(out.path("splits/sequences.parquet"))
+        dataset.sequences_table(sequences.sequence_table(grouped, page_rows is None), assigned).write.parquet(out.path("splits/sequences.parquet"))
+        if page_rows is not None:
+            sequences.sequence_pages(grouped, page_rows).write.parquet(out.path("splits/sequence_members.parquet"))
         found = split_audit(spark.read.parquet(written), gap_seconds, gaps)
         if sum(found["split_image_counts"].values()) != records.count():
             raise ValueError("the images table lacks images")

@@ -397,6 +397,12 @@ def sequence_table(spark, sf_dir):
     return t.select("group_id", "camera_model", us("start_time").alias("start_us"), us("end_time").alias("end_us"), "image_count", F.array_join(F.transform("image_ids", lambda x: x.cast("string")), ",").alias("members"))
 
 
+@_query(f"WITH {_SEQ.format(900)}, n AS (SELECT *, (row_number() OVER (PARTITION BY group_no ORDER BY ts, image_id) - 1) // 7 AS page FROM g) SELECT 'seq-' || lpad(group_no::VARCHAR, greatest(5, length(group_no::VARCHAR))::INT, '0') AS group_id, page, string_agg(image_id::VARCHAR, ',' ORDER BY ts, image_id) AS members FROM n GROUP BY group_no, page")
+def sequence_pages(spark, sf_dir):
+    pages = sequences.sequence_pages(sequences.group_sequences(inputs.image_records(spark, sf_dir), 900), 7)
+    return pages.select("group_id", "page", F.array_join(F.transform("image_ids", lambda x: x.cast("string")), ",").alias("members"))
+
+
 @_query("SELECT * FROM (" + " UNION ALL ".join(f"(WITH {_SEQ.format(g)}, s AS (SELECT group_no, count(*) AS n FROM g GROUP BY 1) SELECT {g}.0::DOUBLE AS gap_seconds, count(*) AS groups, count(*) FILTER (n = 1) AS singletons, max(n) AS largest, round(avg(n), 8) AS mean_size FROM s)" for g in (60, 300, 900)) + ")")
 def gap_sensitivity(spark, sf_dir):
     return sequences.gap_summary(inputs.image_records(spark, sf_dir), [60, 300, 900]).select("gap_seconds", "groups", "singletons", "largest", *_r("mean_size"))

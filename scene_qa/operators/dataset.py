@@ -19,5 +19,5 @@ def images_table(grouped: DataFrame, assigned: DataFrame, measured: DataFrame, c
 
 
 def sequences_table(sequences: DataFrame, assigned: DataFrame) -> DataFrame:
-    """One row for each sequence, with its split: sequences is sequence_table()'s result."""
-    return sequences.join(assigned.select("group_id", "split"), "group_id").select("group_id", "split", "camera_model", "start_time", "end_time", "image_count", "image_ids")
+    """One row for each sequence, with its split: sequences is sequence_table()'s result, with its members or without."""
+    return sequences.join(assigned.select("group_id", "split"), "group_id").select("group_id", "split", *[c for c in sequences.columns if c != "group_id"])

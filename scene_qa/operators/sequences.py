@@ -74,12 +74,32 @@ def flagged(records: DataFrame, gaps: dict[str, float], bucket_rows: int = BUCKE
     return rows.drop("_us", "_id", "_b", "_prev", *[f"_f_{n}" for n in gaps], *[f"_o_{n}" for n in gaps])
 
 
-def sequence_table(grouped: DataFrame) -> DataFrame:
-    """One row for each group: camera, start, end, image count, members in order."""
+def sequence_table(grouped: DataFrame, members: bool = True) -> DataFrame:
+    """One row for each group: camera, start, end, image count, members in order. A row holds a group whole; without members,
+    which sequence_pages gives, it is of a fixed size."""
+    if not members:
+        return grouped.groupBy("group_id").agg(F.min("camera_model").alias("camera_model"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("image_count"))
     member = F.struct("timestamp", F.col("image_id").cast("bigint").alias("n"), "image_id")
     return grouped.groupBy("group_id").agg(F.min("camera_model").alias("camera_model"), F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("image_count"), F.transform(F.array_sort(F.collect_list(member)), lambda m: m["image_id"]).alias("image_ids"))
 
 
+def sequence_pages(grouped: DataFrame, page_rows: int = 10_000, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The members of each group in order, in pages: (group_id, page from 0, image_ids), page_rows of them a page but for the last.
+    No array is longer than a page and no task holds a group, however long it goes on: members are numbered inside buckets of the
+    order, and a group's counts by bucket, at most one row for each bucket, are added up."""
+    if page_rows < 1:
+        raise ValueError("a page has a row at least")
+    rows = grouped.select("group_id", "image_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("_us"), F.col("image_id").cast("bigint").alias("_id"))
+    rows = rows.withColumn("_b", bucket_of(rows, bucket_rows))
+    inside = Window.partitionBy("_b", "group_id").orderBy("_us", "_id")
+    counts = rows.groupBy("_b", "group_id").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("group_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_b", "group_id", F.coalesce(before, F.lit(0)).alias("_to"))
+    placed = rows.withColumn("_i", F.row_number().over(inside) - 1).join(counts, ["_b", "group_id"]).withColumn("_at", F.col("_to") + F.col("_i"))
+    paged = placed.groupBy("group_id", F.expr(f"_at div {page_rows}").alias("page")).agg(F.array_sort(F.collect_list(F.struct("_at", "image_id"))).alias("m"))
+    return paged.select("group_id", "page", F.transform("m", lambda m: m["image_id"]).alias("image_ids"))
+
+
 def gap_summary(records: DataFrame, gaps: list[float], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """For each gap: groups, single-image groups, the largest and the mean size."""
     names = {f"g{i}": g for i, g in enumerate(gaps)}

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import json
-import re
 import struct
 from collections.abc import Iterator
-from fnmatch import fnmatchcase
 from io import BytesIO
 
 import pyarrow as pa
@@ -14,6 +12,8 @@ import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from scene_qa.sources.listing import matched, opened
+
 #: Bytes of a read, unless an Exif block of up to 64 KiB is wanted; files of a task.
 BLOCK, FILES = 4096, 256
 SCHEMA = "path string, taken string, changed string, camera string, bytes_read long"
@@ -91,30 +91,6 @@ def tags_of(file: pa.NativeFile | BytesIO) -> tuple[str | None, str | None, str
     return (*header_tags(exif_block(ranges) or b""), ranges.taken)
 
 
-def opened(path: str) -> tuple[pafs.FileSystem, str, str]:
-    """The file system of a path or glob, the path in it, and what its files' names begin with as Spark writes them, one slash
-    after the scheme. A store that can't be opened here raises pa.ArrowInvalid or OSError."""
-    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):/+", path)
-    if scheme is None or scheme[1] == "file":
-        return pafs.LocalFileSystem(), "/" + path[scheme.end() :] if scheme else path, "file:/"
-    store, _, rest = path[scheme.end() :].partition("/")
-    system, base = pafs.FileSystem.from_uri(f"{scheme[1]}://{store}/")
-    return system, f"{base.rstrip('/')}/{rest}" if base.strip("/") else rest, f"{scheme[1]}:/" + (f"{store}/" if not base.strip("/") else "")
-
-
-def matched(system: pafs.FileSystem, pattern: str) -> list[str]:
-    """Files that match a glob (* ? [ ] inside a name), folder by folder; a folder stands for the files in it."""
-    fixed = re.match(r"(?:[^/*?\[]*/)*", pattern)[0].rstrip("/") or "/"
-    names = [n for n in pattern[len(fixed) :].split("/") if n]
-    here = system.get_file_info([fixed])
-    for k, name in enumerate(names):
-        below = [x for d in here if d.type == pafs.FileType.Directory for x in system.get_file_info(pafs.FileSelector(d.path))]
-        here = [x for x in below if fnmatchcase(x.base_name, name) and (x.is_file or k + 1 < len(names) or x.type == pafs.FileType.Directory)]
-    folders = [x for x in here if x.type == pafs.FileType.Directory]
-    inside = [x for d in folders for x in system.get_file_info(pafs.FileSelector(d.path)) if x.is_file]
-    return sorted(x.path for x in [*here, *inside] if x.is_file)
-
-
 class Files(InputPartition):
     def __init__(self, glob: str, paths: list[str]):
         self.glob, self.paths = glob, paths
@@ -128,7 +104,7 @@ class HeaderReader(DataSourceReader):
         out = []
         for glob in self.globs:
             system, pattern, _ = opened(glob)
-            paths = matched(system, pattern)
+            paths = [path for path, _ in matched(system, pattern)]
             out += [Files(glob, paths[k : k + self.files]) for k in range(0, len(paths), self.files)]
         return out or [Files(self.globs[0], [])]
 

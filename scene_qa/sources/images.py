@@ -7,15 +7,13 @@ from collections.abc import Iterator
 from io import BytesIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scene_qa.sources import headers
+from scene_qa.sources import hashes, headers
+from scene_qa.sources.listing import ranged, uri
 
-
-def uri(path: Column) -> Column:
-    """A path with one slash after its scheme: Spark's readers differ in that."""
-    return F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+__all__ = ["capture_metadata", "content_hashes", "discover_pairs", "raw_headers", "read_masks", "table_hash", "uri"]
 
 
 def discover_pairs(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
@@ -38,10 +36,7 @@ def raw_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, taken, changed, camera, bytes_read) of image headers. Files of a store that Arrow opens are read by ranges; those of one
     that only Spark's readers open are loaded."""
     globs = [paths] if isinstance(paths, str) else list(paths)
-    try:
-        for glob in globs:
-            headers.opened(glob)
-    except (pa.ArrowInvalid, OSError, ImportError):
+    if not ranged(globs):
         return spark.read.format("binaryFile").load(globs).select(uri(F.col("path")).alias("path"), "content").mapInArrow(_loaded_headers, headers.SCHEMA)
     spark.dataSource.register(headers.ImageHeaders)
     return spark.read.format("image_headers").option("globs", json.dumps(globs)).load()
@@ -71,14 +66,15 @@ def read_masks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return image.select(uri(F.col("origin")).alias("path"), "height", "width", one.alias("labels"))
 
 
-def content_hashes(spark: SparkSession, paths: str) -> DataFrame:
-    """(path, sha256) of each file, once."""
-    return spark.read.format("binaryFile").load(paths).select(uri(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
+def content_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, sha256) of each file, once. Files are streamed; those of a store that only Spark's readers open are loaded, up to
+    its 2 GiB."""
+    return hashes.file_hashes(spark, paths)
 
 
 def table_hash(spark: SparkSession, path: str) -> str:
     """The SHA-256 of a file; of a folder of part files that of their hashes, in order of their names, a line each."""
     import hashlib
 
-    hashes = [r.sha256 for r in content_hashes(spark, path).orderBy("path").collect()]  # a row for each part file
-    return hashes[0] if len(hashes) == 1 else hashlib.sha256("\n".join(hashes).encode()).hexdigest()
+    found = [r.sha256 for r in content_hashes(spark, path).orderBy("path").collect()]  # a row for each part file
+    return found[0] if len(found) == 1 else hashlib.sha256("\n".join(found).encode()).hexdigest()

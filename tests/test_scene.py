@@ -266,3 +266,19 @@ def test_a_missing_or_repeated_tool_result(spark):
     assert got["q3", "direct"].answer_distribution == {"yes": 0.5, "no": 0.5} and got["q3", "direct"].generator_score == 0
     with pytest.raises(Exception, match="(?i)duplicate"):
         traces.run_programs(asked, spark.createDataFrame([*rows, rows[0]], schema)).collect()
+
+
+@pytest.mark.parametrize("bucket_rows, page", [(200_000, 7), (9, 7), (5, 1), (40, 1000)])
+def test_pages_join_to_the_members_of_a_sequence(spark, bucket_rows, page):
+    rng = random.Random(5)
+    rows = [(str(i), f"2020-01-01 00:{i // 60:02d}:{i % 60 // 7 * 7:02d}", "a" if i < 260 else rng.choice("ab")) for i in rng.sample(range(400), 400)]  # one long sequence, ties of time
+    records = spark.createDataFrame(rows, "image_id string, ts string, camera_model string").withColumn("timestamp", F.to_timestamp_ntz("ts"))
+    grouped = sequences.group_sequences(records, 30.0)
+    whole = {r.group_id: list(r.image_ids) for r in sequences.sequence_table(grouped).collect()}
+    pages = sequences.sequence_pages(grouped, page, bucket_rows).collect()
+    joined = {}
+    for r in sorted(pages, key=lambda r: (r.group_id, r.page)):
+        assert 1 <= len(r.image_ids) <= page
+        joined.setdefault(r.group_id, []).extend(r.image_ids)
+    assert joined == whole and max(map(len, whole.values())) >= 260
+    assert {r.group_id: r.image_count for r in sequences.sequence_table(grouped, members=False).collect()} == {k: len(v) for k, v in whole.items()}
