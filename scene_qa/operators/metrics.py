@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scene_qa.schemas import CELLS
+
 
 def confusion(predictions: DataFrame, keys: list[str], family: str = "question_type") -> DataFrame:
     """(keys, family, answer, prediction, n): combined before the shuffle."""
@@ -25,7 +27,11 @@ def tallies(predictions: DataFrame, keys: list[str], family: str = "question_typ
 def run_metrics(predictions: DataFrame, keys: list[str], family: str = "question_type") -> DataFrame:
     """Accuracy, macro-F1, calibration error, top prediction share and normalised prediction entropy of each run: overall
     (family `overall`) and by family. Calibration is null where any confidence is null; one outside 0..1 raises an error."""
-    cells = tallies(predictions, keys, family)
+    return metrics_of(tallies(predictions, keys, family), keys)
+
+
+def metrics_of(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """run_metrics() from tallies(), which may be stored and added up: those of two parts of a run are those of the run."""
     group = [*keys, "family"]
     counts = cells.groupBy(*group, "answer", "prediction").agg(F.sum("n").alias("n"))
     parts = F.explode(F.array(F.struct(F.col("answer").alias("label"), F.when(F.col("answer") == F.col("prediction"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("gold"), F.lit(0).cast("long").alias("said")), F.struct(F.col("prediction").alias("label"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("gold"), F.col("n").alias("said")))).alias("e")
@@ -64,8 +70,11 @@ def over_seeds(metrics: DataFrame, keys: list[str]) -> DataFrame:
 def alignment_gap(metrics: DataFrame, keys: list[str]) -> DataFrame:
     """By seed ((AA-Ans + AA-Trace) - (PC-Ans + PC-Trace)) / 2 of overall accuracy, then mean and std; seeds that lack a cell
     are left out."""
-    from scene_qa.schemas import CELLS
+    return seed_gaps(metrics, keys).groupBy(*keys).agg(F.count("*").alias("seeds"), F.avg("gap").alias("mean"), F.when(F.count("*") > 1, F.stddev_samp("gap")).otherwise(0.0).alias("std"))
+
 
+def seed_gaps(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seed, gap): the alignment gap of each seed that has all four cells."""
     wide = metrics.where("family = 'overall'").groupBy(*keys, "seed").pivot("cell", list(CELLS)).agg(F.first("accuracy"))
     gap = ((F.col("`AA-Ans`") + F.col("`AA-Trace`")) - (F.col("`PC-Ans`") + F.col("`PC-Trace`"))) / 2
-    return wide.withColumn("gap", gap).where("gap is not null").groupBy(*keys).agg(F.count("*").alias("seeds"), F.avg("gap").alias("mean"), F.when(F.count("*") > 1, F.stddev_samp("gap")).otherwise(0.0).alias("std"))
+    return wide.select(*keys, "seed", gap.alias("gap")).where("gap is not null")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scene_qa.functions.bloom import bloom, perhaps
 from scene_qa.functions.tables import materialise
 from scene_qa.schemas import SPLITS
 
@@ -121,17 +122,34 @@ def cross_split_pairs(images: DataFrame, key: str = "group_id") -> DataFrame:
     return each.agg(F.coalesce(F.sum(F.expr("(s * s - q) div 2")), F.lit(0)).alias("pairs"))
 
 
-def leaks(rows: DataFrame, keys: tuple[str, ...] = ("question_id", "image_id", "mask_sha256", "group_id"), optional: tuple[str, ...] = ("group_id",)) -> DataFrame:
+def leaks(rows: DataFrame, keys: tuple[str, ...] = ("question_id", "image_id", "mask_sha256", "group_id"), optional: tuple[str, ...] = ("group_id",), filtered: bool = False) -> DataFrame:
     """Violations (check, key, value): a value that two splits hold, an id repeated inside a split, a blank value of a key that
-    must not be blank. Values are reduced to one row for each split before they are grouped."""
+    must not be blank. Values are reduced to one row for each split before they are grouped. filtered: the largest split's values
+    are first held against a Bloom filter of the others', so that of them only candidates are shuffled: same rows, worth its
+    two passes where one split holds most of a large table."""
     long = rows.select("split", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("e")).select("split", "e.key", "e.value")
     blank = F.col("value").isNull() | (F.trim("value") == "")
-    shared = long.where(~blank).distinct().groupBy("key", "value").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("shared").alias("check"), "key", "value")
+    valued = long.where(~blank)
+    if filtered:
+        valued = _candidates(valued)
+    shared = valued.distinct().groupBy("key", "value").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("shared").alias("check"), "key", "value")
     empty = long.where(blank & ~F.col("key").isin(*optional)).groupBy("key").agg(F.count("*").cast("string").alias("value")).select(F.lit("blank").alias("check"), "key", "value")
     twice = rows.groupBy("split", F.col(keys[0]).cast("string").alias("value")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated").alias("check"), F.lit(keys[0]).alias("key"), "value").distinct()
     return shared.union(empty).union(twice)
 
 
+def _candidates(long: DataFrame) -> DataFrame:
+    """The rows of long(split, key, value) but for values of its largest split that no other split holds, and a few of those."""
+    sizes = {r.split: r.n for r in long.groupBy("split").agg(F.count("*").alias("n")).collect()}  # a row for each split
+    if len(sizes) < 2:
+        return long
+    largest = max(sizes, key=lambda s: (sizes[s], s is not None, s or ""))
+    mine = F.col("split").eqNullSafe(F.lit(largest))
+    others = long.where(~mine)
+    held = bloom(others.select("key", "value"), sum(sizes.values()) - sizes[largest])
+    return others.union(perhaps(long.where(mine), ["key", "value"], held))
+
+
 def audit_counts(rows: DataFrame) -> DataFrame:
     """(split, questions, images, masks): rows, different images and different masks of each split."""
     return rows.groupBy("split").agg(F.count("*").alias("questions"), F.countDistinct("image_id").alias("images"), F.countDistinct("mask_sha256").alias("masks"))

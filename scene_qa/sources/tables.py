@@ -56,15 +56,23 @@ def _of_run(rows: DataFrame, file: str) -> DataFrame:
     return rows.withColumn("_p", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))).withColumns({"backbone": part(1), "seed": part(2).cast("int"), "cell": part(3), "mode": part(4)}).drop("_p")
 
 
-def read_runs(spark: SparkSession, root: str, schema: str = PREDICTION) -> DataFrame:
+#: A run: backbone, seed, cell, mode.
+Run = tuple[str, int, str, str]
+
+
+def _paths(root: str, runs: list[Run] | None, file: str) -> list[str]:
+    return [f"{root}/*/seed*/*/eval_*/{file}"] if runs is None else [f"{root}/{b}/seed{s}/{c}/eval_{m}/{file}" for b, s, c, m in runs]
+
+
+def read_runs(spark: SparkSession, root: str, schema: str = PREDICTION, runs: list[Run] | None = None) -> DataFrame:
     """Predictions of <root>/<backbone>/seed<N>/<cell>/eval_<mode>/predictions.jsonl, all in one read, with the run from the
-    path. Blank lines are skipped."""
-    return _of_run(spark.read.schema(schema).json(f"{root}/*/seed*/*/eval_*/predictions.jsonl"), r"predictions\.jsonl")
+    path; with `runs` no others are opened. Blank lines are skipped."""
+    return _of_run(spark.read.schema(schema).json(_paths(root, runs, "predictions.jsonl")), r"predictions\.jsonl")
 
 
-def read_run_meta(spark: SparkSession, root: str) -> DataFrame:
+def read_run_meta(spark: SparkSession, root: str, runs: list[Run] | None = None) -> DataFrame:
     """The meta.json beside each run's predictions, with the run from the path."""
-    return _of_run(spark.read.schema(META).option("multiLine", True).json(f"{root}/*/seed*/*/eval_*/meta.json"), r"meta\.json")
+    return _of_run(spark.read.schema(META).option("multiLine", True).json(_paths(root, runs, "meta.json")), r"meta\.json")
 
 
 def verify_export(hashes: DataFrame, manifest: dict[str, tuple[str, str]], rows: DataFrame) -> DataFrame:

@@ -17,3 +17,6 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+from scene_files import dataset, export, run_tree, tree  # noqa: E402, F401

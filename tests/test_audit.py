@@ -27,3 +27,20 @@ def test_metrics_of_a_null_family_and_a_null_key(spark):
     rows = [("r", None, "yes", "yes", 0.5), ("r", "f", "no", "yes", 0.5), (None, "f", "no", "no", 1.0)]
     found = metrics.run_metrics(spark.createDataFrame(rows, "run string, question_type string, answer string, prediction string, confidence double"), ["run"]).collect()
     assert Counter((r.run, r.family, r["count"], r.accuracy, r.ece) for r in found) == Counter([("r", "overall", 2, 0.5, 0.0), ("r", None, 1, 1.0, 0.5), ("r", "f", 1, 0.0, 0.5), (None, "overall", 1, 1.0, 0.0), (None, "f", 1, 1.0, 0.0)])
+
+
+def test_a_filter_keeps_all_candidates_and_drops_most_others(spark):
+    import random
+
+    from scene_qa.operators import splits
+
+    rng = random.Random(4)
+    rows = [(f"q{i}", f"i{i}", f"m{rng.randrange(10**9)}", rng.choice([f"g{i}", None, ""]), "train") for i in range(6000)]
+    rows += [(f"q{i}", f"i{rng.randrange(3000, 9000)}", f"m{rng.randrange(10**9)}", f"g{i}", rng.choice(["val", "test", None])) for i in range(5950, 6300)]
+    df = spark.createDataFrame(rows, "question_id string, image_id string, mask_sha256 string, group_id string, split string").repartition(4)
+    plain, filtered = (Counter(tuple(r) for r in splits.leaks(df, filtered=f).collect()) for f in (False, True))
+    assert plain == filtered and sum(plain.values()) > 100
+    long = df.select("split", F.explode(F.array(F.struct(F.lit("image_id").alias("key"), F.col("image_id").alias("value")), F.struct(F.lit("mask_sha256").alias("key"), F.col("mask_sha256").alias("value")))).alias("e")).select("split", "e.*")
+    left = splits._candidates(long).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in left}["train"] < 0.05 * 12_000  # of what would be shuffled
+    assert splits.leaks(df.limit(0), filtered=True).count() == 0

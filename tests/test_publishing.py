@@ -6,14 +6,13 @@ import pytest
 
 from scene_qa.jobs import datasets, publishing
 from scene_qa.sources import tables
-from test_jobs import dataset, tree  # noqa: F401
 
 
 def files_of(root):
     return {str(p.relative_to(root)): p.read_bytes() for p in sorted(Path(root).rglob("*")) if p.is_file()}
 
 
-def test_a_job_that_fails_between_files_changes_nothing(spark, dataset, tmp_path, monkeypatch):  # noqa: F811
+def test_a_job_that_fails_between_files_changes_nothing(spark, dataset, tmp_path, monkeypatch):
     out, _ = dataset
     before = files_of(out)
 
@@ -36,7 +35,7 @@ def test_a_job_that_fails_between_files_changes_nothing(spark, dataset, tmp_path
     assert datasets.audit_questions(spark, out, least=0)["total_questions"] == 900
 
 
-def test_a_failed_export_leaves_the_old_one(spark, dataset, tmp_path, monkeypatch):  # noqa: F811
+def test_a_failed_export_leaves_the_old_one(spark, dataset, tmp_path, monkeypatch):
     out, folder = dataset[0], str(tmp_path / "export")
     first = datasets.prepare_export(spark, f"{out}/manifest.json", folder, 2, 2)
     before, write, calls = files_of(folder), tables.write_jsonl, []

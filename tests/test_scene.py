@@ -230,8 +230,8 @@ def test_medians_against_the_statistics_module(spark):
     rng = random.Random(2)
     rows = [(k, rng.choice([None, 1.0, rng.random(), -rng.random() * 100])) for k in ("a", "b", None) for _ in range({"a": 101, "b": 60, None: 7}[k])] + [("c", 2.5), ("d", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    for stretches in (4096, 3, 1):
-        got = {r.k: r["median"] for r in exact_medians(df, ["k"], "v", stretches=stretches).collect()}
+    for accuracy in (10_000, 50, 20, 3):  # rows of a group lie below and above it
+        got = {r.k: r["median"] for r in exact_medians(df, ["k"], "v", accuracy=accuracy).collect()}
         assert got == pytest.approx({k: statistics.median(v for q, v in rows if q == k and v is not None) for k in ("a", "b", None, "c")})
     assert exact_medians(df, [], "v").first()["median"] == pytest.approx(statistics.median(v for _, v in rows if v is not None))
 
