@@ -236,12 +236,12 @@ def test_hilbert_recomputed_plainly(spark, docs):
 
 @pytest.mark.parametrize("hot_rows", [1, 3])
 def test_joins_that_deal_hot_keys_give_the_same_rows(spark, docs, monkeypatch, hot_rows):
-    from scene_qa.llm import common
+    from scene_qa.functions import joins
 
     pages = spark.createDataFrame([(i, u) for i, u in enumerate([None, "", "http://a.net/x", "https://en.example.net/en/", "no address"] * 4 + ["http://a.net/x"] * 9)], "page_id long, url string")
     runs = {"fingerprints": lambda: simhash.simhash_components(docs), "repeats": lambda: substring_dedup.remove_repeats(docs, window=24), "pages": lambda: url_filter.filter_pages(pages)}
     plain = {k: Counter(tuple(r) for r in f().collect()) for k, f in runs.items()}
-    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
     assert {k: Counter(tuple(r) for r in f().collect()) for k, f in runs.items()} == plain
 
 
