@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scene_qa.llm.common import column, materialise, pack, small_join
@@ -55,6 +55,14 @@ def uniform(seed: int, *columns) -> "F.Column":
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def _in_order(rows: DataFrame, key: Column) -> DataFrame:
+    """rows in the global order of their hash _at, ties by key. A hash is spread evenly, so its range is cut into equal parts, one for
+    each shuffle partition: no sample of the rows is needed to find the cuts, and they are made once."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.lit(parts - 1), F.floor((F.col("_at").cast("double") / float(1 << 64) + 0.5) * parts)).cast("int")  # rises with _at
+    return rows.repartitionById(parts, part).sortWithinPartitions("_at", key)
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: DataFrame | None = None, alpha: float = ALPHA, epochs: float = 1.0, seed: int = 17, counts: bool = False) -> DataFrame:
     """Each row of docs as often as a Poisson number with its source's rate says, all in a global random order.
 
@@ -73,7 +81,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     u = uniform(seed, key)
     rows = rows.withColumn("_copies", F.size(F.filter("_cdf", lambda c: c <= u)).cast("long")).drop("_cdf", "_key")
     rows = rows.withColumn("_copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))))
-    rows = rows.withColumn("_at", F.xxhash64(F.lit(seed), key, F.col("_copy"))).orderBy("_at", key)
+    rows = _in_order(rows.withColumn("_at", F.xxhash64(F.lit(seed), key, F.col("_copy"))), key)
     if counts:
         return rows.select("_row.*", F.round("_rate", 6).alias("rate"), F.col("_copies").alias("copies"), F.col("_copy").alias("copy"))
     return rows.select("_row.*")

@@ -645,6 +645,10 @@ def test_mixture_rates(spark, docs):
     assert one == two and len(one) == 3
     assert mixture.mix(docs.limit(0)).count() == 0
     assert mixture.mix(docs).columns == docs.columns
+    from scene_qa.llm.common import pack
+
+    at = [r["_at"] for r in mixture._in_order(pack(docs).withColumn("_at", F.xxhash64("_row")), F.col("_row.doc_id")).select("_at").collect()]
+    assert at == sorted(at) and len(at) == docs.count()  # the partitions follow one another
 
 
 def test_poisson_tables_of_large_rates(spark):
