@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scene_qa.llm import lexical_search, queries, vector_codes, vector_copies
 
@@ -134,6 +135,28 @@ def test_near_vectors_against_all_pairs(spark, options):
     assert sum(r[1] for r in want.elements()) > 60
 
 
+def test_a_dense_group_is_a_ball_and_not_compared_with_itself(spark):
+    """Near copies within half the angle of their centre, some farther, one more group beside them that links in part, and what
+    stands alone; against all pairs."""
+    rng = np.random.default_rng(11)
+    centre, side, far = rng.standard_normal((3, 64))
+    beside = centre / np.linalg.norm(centre) + 0.25 * side / np.linalg.norm(side)
+    make = lambda c, spread, n: [c / np.linalg.norm(c) + spread * rng.standard_normal(64) / 8 for _ in range(n)]
+    vectors = [*make(centre, 0.1, 60), *make(centre, 0.25, 20), *make(beside, 0.08, 40), *make(far, 0.05, 30), *rng.standard_normal((40, 64))]
+    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(vectors)] + [(900 + j, vectors[3].astype(np.float32).tolist(), 1) for j in range(5)]
+    table = spark.createDataFrame([(*r, "clash", "clash", 1) for r in rows], VECTORS)
+    want = plain_near(rows, 0.95)
+    for hot_rows in (3, 10, 25):
+        assert Counter(tuple(r) for r in vector_copies.near_vectors(table, 0.95, hot_rows=hot_rows, bits=3, tables=30).collect()) == want
+    nodes = vector_copies.materialise(spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(make(centre, 0.01, 500))], "node long, weight long, vec array<double>"))
+    signed = vector_copies.materialise(nodes.mapInArrow(lambda it: vector_copies._signed_rows(it, 4, 5, 12), "node long, weight long, vec binary, signs binary, keys array<long>"))
+    balls = vector_copies._balls(signed, 0.95, 50).collect()
+    keyed = signed.join(spark.createDataFrame([(r.node, r.ball) for r in balls], "node long, ball long"), "node").select("node", "ball", F.explode("keys").alias("key"))
+    cells = vector_copies._in_cells(keyed, 50)
+    assert len(balls) >= 450 and cells.groupBy("key", "cell").count().agg(F.max("count")).first()[0] <= 2 * 60
+    assert len({r.ball for r in balls}) > 1 or cells.count() <= 50  # those of keys that are not hot
+
+
 def test_near_vectors_in_sql(spark):
     rows = [r for r in vector_fixture() if r[1] is None or len(r[1]) in (0, 3, 16)]
     table = pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))})
