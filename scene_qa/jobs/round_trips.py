@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scene_qa.functions.tables import materialise, scratch_path
 from scene_qa.jobs import datasets, inputs, registry, runs, trees
 from scene_qa.jobs.registry import _r, query
-from scene_qa.operators import metrics
+from scene_qa.operators import metrics, splits
 from scene_qa.schemas import EVENTS
 from scene_qa.sources import hashes, images, tables
 
@@ -161,3 +161,33 @@ def analyzed_runs(spark, sf_dir):
     if tables.read_manifest(spark, f"{out}/analysis.json")["counts"] != found["counts"] or totals != found["counts"]:
         raise ValueError("the analysis' totals differ from its cases")
     return cases
+
+
+@query("SELECT source, count(*) AS n, round(avg(n_chars), 6) AS mean_chars, bool_or(text IS NULL) AS lacks_text FROM documents GROUP BY source")
+def manifest_round_trip(spark, sf_dir):
+    """Counts by source as a manifest, nested by source, and read again."""
+    path, rows = f"{scratch_path(spark)}/manifest.json", inputs.table(spark, sf_dir, "documents")
+    found = rows.groupBy("source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"), F.max(F.col("text").isNull()).alias("lacks_text")).collect()  # a row for each source
+    tables.write_manifest(spark, {r.source: {"n": r.n, "mean_chars": r.mean_chars, "lacks_text": r.lacks_text} for r in found}, path)
+    read = tables.read_manifest(spark, path)
+    return spark.createDataFrame([(s, e["n"], round(e["mean_chars"], 6), e["lacks_text"]) for s, e in read.items()], "source string, n long, mean_chars double, lacks_text boolean")
+
+
+_OF_SPLITS = f"WITH r AS (SELECT doc_id, source, {registry._SPLIT.format('doc_id')} AS split FROM documents)"
+
+
+@query(f"{_OF_SPLITS}, e AS (SELECT unnest(['train', 'val', 'test']) AS split) SELECT split, count(doc_id) AS images, count(DISTINCT source) AS groups FROM e LEFT JOIN (SELECT * FROM r WHERE split <> 'val') USING (split) GROUP BY split")
+def split_counts_given(spark, sf_dir):
+    """Images and groups of stated splits, one of which is empty."""
+    return splits.split_counts(inputs.export_rows(spark, sf_dir).where("split <> 'val'"))
+
+
+@query(f"{_OF_SPLITS} SELECT 'not in manifest' AS check, 'test' AS key UNION ALL SELECT 'hash differs', split FROM r WHERE split = 'val' GROUP BY split HAVING count(*) > 0 UNION ALL SELECT 'no rows', 'train' WHERE NOT EXISTS (FROM r WHERE split = 'train' AND doc_id % 5 = 4)")
+def export_faults(spark, sf_dir):
+    """An export whose manifest lacks a split and states another hash for one, and whose rows lack one."""
+    rows = inputs.export_rows(spark, sf_dir)
+    hashed = rows.groupBy("split").agg(F.sha2(F.sum(F.conv(F.substring("mask_sha256", 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").cast("binary"), 256).alias("sha256"))
+    stated = {r.split: r.sha256 for r in hashed.collect()}  # a row for each split
+    files = hashed.select(F.concat("split", F.lit(".jsonl")).alias("file"), "sha256")
+    manifest = {"train": ("train.jsonl", stated["train"]), "val": ("val.jsonl", stated["test"])}
+    return tables.verify_export(files, manifest, rows.where("split <> 'train'"))
