@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -42,19 +43,27 @@ def line_digests(passage: str) -> list[bytes]:
     return [d for line in passage.split("\n") if (d := digest(line))]
 
 
-def runs(lines: list[bytes], length: int) -> list[bytes]:
-    """A digest of each run of so many lines, by prefixes of one polynomial: the cost doesn't grow with the length."""
-    prefix = [0]
+@lru_cache(maxsize=1 << 16)
+def _shift(length: int) -> int:
+    return pow(_BASE, length, _PRIME)
+
+
+def prefixes(lines: list[bytes]) -> list[int]:
+    """Of one polynomial: with them the digest of any run of the lines costs the same, however long it is."""
+    out = [0]
     for d in lines:
-        prefix.append((prefix[-1] * _BASE + int.from_bytes(d, "big")) % _PRIME)
-    shift = pow(_BASE, length, _PRIME)
-    return [((prefix[k + length] - prefix[k] * shift) % _PRIME).to_bytes(16, "big") for k in range(len(lines) - length + 1)]
+        out.append((out[-1] * _BASE + int.from_bytes(d, "big")) % _PRIME)
+    return out
+
+
+def run_digest(prefix: list[int], start: int, length: int) -> bytes:
+    return ((prefix[start + length] - prefix[start] * _shift(length)) % _PRIME).to_bytes(16, "big")
 
 
-def parse(text: str) -> tuple[str, list[bytes], list[bytes], list[tuple[int, bytes, int, bytes]]]:
+def parse(text: str) -> tuple[str, list[bytes], list[bytes], list[tuple[int, bytes, int, bytes, bytes]]]:
     """The text without quoted lines, the digests of its own passages (of each line, of each run of lines between quotes or
     empty lines, and of all), those of its own lines in order, and (level, digest, number of lines, digest as a run of lines,
-    empty for one line) of the quoted passages, in order."""
+    empty for one line, digest of the first line) of the quoted passages, in order."""
     parts = passages(text)
     own = [body for level, body in parts if not level]
     units = [*own, *(line for body in own for line in body.split("\n")), "\n".join(own)]
@@ -63,28 +72,29 @@ def parse(text: str) -> tuple[str, list[bytes], list[bytes], list[tuple[int, byt
     for level, body in parts:
         if level and (d := digest(body)):
             lines = line_digests(body)
-            quoted.append((level, d, len(lines), runs(lines, len(lines))[0] if len(lines) > 1 else b""))
+            quoted.append((level, d, len(lines), run_digest(prefixes(lines), 0, len(lines)) if len(lines) > 1 else b"", lines[0]))
     return "\n".join(own).strip("\n") if any(level for level, _ in parts) else text, list(mine), line_digests("\n".join(own)), quoted
 
 
-_QUOTED = pa.list_(pa.struct([("level", pa.int32()), ("digest", pa.binary()), ("n", pa.int32()), ("run", pa.binary())]))
+_QUOTED = pa.list_(pa.struct([("level", pa.int32()), ("digest", pa.binary()), ("n", pa.int32()), ("run", pa.binary()), ("first", pa.binary())]))
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [parse(t) for t in batch.column(3).to_pylist()]
         cols = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.list_(pa.binary()), pa.list_(pa.binary())))]
-        quoted = pa.array([[{"level": a, "digest": b, "n": n, "run": c} for a, b, n, c in f[3]] for f in found], _QUOTED)
+        quoted = pa.array([[{"level": a, "digest": b, "n": n, "run": c, "first": e} for a, b, n, c, e in f[3]] for f in found], _QUOTED)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols, quoted], ["conv", "turn", "role", "body", "own", "lines", "quoted"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (ck, tk, lines, lengths) -> (ck, tk, digest) of the different runs of lines of these lengths."""
+    """Rows (ck, tk, lines, places array<struct<pos, lengths>>) -> (ck, tk, digest) of the different runs of lines that begin at
+    these places and have these lengths."""
     for batch in batches:
         for row in batch.to_pylist():
-            for length in row["lengths"]:
-                if mine := list(dict.fromkeys(runs(row["lines"], length))):
-                    yield pa.RecordBatch.from_arrays([pa.array([row["ck"]] * len(mine)), pa.array([row["tk"]] * len(mine), pa.int64()), pa.array(mine, pa.binary())], ["ck", "tk", "digest"])
+            prefix, n = prefixes(row["lines"]), len(row["lines"])
+            if mine := list(dict.fromkeys(run_digest(prefix, p["pos"], k) for p in row["places"] for k in p["lengths"] if p["pos"] + k <= n)):
+                yield pa.RecordBatch.from_arrays([pa.array([row["ck"]] * len(mine)), pa.array([row["tk"]] * len(mine), pa.int64()), pa.array(mine, pa.binary())], ["ck", "tk", "digest"])
 
 
 def _position(rows: DataFrame) -> DataFrame:
@@ -119,16 +129,20 @@ def reply_order(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     comes later links to nothing. A very long message is parsed whole. Only the four named columns are read, whatever others are
     called. An empty table gives no rows."""
     named = messages.select(column(conv_id).alias("conv"), column(turn).cast("long").alias("turn"), column(role).cast("string").alias("role"), F.coalesce(column(text), F.lit("")).alias("text"))
-    schema = f"conv {named.schema['conv'].dataType.simpleString()}, turn long, role string, body string, own array<binary>, lines array<binary>, quoted array<struct<level:int,digest:binary,n:int,run:binary>>"
-    parsed = materialise(named.mapInArrow(_parsed, schema))
+    schema = f"conv {named.schema['conv'].dataType.simpleString()}, turn long, role string, body string, own array<binary>, lines array<binary>, quoted array<struct<level:int,digest:binary,n:int,run:binary,first:binary>>"
+    parsed = materialise(named.mapInArrow(_parsed, schema).withColumn("row", F.monotonically_increasing_id()))  # numbered once, when written
     parsed = parsed.withColumn("ck", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit("-"))).withColumn("tk", F.coalesce("turn", F.lit(-(1 << 63)).cast("long"))).withColumn("h", F.xxhash64("role", "body"))
     quotes = parsed.where("turn is not null").select("ck", "tk", F.posexplode("quoted").alias("at", "q")).select("ck", "tk", "at", "q.*").distinct()
-    lengths = materialise(quotes.where("n > 1").groupBy("ck").agg(F.collect_set("n").alias("lengths")))
+    # a run of lines is looked up by its first line, and compared only where that stands
+    starts = materialise(quotes.where("n > 1").groupBy("ck", F.col("first").alias("line")).agg(F.collect_set("n").alias("lengths")))
     # a quote is looked up as a passage and as a run of lines
     quotes = quotes.withColumn("key", F.explode(F.array("digest", "run"))).where(F.octet_length("key") > 0)
     wanted = quotes.select("ck", "key").distinct()
     own = parsed.where("turn is not null").select("ck", "tk", F.explode("own").alias("key"))
-    inside = small_join(parsed.where("turn is not null and size(lines) > 1").select("ck", "tk", "lines"), lengths, ["ck"], "inner")
+    long = parsed.where("turn is not null and size(lines) > 1")
+    places = small_join(long.select("row", "ck", F.posexplode("lines").alias("pos", "line")), starts, ["ck", "line"], "inner")
+    places = places.groupBy("row").agg(F.collect_list(F.struct("pos", "lengths")).alias("places"))  # of one message
+    inside = long.select("row", "ck", "tk", "lines").join(places, "row").drop("row")
     own = own.union(inside.mapInArrow(_runs, "ck string, tk long, digest binary"))
     originals = own.join(wanted, ["ck", "key"], "left_semi").groupBy("ck", "key").agg(F.min("tk").alias("original"))
     linked = materialise(quotes.join(originals, ["ck", "key"]).where("original < tk"))

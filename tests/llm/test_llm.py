@@ -425,6 +425,20 @@ def test_words_of_long_texts_are_cut_between_words(monkeypatch):
         monkeypatch.undo()
 
 
+def test_quotes_of_many_lengths_link_by_their_first_lines(spark):
+    """A message of 400 lines, and replies that quote a run of it of every length from 2 to 200, some changed in one line."""
+    lines = [f"line {i} of the first message" for i in range(400)]
+    rows, want = [(1, 0, "a", "\n".join(lines))], {0: None}
+    for n in range(2, 201):
+        quoted = lines[n : 2 * n]
+        if n % 5 == 0:
+            quoted = [*quoted[:-1], "changed"]
+        rows.append((1, n, "b", "\n".join(f"> {x}" for x in quoted) + f"\nreply {n}"))
+        want[n] = 0 if n % 5 else None
+    got = quotation.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.reply_to for r in got} == want
+
+
 def test_quotation_linking(spark):
     rows = [(1, 0, "a", "Hello there\nHow are you?"), (1, 1, "b", "> Hello  there\nFine."), (1, 2, "a", "Other topic"), (1, 3, "a", "> Fine.\n> > hello there\nGood."), (1, 4, "b", None), (None, None, None, None), (1, 5, "c", "> never said\nx")]
     got = {r.turn: r for r in quotation.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect() if r.conv_id == 1}
