@@ -204,6 +204,34 @@ def test_near_copies_keep_one_stated_row_of_an_id(spark):
     assert len(kept) == 1 and kept <= set(rows[:3])
 
 
+def test_files_of_shards_are_skipped(spark, tmp_path):
+    """A filter on two dimensions meets few of the files, by their own statistics; of a table in order of ids it meets all."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(6)
+    rows = [(i, f"text {i}", rng.choice("abcdefghijklmnop"), rng.choice(["de", "en", "es", "fr"]), rng.randrange(10_000)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    hilbert.write_shards(df, str(tmp_path / "curve"), 16)
+    df.repartitionById(16, (F.col("doc_id") / 250).cast("int")).write.parquet(str(tmp_path / "ids"))
+
+    def met(folder):
+        files = sorted((tmp_path / folder).glob("part-*.parquet"))
+        hits = []
+        for f in files:
+            group = pq.ParquetFile(f).metadata.row_group(0)
+            span = {group.column(k).path_in_schema: group.column(k).statistics for k in range(group.num_columns)}
+            hits.append(span["lang"].min <= "es" <= span["lang"].max and span["n_chars"].min < 2500 and span["n_chars"].max >= 1000)
+        return len(files), sum(hits)
+
+    assert met("ids") == (16, 16) and met("curve")[0] == 16 and met("curve")[1] <= 8
+    back = spark.read.parquet(str(tmp_path / "curve"))
+    assert Counter(tuple(r)[:5] for r in back.collect()) == Counter(rows)
+    assert back.where("lang = 'es' and n_chars >= 1000 and n_chars < 2500").count() == sum(r[3] == "es" and 1000 <= r[4] < 2500 for r in rows)
+    for f in sorted((tmp_path / "curve").glob("part-*.parquet")):
+        t = pq.read_table(f, columns=["shard", "slot"]).to_pydict()
+        assert len(set(t["shard"])) == 1 and t["slot"] == list(range(len(t["slot"])))
+
+
 def test_hilbert_spreads_few_steps_over_the_curve(spark):
     """Of three languages and many sizes, a shard holds few: the steps of lang reach the curve's upper bits."""
     rng = random.Random(5)
