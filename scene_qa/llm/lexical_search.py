@@ -1,9 +1,9 @@
 """Ranked lexical search of items over documents by sort-based accumulation.
 
 Each document is cut into terms once. In a block of documents the arrays of (item, document, impact) of all matched terms are
-concatenated, radix sorted by item (they already stand in order of their documents) and summed with reduceat; each item's best
-are held in a heap. All that belongs to a document is summed in its task, so no postings are shuffled: only the heaps are,
-dealt by ranges of item and part."""
+concatenated, radix sorted by keys that pack item and document, and summed with reduceat; each item's best are held in a
+heap. All that belongs to a document is summed in its task, so no postings are shuffled: only the heaps are, dealt by ranges
+of item and part."""
 
 from __future__ import annotations
 
@@ -111,13 +111,14 @@ def _accumulate(docs: list[tuple], index: ItemIndex, weights: np.ndarray, n_docs
     impact = weights[terms] * (1_000_000_000 * tf // (1000 * tf + 12 * m[doc]))
     many = index.starts[terms + 1] - index.starts[terms]
     at = np.repeat(index.starts[terms] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    items, doc, impact = index.items[at], np.repeat(doc, many), np.repeat(impact, many) * index.times[at]
-    order = radix_order(items, index.n_items)
-    items, doc, impact = items[order], doc[order], impact[order]
-    first = np.flatnonzero(np.r_[True, (items[1:] != items[:-1]) | (doc[1:] != doc[:-1])])
+    key = index.items[at] * len(docs) + np.repeat(doc, many)  # item and document in one integer
+    order = radix_order(key, index.n_items * len(docs))
+    key, impact = key[order], (np.repeat(impact, many) * index.times[at])[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    items, doc = np.divmod(key[first], len(docs))
     ids = np.array([_LAST if d[0] is None else d[0] for d in docs], np.int64)
     missing = np.array([d[0] is None for d in docs])
-    best.add(items[first], ids[doc[first]], missing[doc[first]], np.add.reduceat(impact, first))
+    best.add(items, ids[doc], missing[doc], np.add.reduceat(impact, first))
 
 
 def _search(batches: Iterator[pa.RecordBatch], index: ItemIndex, weights: np.ndarray, n_docs: int, n_terms: int, k: int, held: int) -> Iterator[pa.RecordBatch]:
