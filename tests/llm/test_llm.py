@@ -650,9 +650,11 @@ def test_evidence_that_conflicts(spark, given):
     """A text in one language whose markup and host say another: clear text outweighs the declaration, a word or two does not."""
     model = language.fit(given)
     long = " ".join(r.text for r in given.where("lang = 'de' and text is not null").orderBy("doc_id").limit(3).collect())
-    rows = [(1, long, "en", "a.com"), (2, long, "de", "a.de"), (3, "", "en", "a.com")]
+    rows = [(1, long, "en", "a.com"), (2, long, "de", "a.de"), (3, "", "en", "a.com"), (4, "ok", "fr", "b.fr"), (5, "ok", "es", "b.es")]
     got = {r["_row"].doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), model).collect()}
-    assert got[1].language == got[2].language == "de" and got[2].posterior >= got[1].posterior
+    assert got[1].language == got[2].language == "de" and got[2].posterior >= got[1].posterior and got[1].accepted
+    assert got[3].language == "en" and not got[3].accepted  # no letter: the declaration is all there is
+    assert got[4].language == "fr" and got[5].language == "es"
 
 
 def test_a_large_rule_set_is_joined(spark):
