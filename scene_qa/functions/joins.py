@@ -1,4 +1,4 @@
-"""Joins whose hot keys are dealt over parts."""
+"""Joins that no key and no side outgrows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 HOT_ROWS, HOT_PART = 1000, 100_000
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """side, never to be broadcast in a join. Spark guesses a table's size from its compressed files and counts no rows that a
+    generator adds: maps with the same keys in every row take over a hundred times that on the driver."""
+    return side.hint("merge")
+
+
 def dealt_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, by: str, hot_rows: int | None = None) -> DataFrame:
     """Inner join of rows with side, materialised, which has one row for each key and in column n the number of its rows. A key of
     over hot_rows (HOT_ROWS) rows, or of a HOT_PART-th of all if that is more, is dealt by column `by` over parts of so many rows, and

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scene_qa.functions.binding import let
 from scene_qa.functions.hashing import full_modulo, trace_id
+from scene_qa.functions.joins import shuffled
 from scene_qa.schemas import CLASSES
 
 #: The tools each variant calls, in order. $c is the class the question asks for, * every class in order.
@@ -85,12 +86,13 @@ def run_programs(questions: DataFrame, tools: DataFrame) -> DataFrame:
     question_id, question_type, source_family, program_variant, steps, final_answer, answer_distribution, generator_score,
     total_latency_ms. tools: (image_id, results), or the rows that tool_map takes.
 
-    An image's results meet its questions as one map, in one join; steps are looked up in it, so nothing is regrouped. A
-    result that is missing is a failed step of confidence 0. An unknown family raises an error."""
+    An image's results meet its questions as one map, in one shuffle join, before these become variants; steps are looked up
+    in it, so nothing is regrouped. A result that is missing is a failed step of confidence 0. An unknown family raises an error."""
     tools = tools if "results" in tools.columns else tool_map(tools)
     family = F.col("question_type")
     programs = F.coalesce(F.element_at(program_table(), family), F.raise_error(F.concat(F.lit("unknown family "), family)))
-    rows = questions.select("question_id", "image_id", "question_type", "answer_space", F.col("class_name").alias("c"), F.inline(programs)).join(tools.select("image_id", "results"), "image_id", "left")
+    held = questions.select("question_id", "image_id", "question_type", "answer_space", F.col("class_name").alias("c")).join(shuffled(tools.select("image_id", "results")), "image_id", "left")
+    rows = held.select("*", F.inline(programs))
     asked = F.transform("calls", lambda k: F.struct(k["tool"].alias("tool"), F.when(k["arg1"] == "$c", F.col("c")).otherwise(k["arg1"]).alias("arg1"), k["arg2"].alias("arg2")))
     looked = F.transform(asked, lambda k: F.struct(k.alias("k"), F.when(k["arg1"].isNull(), k["tool"]).otherwise(_key(k["tool"], k["arg1"], k["arg2"])).alias("key")))
     met = F.transform(looked, lambda x: F.struct(x["k"].alias("k"), x["key"].alias("key"), F.try_element_at("results", x["key"]).alias("r")))
