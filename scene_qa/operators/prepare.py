@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scene_qa.functions.hashing import sha
+from scene_qa.functions.joins import shuffled
 from scene_qa.functions.ordering import hash_rank, permuted_heads
 from scene_qa.operators.traces import soft_answer
 from scene_qa.schemas import CELLS, FAMILIES
@@ -19,7 +20,7 @@ def verified_traces(questions: DataFrame, traces: DataFrame, evidence: DataFrame
     each = traces.groupBy("question_id").agg(F.collect_list("answer_distribution").alias("d"), direct.alias("trace_steps"))
     support, top = soft_answer(F.col("d"))
     shown = evidence.select("image_id", F.struct("area_pixels", "adjacency_radius").alias("mask_evidence"))
-    return questions.select("question_id", "image_id").join(each, "question_id").join(shown, "image_id").select("question_id", top.alias("trace_answer"), support.alias("trace_support"), "trace_steps", "mask_evidence")
+    return questions.select("question_id", "image_id").join(shuffled(each), "question_id").join(shuffled(shown), "image_id").select("question_id", top.alias("trace_answer"), support.alias("trace_support"), "trace_steps", "mask_evidence")
 
 
 def assemble(questions: DataFrame, images: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +28,7 @@ def assemble(questions: DataFrame, images: DataFrame, resolved: DataFrame) -> tu
     the space, trace answers that are not the gold answer. images: image_id, image_path, mask_sha256, group_id, split."""
     twice = images.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated image").alias("check"), F.col("image_id").cast("string").alias("key"))
     once = images.withColumnRenamed("split", "image_split").dropDuplicates(["image_id"])
-    rows = questions.withColumnRenamed("answer", "gold_answer").join(once, "image_id", "left").join(resolved, "question_id", "left")
+    rows = questions.withColumnRenamed("answer", "gold_answer").join(shuffled(once), "image_id", "left").join(shuffled(resolved), "question_id", "left")
     lost = F.col("image_path").isNull() | F.col("mask_sha256").isNull()
     problem = F.when(F.col("image_split").isNull(), "missing image").when(lost, "missing file").when(F.col("image_split") != F.col("split"), "split differs").when(~F.array_contains("answer_space", F.col("gold_answer")), "answer not in space").when(~F.col("trace_answer").eqNullSafe(F.col("gold_answer")), "trace is not gold")
     rows = rows.withColumn("_p", problem)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scene_qa.operators import masks, questions, traces
+from scene_qa.operators import masks, prepare, questions, traces
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +25,13 @@ def test_results_of_tools_are_not_broadcast(scene):
     found = traces.run_programs(*scene[:2])
     assert "BroadcastExchange" not in planned(found)
     assert found.count() == 6 * sum(map(len, traces.PROGRAMS.values()))
+
+
+def test_targets_and_records_are_not_broadcast(scene):
+    q, tools, e = scene
+    t = traces.run_programs(q, tools)
+    assert "BroadcastExchange" not in planned(traces.targets(q, t, "multi_trace_soft_answer"))
+    images = e.select("image_id", F.lit("img").alias("image_path"), F.lit("h").alias("mask_sha256"), F.lit("g").alias("group_id"), F.when(F.col("image_id") % 2 == 0, "train").otherwise("test").alias("split"))
+    records, bad = prepare.assemble(q, images, prepare.verified_traces(q, t, e))
+    assert "BroadcastExchange" not in planned(records)
+    assert bad.count() == 0 and records.count() == 36
