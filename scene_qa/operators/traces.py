@@ -227,5 +227,5 @@ def targets(questions: DataFrame, traces: DataFrame, variant: str) -> DataFrame:
         return questions.select("question_id", F.lit(variant).alias("variant"), "answer", "answer_space", F.lit(None).cast("map<string,double>").alias("soft_answer"))
     if variant != "multi_trace_soft_answer":
         raise ValueError(f"unknown variant {variant}")
-    found = best_trace(traces).select("question_id", F.col("final_answer").alias("answer")).join(soft_answers(traces), "question_id")
-    return questions.drop("answer").join(found, "question_id").select("question_id", F.lit(variant).alias("variant"), "answer", "answer_space", "soft_answer")
+    found = best_trace(traces).select("question_id", F.col("final_answer").alias("answer")).join(shuffled(soft_answers(traces)), "question_id")
+    return questions.drop("answer").join(shuffled(found), "question_id").select("question_id", F.lit(variant).alias("variant"), "answer", "answer_space", "soft_answer")
