@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scene_qa.functions.binding import let
 from scene_qa.functions.hashing import sha
+from scene_qa.functions.joins import shuffled
 from scene_qa.functions.ordering import hash_rank
 from scene_qa.functions.tables import materialise, scratch_path
 from scene_qa.jobs import inputs
@@ -578,7 +579,7 @@ def trace_faults_adjacency(spark, sf_dir):
 def trace_rules(spark, sf_dir):
     """Each rule of trace validation, broken by the traces of a thirteenth of the images."""
     q, t, _ = _traces(spark, sf_dir)
-    t = t.where("question_type = 'presence' and program_variant = 'direct'").join(q.select("question_id", (F.col("image_id") % 13).alias("k")), "question_id")
+    t = t.where("question_type = 'presence' and program_variant = 'direct'").join(shuffled(q.select("question_id", (F.col("image_id") % 13).alias("k"))), "question_id")
     k, final, steps = F.col("k"), F.col("final_answer"), F.col("steps")
     other = F.when(final == "yes", "no").otherwise("yes")
     two = lambda a, b: F.create_map(final, F.lit(a), other, F.lit(b))
