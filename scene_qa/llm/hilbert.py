@@ -17,8 +17,6 @@ FEW_CELLS = 17
 SALT_BITS = 10
 
 
-#: Rows that the cut points of strings are taken from, about.
-SAMPLED = 20_000
 #: Characters of a string that make a cut point: it needn't be a value.
 PREFIX = 4096
 #: Rows of one text beyond which they are dealt over sub-buckets of their own, of about so many rows; more if over HOT_PART texts
@@ -33,27 +31,37 @@ def ordered(name: str, kind: str) -> Column:
     return F.unix_micros(column(name).cast("timestamp")).cast("double") if kind in ("timestamp", "timestamp_ntz", "date") else column(name).cast("double")
 
 
-def cut_points(docs: DataFrame, dims: list[str], bits: int = BITS, key: str = "doc_id", sampled: int = SAMPLED) -> list[list]:
-    """At most 2^bits - 1 cut points for each dimension, a bounded result: approximate quantiles, of numbers in one pass over
-    all rows, of strings over about `sampled` rows that a hash of key and dimensions chooses. Cut points of
-    strings are values, of their first PREFIX characters if they are longer."""
+def cut_points(docs: DataFrame, dims: list[str], bits: int = BITS) -> list[list]:
+    """At most 2^bits - 1 cut points for each dimension, a bounded result that all rows decide: of numbers approximate quantiles
+    in one pass, of strings exact quantiles of their first PREFIX characters."""
     kinds, many = dict(docs.dtypes), 1 << bits
     shares = F.array(*[F.lit(k / many) for k in range(1, many)])
-    numbers = [d for d in dims if kinds[d] != "string"]
-    row = docs.agg(F.count("*").alias("n"), *[F.percentile_approx(ordered(d, kinds[d]), shares, 10_000).alias(f"d{dims.index(d)}") for d in numbers]).first()
-    strings = [d for d in dims if kinds[d] == "string"]
-    found: dict[str, list[str]] = {d: [] for d in strings}
-    if strings and row["n"]:
-        some = docs.where(F.pmod(F.xxhash64(column(key), *map(column, dims)), F.lit(1 << 30)) < min(1.0, sampled / row["n"]) * (1 << 30))
-        for r in some.select(*[F.substring(column(d), 1, PREFIX).alias(f"d{dims.index(d)}") for d in strings]).collect():
-            for d in strings:
-                if r[f"d{dims.index(d)}"] is not None:
-                    found[d].append(r[f"d{dims.index(d)}"])
-    out = []
-    for i, d in enumerate(dims):
-        values = sorted(found[d]) if d in found else row[f"d{i}"]  # Python's order of strings is that of their UTF-8 bytes
-        out.append(sorted({values[k * len(values) // many] for k in range(1, many)} if d in found and values else set(values or [])))
-    return out
+    out: list[list] = [[] for _ in dims]
+    numbers = [i for i, d in enumerate(dims) if kinds[d] != "string"]
+    if numbers:
+        row = docs.agg(*[F.percentile_approx(ordered(dims[i], kinds[dims[i]]), shares, 10_000).alias(f"d{i}") for i in numbers]).first()
+        for i in numbers:
+            out[i] = sorted(set(row[f"d{i}"] or []))
+    strings = [i for i in range(len(dims)) if i not in numbers]
+    if strings:
+        for r in string_quantiles(docs.select(F.inline(F.array(*[F.struct(F.lit(i).alias("dim"), F.substring(column(dims[i]), 1, PREFIX).alias("value")) for i in strings]))), many).collect():
+            out[r["dim"]].append(r["value"])
+    return [sorted(cuts) for cuts in out]  # Python's order of strings is that of their UTF-8 bytes
+
+
+def string_quantiles(values: DataFrame, many: int) -> DataFrame:
+    """values(dim, value) -> the distinct (dim, value) at places k * n div many, for k from 1, in the order of a dim's n values
+    without nulls. Equal values are counted first; their counts are added up in stretches of the order, and those by stretch."""
+    tally = values.where("value is not null").groupBy("dim", "value").agg(F.count("*").alias("n"))
+    parts = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tally = materialise(tally.repartitionByRange(parts, "dim", "value").withColumn("stretch", F.spark_partition_id()))
+    before = lambda order, *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = tally.groupBy("dim", "stretch").agg(F.sum("n").alias("n"))  # at most a row for each partition and dim
+    stretches = stretches.select("dim", "stretch", before("stretch", "dim").alias("_to"), F.sum("n").over(Window.partitionBy("dim")).alias("total"))
+    placed = tally.withColumn("_in", before("value", "dim", "stretch")).join(F.broadcast(stretches), ["dim", "stretch"]).withColumn("low", F.col("_to") + F.col("_in"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(many - 1)), lambda k: F.expr("total").cast("long") * k)
+    here = F.exists(places, lambda at: (F.floor(at / many) >= F.col("low")) & (F.floor(at / many) < F.col("low") + F.col("n"))) if many > 1 else F.lit(False)
+    return placed.where(here).select("dim", "value")
 
 
 def quantised(value: Column, cuts: list, bits: int = BITS) -> Column:
@@ -154,7 +162,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, dims: tuple[str, ...] = ("
     left to tell them apart. Nulls: a null dimension is the first step of it; a null text has size 1 and CRC 0. A very
     long text is only hashed. Other columns are not read, whatever they are called. An empty table gives no rows."""
     dims_ = list(dims)
-    cuts = cut_points(docs, dims_, bits, doc_id) if cuts is None else cuts
+    cuts = cut_points(docs, dims_, bits) if cuts is None else cuts
     ranked = _ranked(docs, dims_, doc_id, text, bits, cuts, hot_rows)
     each = ranked.select("doc_id", "size", "text_crc32", "curve", "total", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("rank"))
     shard, slot = _placed(shards)
@@ -168,7 +176,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, dims: tuple[str, ...] = ("sour
     in order of it. Rows that agree in all columns are one row with a count till the end. Whole rows are shuffled once, combined before;
     all that is numbered is numbered over hashes, in 64 parts of each id and text."""
     dims_ = list(dims)
-    cuts = cut_points(docs, dims_, bits, doc_id) if cuts is None else cuts
+    cuts = cut_points(docs, dims_, bits) if cuts is None else cuts
     name, key = ["doc_id", "size", "text_crc32", "text_hash"], ["_a", "_b"]
     two = lambda *cols: [F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)]
     ranked = _ranked(docs, dims_, doc_id, text, bits, cuts, hot_rows).select(*[c.alias(k) for c, k in zip(two(*name), key, strict=True)], "from", "total")

@@ -771,3 +771,14 @@ def test_column_names_with_dots_and_ticks(spark):
     assert same(near_copies.one_of_each(odd, **two), near_copies.one_of_each(rows))
     vocabulary = [("▁", -1.0), ("a", -2.0)]
     assert same(token_count.token_counts(odd, vocabulary, **two), token_count.token_counts(rows, vocabulary))
+
+
+def test_cut_points_of_strings_are_quantiles_of_all_rows(spark):
+    """More rows than any sample had, nulls, and one value that spans several places."""
+    name = lambda i: None if i % 7 == 0 else "hot" if i % 5 == 0 else f"w{i * 7919 % 50_000:05d}"
+    df = spark.createDataFrame([(i, name(i), f"l{i % 3}") for i in range(50_000)], "doc_id long, source string, lang string")
+    want = []
+    for values in (sorted(v for v in map(name, range(50_000)) if v is not None), sorted(f"l{i % 3}" for i in range(50_000))):
+        want.append(sorted({values[k * len(values) // 32] for k in range(1, 32)}))
+    assert hilbert.cut_points(df, ["source", "lang"]) == want
+    assert hilbert.cut_points(df.limit(0), ["source", "lang"]) == [[], []]
