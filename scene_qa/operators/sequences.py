@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scene_qa.functions.tables import materialise
+
 #: Rows of a bucket of the order, about; buckets at most, in groups of GROUP; rows that the edges are taken from.
 BUCKET_ROWS, MOST_BUCKETS, GROUP, SAMPLED = 200_000, 4096, 64, 100_000
 
@@ -90,6 +92,7 @@ def sequence_pages(grouped: DataFrame, page_rows: int = 10_000, bucket_rows: int
     if page_rows < 1:
         raise ValueError("a page has a row at least")
     rows = grouped.select("group_id", "image_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("_us"), F.col("image_id").cast("bigint").alias("_id"))
+    rows = materialise(rows)  # the grouping is done once, not for the count, the edges and the pages
     rows = rows.withColumn("_b", bucket_of(rows, bucket_rows))
     inside = Window.partitionBy("_b", "group_id").orderBy("_us", "_id")
     counts = rows.groupBy("_b", "group_id").agg(F.count("*").alias("_n"))

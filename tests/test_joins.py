@@ -35,3 +35,17 @@ def test_targets_and_records_are_not_broadcast(scene):
     records, bad = prepare.assemble(q, images, prepare.verified_traces(q, t, e))
     assert "BroadcastExchange" not in planned(records)
     assert bad.count() == 0 and records.count() == 36
+
+
+def test_the_order_of_captures_is_taken_once(spark, tmp_path):
+    """What follows the grouping reads its result, and does not group again for each count."""
+    from scene_qa.jobs import registry
+    from scene_qa.operators import sequences
+
+    events = spark.range(60).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 400).alias("ts"), F.when(F.col("id") % 9 == 0, "purchase").otherwise("view").alias("event_type"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(40).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda p: (p / 64 - 0.5).cast("float")).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assigned = registry.split_assignment(spark, str(tmp_path))
+    pages = sequences.sequence_pages(assigned.join(events.select(F.col("event_id").alias("image_id"), F.col("ts").alias("timestamp")), "image_id"), 5)
+    assert "lag(" not in planned(assigned) and "MapInArrow" not in planned(pages)
+    assert assigned.count() == 60 and pages.select(F.explode("image_ids")).distinct().count() == 60
