@@ -436,7 +436,7 @@ def sequences_table(spark, sf_dir):
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = sequences.group_sequences(inputs.image_records(spark, sf_dir), 900)
     counts = masks.measure(inputs.mask_table(spark, sf_dir)).select("image_id", "counts")
-    images = grouped.join(counts, "image_id", "left")
+    images = materialise(grouped.join(shuffled(counts), "image_id", "left"))  # grouped and measured once
     return images.join(splits.assign_groups(images, counts="counts"), "group_id")
 
 
