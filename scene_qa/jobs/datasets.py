@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scene_qa.functions.joins import shuffled
 from scene_qa.functions.tables import materialise
 from scene_qa.jobs.publishing import Staged, settle
 from scene_qa.operators import audit, dataset, masks, prepare, questions, sequences, splits, traces
@@ -24,12 +25,12 @@ def build_split(spark: SparkSession, data_root: str, output_root: str, gap_secon
     in pages of so many: for sequences too long for one row."""
     pairs = images.discover_pairs(spark, data_root)
     taken = images.capture_metadata(spark, f"{data_root}/*/*-org-img/*.jpg")
-    records = materialise(pairs.withColumnRenamed("split", "original_split").join(taken, "image_path"))
+    records = materialise(pairs.withColumnRenamed("split", "original_split").join(shuffled(taken), "image_path"))
     labels = images.read_masks(spark, f"{data_root}/*/*-label-img/*_lab.png")
-    measured = masks.measure(labels.join(records.select("image_id", F.col("mask_path").alias("path")), "path"))
+    measured = masks.measure(labels.join(shuffled(records.select("image_id", F.col("mask_path").alias("path"))), "path"))
     measured = materialise(measured.select("image_id", "counts"))
     grouped = materialise(sequences.group_sequences(records, gap_seconds))
-    chosen = grouped.join(measured.select("image_id", F.array(*[F.get("counts", F.lit(k)) for k in class_ids]).alias("counts")), "image_id")
+    chosen = grouped.join(shuffled(measured.select("image_id", F.array(*[F.get("counts", F.lit(k)) for k in class_ids]).alias("counts"))), "image_id")
     assigned = materialise(splits.assign_groups(chosen, ratios, seed, counts="counts"))
     with Staged(spark, output_root) as out:
         written = out.path("splits/images.parquet")
@@ -64,7 +65,7 @@ def mask_evidence(spark: SparkSession, listed: DataFrame, radius: int = 1, low_m
     if not folders:
         raise ValueError("no images are listed")
     found = images.read_masks(spark, [f"{f}/*.png" for f in folders])
-    met = listed.select("image_id", images.uri(F.col("mask_path")).alias("path")).join(found, "path", "left")
+    met = listed.select("image_id", images.uri(F.col("mask_path")).alias("path")).join(shuffled(found), "path", "left")
     there = F.coalesce("labels", F.raise_error(F.concat(F.lit("no mask at "), F.col("path"))).cast("binary"))
     return masks.evidence(masks.measure(met.withColumn("labels", there), radius), radius, low_max, medium_max)
 
@@ -74,7 +75,7 @@ def _questions(spark: SparkSession, output_root: str, seed: int, radius: int, lo
     listed = spark.read.parquet(f"{output_root}/splits/images.parquet")
     splits.raise_on_violation(audit.input_violations(listed, ("image_id", "mask_path", "split")))
     evidence = materialise(mask_evidence(spark, listed, radius, low_max, medium_max))
-    return questions.generate(evidence.join(listed.select("image_id", "split"), "image_id"), seed).select(*QUESTION)
+    return questions.generate(evidence.join(shuffled(listed.select("image_id", "split")), "image_id"), seed).select(*QUESTION)
 
 
 def build_questions(spark: SparkSession, output_root: str, seed: int = 20260615, radius: int = 1, low_max: float = 0.05, medium_max: float = 0.20) -> None:
@@ -163,7 +164,7 @@ def prepare_export(spark: SparkSession, manifest_path: str, output_dir: str, tra
     listed = spark.read.parquet(images_path if "://" in images_path or images_path.startswith("/") else f"{base}/{images_path}")
     asked = rows.drop("collection").withColumn("_e", questions.decoded(F.col("evidence"))).withColumn("class_name", F.col("_e.class_name")).withColumn("_radius", F.coalesce("_e.adjacency_radius", F.lit(1))).drop("_e")
     asked = materialise(asked)
-    wanted = listed.join(asked.select("image_id").distinct(), "image_id", "left_semi")
+    wanted = listed.join(shuffled(asked.select("image_id").distinct()), "image_id", "left_semi")
     found = None
     for radius in sorted(r._radius for r in asked.select("_radius").distinct().collect()):  # the radius is one setting of a dataset
         evidence = materialise(mask_evidence(spark, wanted, radius))
@@ -171,7 +172,7 @@ def prepare_export(spark: SparkSession, manifest_path: str, output_dir: str, tra
         part = prepare.verified_traces(mine, materialise(traces.run_programs(mine, traces.mask_tools(evidence))), evidence)
         found = part if found is None else found.unionByName(part)
     hashes = images.content_hashes(spark, [f"{r.folder}/*.png" for r in wanted.select(F.regexp_extract(images.uri(F.col("mask_path")), r"^(.*)/[^/]+$", 1).alias("folder")).distinct().collect()])
-    known = wanted.select("image_id", "image_path", "group_id", "split", images.uri(F.col("mask_path")).alias("path")).join(hashes.withColumnRenamed("sha256", "mask_sha256"), "path", "left").drop("path")
+    known = wanted.select("image_id", "image_path", "group_id", "split", images.uri(F.col("mask_path")).alias("path")).join(shuffled(hashes.withColumnRenamed("sha256", "mask_sha256")), "path", "left").drop("path")
     records, bad = prepare.assemble(asked.drop("class_name", "_radius", "evidence", "template_id"), known, found)
     splits.raise_on_violation(bad)
     splits.raise_on_violation(prepare.family_gaps(asked))
