@@ -23,11 +23,9 @@ def build_split(spark: SparkSession, data_root: str, output_root: str, gap_secon
     """From an image tree to splits/images.parquet, splits/sequences.parquet and audits/split_audit.json, which it returns.
     The audit is taken from the written tables. With page_rows, the members of sequences stand in splits/sequence_members.parquet,
     in pages of so many: for sequences too long for one row."""
-    pairs = images.discover_pairs(spark, data_root)
-    taken = images.capture_metadata(spark, f"{data_root}/*/*-org-img/*.jpg")
-    records = materialise(pairs.withColumnRenamed("split", "original_split").join(shuffled(taken), "image_path"))
-    labels = images.read_masks(spark, f"{data_root}/*/*-label-img/*_lab.png")
-    measured = masks.measure(labels.join(shuffled(records.select("image_id", F.col("mask_path").alias("path"))), "path"))
+    pairs = materialise(images.discover_pairs(spark, data_root).withColumnRenamed("split", "original_split"))
+    records = materialise(images.taken_at(spark, pairs))
+    measured = masks.measure(images.masks_at(spark, pairs.select("image_id", F.col("mask_path").alias("path"))))
     measured = materialise(measured.select("image_id", "counts"))
     grouped = materialise(sequences.group_sequences(records, gap_seconds))
     chosen = grouped.join(shuffled(measured.select("image_id", F.array(*[F.get("counts", F.lit(k)) for k in class_ids]).alias("counts"))), "image_id")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scene_qa.functions.tables import scratch_path
 from scene_qa.jobs import inputs
-from scene_qa.sources.listing import opened
+from scene_qa.sources.listing import dealt, opened
 
 
 def gray_png(labels: bytes, height: int, width: int) -> bytes:
@@ -35,8 +35,8 @@ def jpeg_header(taken: str, camera: str) -> bytes:
 
 
 def write_files(rows: DataFrame, root: str, content: Callable[[dict], Iterator[tuple[str, bytes]]]) -> int:
-    """Writes the files (name below root, bytes) that content gives for each row; how many there are. A task that runs again writes
-    the same files."""
+    """Writes the files (name below root, bytes) that content gives for each row; how many there are. Rows are dealt
+    over all tasks, however few bytes they are. A task that runs again writes the same files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base, _ = opened(root)
@@ -55,7 +55,7 @@ def write_files(rows: DataFrame, root: str, content: Callable[[dict], Iterator[t
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return dealt(rows).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def image_tree(spark: SparkSession, sf_dir: str) -> str:
