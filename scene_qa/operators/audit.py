@@ -12,6 +12,8 @@ from scene_qa.schemas import FAMILIES, SPLITS
 
 #: The fields of a question that are compared.
 FIELDS = ("image_id", "split", "question_type", "template_id", "question", "answer", "answer_space", "evidence")
+#: Rows of a task that groups by id, about.
+ID_ROWS = 250_000
 SETS = {"total": [], "split": ["split"], "type": ["question_type"], "answer": ["answer"], "split_type": ["split", "question_type"], "split_type_answer": ["split", "question_type", "answer"], "split_type_template": ["split", "question_type", "template_id"]}
 
 
@@ -69,8 +71,11 @@ def degenerate_templates(questions: DataFrame) -> DataFrame:
     return questions.groupBy("template_id").agg(F.count("*").alias("n"), F.countDistinct("answer").alias("answers")).where("n >= 2 and answers = 1")
 
 
-def ids_across_splits(questions: DataFrame, first: int | None = None) -> DataFrame:
-    found = questions.select("question_id", "split").distinct().groupBy("question_id").agg(F.count("*").alias("splits")).where("splits > 1")
+def ids_across_splits(questions: DataFrame, first: int | None = None, task_rows: int = ID_ROWS) -> DataFrame:
+    """(question_id, splits) of ids that stand in more than one split. Rows are dealt by id over as many tasks as leave task_rows to
+    each, and grouped there: what a task holds of them does not grow with the table."""
+    rows = questions.select("question_id", "split")
+    found = rows.repartition(max(1, -(-rows.count() // task_rows)), "question_id").distinct().groupBy("question_id").agg(F.count("*").alias("splits")).where("splits > 1")
     return found.orderBy("question_id").limit(first) if first else found
 
 

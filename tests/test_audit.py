@@ -44,3 +44,19 @@ def test_a_filter_keeps_all_candidates_and_drops_most_others(spark):
     left = splits._candidates(long).groupBy("split").count().collect()
     assert {r.split: r["count"] for r in left}["train"] < 0.05 * 12_000  # of what would be shuffled
     assert splits.leaks(df.limit(0), filtered=True).count() == 0
+
+
+def test_tasks_that_group_ids_grow_in_number_only(spark):
+    """Not in what one of them holds: before the ids' hash tables come, rows are dealt by id."""
+    rows = spark.range(3000).select(F.concat(F.lit("q"), (F.col("id") % 1600).cast("string")).alias("question_id"), F.when(F.col("id") < 1000, "train").when(F.col("id") < 1700, "val").otherwise("test").alias("split"))
+    for n in (100, 700):
+        found = audit.ids_across_splits(rows, task_rows=n)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Exchange")
+        assert len(plan) == 2 and "Aggregate" not in plan[-1]
+        assert found.rdd.getNumPartitions() == -(-3000 // n)
+        want = {}
+        for i in range(3000):
+            want.setdefault(f"q{i % 1600}", set()).add("train" if i < 1000 else "val" if i < 1700 else "test")
+        assert {r.question_id: r.splits for r in found.collect()} == {k: len(v) for k, v in want.items() if len(v) > 1}
+    assert [r.question_id for r in audit.ids_across_splits(rows, first=3).collect()] == sorted(k for k, v in want.items() if len(v) > 1)[:3]
+    assert audit.ids_across_splits(rows.where("false")).count() == 0
