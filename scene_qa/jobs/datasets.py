@@ -57,15 +57,12 @@ def split_audit(images_table: DataFrame, gap_seconds: float, gaps: tuple[float,
 
 
 def mask_evidence(spark: SparkSession, listed: DataFrame, radius: int = 1, low_max: float = 0.05, medium_max: float = 0.20) -> DataFrame:
-    """Evidence, once for each image of listed(image_id, mask_path); a mask that is not there raises an error. Masks are read
-    folder by folder and met by path."""
-    folders = [r.folder for r in listed.select(F.regexp_extract(images.uri(F.col("mask_path")), r"^(.*)/[^/]+$", 1).alias("folder")).distinct().collect()]  # a few folders hold all masks
-    if not folders:
+    """Evidence, once for each image of listed(image_id, mask_path), a table or materialised; a mask that is not there raises an error. A mask is opened by
+    the task that measures it."""
+    if listed.isEmpty():
         raise ValueError("no images are listed")
-    found = images.read_masks(spark, [f"{f}/*.png" for f in folders])
-    met = listed.select("image_id", images.uri(F.col("mask_path")).alias("path")).join(shuffled(found), "path", "left")
-    there = F.coalesce("labels", F.raise_error(F.concat(F.lit("no mask at "), F.col("path"))).cast("binary"))
-    return masks.evidence(masks.measure(met.withColumn("labels", there), radius), radius, low_max, medium_max)
+    found = images.masks_at(spark, listed.select("image_id", images.uri(F.col("mask_path")).alias("path")))
+    return masks.evidence(masks.measure(found, radius), radius, low_max, medium_max)
 
 
 def _questions(spark: SparkSession, output_root: str, seed: int, radius: int, low_max: float, medium_max: float) -> DataFrame:
@@ -162,7 +159,7 @@ def prepare_export(spark: SparkSession, manifest_path: str, output_dir: str, tra
     listed = spark.read.parquet(images_path if "://" in images_path or images_path.startswith("/") else f"{base}/{images_path}")
     asked = rows.drop("collection").withColumn("_e", questions.decoded(F.col("evidence"))).withColumn("class_name", F.col("_e.class_name")).withColumn("_radius", F.coalesce("_e.adjacency_radius", F.lit(1))).drop("_e")
     asked = materialise(asked)
-    wanted = listed.join(shuffled(asked.select("image_id").distinct()), "image_id", "left_semi")
+    wanted = materialise(listed.join(shuffled(asked.select("image_id").distinct()), "image_id", "left_semi"))
     found = None
     for radius in sorted(r._radius for r in asked.select("_radius").distinct().collect()):  # the radius is one setting of a dataset
         evidence = materialise(mask_evidence(spark, wanted, radius))

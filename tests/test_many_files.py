@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scene_qa.jobs import datasets
 from scene_qa.sources import images, pngs
 from scene_files import jpeg, png
 
@@ -93,3 +94,11 @@ def test_what_is_listed(spark, tmp_path):
     assert [r.image_path for r in images.discover_pairs(spark, str(tmp_path)).collect()] == [f"file:{tmp_path}/deep/er/train/train-org-img/1.jpg"]
     with pytest.raises(FileNotFoundError):
         images.discover_pairs(spark, f"{tmp_path}/nowhere")
+
+
+def test_a_mask_that_is_gone(spark, tmp_path):
+    png(tmp_path / "1_lab.png", np.ones((2, 2)))
+    listed = spark.createDataFrame([(str(i), f"{tmp_path}/{i}_lab.png") for i in (1, 2)], "image_id string, mask_path string")
+    assert datasets.mask_evidence(spark, listed.where("image_id = '1'")).first().dominant_class == "building_flooded"
+    with pytest.raises(Exception, match="no file at .*2_lab.png"):
+        datasets.mask_evidence(spark, listed).collect()
