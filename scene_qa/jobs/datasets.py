@@ -25,7 +25,7 @@ def build_split(spark: SparkSession, data_root: str, output_root: str, gap_secon
     in pages of so many: for sequences too long for one row."""
     pairs = materialise(images.discover_pairs(spark, data_root).withColumnRenamed("split", "original_split"))
     records = materialise(images.taken_at(spark, pairs))
-    measured = masks.measure(images.masks_at(spark, pairs.select("image_id", F.col("mask_path").alias("path"))))
+    measured = masks.measure(images.masks_at(spark, pairs.select("image_id", F.col("mask_path").alias("path"))), radius=0)  # areas only: no neighbours are looked at
     measured = materialise(measured.select("image_id", "counts"))
     grouped = materialise(sequences.group_sequences(records, gap_seconds))
     chosen = grouped.join(shuffled(measured.select("image_id", F.array(*[F.get("counts", F.lit(k)) for k in class_ids]).alias("counts"))), "image_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from operator import sub
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,36 +36,54 @@ def greedy(groups: Iterable[tuple[str | None, int, dict[int, int]]], totals: Tot
     of_camera = {c: [0] * len(SPLITS) for c in cameras}
     of_class = {k: [0] * len(SPLITS) for k in totals.classes}
     images = [0] * len(SPLITS)
-
-    def deviation(counts: list[int], of: int) -> float:
-        return sum(abs(counts[s] - of * share[s]) for s in range(len(SPLITS))) / of if of else 0.0
-
-    camera_now = {c: deviation(of_camera[c], totals.cameras[c]) for c in cameras}
-    class_now = {k: deviation(of_class[k], n) for k, n in totals.classes.items()}
+    goals = lambda of: [(of or 0) * r for r in share]
+    image_goals, camera_goals, class_goals = goals(totals.images), {c: goals(totals.cameras[c]) for c in cameras}, {k: goals(n) for k, n in totals.classes.items()}
+
+    def deviation(counts: list[int], goal: list[float], of: int, s: int = 0, n: int = 0) -> float:
+        """With n more in split s."""
+        if not of:
+            return 0.0
+        counts[s] += n
+        found = sum(map(abs, map(sub, counts, goal))) / of
+        counts[s] -= n
+        return found
+
+    camera_now = {c: deviation(of_camera[c], camera_goals[c], totals.cameras[c]) for c in cameras}
+    class_now = {k: deviation(of_class[k], class_goals[k], n) for k, n in totals.classes.items()}
     generator, used = random.Random(seed), set()
-    plus = lambda counts, s, n: [c + n * (i == s) for i, c in enumerate(counts)]
     for i, (camera, size, row) in enumerate(groups):
         left = totals.groups - i - 1
         allowed = [s for s in active if totals.groups < len(active) or left >= len(set(active) - used - {s})]
-        scores = []
+        held = [(k, v, of_class[k], class_goals[k], totals.classes[k]) for k, v in row.items() if v]
+        scores, after = [], {}
         for s in allowed:
-            value = deviation(plus(images, s, size), totals.images)
-            value += 0.25 * sum(deviation(plus(of_camera[c], s, size), totals.cameras[c]) if c == camera else camera_now[c] for c in cameras) / max(1, len(cameras))
+            cameras_then, classes_then = camera_now.copy(), class_now.copy()
+            cameras_then[camera] = deviation(of_camera[camera], camera_goals[camera], totals.cameras[camera], s, size)
+            for k, v, counts, goal, of in held:
+                classes_then[k] = deviation(counts, goal, of, s, v)
+            value = deviation(images, image_goals, totals.images, s, size)
+            value += 0.25 * sum(cameras_then.values()) / max(1, len(cameras))
             if totals.classes:
-                value += 0.25 * sum(deviation(plus(of_class[k], s, row[k]), totals.classes[k]) if row.get(k) else class_now[k] for k in totals.classes) / len(totals.classes)
+                value += 0.25 * sum(classes_then.values()) / len(totals.classes)
             scores.append(value)
+            after[s] = cameras_then, classes_then
         best = min(scores)
         chosen = generator.choice([s for s, v in zip(allowed, scores, strict=True) if abs(v - best) <= max(1e-12 * max(abs(v), abs(best)), 1e-12)])
         used.add(chosen)
         images[chosen] += size
         of_camera[camera][chosen] += size
-        camera_now[camera] = deviation(of_camera[camera], totals.cameras[camera])
-        for k, v in row.items():
-            of_class[k][chosen] += v
-            class_now[k] = deviation(of_class[k], totals.classes[k])
+        for k, v, counts, _, _ in held:
+            counts[chosen] += v
+        camera_now, class_now = after[chosen]  # what was weighed is not worked out again
         yield SPLITS[chosen]
 
 
+def _dicts(maps: pa.MapArray) -> list[dict]:
+    """A dict for each map, an empty one for null; keys and items are converted once for all."""
+    ends, keys, items = maps.offsets.to_pylist(), maps.keys.to_pylist(), maps.items.to_pylist()
+    return [dict(zip(keys[a:b], items[a:b], strict=True)) if known else {} for a, b, known in zip(ends, ends[1:], maps.is_valid().to_pylist(), strict=False)]
+
+
 def assign_groups(images: DataFrame, ratios: tuple[float, ...] = (0.6, 0.2, 0.2), seed: int = 20260615, counts: str | None = None, parts: int = 1) -> DataFrame:
     """images(image_id, group_id, camera_model, and maybe counts: array<long> by class) -> (group_id, split).
 
@@ -95,13 +114,13 @@ def assign_groups(images: DataFrame, ratios: tuple[float, ...] = (0.6, 0.2, 0.2)
         passes: dict[int, tuple[list, Iterator[str]]] = {}  # a part's rows come one after the other
         for batch in batches:
             found = []
-            for part, camera, size, row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for part, camera, size, row in zip(*(batch.column(i).to_pylist() for i in range(3)), _dicts(batch.column(3)), strict=True):
                 if part not in passes:
                     passes.clear()
                     queue: list = []
                     passes[part] = queue, greedy(iter(queue.pop, None), totals[part], ratios, seed)
                 queue, choose = passes[part]
-                queue.append((camera, size, dict(row or [])))
+                queue.append((camera, size, row))
                 found.append(next(choose))
             yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(found, pa.string())], ["group_id", "split"])
 

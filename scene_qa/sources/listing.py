@@ -95,9 +95,9 @@ def _hidden(name: str) -> bool:
     return name.startswith(".") or (name.startswith("_") and "=" not in name)
 
 
-def _inside(rows: DataFrame, name: str | None, folders: bool) -> DataFrame:
-    """(path, length) of the files, or of the folders, in the folders of rows(path), each listed by the task that has it. name: a
-    pattern of names."""
+def _inside(rows: DataFrame, name: str | None = None) -> DataFrame:
+    """(path, length, folder) of what lies in the folders of rows(path), each listed by the task that has it: files, and folders if
+    no name is given, a pattern of names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,12 +106,13 @@ def _inside(rows: DataFrame, name: str | None, folders: bool) -> DataFrame:
                 infos = [x for x in system.get_file_info(pafs.FileSelector(base)) if not _hidden(x.base_name) and (name is None or fnmatchcase(x.base_name, name))]
                 if name is not None:  # a folder stands for the files in it
                     infos += [y for x in infos if x.type == pafs.FileType.Directory for y in system.get_file_info(pafs.FileSelector(x.path)) if not _hidden(y.base_name)]
-                kept = [x for x in infos if (x.type == pafs.FileType.Directory if folders else x.is_file and x.size)]
+                kept = [x for x in infos if (x.is_file and x.size) or (name is None and x.type == pafs.FileType.Directory)]
                 for k in range(0, len(kept), 10_000):
                     some = kept[k : k + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([prefix + x.path.lstrip("/") for x in some], pa.string()), pa.array([x.size or 0 for x in some], pa.int64())], ["path", "length"])
+                    columns = [pa.array([prefix + x.path.lstrip("/") for x in some], pa.string()), pa.array([x.size or 0 for x in some], pa.int64()), pa.array([not x.is_file for x in some], pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "length", "folder"])
 
-    return rows.mapInArrow(run, "path string, length long")
+    return rows.mapInArrow(run, "path string, length long, folder boolean")
 
 
 def _rows(spark: SparkSession, folders: list[str]) -> DataFrame:
@@ -120,17 +121,19 @@ def _rows(spark: SparkSession, folders: list[str]) -> DataFrame:
 
 def below(spark: SparkSession, root: str) -> DataFrame:
     """(path, length) of the files in root and in all folders below it, as Spark's readers list them: no hidden and no empty ones.
-    Tasks list the folders, level by level; only the folders' names come to the driver."""
+    Tasks list each folder once, level by level; only the folders' names come to the driver."""
     if not ranged(root):
         return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(uri(F.col("path")).alias("path"), "length")
     system, base, prefix = opened(root)
     if system.get_file_info(base).type != pafs.FileType.Directory:
         raise FileNotFoundError(f"no folder {root}")
-    level, folders = [prefix + base.strip("/")], []
+    level, out = [prefix + base.strip("/")], None
     while level:
-        folders += level
-        level = [r.path for r in _inside(_rows(spark, level), None, True).select("path").collect()]
-    return materialise(_inside(_rows(spark, folders), None, False))
+        found = materialise(_inside(_rows(spark, level)))
+        files = found.where(~F.col("folder")).select("path", "length")
+        out = files if out is None else out.union(files)
+        level = [r.path for r in found.where("folder").select("path").collect()]
+    return out
 
 
 def globbed(spark: SparkSession, globs: list[str]) -> DataFrame:
@@ -143,7 +146,7 @@ def globbed(spark: SparkSession, globs: list[str]) -> DataFrame:
         found = [prefix + x.lstrip("/") for x in directories(system, pattern)]
         if not found:
             raise FileNotFoundError(f"no folder {folder}")
-        rows = _inside(_rows(spark, found), name, False)
+        rows = _inside(_rows(spark, found), name).select("path", "length")
         out = rows if out is None else out.union(rows)
     return materialise(out.distinct() if len(globs) > 1 else out)
 
